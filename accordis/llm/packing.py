@@ -20,6 +20,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,47 +40,79 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 SPARK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_id long, tail binary"
 
 
+#: Words of these characters need no normalising but lower case, and split as PIECE says.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids of texts by a tokenizer that never joins across space, tab, LF or CR: each word is looked up once.
 
-    Words the cache doesn't hold go to the tokenizer in one batch. `exact` is tried on the first texts: the ids of a whole
-    text must be those of its words; if not, whole texts are encoded.
+    A new word of plain letters is split into its pieces, and each new piece goes to the tokenizer's model; any other word
+    goes to the tokenizer whole. If the tokenizer turns out to split a sample otherwise, all words go to it whole.
     """
 
+    SAMPLE = "It's 42 Ob\u00e9rs, 'we'll'--x_y! #%$ \u00c9t\u00e9s r2d2 (a.b) don't ''s"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        letters = byte_letters()
+        self.table = [letters[b] for b in range(256)]
+        self.plain = True
         self.clear()
+        if self.encode(self.SAMPLE).tolist() != self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids:
+            self.plain = False
+            self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.parts: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pieces: dict[str, list[int]] = {}
+        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def piece(self, text: str) -> list[int]:
+        ids = self.pieces.get(text)
+        if ids is None:
+            coded = text if text.isascii() else "".join(map(self.table.__getitem__, text.encode()))
+            ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(coded)]
+        return ids
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.clear()
+            new = [w for w in dict.fromkeys(words) if w]
+        plain = [self.plain and "<|" not in w and PLAIN.fullmatch(w) is not None for w in new]
+        whole = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
+        for w, p in zip(new, plain, strict=True):
+            ids = [i for x in PIECE.findall(w.lower()) for i in self.piece(x)] if p else next(whole).ids
+            at = len(self.known)
+            if at >= len(self.size):
+                self.begin, self.size = np.resize(self.begin, 2 * at), np.resize(self.size, 2 * at)
+            while self.n_flat + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.known[w], self.begin[at], self.size[at] = at, self.n_flat, len(ids)
+            self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+            self.n_flat += len(ids)
 
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
         try:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > CACHE:
-                self.clear()
-                known = self.known
-                new = [w for w in dict.fromkeys(words) if w]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = len(self.parts)
-                self.parts.append(np.array(e.ids, dtype=np.uint32))
-            fresh = self.parts[len(self.size) :]
-            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.flat = np.concatenate((self.flat, *fresh))
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.learn(words)
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
-        total = int(size.sum())
-        where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(total)
+        where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[where]
 
 
