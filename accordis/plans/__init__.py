@@ -1 +1,6 @@
-"""See the modules of this subpackage."""
+"""Registered queries, by area."""
+
+from . import graphs
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "graphs"]
