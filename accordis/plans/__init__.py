@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import graphs
+from . import graphs, reconciliation
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graphs"]
+__all__ = ["QUERIES", "SQL", "graphs", "reconciliation"]
