@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import graphs, reconciliation
+from . import graphs, histories, reconciliation, scoring
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graphs", "reconciliation"]
+__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring"]
