@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word, as a Java pattern: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,7 +19,8 @@ BROADCAST_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
+    """One of the input tables. Workers get this package on the way."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,14 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.getConf().get("spark.master", "local").startswith(("local[", "local")) is False:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="accordis-"))
     return str(found).rstrip("/")
 
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -41,20 +44,30 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/accordis/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete what materialize() wrote for a table that nothing lazy reads any more."""
+    _delete(table._written_at)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session is already gone
+        return
 
 
 def drop_written() -> None:
-    """Delete what materialize() wrote. Runs at exit; call it earlier once no DataFrame made from those tables is used."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session is already gone
-            return
+    """Delete all that materialize() wrote. Runs at exit; call it earlier once no DataFrame made from those tables is used."""
+    for path in list(_WRITTEN):
+        _delete(path)
 
 
 atexit.register(drop_written)

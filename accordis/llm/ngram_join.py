@@ -10,8 +10,8 @@ intersecting the sorted arrays.
 
 Large groups: a first pass checks for each set one partner only, the smallest key that it meets in any tile, and the sets
 next to it in tiles of more than `tile` sets. Links join sets to components. A second pass takes all pairs of a tile whose
-sets lie in different components and checks them all, so the components are exact while a group of near copies costs about
-one check a member instead of one a pair. Partners of one set are spread over salted tiles of at most `tile` each.
+sets lie in different components: larger tiles are split by size band and block, block pairs compare bitmaps in memory, and
+pairs that pass are checked. So the components are exact, while pairs inside a component are never listed. Partners of one set are spread over salted tiles of at most `tile` each.
 
 Defined results: texts without words have no shingles and link with nothing; a text of fewer than k words has one
 shingle; null is an empty text; repeated rows are copies; a null doc_id never is a component's id unless it has no other;
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small
+from .common import materialize, release, small
 from .graph import components
 from .textnp import mix64, shingle_sets
 
@@ -41,6 +41,7 @@ class Settings:
     den: int = 100
     frequent: float = 4e-6
     tile: int = 64
+    block: int = 1024
     #: Shingles looked through at once for frequent ones; sets remembered by a task to leave out copies; rows of a tile task.
     sample: int = 2_000_000
     remembered: int = 1_000_000
@@ -70,13 +71,17 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap at a lower width: halves fold by parity, as the low bits of a hash stay."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound on the size of the symmetric difference. Halves fold by parity: the low bits of a hash stay."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    """A lower bound on the size of the symmetric difference."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
 
 
 def linked(overlap: int, a: int, b: int, s: Settings) -> bool:
@@ -84,7 +89,7 @@ def linked(overlap: int, a: int, b: int, s: Settings) -> bool:
 
 
 def describe(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, key) of each row, and rows with n = -1 whose blobs are shingles that are frequent in a task, with counts."""
+    """(doc_id, n, key, bits) of each row, and rows with n = -1 whose blobs are shingles that are frequent in a task, with counts."""
     least = max(8, int(s.frequent * s.sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,24 +101,25 @@ def describe(docs: DataFrame, s: Settings) -> DataFrame:
             keep = counts >= least
             return values[keep].tobytes(), counts[keep].astype(np.int64).tobytes()
 
-        def out(ids: list, ns: list, keys: list, blobs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], names=["doc_id", "n", "key", "shingles", "counts"])
+        def out(ids: list, ns: list, keys: list, bits: list, blobs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], names=["doc_id", "n", "key", "bits", "shingles", "counts"])
 
         for batch in batches:
-            ns, keys = [], []
+            ns, keys, bits = [], [], []
             for _, hashes in shingle_sets(batch.column(1), s.k):
                 ns.append(len(hashes))
                 keys.append(set_key(hashes))
+                bits.append(bitmap(hashes).tobytes() if len(hashes) else None)
                 held.append(hashes)
                 n_held += len(hashes)
                 if n_held >= s.sample:
-                    yield out([None], [-1], [None], [found()])
+                    yield out([None], [-1], [None], [None], [found()])
                     held, n_held = [], 0
-            yield out(batch.column(0).to_pylist(), ns, keys, [(None, None)] * len(ns))
+            yield out(batch.column(0).to_pylist(), ns, keys, bits, [(None, None)] * len(ns))
         if held:
-            yield out([None], [-1], [None], [found()])
+            yield out([None], [-1], [None], [None], [found()])
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, shingles binary, counts binary"))
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, bits binary, shingles binary, counts binary"))
 
 
 def frequent_shingles(described: DataFrame, total: int, s: Settings) -> np.ndarray:
@@ -205,19 +211,25 @@ def _pairs(pairs: np.ndarray, kind: int, n: np.ndarray | None) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), np.int32) if n is None else n.astype(np.int32))], names=["kind", "u", "v", "n"])
 
 
-def signatures(docs: DataFrame, described: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
-    """(key, n, bits, shingles) of the sets in keys, from one document each."""
-    spare = described.filter("n > 0").join(small(keys, s.broadcast_ids), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("_id"))
+def bitmaps(described: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
+    """(key, n, bits) of the sets in keys."""
+    known = described.filter("n > 0").select("key", F.col("n").cast("int").alias("n"), "bits").join(small(keys, s.broadcast_ids), "key", "left_semi")
+    return materialize(known.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+
+def arrays(docs: DataFrame, described: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
+    """(key, n, shingles) of the sets in keys, from one document each: texts are read again, so only these are ever written."""
+    spare = described.filter("n > 0").select("key", "doc_id").join(small(keys, s.broadcast_ids), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("_id"))
     spare = materialize(spare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_key(h), len(h), bitmap(h).tobytes(), h.tobytes()) for _, h in shingle_sets(batch.column(0), s.k) if len(h)]
+            rows = [(set_key(h), len(h), h.tobytes()) for _, h in shingle_sets(batch.column(0), s.k) if len(h)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "n", "bits", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "n", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(spare.select("_id").distinct(), s.broadcast_ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    made = texts.select("text").mapInArrow(run, "key long, n int, bits binary, shingles binary").join(small(spare.select("key"), s.broadcast_ids), "key", "left_semi")
+    made = texts.select("text").mapInArrow(run, "key long, n int, shingles binary").join(small(spare.select("key"), s.broadcast_ids), "key", "left_semi")
     return materialize(made.dropDuplicates(["key"]))
 
 
@@ -243,8 +255,8 @@ def check(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes,
     return materialize(dealt.mapInArrow(run, "u long, v long"))
 
 
-def links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The candidate pairs that link: the bitmaps' bound first, then the exact intersection."""
+def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
+    """The candidate pairs that link: the bitmaps' bound first, then the exact intersection of what it leaves."""
 
     def bound(a: bytes, na: int, b: bytes, nb: int) -> bool:
         return linked((na + nb - differing(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8))) // 2, na, nb, s)
@@ -254,40 +266,81 @@ def links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         at = np.minimum(np.searchsorted(x, y), na - 1)
         return linked(int((x[at] == y).sum()), na, nb, s)
 
-    return check(check(pairs, sets, "bits", bound, s), sets, "shingles", exact, s)
+    passing = check(pairs, bits, "bits", bound, s)
+    keys = passing.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    sets = arrays(docs, described, materialize(keys), s)
+    found = check(passing, sets, "shingles", exact, s)
+    release(sets)
+    return found
 
 
-def across(found: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs of different components: those of small tiles, and all that fit in size in larger ones."""
+def across_small(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of small tiles whose sets lie in different components."""
     u_root, v_root = roots.select(F.col("node").alias("u"), F.col("root").alias("_ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("_rv"))
     apart = F.coalesce("_ru", "u") != F.coalesce("_rv", "v")
-    few = found.filter("kind = 0").select("u", "v").join(u_root, "u", "left").join(v_root, "v", "left").filter(apart).select("u", "v")
-    members = found.filter("kind = 2").join(v_root, "v", "left").select(F.col("u").alias("shingle"), F.col("v").alias("key"), "n", F.coalesce("_rv", "v").alias("root"))
+    return found.filter("kind = 0").select("u", "v").distinct().join(u_root, "u", "left").join(v_root, "v", "left").filter(apart).select("u", "v")
+
+
+def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of larger tiles whose sets lie in different components, fit in size and pass the bitmaps' bound.
+
+    A pair that shares several shingles comes from the smallest of them only. A tile's members are split by size band (a band's sets link only with its own and the two bands beside it) and a band
+    by hash into blocks of about `block` sets. Blocks meet in pairs, each pair in a task's memory at once.
+    """
+    members = found.filter("kind = 2").select(F.col("u").alias("shingle"), F.col("v").alias("key")).distinct()
+    tiles_of = members.groupBy("key").agg(F.collect_set("shingle").alias("all"))  # of its own prefix only
+    members = members.join(roots, F.col("key") == F.col("node"), "left").select("shingle", "key", F.coalesce("root", "key").alias("root"))
     mixed = members.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(s.den / s.num))).cast("int")
+    rows = members.join(mixed, "shingle", "left_semi").join(bits, "key").join(tiles_of, "key").withColumn("band", band)
+    blocks = rows.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("_own"))
+    rows = rows.join(blocks, ["shingle", "band"])
+    for name, step in (("_next", -1), ("_prev", 1)):
+        rows = rows.join(blocks.select("shingle", (F.col("band") + step).alias("band"), F.col("_own").alias(name)), ["shingle", "band"], "left")
+    block = F.pmod(F.xxhash64("key"), "_own").cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda x: x < F.coalesce(n, F.lit(0)))
+    place = lambda b, cross, i, j, side: F.struct(b.alias("band"), F.lit(cross).alias("cross"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own = F.transform(upto(F.col("_own")), lambda x: place(F.col("band"), 0, F.least(block, x), F.greatest(block, x), F.when(block <= x, 0).otherwise(1)))
+    up = F.transform(upto(F.col("_next")), lambda x: place(F.col("band") + 1, 1, block, x, F.lit(0)))
+    down = F.transform(upto(F.col("_prev")), lambda x: place(F.col("band"), 1, x, block, F.lit(1)))
+    placed = rows.select("shingle", "key", "n", "root", "bits", "all", F.explode(F.concat(own, up, down)).alias("t")).select("shingle", "t.*", "key", "n", "root", "bits", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shingle and size: each meets those of its tile that are next in size, up to the largest that can link."""
-        held: list[tuple[int, int, int]] = []
-        at, out = None, []
+        at, held = None, []
         for batch in batches:
-            for shingle, key, n, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if shingle != at:
-                    at, held = shingle, []
-                low = -(-s.num * n // s.den)
-                held = [h for h in held if h[1] >= low]
-                out.extend((min(key, h[0]), max(key, h[0])) for h in held if h[2] != root and h[0] != key)
-                held.append((key, n, root))
-                if len(out) > 100_000:
-                    yield _out(out)
-                    out = []
-        yield _out(out)
-
-    def _out(rows: list) -> pa.RecordBatch:
-        rows = list(dict.fromkeys(rows))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    many = members.join(mixed, "shingle").repartition("shingle").sortWithinPartitions("shingle", "n", "key").mapInArrow(run, "u long, v long")
-    return few.unionAll(many).distinct()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:5] != at:
+                    yield from meet(at, held)
+                    at, held = row[:5], []
+                held.append(row[5:])
+        yield from meet(at, held)
+
+    def meet(at: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        width = min(len(r[4]) for r in held)
+        signs = np.stack([folded(np.frombuffer(r[4], np.uint8), width) for r in held]).view(np.uint64)
+        shared = [frozenset(r[5]) for r in held]
+        side, key, n, root = (np.array([r[k] for r in held]) for k in range(4))
+        left = np.flatnonzero(side == 0)
+        right = left if at[2] == 0 and at[3] == at[4] else np.flatnonzero(side == 1)
+        out = []
+        for a in range(0, len(left), 64):
+            i = left[a : a + 64]
+            differ = np.bitwise_count(signs[i][:, None, :] ^ signs[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            both = n[i][:, None] + n[right][None, :]
+            overlap = (both - differ) // 2
+            ok = (s.den * overlap >= s.num * (both - overlap)) & (root[i][:, None] != root[right][None, :]) & can_link(n[i][:, None], n[right][None, :], s)
+            x, y = np.nonzero(ok)
+            first = np.array([min(shared[p] & shared[q]) == at[0] for p, q in zip(i[x].tolist(), right[y].tolist(), strict=True)], dtype=bool)
+            u, v = key[i[x]][first], key[right[y]][first]
+            out.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    keys = ["shingle", "band", "cross", "i", "j"]
+    return placed.select(*keys, "side", "key", "n", "root", "bits", "all").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
 def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -304,12 +357,13 @@ def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Dat
     first = both.groupBy("u").agg(F.min("v").alias("v")).filter("v < u").select(F.col("v").alias("u"), F.col("u").alias("v"))
     first = materialize(first.unionAll(found.filter("kind = 1").select("u", "v")).distinct())
     keys = materialize(both.select(F.col("u").alias("key")).unionAll(found.filter("kind = 2").select(F.col("v").alias("key"))).distinct())
-    sets = signatures(docs, described, keys, s)
-    linked_first = links(first, sets, s)
+    bits = bitmaps(described, keys, s)
+    linked_first = links(first, docs, described, bits, s)
     roots = components(linked_first)
-    rest = materialize(across(found, roots, s).join(first, ["u", "v"], "left_anti"))
+    rest = across_small(found, roots).unionAll(across_large(found, roots, bits, s)).distinct()
+    rest = materialize(rest.join(first, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        more = links(rest, sets, s)
+        more = links(rest, docs, described, bits, s)
         if not more.isEmpty():
             roots = components(linked_first.unionAll(more))
     return described.filter("n >= 0").select("doc_id", "n", "key"), roots
