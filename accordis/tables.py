@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship
+
 #: name: SQL over the input tables.
 RELATIONS = {
     "edges": """SELECT concat('s', l_suppkey) AS caller, concat('p', l_partkey) AS callee, l_linenumber AS line,
@@ -45,6 +47,7 @@ class Tables:
     """The input tables of one directory as temporary views, and RELATIONS over them as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship(spark)
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
