@@ -67,7 +67,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         letters = byte_letters()
         self.table = [letters[b] for b in range(256)]
-        self.plain = True
+        self.plain, self.cleared = True, False
         self.clear()
         if self.encode(self.SAMPLE).tolist() != self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids:
             self.plain = False
@@ -86,31 +86,50 @@ class WordIds:
             ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(coded)]
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+    def learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > CACHE:
             self.clear()
-            new = [w for w in dict.fromkeys(words) if w]
-        plain = [self.plain and "<|" not in w and PLAIN.fullmatch(w) is not None for w in new]
-        whole = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
-        for w, p in zip(new, plain, strict=True):
-            ids = [i for x in PIECE.findall(w.lower()) for i in self.piece(x)] if p else next(whole).ids
-            at = len(self.known)
-            if at >= len(self.size):
-                self.begin, self.size = np.resize(self.begin, 2 * at), np.resize(self.size, 2 * at)
-            while self.n_flat + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.known[w], self.begin[at], self.size[at] = at, self.n_flat, len(ids)
-            self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-            self.n_flat += len(ids)
+            self.cleared = True
+        find, split, piece, known = PLAIN.fullmatch, PIECE.findall, self.pieces.get, self.known
+        flat: list[int] = []
+        sizes: list[int] = []
+        odd: list[str] = []
+        at = first = len(known)
+        for w in new:
+            if self.plain and "<|" not in w and find(w):
+                n = 0
+                for x in split(w.lower()):
+                    ids = piece(x) or self.piece(x)
+                    flat += ids
+                    n += len(ids)
+                sizes.append(n)
+                known[w] = at
+                at += 1
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            flat += e.ids
+            sizes.append(len(e.ids))
+            known[w] = at
+            at += 1
+        while at > len(self.size):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
+        while self.n_flat + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.size[first:at] = sizes
+        self.begin[first:at] = self.n_flat + np.cumsum(self.size[first:at]) - self.size[first:at]
+        self.flat[self.n_flat : self.n_flat + len(flat)] = flat
+        self.n_flat += len(flat)
 
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.learn(words)
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new = set(words).difference(self.known)
+        if new:
+            self.learn(new)
+            if self.cleared:  # then known words are gone, too
+                self.cleared = False
+                self.learn(set(words).difference(self.known))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[where]
