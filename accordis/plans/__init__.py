@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import graphs, histories, reconciliation, scoring
+from . import graphs, histories, reconciliation, scoring, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring"]
+__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring", "texts"]

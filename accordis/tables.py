@@ -32,7 +32,7 @@ RELATIONS = {
         CAST(1 + (event_id * 7) % 11 AS INT) AS iteration, CASE WHEN value < 10 THEN 'failed' ELSE 'completed' END AS status, CAST(floor(value / 50) AS BIGINT) AS blocking, value FROM events""",
     "tickets": """SELECT concat('T-', o_orderkey) AS ticket_key, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'pending' ELSE 'resolved' END AS status,
         CASE WHEN o_orderkey % 3 = 0 THEN 'rebuild' ELSE 'discrepancy' END AS type, o_custkey AS component_id, concat('d', o_orderkey % 5000) AS discrepancy_id, o_orderpriority AS priority,
-        CAST(o_totalprice / 1000 AS BIGINT) AS complexity, o_orderdate AS created_at, o_orderdate + INTERVAL '48' HOUR AS timeout_at FROM orders""",
+        CAST(floor(o_totalprice / 1000) AS BIGINT) AS complexity, o_orderdate AS created_at, o_orderdate + INTERVAL '48' HOUR AS timeout_at FROM orders""",
     "usage": """SELECT l_orderkey AS component_id, CAST(l_quantity AS BIGINT) AS prompt_tokens, CAST(l_linenumber AS BIGINT) AS completion_tokens, l_returnflag AS model, l_linestatus AS role FROM lineitem""",
     "pairs": "SELECT a.doc_id, a.text AS text_a, b.text AS text_b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "iterations": """SELECT l_suppkey AS run_id, CAST(l_linenumber AS BIGINT) AS iteration, count(*) AS total, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS identical,
@@ -59,7 +59,7 @@ class Tables:
         import re
 
         sources = {t: self.raw(t) for t in set(re.findall(r"(?:FROM|JOIN) (\w+)", RELATIONS[name]))}
-        sql = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", RELATIONS[name])
+        sql = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", RELATIONS[name].replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(sql, **sources)
 
 
