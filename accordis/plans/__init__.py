@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import graphs, histories, reconciliation, scoring, texts
+from . import graphs, histories, reconciliation, scoring, texts, ticketing
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring", "texts"]
+__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring", "texts", "ticketing"]
