@@ -324,6 +324,8 @@ def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Setting
         side, key, n, root = (np.array([r[k] for r in held]) for k in range(4))
         left = np.flatnonzero(side == 0)
         right = left if at[2] == 0 and at[3] == at[4] else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return
         out = []
         for a in range(0, len(left), 64):
             i = left[a : a + 64]
