@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import graphs, histories, reconciliation, scoring, texts, ticketing
+from . import discovery, graphs, histories, reconciliation, scoring, texts, ticketing, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graphs", "histories", "reconciliation", "scoring", "texts", "ticketing"]
+__all__ = ["QUERIES", "SQL", "discovery", "graphs", "histories", "reconciliation", "scoring", "texts", "ticketing", "windows"]
