@@ -39,11 +39,11 @@ class Settings:
     k: int = 5
     num: int = 75
     den: int = 100
-    frequent: float = 4e-6
+    frequent: float = 1e-7
     tile: int = 64
     block: int = 1024
     #: Shingles looked through at once for frequent ones; sets remembered by a task to leave out copies; rows of a tile task.
-    sample: int = 2_000_000
+    sample: int = 4_000_000
     remembered: int = 1_000_000
     task_rows: int = 1_500_000
     #: Ids up to this many are broadcast, more are joined by a shuffle.
@@ -89,17 +89,17 @@ def linked(overlap: int, a: int, b: int, s: Settings) -> bool:
 
 
 def describe(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, key, bits) of each row, and rows with n = -1 whose blobs are shingles that are frequent in a task, with counts."""
-    least = max(8, int(s.frequent * s.sample))
+    """(doc_id, n, key, bits) of each row, and rows with n = -1 whose blobs are shingles that two or more sets of a run of `sample` shingles hold, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
         n_held = 0
 
         def found() -> tuple[bytes, bytes]:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= least
-            return values[keep].tobytes(), counts[keep].astype(np.int64).tobytes()
+            keep = counts >= 2
+            return values[keep].tobytes(), counts[keep].astype(np.int32).tobytes()
 
         def out(ids: list, ns: list, keys: list, bits: list, blobs: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], names=["doc_id", "n", "key", "bits", "shingles", "counts"])
@@ -110,6 +110,11 @@ def describe(docs: DataFrame, s: Settings) -> DataFrame:
                 ns.append(len(hashes))
                 keys.append(set_key(hashes))
                 bits.append(bitmap(hashes).tobytes() if len(hashes) else None)
+                if keys[-1] in seen:
+                    continue
+                if len(seen) >= s.remembered:
+                    seen.clear()
+                seen.add(keys[-1])
                 held.append(hashes)
                 n_held += len(hashes)
                 if n_held >= s.sample:
@@ -123,14 +128,14 @@ def describe(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def frequent_shingles(described: DataFrame, total: int, s: Settings) -> np.ndarray:
-    """Sorted shingles with a share of at least `frequent` among those that tasks report: at most 1 / frequent values."""
+    """Sorted shingles whose sets, by what tasks report, are at least 8 and a share of at least `frequent`: at most 1 / frequent values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for values, counts in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(values.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], names=["shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(values.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int32))], names=["shingle", "n"])
 
-    rows = described.filter("n = -1").select("shingles", "counts").mapInArrow(run, "shingle long, n long")
+    rows = described.filter("n = -1").select("shingles", "counts").mapInArrow(run, "shingle long, n int")
     kept = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8.0, s.frequent * total)).select("shingle")
     return np.sort(kept.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
