@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import fnmatch
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str]
     """(path, text) of files below root by relative path: any include, no exclude, no skipped or hidden folder; each file once."""
     base = root.rstrip("/") + "/"
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(base)
-    rows = files.select(F.regexp_replace(F.substring_index("path", base.split(":")[-1], -1), "^/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.select(F.regexp_replace(F.substring_index("path", urlparse(base).path, -1), "^/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
     return selected(rows, include, exclude)
 
 
