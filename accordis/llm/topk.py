@@ -29,7 +29,8 @@ from .common import materialize
 
 LEVELS = (1, 4, 16)
 BLOCK = 8192
-ROWS = 2048
+#: Vectors and queries that meet at once: memory for that many pairs, a few times over.
+VECTORS, QUERIES = 1024, 256
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -48,13 +49,9 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return stats, stats * np.concatenate((lengths, lengths))
 
 
-def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of row pairs."""
-    if not q.size:
-        return np.zeros(len(q), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
-        return np.einsum("ij,ij->i", q.astype(np.float64), x.astype(np.float64)).astype(np.int64)
-    return (q * x).sum(axis=1)
+def reaches(bound: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether a bound, with room for rounding, isn't below the bar."""
+    return bound + np.abs(bound) * 1e-9 + 1e-3 >= least
 
 
 class Searcher:
@@ -62,38 +59,49 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.ids, self.q, self.k = ids, queries, k
-        self.levels = [statistics(queries.astype(np.float64), s)[1] for s in LEVELS if s <= max(1, queries.shape[1])]
+        self.wide = queries.astype(np.float64)
+        self.largest = float(np.abs(self.wide).max()) if queries.size else 0.0
+        self.levels = [(s, statistics(self.wide, s)[1]) for s in LEVELS if s <= max(1, queries.shape[1])]
         self.rows = np.zeros((0, 3), np.int64)  # query number, vec_id, score
         self.least = np.full(len(ids), -np.inf)  # scores below these can't count
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        if not len(ids):
-            return
+        order = np.arange(len(ids))
         if not len(self.rows):  # the longest vectors first: they raise the bar
             order = np.argsort(-(x.astype(np.float64) ** 2).sum(axis=1), kind="stable")
-            head, rest = order[: 8 * self.k], order[8 * self.k :]
-            if len(rest):
-                self.look(ids[head], x[head])
-                ids, x = ids[rest], x[rest]
-        self.look(ids, x)
+            self.look(ids[order[: 8 * self.k]], x[order[: 8 * self.k]])
+            order = order[8 * self.k :]
+        for a in range(0, len(order), VECTORS):
+            self.look(ids[order[a : a + VECTORS]], x[order[a : a + VECTORS]])
 
     def look(self, ids: np.ndarray, x: np.ndarray) -> None:
-        asked = np.repeat(np.arange(len(self.ids)), len(ids))
-        met = np.tile(np.arange(len(ids)), len(self.ids))
-        wide = True
-        for segments, of_query in zip(LEVELS, self.levels, strict=False):
-            stats = statistics(x.astype(np.float64), segments)[0]
-            if wide:
-                bound = (of_query @ stats.T).ravel()
+        """One block of vectors against all queries, some queries at a time."""
+        wide = x.astype(np.float64)
+        exact = x.size == 0 or self.largest * float(np.abs(wide).max()) * x.shape[1] < 2**53
+        stats = [statistics(wide, s)[0] for s, _ in self.levels]
+        found = [self.rows]
+        for a in range(0, len(self.ids) if len(ids) else 0, QUERIES):
+            part = slice(a, a + QUERIES)
+            least = self.least[part][:, None]
+            alive = self.ids[part][:, None] != ids[None, :]
+            for (_, of_query), of_vector in zip(self.levels, stats, strict=True):
+                i, j = np.nonzero(alive)
+                if len(i) * 8 > alive.size:  # most are left: all bounds at once
+                    alive &= reaches(of_query[part] @ of_vector.T, least)
+                elif len(i):
+                    alive[i, j] = reaches(np.einsum("ij,ij->i", of_query[part][i], of_vector[j]), least[i, 0])
+            i, j = np.nonzero(alive)
+            if not len(i):
+                continue
+            if exact and len(i) * 8 > alive.size:
+                scores = (self.wide[part] @ wide.T)[i, j].astype(np.int64)
+            elif exact:
+                scores = np.einsum("ij,ij->i", self.wide[part][i], wide[j]).astype(np.int64)
             else:
-                bound = np.einsum("ij,ij->i", of_query[asked], stats[met])
-            keep = bound * (1 + 1e-9 * np.sign(bound)) + 1e-3 >= self.least[asked]
-            asked, met, wide = asked[keep], met[keep], False
-        other = self.ids[asked] != ids[met]
-        asked, met = asked[other], met[other]
-        for a in range(0, len(asked), 500_000):
-            at, to = asked[a : a + 500_000], met[a : a + 500_000]
-            self.rows = np.concatenate((self.rows, np.stack((at, ids[to], inner(self.q[at], x[to])), 1)))
+                scores = np.concatenate([(self.q[part][i[c : c + 10_000]] * x[j[c : c + 10_000]]).sum(axis=1) for c in range(0, len(i), 10_000)])
+            good = scores >= least[i, 0]
+            found.append(np.stack((i[good] + a, ids[j[good]], scores[good]), 1))
+        self.rows = np.concatenate(found)
         self.trim()
 
     def trim(self) -> None:
@@ -136,10 +144,8 @@ def _block(rows: DataFrame, shared, dim: int, k: int, write: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*shared.value, k)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
-                searcher.add(part.column(0).to_numpy(), x)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            searcher.add(batch.column(0).to_numpy(), x)
         r = searcher.rows
         yield pa.RecordBatch.from_arrays([pa.array(searcher.ids[r[:, 0]]), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2])], names=["query_id", "_of", "vec_id", "score"])
 
