@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import discovery, graphs, histories, reconciliation, scoring, texts, ticketing, windows
+from . import discovery, graphs, histories, reconciliation, reports, scoring, texts, ticketing, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "discovery", "graphs", "histories", "reconciliation", "scoring", "texts", "ticketing", "windows"]
+__all__ = ["QUERIES", "SQL", "discovery", "graphs", "histories", "reconciliation", "reports", "scoring", "texts", "ticketing", "windows"]

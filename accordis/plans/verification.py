@@ -1,0 +1,118 @@
+"""A pipeline of verification strategies: plug-ins, a registry by level, and a fluent builder.
+
+A strategy is three functions from DataFrames to a DataFrame. The pipeline runs those of a level, joins the last score of each
+onto the components, and hands gaps and results to callbacks as DataFrames: nothing is computed until somebody reads them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """challenge: components to items; evaluate: items with answers to (component_id, item_id, team, score); gaps: evaluations to gaps."""
+
+    name: str
+    level: str
+    challenge: Step
+    evaluate: Step
+    gaps: Step
+
+
+class Registry:
+    """Strategies, or anything else, by name; made once when first asked for."""
+
+    def __init__(self) -> None:
+        self._makers: dict[str, Callable[[], Strategy]] = {}
+        self._made: dict[str, Strategy] = {}
+
+    def register(self, name: str, make: Strategy | Callable[[], Strategy]) -> None:
+        self._makers[name] = (lambda: make) if isinstance(make, Strategy) else make
+        self._made.pop(name, None)
+
+    def unregister(self, name: str) -> None:
+        self._makers.pop(name, None)
+        self._made.pop(name, None)
+
+    def get(self, name: str) -> Strategy:
+        if name not in self._makers:
+            raise KeyError(f"no strategy {name}; there are {sorted(self._makers)}")
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def by_level(self, level: str) -> list[Strategy]:
+        return [s for s in map(self.get, self._makers) if s.level == level]
+
+    def names(self) -> list[str]:
+        return list(self._makers)
+
+
+def first_available(sources: list[Callable[[], DataFrame | None]], empty: DataFrame) -> DataFrame:
+    """The first source that gives a table; one that fails or gives none is passed over; else the empty table."""
+    for source in sources:
+        try:
+            found = source()
+        except Exception:  # noqa: BLE001  a source that can't be read is what the chain is for
+            continue
+        if found is not None:
+            return found
+    return empty
+
+
+@dataclass(frozen=True)
+class Pipeline:
+    strategies: tuple[Strategy, ...]
+    threshold: float = 0.85
+    on_gaps: tuple[Callable[[str, DataFrame], None], ...] = ()
+
+    def run(self, components: DataFrame, answer: Callable[[Strategy, DataFrame], DataFrame]) -> DataFrame:
+        """component_id, the mean score of each strategy (0 without items), overall and passed."""
+        out = components.select("component_id").distinct()
+        for s in self.strategies:
+            rated = s.evaluate(answer(s, s.challenge(components)))
+            for tell in self.on_gaps:
+                tell(s.name, s.gaps(rated))
+            means = rated.groupBy("component_id").agg(F.round(F.avg("score"), 9).alias(s.name))
+            out = out.join(means, "component_id", "left").withColumn(s.name, F.coalesce(s.name, F.lit(0.0)))
+        names = [s.name for s in self.strategies]
+        overall = F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names), 9) if names else F.lit(0.0)
+        return out.withColumn("overall", overall).withColumn("passed", F.col("overall") >= self.threshold)
+
+
+@dataclass
+class Builder:
+    """Collects a pipeline's parts; every method gives the builder."""
+
+    registry: Registry
+    names: list[str] = field(default_factory=list)
+    threshold: float = 0.85
+    callbacks: list = field(default_factory=list)
+
+    def with_strategies(self, *names: str) -> Builder:
+        self.names += names
+        return self
+
+    def with_all(self) -> Builder:
+        self.names = self.registry.names()
+        return self
+
+    def with_threshold(self, threshold: float) -> Builder:
+        self.threshold = threshold
+        return self
+
+    def on_gaps(self, tell: Callable[[str, DataFrame], None]) -> Builder:
+        self.callbacks.append(tell)
+        return self
+
+    def build(self) -> Pipeline:
+        if not self.names:
+            raise ValueError("a pipeline needs a strategy")
+        return Pipeline(tuple(map(self.registry.get, self.names)), self.threshold, tuple(self.callbacks))
