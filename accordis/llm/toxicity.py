@@ -7,7 +7,8 @@ threshold, and the mean. A logistic fit on labelled rows that made no dictionary
 
 Training reads a bounded sample of labelled rows: at most `per_class` rows of each class, lowest hash of doc_id first, and
 of these the texts of up to `max_bytes` bytes. Windows for the toxic dictionary are those words of toxic rows that hold a
-character 5-gram which toxic rows have `contrast` times as often as ordinary rows do. Scoring reads whole texts.
+character 5-gram that stands out in toxic rows: the log-likelihood of its count against what ordinary rows suggest is at
+least `contrast`. Scoring reads whole texts.
 
 Defined results: null and empty texts have no windows and get the fit's score for none; a null doc_id is never held out
 and never labelled; repeated rows are scored each; other columns pass through `score`; labels that are null are left out, and where rows
@@ -40,9 +41,10 @@ class Settings:
     window_words: int = 16
     per_class: int = 3000
     max_bytes: int = 32_768
-    contrast: float = 8.0
+    contrast: float = 14.0
     ordinary_bytes: int = 4096
-    toxic_bytes: int = 2048
+    #: Sizes of the toxic part that are tried; the one that calibrates best stays.
+    toxic_bytes: tuple[int, ...] = (128, 256, 512, 768, 1024, 1536)
     level: int = 3
 
 
@@ -127,25 +129,34 @@ def train(toxic: list[str], ordinary: list[str], priors: tuple[float, float], se
         return Model(settings=settings)
     bad, good = [_fold(t) for t in toxic[::2]], [_fold(t) for t in ordinary[::2]]
     in_bad, in_good = (Counter(g for words in texts for g in set().union(*map(_grams, set(words)))) for texts in (bad, good))
-    ratio, least = settings.contrast * len(bad) / len(good), max(3, len(bad) // 100)
-    telling = {g for g, n in in_bad.items() if n >= least and n > ratio * (in_good[g] + 1)}
+    ratio = len(bad) / len(good)
+    telling = {g for g, n in in_bad.items() if n > (e := ratio * (in_good[g] + 0.5)) and n * math.log(n / e) - (n - e) >= settings.contrast}
     marked = Counter(w for words in bad for w in words if not telling.isdisjoint(_grams(w)))
-    kept = [w for w, n in sorted(marked.items(), key=lambda x: (x[1], x[0])) if n >= max(2, least // 2)]
+    kept = [w for w, _ in sorted(marked.items(), key=lambda x: (x[1], x[0]))]
     samples = [w for words in good for w in _joined(words, 8) if len(w) >= 8]
     try:
         common = zstandard.train_dictionary(settings.ordinary_bytes + 400, samples[:100_000], k=16, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the text itself serves
         common = b"".join(samples)
-    model = Model(common[-settings.ordinary_bytes :], (b" " + b"  ".join(kept) + b" ")[-settings.toxic_bytes :], settings=settings)
-    scorer = Scorer(model)
-    saved = [(scorer.savings(_joined(_fold(t), settings.window_words)), y) for texts, y in ((toxic[1::2], 1.0), (ordinary[1::2], 0.0)) for t in texts]
-    ordinary_windows = np.concatenate([s for s, y in saved if not y] or [np.zeros(1)])
-    model.threshold = float(max(2.0, np.quantile(ordinary_windows, 0.999))) if len(ordinary_windows) else 2.0
-    x = np.array([scorer.features(s) + [1.0] for s, _ in saved])
-    y = np.array([y for _, y in saved])
+    marks, ordinary_text = b" " + b"  ".join(kept) + b" ", common[-settings.ordinary_bytes :]
+    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
     stands_for = np.where(y == 1, priors[0] / max(1, y.sum()), priors[1] / max(1, (1 - y).sum()))
-    model.weights = fit_logistic(x, y, stands_for / stands_for.mean())
-    return model
+    stands_for /= stands_for.mean()
+    texts = [_joined(_fold(t), settings.window_words) for t in (*toxic[1::2], *ordinary[1::2])]
+    tried = [calibrated(Model(ordinary_text, marks[-size:], settings=settings), texts, y, stands_for) for size in settings.toxic_bytes]
+    return min(tried, key=lambda m: m[0])[1]
+
+
+def calibrated(model: Model, texts: list[list[bytes]], y: np.ndarray, stands_for: np.ndarray) -> tuple[float, Model]:
+    """The weighted log loss of a model with its threshold and weights fitted to texts, and the model."""
+    scorer = Scorer(model)
+    saved = [scorer.savings(t) for t in texts]
+    plain = np.concatenate([np.zeros(1), *(s for s, bad in zip(saved, y, strict=True) if not bad)])
+    model.threshold = float(max(2.0, np.quantile(plain, 0.999)))
+    x = np.array([scorer.features(s) + [1.0] for s in saved])
+    model.weights = fit_logistic(x, y, stands_for)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(stands_for * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()), model
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
