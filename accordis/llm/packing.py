@@ -34,7 +34,7 @@ from .common import materialize
 
 SIZES = (4096, 2048, 1024, 512)
 END = 2
-#: Words remembered by a task at most.
+#: Words remembered by a task at most, and words of a text looked up at once.
 CACHE = 500_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("step_id", pa.int64()), ("tail", pa.binary())])
 SPARK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_id long, tail binary"
@@ -67,7 +67,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         letters = byte_letters()
         self.table = [letters[b] for b in range(256)]
-        self.plain, self.cleared = True, False
+        self.plain = True
         self.clear()
         if self.encode(self.SAMPLE).tolist() != self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids:
             self.plain = False
@@ -87,9 +87,6 @@ class WordIds:
         return ids
 
     def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.clear()
-            self.cleared = True
         find, split, piece, known = PLAIN.fullmatch, PIECE.findall, self.pieces.get, self.known
         flat: list[int] = []
         sizes: list[int] = []
@@ -123,12 +120,17 @@ class WordIds:
 
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        parts = [self.look_up(words[i : i + CACHE]) for i in range(0, len(words), CACHE)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Ids of at most CACHE words. If the table would outgrow CACHE it is emptied first, and all of these words are learned."""
         new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.clear()
+            new = set(words).difference(self.known)
         if new:
             self.learn(new)
-            if self.cleared:  # then known words are gone, too
-                self.cleared = False
-                self.learn(set(words).difference(self.known))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))

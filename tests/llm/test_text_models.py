@@ -58,6 +58,16 @@ def test_word_table_gives_the_tokenizers_ids():
         assert table.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_word_table_takes_texts_of_more_words_than_it_remembers(monkeypatch):
+    t = tokenizers.Tokenizer.from_file(vocabulary)
+    monkeypatch.setattr(packing, "CACHE", 50)
+    table = packing.WordIds(vocabulary)
+    texts = ["a few words", " ".join(f"w{i}x\u00e9" for i in range(1000)), "a few w3x\u00e9 words", " ".join(f"v{i}" for i in range(50)), "\u4e2d w\u20ac " * 120]
+    for text in texts:
+        assert table.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(table.known) <= 51
+
+
 def labelled(spark):
     rng = random.Random(9)
     plain = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
