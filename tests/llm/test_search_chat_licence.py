@@ -98,3 +98,18 @@ def test_licence_lines(spark):
     found = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in got.collect()}
     assert found == {(0, 1): ("mit", True), (1, 1): ("apache", True), (2, 1): ("gpl", True), (3, 1): ("cc-by-nc", True), (4, 1): ("unknown", False), (None, 0): ("mit", True), (12, 0): ("mit", True), (12, 1): ("apache", True)}
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_licence_lines_without_cue_words(spark, monkeypatch):
+    """Notices without a cue word and in other languages; bounds drop no line that scoring every line names."""
+    lines = {0: ("gpl", "Distributed under the GNU General Public v3"), 1: ("gpl", "Published under GPL-3.0"), 2: ("cc-by", "CC BY 4.0"), 3: ("apache", "Apache-2.0"), 4: ("gpl", "Licensing: GPLv3"), 5: ("gpl", "Lizenziert unter der GNU General Public License, Version 3"), 6: ("mit", "Licencia MIT"), 7: ("mit", "Lizenz: MIT"), 8: ("mit", 'The software is provided "as is", without warranty of any kind.')}
+    plain = ["Er kam mit dem Zug nach Hause.", "All of this was under the table.", "The general public came by train.", "We use version 4.0 of this work."]
+    rows = [(i, f"some words before\n{t}\nsome words after") for i, (_, t) in lines.items()] + [(100 + i, t) for i, t in enumerate(plain * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = license.fit(docs.filter("doc_id >= 100"))
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).collect()}
+    assert {r for r in got if r[0] < 100} == {(i, 1, f) for i, (f, _) in lines.items()}
+    assert not [r for r in got if r[0] >= 100]
+    monkeypatch.setattr(license.Model, "least", lambda self: -1e9)
+    model.strong = None
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).collect()} == got
