@@ -246,6 +246,12 @@ def _(t):
     return t.damaged.filter("id % 7 NOT IN (3, 6)").select("id", j.repair(F.col("text")).alias("text"))
 
 
+@query("j2_repair_all", """SELECT id, CASE id % 7 WHEN 0 THEN text WHEN 1 THEN replace(text, '''', '"') WHEN 2 THEN replace(text, ',}', '}') WHEN 4 THEN replace(text, 'True', 'true') WHEN 5 THEN replace(text, 'NaN', 'null') ELSE text END AS text FROM {damaged} d""")
+def _(t):
+    """Every row of the relation; fences and prose stay, as j1 and j4 take them off."""
+    return t.damaged.select("id", j.repair(F.col("text")).alias("text"))
+
+
 @query("j3_balance", "SELECT id, CASE WHEN id % 7 = 0 THEN concat(text, '}') ELSE text END AS text FROM {damaged} d")
 def _(t):
     return t.damaged.select("id", j.balance(F.col("text")).alias("text"))

@@ -26,3 +26,10 @@ def test_impact_of_every_node(spark):
         want.add((source, len(seen), depth))
     got = {tuple(r) for r in plans.QUERIES["gr4_transitive_impact_all"](spark, SF).collect()}
     assert got == want and sum(r[0].startswith("r") for r in got) == 5
+
+
+def test_repair_of_every_text(spark):
+    damaged = {r["id"]: r["text"] for r in Tables(spark, SF).damaged.collect()}
+    got = {r["id"]: r["text"] for r in plans.QUERIES["j2_repair_all"](spark, SF).collect()}
+    assert got.keys() == damaged.keys()
+    assert all(got[i] == damaged[i] for i in got if i % 7 in (3, 6))
