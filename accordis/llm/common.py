@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +53,10 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return table
 
 
-def release(table: DataFrame) -> None:
-    """Delete what materialize() wrote for a table that nothing lazy reads any more."""
-    _delete(table._written_at)
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for tables that nothing lazy reads any more."""
+    for table in tables:
+        _delete(table._written_at)
 
 
 def _delete(path: str) -> None:
@@ -73,6 +77,22 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives free memory back: workers serve many tasks, and would keep the most that any took."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return then
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows, else df: then the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

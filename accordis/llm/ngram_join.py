@@ -8,10 +8,12 @@ a hashed parity bitmap whose width follows its size band; wide ones fold to the
 differ bound the overlap from above: overlap <= (|A| + |B| - bits) / 2. Pairs that the bound leaves are checked exactly by
 intersecting the sorted arrays.
 
-Large groups: a first pass checks for each set one partner only, the smallest key that it meets in any tile, and the sets
-next to it in tiles of more than `tile` sets. Links join sets to components. A second pass takes all pairs of a tile whose
-sets lie in different components: larger tiles are split by size band and block, block pairs compare bitmaps in memory, and
-pairs that pass are checked. So the components are exact, while pairs inside a component are never listed. Partners of one set are spread over salted tiles of at most `tile` each.
+Large groups: a first pass checks for each set one partner only, the one that it meets in most tiles among the smallest keys
+of these, and the sets next to it in tiles of more than `tile` sets. Links join sets to components. A second pass takes the
+pairs of a tile whose sets lie in different components, after a row a set and tile has got its component: tiles of at most
+`tile` sets list theirs, larger ones are split by size band and block, block pairs compare bitmaps in memory, and pairs that
+pass are checked. So the components are exact, while pairs inside a component are never listed. Partners of one set are spread
+over salted tiles of at most `tile` each.
 
 Defined results: texts without words have no shingles and link with nothing; a text of fewer than k words has one
 shingle; null is an empty text; repeated rows are copies; a null doc_id never is a component's id unless it has no other;
@@ -25,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, small
+from .common import materialize, release, small, trimmed
 from .graph import components
 from .textnp import mix64, shingle_sets
 
@@ -43,9 +46,9 @@ class Settings:
     tile: int = 64
     block: int = 1024
     #: Shingles looked through at once for frequent ones; sets remembered by a task to leave out copies; rows of a tile task.
-    sample: int = 4_000_000
-    remembered: int = 1_000_000
-    task_rows: int = 1_500_000
+    sample: int = 1_000_000
+    remembered: int = 200_000
+    task_rows: int = 500_000
     #: Ids up to this many are broadcast, more are joined by a shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -124,7 +127,7 @@ def describe(docs: DataFrame, s: Settings) -> DataFrame:
         if held:
             yield out([None], [-1], [None], [None], [found()])
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, bits binary, shingles binary, counts binary"))
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n long, key long, bits binary, shingles binary, counts binary"))
 
 
 def frequent_shingles(described: DataFrame, total: int, s: Settings) -> np.ndarray:
@@ -135,14 +138,13 @@ def frequent_shingles(described: DataFrame, total: int, s: Settings) -> np.ndarr
             for values, counts in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(values.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int32))], names=["shingle", "n"])
 
-    rows = described.filter("n = -1").select("shingles", "counts").mapInArrow(run, "shingle long, n int")
+    rows = described.filter("n = -1").select("shingles", "counts").mapInArrow(trimmed(run), "shingle long, n int")
     kept = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8.0, s.frequent * total)).select("shingle")
     return np.sort(kept.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
-    """(shingle, key, n) for the prefix of each set; a task leaves out sets that it has seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def prefixes(docs: DataFrame, shared: Broadcast, s: Settings) -> DataFrame:
+    """(shingle, key, n) for the prefix of each set, the broadcast frequent shingles last; a task leaves out sets that it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
@@ -166,54 +168,77 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
                 sizes = np.array([len(p) for p in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes))], names=["shingle", "key", "n"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, key long, n int")
+    return docs.select("text").mapInArrow(trimmed(run), "shingle long, key long, n int")
 
 
 def tiles(rows: DataFrame, tasks: int, s: Settings) -> DataFrame:
-    """Pairs and large tiles, from (shingle, key, n).
+    """First partners and tiles, from (shingle, key, n); sets without a partner of fitting size stay out.
 
-    kind 0: a pair (u, v) of a tile of at most `tile` sets. kind 1: neighbours in size in a larger tile. kind 2: a member v
-    of a larger tile, u being the shingle.
+    kind 0: a set v, the smallest key u that it meets in a tile of at most `tile` sets, if that is below v, and in how many of a task's tiles it does.
+    kind 1: neighbours in size in a larger tile. kind 2: a member v of a larger tile, u being the shingle. kind 3: the same
+    of a tile of at most `tile` sets; of those that hold the same sets, a task gives one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
+        shingle, key, n, place, inside = _dealt(batches)
+        if not len(key):
             return
-        shingle, key, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((key, n, shingle))
-        shingle, key, n = shingle[order], key[order], n[order]
-        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])))
-        shingle, key, n = shingle[new], key[new], n[new]
-        starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
-        sizes = np.diff(np.append(starts, len(shingle)))
-        # pairs of small tiles, by distance within the tile
-        inside = np.repeat(sizes, sizes)
-        place = np.arange(len(shingle)) - np.repeat(starts, sizes)
-        pairs = []
-        for step in range(1, int(min(s.tile, sizes.max()))):
-            a = np.flatnonzero((inside <= s.tile) & (place + step < inside))
-            a = a[can_link(n[a], n[a + step], s)]
-            pairs.append(np.stack((np.minimum(key[a], key[a + step]), np.maximum(key[a], key[a + step])), 1))
-            if sum(map(len, pairs)) > 2_000_000:
-                pairs = [np.unique(np.concatenate(pairs), axis=0)]
-                if len(pairs[0]) > 1_000_000:
-                    yield _pairs(pairs.pop(), 0, None)
-        if pairs:
-            yield _pairs(np.unique(np.concatenate(pairs), axis=0), 0, None)
+        low, meets = key.copy(), np.zeros(len(key), bool)
+        for a, b in _within(n, place, inside, s):
+            low[a], low[b] = np.minimum(low[a], key[b]), np.minimum(low[b], key[a])
+            meets[a] = meets[b] = True
+        at = np.flatnonzero(low < key)
+        near, times = np.unique(np.stack((low[at], key[at]), 1), axis=0, return_counts=True)
+        yield _rows_of(0, near[:, 0], near[:, 1], times)
+        at = np.flatnonzero(meets)
+        if len(at):
+            begins = np.flatnonzero(np.concatenate(([True], shingle[at][1:] != shingle[at][:-1])))
+            sizes = np.diff(np.append(begins, len(at)))
+            held = np.add.reduceat(mix64(key[at].view(np.uint64)), begins) + mix64(sizes.astype(np.uint64))
+            one = np.zeros(len(begins), bool)
+            one[np.unique(held, return_index=True)[1]] = True
+            at = at[np.repeat(one, sizes)]
+            yield _rows_of(3, shingle[at], key[at], n[at])
         a = np.flatnonzero((inside > s.tile) & (place + 1 < inside))
         if len(a):
-            ok = a[can_link(n[a], n[a + 1], s)]
-            near = np.stack((np.minimum(key[ok], key[ok + 1]), np.maximum(key[ok], key[ok + 1])), 1)
-            yield _pairs(np.unique(near, axis=0), 1, None)
+            a = a[can_link(n[a], n[a + 1], s)]
+            near = np.unique(np.stack((np.minimum(key[a], key[a + 1]), np.maximum(key[a], key[a + 1])), 1), axis=0)
+            yield _rows_of(1, near[:, 0], near[:, 1], np.zeros(len(near)))
             big = np.flatnonzero(inside > s.tile)
-            yield _pairs(np.stack((shingle[big], key[big]), 1), 2, n[big])
-
-    return rows.repartition(tasks, "shingle").mapInArrow(run, "kind int, u long, v long, n int")
+            yield _rows_of(2, shingle[big], key[big], n[big])
+
+    return rows.repartition(tasks, "shingle").mapInArrow(trimmed(run), "kind int, u long, v long, n int")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], columns: int = 3) -> list[np.ndarray]:
+    """(shingle, key, n, ...) of a task, distinct and in the order (shingle, n, key), then each row's place in its tile and the tile's size."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not got:
+        return [np.zeros(0, np.int64)] * (columns + 2)
+    held = [np.concatenate(x) for x in zip(*got, strict=True)]
+    del got
+    order = np.lexsort((held[1], held[2], held[0]))
+    held = [x[order] for x in held]
+    new = np.concatenate(([True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])))
+    held = [x[new] for x in held]
+    starts = np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))
+    sizes = np.diff(np.append(starts, len(held[0])))
+    return [*held, np.arange(len(held[0])) - np.repeat(starts, sizes), np.repeat(sizes, sizes)]
+
+
+def _within(n: np.ndarray, place: np.ndarray, inside: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of tiles of at most `tile` sets that fit in size, by their distance within the tile."""
+    a = np.flatnonzero((inside > 1) & (inside <= s.tile))
+    for step in range(1, s.tile):
+        a = a[place[a] + step < inside[a]]
+        if not len(a):
+            return
+        fits = a[can_link(n[a], n[a + step], s)]
+        yield fits, fits + step
 
 
-def _pairs(pairs: np.ndarray, kind: int, n: np.ndarray | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), np.int32) if n is None else n.astype(np.int32))], names=["kind", "u", "v", "n"])
+def _rows_of(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v), pa.array(n.astype(np.int32))], names=["kind", "u", "v", "n"])
 
 
 def bitmaps(described: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
@@ -234,7 +259,7 @@ def arrays(docs: DataFrame, described: DataFrame, keys: DataFrame, s: Settings)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "n", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(spare.select("_id").distinct(), s.broadcast_ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    made = texts.select("text").mapInArrow(run, "key long, n int, shingles binary").join(small(spare.select("key"), s.broadcast_ids), "key", "left_semi")
+    made = texts.select("text").mapInArrow(trimmed(run), "key long, n int, shingles binary").join(small(spare.select("key"), s.broadcast_ids), "key", "left_semi")
     return materialize(made.dropDuplicates(["key"]))
 
 
@@ -257,7 +282,7 @@ def check(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes,
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     dealt = left.unionAll(right).repartition("u", "salt").sortWithinPartitions(F.col("u"), F.col("salt"), F.col("v").asc_nulls_first())
-    return materialize(dealt.mapInArrow(run, "u long, v long"))
+    return materialize(dealt.mapInArrow(trimmed(run), "u long, v long"))
 
 
 def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
@@ -275,15 +300,29 @@ def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFra
     keys = passing.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     sets = arrays(docs, described, materialize(keys), s)
     found = check(passing, sets, "shingles", exact, s)
-    release(sets)
+    release(sets, passing)
     return found
 
 
-def across_small(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of small tiles whose sets lie in different components."""
-    u_root, v_root = roots.select(F.col("node").alias("u"), F.col("root").alias("_ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("_rv"))
-    apart = F.coalesce("_ru", "u") != F.coalesce("_rv", "v")
-    return found.filter("kind = 0").select("u", "v").distinct().join(u_root, "u", "left").join(v_root, "v", "left").filter(apart).select("u", "v")
+def across_small(found: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of sets of small tiles that lie in different components. Components are told apart a row a set and tile, before any pair is made."""
+    members = found.filter("kind = 3").select(F.col("u").alias("shingle"), F.col("v").alias("key"), "n")
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // s.task_rows + 1)
+    members = members.join(small(roots, s.broadcast_ids), F.col("key") == F.col("node"), "left").select("shingle", "key", "n", F.coalesce("root", "key").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, key, n, root, place, inside = _dealt(batches, 4)
+        pairs = np.zeros((0, 2), np.int64)
+        for a, b in _within(n, place, inside, s):
+            apart = root[a] != root[b]
+            u, v = key[a[apart]], key[b[apart]]
+            pairs = np.unique(np.concatenate((pairs, np.stack((np.minimum(u, v), np.maximum(u, v)), 1))), axis=0) if len(u) else pairs
+            if len(pairs) > s.task_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                pairs = pairs[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return members.repartition(tasks, "shingle").mapInArrow(trimmed(run), "u long, v long")
 
 
 def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
@@ -347,7 +386,7 @@ def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Setting
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     keys = ["shingle", "band", "cross", "i", "j"]
-    return placed.select(*keys, "side", "key", "n", "root", "bits", "all").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return placed.select(*keys, "side", "key", "n", "root", "bits", "all").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "u long, v long")
 
 
 def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -355,24 +394,27 @@ def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Dat
     docs = docs.select("doc_id", F.col("text"))
     described = describe(docs, s)
     total = described.filter("n > 0").agg(F.sum("n")).first()[0] or 0
-    frequent = frequent_shingles(described, total, s)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(described, total, s))
     share = (s.den - s.num) / s.den
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * share / s.task_rows) + 1)
     found = materialize(tiles(prefixes(docs, frequent, s), tasks, s))
-    pairs = found.filter("kind < 2").select("u", "v")
-    both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    first = both.groupBy("u").agg(F.min("v").alias("v")).filter("v < u").select(F.col("v").alias("u"), F.col("u").alias("v"))
-    first = materialize(first.unionAll(found.filter("kind = 1").select("u", "v")).distinct())
-    keys = materialize(both.select(F.col("u").alias("key")).unionAll(found.filter("kind = 2").select(F.col("v").alias("key"))).distinct())
+    frequent.destroy()
+    # of a set's partners the one that it meets in most tiles: it is the likeliest to link
+    met = found.filter("kind < 2").groupBy("u", "v").agg(F.sum("n").alias("n")).groupBy("v").agg(F.max_by("u", F.struct("n", F.bitwise_not("u"))).alias("u"))
+    first = materialize(met.select("u", "v").unionAll(found.filter("kind = 1").select("u", "v")).distinct())
+    keys = materialize(found.filter("kind >= 2").select(F.col("v").alias("key")).distinct())
     bits = bitmaps(described, keys, s)
     linked_first = links(first, docs, described, bits, s)
     roots = components(linked_first)
-    rest = across_small(found, roots).unionAll(across_large(found, roots, bits, s)).distinct()
+    rest = across_small(found, roots, s).unionAll(across_large(found, roots, bits, s)).distinct()
     rest = materialize(rest.join(first, ["u", "v"], "left_anti"))
+    release(found)
     if not rest.isEmpty():
         more = links(rest, docs, described, bits, s)
         if not more.isEmpty():
+            release(roots)
             roots = components(linked_first.unionAll(more))
+    release(first, keys, bits, rest)
     return described.filter("n >= 0").select("doc_id", "n", "key"), roots
 
 
@@ -402,7 +444,7 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     packed = docs.select(F.struct("*").alias("_row"), "text")
     out = T.StructType([packed.schema["_row"], T.StructField("_set", T.LongType())])
-    joined = packed.mapInArrow(keyed, out).join(small(ruled, 200_000), F.col("_set") == F.col("_key"), "left")
+    joined = packed.mapInArrow(trimmed(keyed), out).join(small(ruled, 200_000), F.col("_set") == F.col("_key"), "left")
     winner = (F.col("_set") == F.col("_of")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
     kept = joined.filter(F.col("_key").isNull() | winner)
     again = rows.filter("n > 0").join(ruled.filter("_key = _of"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_twice"))
