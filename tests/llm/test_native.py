@@ -118,7 +118,37 @@ def test_dedup_of_nothing(empty):
 
 
 def test_directory_splits_only_full_buckets(spark):
+    """Slots cover all keys, no bucket is overfull, and none could be put together again with its other half."""
     index = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    rows = exact_dedup.directory(index, capacity=100, max_depth=8).collect()
-    assert all(r["load"] <= 100 or r["depth"] == 8 for r in rows)
-    assert sum({(r["depth"], r["bucket"]): r["load"] for r in rows}.values()) == 3000
+    slots, depth = exact_dedup.directory(index, capacity=100)
+    rows = index.withColumn("slot", exact_dedup.leading(F.col("key"), depth)).join(slots, "slot").collect()
+    load = Counter((r["bucket"], r["depth"]) for r in rows)
+    assert len(rows) == 3000 and max(load.values()) <= 100 and len(load) > 30
+    assert all(load[b] + load.get((b[0] ^ (1 << (depth - b[1])), b[1]), 100) > 100 for b in load)
+
+
+def test_directory_doubles_past_one_step(spark):
+    """Keys that share their first 20 bits split all the same, and one key never does."""
+    index = spark.createDataFrame([((i % 2) << 40 | i,) for i in range(64)], "key long")
+    slots, depth = exact_dedup.directory(index, capacity=40)
+    assert depth > 2 * exact_dedup.STEP
+    assert exact_dedup.directory(index.filter("key = 0").unionAll(index.filter("key = 0")), capacity=1)[1] == 0
+
+
+def test_dedup_goes_through_its_directory(docs, monkeypatch):
+    """Without the slot of a bucket its groups are lost."""
+    want = exact_dedup.digest(docs, capacity=8).filter("group_size > 1").count()
+    whole = exact_dedup.directory
+
+    def torn(index, capacity):
+        slots, depth = whole(index, capacity)
+        return slots.filter(F.col("bucket") % 4 == 0), depth
+
+    monkeypatch.setattr(exact_dedup, "directory", torn)
+    assert exact_dedup.digest(docs, capacity=8).filter("group_size > 1").count() < want
+
+
+def test_index_chains_colliding_keys(spark):
+    index = spark.createDataFrame([(1, 5, 3, "a"), (2, 5, 3, "b"), (3, 5, 3, "a"), (4, 9, 3, "c")], "doc_id long, key long, n_bytes int, text_sha256 string")
+    got = {(r["text_sha256"], r["keep_id"], r["group_size"], r["chained"]) for r in exact_dedup.chains(index, *exact_dedup.directory(index)).collect()}
+    assert got == {("a", 3, 2, 2), ("b", 2, 1, 2), ("c", 4, 1, 1)}
