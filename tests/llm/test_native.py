@@ -142,7 +142,7 @@ def test_dedup_goes_through_its_directory(docs, monkeypatch):
 
     def torn(index, capacity):
         slots, depth = whole(index, capacity)
-        return slots.filter(F.col("bucket") % 4 == 0), depth
+        return slots.filter("bucket = 0"), depth
 
     monkeypatch.setattr(exact_dedup, "directory", torn)
     assert exact_dedup.digest(docs, capacity=8).filter("group_size > 1").count() < want
