@@ -2,13 +2,15 @@
 
 A legal conversation is an optional system turn, then user and assistant turns in alternation. Each input turn, in the
 order (turn, role, text), is kept, merged into the turn before it, relabelled, or preceded by an empty turn; dynamic
-programming over the automaton's four states finds the cheapest repair of the whole conversation, ties going to the
-operation named first here. The repaired sequence is rendered turn by turn.
+programming over the automaton's four states finds the cheapest repair of the whole conversation. Of equal repairs, seen from
+the end, the one counts whose last state comes first, and then at each turn the step that comes first: by the operation
+named first here, then by the state before it. The repaired sequence is rendered turn by turn.
 
 A step is a 4 x 4 matrix of costs, and steps combine in the (min, +) semiring, so a conversation may lie across tasks: rows
-are range-partitioned by conversation and order, each task reduces its part of a conversation to one matrix, and only the
-parts of conversations that cross a partition's edge (at most two a partition) are combined on the driver, which fixes the
-states at those edges. No conversation is ever gathered.
+are range-partitioned by conversation and order, and each task reduces its part of a conversation that crosses a partition's
+edge (at most two a partition) to one matrix. From these the driver gets the costs at each part's beginning; with them each
+such part tells from which state it is entered for each state that it is left in, and the driver follows these maps from the
+end. The repair is that of the whole conversation, wherever partitions begin. No conversation is ever gathered.
 
 Output: a row for each input turn and each empty turn: conv_id, turn (of the input turn), part (0 an empty turn put before
 it, 1 the turn itself), role, action, text, rendered. A merged turn's rendered text has no header.
@@ -38,7 +40,7 @@ INFINITE = 1 << 60
 
 
 def steps(role: int | None) -> list[tuple[int, int, int, str, int | None]]:
-    """(from, to, cost, action, role put before) for a turn of a role, best first among equals. Unknown roles are None."""
+    """(from, to, cost, action, role put before) for a turn of a role, the first of equals first. Unknown roles are None."""
     found = []
     for state in range(4):
         for to in (SYSTEM, USER, ASSISTANT):
@@ -50,7 +52,7 @@ def steps(role: int | None) -> list[tuple[int, int, int, str, int | None]]:
                 for between in (USER, ASSISTANT):
                     if state in AFTER[between] and between in AFTER[to]:
                         found.append((state, to, INSERT, "insert", between))
-    return sorted(found, key=lambda s: (s[2], ("keep", "merge", "relabel", "insert").index(s[3])))
+    return sorted(found, key=lambda s: (("keep", "merge", "relabel", "insert").index(s[3]), s[0], s[4] or 0))
 
 
 STEPS = {role: steps(role) for role in (None, SYSTEM, USER, ASSISTANT)}
@@ -70,19 +72,36 @@ def forward(costs: list[int], role: int | None) -> tuple[list[int], list[tuple |
     return after, by
 
 
-def repair(roles: list[int | None], entry: int = START, leave: int | None = None) -> list[tuple]:
-    """The steps of the cheapest repair from a state, to a state if one is given."""
-    costs = [0 if s == entry else INFINITE for s in range(4)]
+def backward(costs: list[int], roles: list[int | None]) -> tuple[list[list[tuple | None]], list[int]]:
+    """The steps that lead to each state, a list for each turn, from the costs of the states before; and the costs after."""
     back = []
     for role in roles:
         costs, by = forward(costs, role)
         back.append(by)
-    state = leave if leave is not None else min(range(4), key=lambda s: (costs[s], s))
+    return back, costs
+
+
+def walk(back: list[list[tuple | None]], state: int) -> tuple[list[tuple], int]:
+    """The steps that end in a state, and the state that they begin in."""
     path = []
     for by in reversed(back):
         path.append(by[state])
         state = by[state][0]
-    return path[::-1]
+    return path[::-1], state
+
+
+def best(costs: list[int]) -> int:
+    """The cheapest state, the first of equal ones."""
+    return min(range(4), key=lambda s: (costs[s], s))
+
+
+AT_START = [0, INFINITE, INFINITE, INFINITE]
+
+
+def repair(roles: list[int | None], costs: list[int] = AT_START, leave: int | None = None) -> list[tuple]:
+    """The steps of the cheapest repair, from costs of the states before it, to a state if one is given."""
+    back, after = backward(costs, roles)
+    return walk(back, best(after) if leave is None else leave)[0]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, list[tuple]]]:
@@ -124,31 +143,44 @@ def repaired(turns: DataFrame) -> DataFrame:
                 flat += costs
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv], pa.int64()), pa.array([flat], pa.list_(pa.int64()))], names=["part", "conv_id", "costs"])
 
-    edges: dict[tuple, tuple[int, int]] = {}
+    entered: dict[tuple, list[int]] = {}  # costs of the states at a part's beginning
+
+    def map_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, conv, held in _parts(batches):
+            back, after = backward(costs_at.value[(part, conv)], [role_of(row[3]) for row in held])
+            befores = [walk(back, s)[1] if after[s] < INFINITE else None for s in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv], pa.int64()), pa.array([befores], pa.list_(pa.int64()))], names=["part", "conv_id", "befores"])
+
+    edges: dict[tuple, tuple[list[int], int]] = {}
     if not crossing.isEmpty():
         long = rows.join(F.broadcast(crossing), F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("part", F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
         sorted_long = long.repartition("part").sortWithinPartitions("part", "conv_id", "turn", "role", "text")
         matrices = sorted_long.mapInArrow(reduce_parts, "part int, conv_id long, costs array<long>").collect()
-        by_conv: dict = {}
+        chains: dict = {}
         for r in sorted(matrices, key=lambda r: r["part"]):
-            by_conv.setdefault(r["conv_id"], []).append((r["part"], r["costs"]))
-        for conv, chain in by_conv.items():
-            costs, back = [0, INFINITE, INFINITE, INFINITE], []
-            for _, m in chain:
-                options = [min((costs[a] + m[4 * a + b], a) for a in range(4)) for b in range(4)]
-                costs, by = [o[0] for o in options], [o[1] for o in options]
-                back.append(by)
-            state = min(range(4), key=lambda s: (costs[s], s))
-            for (part, _), by in zip(reversed(chain), reversed(back), strict=True):
-                edges[(part, conv)] = (by[state], state)
-                state = by[state]
+            chains.setdefault(r["conv_id"], []).append((r["part"], r["costs"]))
+        last: dict = {}
+        for conv, chain in chains.items():
+            costs = AT_START
+            for part, m in chain:
+                entered[(part, conv)] = costs
+                costs = [min(costs[a] + m[4 * a + b] for a in range(4)) for b in range(4)]
+            last[conv] = best(costs)
+        costs_at = turns.sparkSession.sparkContext.broadcast(entered)
+        befores = {(r["part"], r["conv_id"]): r["befores"] for r in sorted_long.mapInArrow(map_parts, "part int, conv_id long, befores array<long>").collect()}
+        costs_at.destroy()
+        for conv, chain in chains.items():
+            state = last[conv]
+            for part, _ in reversed(chain):
+                edges[(part, conv)] = (entered[(part, conv)], state)
+                state = befores[(part, conv)][state]
     shared = turns.sparkSession.sparkContext.broadcast(edges)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for part, conv, held in _parts(batches):
-            entry, leave = shared.value.get((part, conv), (START, None))
-            for row, (_, to, _, action, before) in zip(held, repair([role_of(r[3]) for r in held], entry, leave), strict=True):
+            costs, leave = shared.value.get((part, conv), (AT_START, None))
+            for row, (_, to, _, action, before) in zip(held, repair([role_of(r[3]) for r in held], costs, leave), strict=True):
                 text = row[4] or ""
                 if before is not None:
                     out.append((conv, row[2], 0, NAMES[before], "insert", "", f"<|{NAMES[before]}|>\n\n"))

@@ -86,6 +86,40 @@ def test_a_long_conversation_is_repaired_as_one(spark):
     assert cost_of(rows, sorted(got, key=lambda r: r["turn"])) == sum(s[2] for s in path)
 
 
+def by_force(roles):
+    """The first of all cheapest repairs, in the order that the operator promises, out of every legal one."""
+    found = [((), chat.START, 0)]
+    for role in roles:
+        found = [(path + ((k, s),), s[1], cost + s[2]) for path, state, cost in found for k, s in enumerate(chat.STEPS[role]) if s[0] == state]
+    return [s for _, s in min(found, key=lambda f: (f[2], f[1], [k for k, _ in reversed(f[0])]))[0]]
+
+
+def test_repair_equals_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        roles = [rng.choice([None, chat.SYSTEM, chat.USER, chat.ASSISTANT]) for _ in range(rng.randint(1, 5))]
+        assert chat.repair(roles) == by_force(roles)
+
+
+def test_repair_is_the_same_on_any_partitions(spark):
+    """Whole outputs, of conversations that lie across many partitions or in one, agree, also with the plain repair of each."""
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool"]), "x" * rng.randint(0, 3), 1) for c in range(12) for t in range(60)]
+    rows += [(50, t, rng.choice(["user", "tool"]), "y" * 2000, 1) for t in range(300)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    outs = []
+    for n in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        outs.append(sorted(map(tuple, chat.repaired(spark.createDataFrame(rows, TURNS)).collect())))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert outs[0] == outs[1] == outs[2]
+    for conv in {r[0] for r in rows}:
+        path = chat.repair([chat.role_of(r[2]) for r in rows if r[0] == conv])
+        assert [r[3] for r in outs[0] if r[0] == conv and r[2] == 1] == [chat.NAMES[s[1]] for s in path]
+
+
 def test_chat_of_nothing(spark):
     assert chat.repaired(spark.createDataFrame([], TURNS)).count() == 0
 
