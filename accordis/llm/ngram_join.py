@@ -9,11 +9,12 @@ differ bound the overlap from above: overlap <= (|A| + |B| - bits) / 2. Pairs th
 intersecting the sorted arrays.
 
 Large groups: a first pass checks for each set one partner only, the one that it meets in most tiles among the smallest keys
-of these, and the sets next to it in tiles of more than `tile` sets. Links join sets to components. A second pass takes the
-pairs of a tile whose sets lie in different components, after a row a set and tile has got its component: tiles of at most
-`tile` sets list theirs, larger ones are split by size band and block, block pairs compare bitmaps in memory, and pairs that
-pass are checked. So the components are exact, while pairs inside a component are never listed. Partners of one set are spread
-over salted tiles of at most `tile` each.
+of these, and the sets next to it in tiles of more than `tile` sets. Links join sets to components. In two further passes, the
+sets of a tile that lie in different components compare bitmaps in memory, after a row a set and tile has got its component:
+first each set gives only the likeliest partner that the bound leaves, then tiles that had more give all that are still apart.
+So the components are exact, while pairs inside a component are never listed, and of a group of near copies only a few links a
+set. Larger tiles are split by size band and block, and block pairs compare. Partners of one set are spread over salted tiles
+of at most `tile` each.
 
 Defined results: texts without words have no shingles and link with nothing; a text of fewer than k words has one
 shingle; null is an empty text; repeated rows are copies; a null doc_id never is a component's id unless it has no other;
@@ -49,6 +50,7 @@ class Settings:
     sample: int = 1_000_000
     remembered: int = 200_000
     task_rows: int = 500_000
+    tile_rows: int = 100_000
     #: Ids up to this many are broadcast, more are joined by a shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -285,8 +287,8 @@ def check(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes,
     return materialize(dealt.mapInArrow(trimmed(run), "u long, v long"))
 
 
-def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
-    """The candidate pairs that link: the bitmaps' bound first, then the exact intersection of what it leaves."""
+def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFrame, s: Settings, bounded: bool = False) -> DataFrame:
+    """The candidate pairs that link: the bitmaps' bound first, unless they passed it, then the exact intersection of what it leaves."""
 
     def bound(a: bytes, na: int, b: bytes, nb: int) -> bool:
         return linked((na + nb - differing(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8))) // 2, na, nb, s)
@@ -296,47 +298,135 @@ def links(pairs: DataFrame, docs: DataFrame, described: DataFrame, bits: DataFra
         at = np.minimum(np.searchsorted(x, y), na - 1)
         return linked(int((x[at] == y).sum()), na, nb, s)
 
-    passing = check(pairs, bits, "bits", bound, s)
+    passing = pairs if bounded else check(pairs, bits, "bits", bound, s)
     keys = passing.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     sets = arrays(docs, described, materialize(keys), s)
     found = check(passing, sets, "shingles", exact, s)
-    release(sets, passing)
+    release(sets)
     return found
 
 
-def across_small(found: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of sets of small tiles that lie in different components. Components are told apart a row a set and tile, before any pair is made."""
-    members = found.filter("kind = 3").select(F.col("u").alias("shingle"), F.col("v").alias("key"), "n")
-    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // s.task_rows + 1)
-    members = members.join(small(roots, s.broadcast_ids), F.col("key") == F.col("node"), "left").select("shingle", "key", "n", F.coalesce("root", "key").alias("root"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, key, n, root, place, inside = _dealt(batches, 4)
-        pairs = np.zeros((0, 2), np.int64)
-        for a, b in _within(n, place, inside, s):
-            apart = root[a] != root[b]
-            u, v = key[a[apart]], key[b[apart]]
-            pairs = np.unique(np.concatenate((pairs, np.stack((np.minimum(u, v), np.maximum(u, v)), 1))), axis=0) if len(u) else pairs
-            if len(pairs) > s.task_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-                pairs = pairs[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    return members.repartition(tasks, "shingle").mapInArrow(trimmed(run), "u long, v long")
+class Bitmaps:
+    """The bitmaps of some sets as matrices, by width; those of twice a width also stand folded to it."""
+
+    def __init__(self, bits: list[bytes], n: np.ndarray, s: Settings) -> None:
+        self.n, self.s = n, s
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.place, self.rows = {}, {}
+        above = None
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            own = np.flatnonzero(self.width == w)
+            matrix = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), w // 8)
+            place = np.zeros(len(bits), np.int32)
+            place[own] = np.arange(len(own))
+            rows = matrix
+            if above and above[0] == 2 * w:
+                place[above[1]] = len(own) + np.arange(len(above[1]))
+                rows = np.concatenate((matrix, above[2][:, : w // 8] ^ above[2][:, w // 8 :]))
+            self.place[w], self.rows[w] = place, rows
+            above = (w, own, matrix)
+
+    def likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The highest similarity that the bitmaps allow, -1 where that is too low. Sizes fit, so widths are equal or one is twice the other."""
+        out = np.full(len(a), -1.0)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            at, place, rows = np.flatnonzero(width == w), self.place[w], self.rows[w]
+            for c in range(0, len(at), max(1, 4_000_000 // w)):
+                i = at[c : c + max(1, 4_000_000 // w)]
+                x, y = a[i], b[i]
+                differ = np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(axis=1, dtype=np.int64)
+                both = self.n[x] + self.n[y]
+                overlap = (both - differ) // 2
+                out[i] = np.where(self.s.den * overlap >= self.s.num * (both - overlap), overlap / np.maximum(1, both - overlap), -1.0)
+        return out
+
+
+def _found(u: np.ndarray, v: np.ndarray, open_tiles: np.ndarray) -> pa.RecordBatch:
+    """Pairs, and tiles that have more of them than were given."""
+    pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
+    blank = [None] * len(open_tiles)
+    return pa.RecordBatch.from_arrays([pa.array([*pairs[:, 0].tolist(), *blank], pa.int64()), pa.array([*pairs[:, 1].tolist(), *blank], pa.int64()), pa.array([None] * len(pairs) + open_tiles.tolist(), pa.int64())], names=["u", "v", "tile"])
+
+
+class Likeliest:
+    """For each of some sets the likeliest partner among pairs that come bit by bit."""
+
+    def __init__(self, n: int) -> None:
+        self.best, self.mate, self.pairs = np.full(n, -1.0), np.full(n, -1), 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> None:
+        """Pairs of rows; in one call a row comes first of a pair once at most, and second once at most."""
+        self.pairs += len(a)
+        for x, y in ((a, b), (b, a)):
+            better = likeness > self.best[x]
+            self.best[x[better]], self.mate[x[better]] = likeness[better], y[better]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a row and its mate, the lower row first."""
+        x = np.flatnonzero(self.mate >= 0)
+        pairs = np.unique(np.stack((np.minimum(x, self.mate[x]), np.maximum(x, self.mate[x])), 1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+
+def across(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings, only: DataFrame | None = None) -> DataFrame:
+    """(u, v, tile): pairs of a tile's sets that lie in different components and pass the bitmaps' bound.
+
+    Without `only`, each set gives its likeliest partner in the tile, and tiles that hold other pairs as well are listed
+    (u and v null). With `only` (tile), these tiles give all their pairs. Components are told apart a row a set and tile.
+    """
+    members = found.filter("kind >= 2").select((F.col("kind") == 2).alias("large"), F.col("u").alias("shingle"), F.col("v").alias("key"))
+    if only is not None:
+        members = members.join(small(only.select(F.col("tile").alias("shingle")), s.broadcast_ids), "shingle", "left_semi")
+    members = members.join(small(roots, s.broadcast_ids), F.col("key") == F.col("node"), "left").select("shingle", "key", "large", F.coalesce("root", "key").alias("root"))
+    mixed = members.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle")
+    members = materialize(members.join(mixed, "shingle", "left_semi"))
+    every = only is not None
+    return _small_tiles(members.filter("NOT large"), bits, s, every).unionAll(_large_tiles(members.filter("large"), bits, s, every))
 
 
-def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of larger tiles whose sets lie in different components, fit in size and pass the bitmaps' bound.
+def _small_tiles(members: DataFrame, bits: DataFrame, s: Settings, every: bool) -> DataFrame:
+    """Pairs of tiles of at most `tile` sets, which stand in one task each."""
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // s.tile_rows + 1)
 
-    A pair that shares several shingles comes from the smallest of them only. A tile's members are split by size band (a band's sets link only with its own and the two bands beside it) and a band
-    by hash into blocks of about `block` sets. Blocks meet in pairs, each pair in a task's memory at once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        shingle, key, n, root = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
+        order = np.lexsort((key, n, shingle))
+        held = [x for b in got for x in b.column(4).to_pylist()]
+        del got
+        maps = Bitmaps([held[i] for i in order.tolist()], n[order], s)
+        del held
+        shingle, key, n, root = shingle[order], key[order], n[order], root[order]
+        starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+        sizes = np.diff(np.append(starts, len(shingle)))
+        tile = np.repeat(np.arange(len(starts)), sizes)
+        likeliest, seen = Likeliest(len(key)), np.zeros(len(starts), np.int64)
+        for a, b in _within(n, np.arange(len(key)) - starts[tile], sizes[tile], s):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            like = maps.likeness(a, b)
+            a, b, like = a[like >= 0], b[like >= 0], like[like >= 0]
+            if every:
+                yield _found(key[a], key[b], starts[:0])
+            else:
+                likeliest.add(a, b, like)
+                seen += np.bincount(tile[a], minlength=len(starts))
+        if not every:
+            a, b = likeliest.edges()
+            yield _found(key[a], key[b], shingle[starts[np.bincount(tile[a], minlength=len(starts)) < seen]])
+
+    return members.join(bits, "key").select("shingle", "key", "n", "root", "bits").repartition(tasks, "shingle").mapInArrow(trimmed(run), "u long, v long, tile long")
+
+
+def _large_tiles(members: DataFrame, bits: DataFrame, s: Settings, every: bool) -> DataFrame:
+    """Pairs of larger tiles. A tile's members are split by size band (a band's sets link only with its own and the two bands
+    beside it) and a band by hash into blocks of about `block` sets. Blocks meet in pairs, each pair in a task's memory at once.
     """
-    members = found.filter("kind = 2").select(F.col("u").alias("shingle"), F.col("v").alias("key")).distinct()
-    tiles_of = members.groupBy("key").agg(F.collect_set("shingle").alias("all"))  # of its own prefix only
-    members = members.join(roots, F.col("key") == F.col("node"), "left").select("shingle", "key", F.coalesce("root", "key").alias("root"))
-    mixed = members.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(s.den / s.num))).cast("int")
-    rows = members.join(mixed, "shingle", "left_semi").join(bits, "key").join(tiles_of, "key").withColumn("band", band)
+    rows = members.join(bits, "key").withColumn("band", band)
     blocks = rows.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("_own"))
     rows = rows.join(blocks, ["shingle", "band"])
     for name, step in (("_next", -1), ("_prev", 1)):
@@ -347,7 +437,7 @@ def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Setting
     own = F.transform(upto(F.col("_own")), lambda x: place(F.col("band"), 0, F.least(block, x), F.greatest(block, x), F.when(block <= x, 0).otherwise(1)))
     up = F.transform(upto(F.col("_next")), lambda x: place(F.col("band") + 1, 1, block, x, F.lit(0)))
     down = F.transform(upto(F.col("_prev")), lambda x: place(F.col("band"), 1, x, block, F.lit(1)))
-    placed = rows.select("shingle", "key", "n", "root", "bits", "all", F.explode(F.concat(own, up, down)).alias("t")).select("shingle", "t.*", "key", "n", "root", "bits", "all")
+    placed = rows.select("shingle", "key", "n", "root", "bits", F.explode(F.concat(own, up, down)).alias("t")).select("shingle", "t.*", "key", "n", "root", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -362,31 +452,35 @@ def across_large(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Setting
     def meet(at: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        width = min(len(r[4]) for r in held)
-        signs = np.stack([folded(np.frombuffer(r[4], np.uint8), width) for r in held]).view(np.uint64)
-        shared = [frozenset(r[5]) for r in held]
-        side, key, n, root = (np.array([r[k] for r in held]) for k in range(4))
+        side, key, n, root = (np.array([r[k] for r in held], np.int64) for k in range(4))
+        maps = Bitmaps([r[4] for r in held], n, s)
         left = np.flatnonzero(side == 0)
-        right = left if at[2] == 0 and at[3] == at[4] else np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return
-        out = []
-        for a in range(0, len(left), 64):
-            i = left[a : a + 64]
-            differ = np.bitwise_count(signs[i][:, None, :] ^ signs[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            both = n[i][:, None] + n[right][None, :]
-            overlap = (both - differ) // 2
-            ok = (s.den * overlap >= s.num * (both - overlap)) & (root[i][:, None] != root[right][None, :]) & can_link(n[i][:, None], n[right][None, :], s)
-            x, y = np.nonzero(ok)
-            first = np.array([min(shared[p] & shared[q]) == at[0] for p, q in zip(i[x].tolist(), right[y].tolist(), strict=True)], dtype=bool)
-            u, v = key[i[x]][first], key[right[y]][first]
-            out.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        alone = at[2] == 0 and at[3] == at[4]
+        right = left if alone else np.flatnonzero(side == 1)
+        likeliest, out = Likeliest(len(key)), []
+        for step in range(1 if alone else 0, len(right)):  # each left row with one right row at a time
+            a = left[: len(left) - step] if alone else left
+            b = right[step:] if alone else right[(np.arange(len(left)) + step) % len(right)]
+            fits = (root[a] != root[b]) & can_link(n[a], n[b], s)
+            a, b = a[fits], b[fits]
+            like = maps.likeness(a, b)
+            a, b, like = a[like >= 0], b[like >= 0], like[like >= 0]
+            if not len(a):
+                continue
+            if every:
+                out.append((a, b))
+            else:
+                for c in range(0, len(a), len(right)):  # a right row comes once at most
+                    likeliest.add(a[c : c + len(right)], b[c : c + len(right)], like[c : c + len(right)])
+        if every and out:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield _found(key[a], key[b], key[:0])
+        elif not every and likeliest.pairs:
+            a, b = likeliest.edges()
+            yield _found(key[a], key[b], np.array([at[0]] if len(a) < likeliest.pairs else [], np.int64))
 
     keys = ["shingle", "band", "cross", "i", "j"]
-    return placed.select(*keys, "side", "key", "n", "root", "bits", "all").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "u long, v long")
+    return placed.select(*keys, "side", "key", "n", "root", "bits").repartition(*keys).sortWithinPartitions(*keys, "key").mapInArrow(trimmed(run), "u long, v long, tile long")
 
 
 def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -404,17 +498,22 @@ def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Dat
     first = materialize(met.select("u", "v").unionAll(found.filter("kind = 1").select("u", "v")).distinct())
     keys = materialize(found.filter("kind >= 2").select(F.col("v").alias("key")).distinct())
     bits = bitmaps(described, keys, s)
-    linked_first = links(first, docs, described, bits, s)
-    roots = components(linked_first)
-    rest = across_small(found, roots, s).unionAll(across_large(found, roots, bits, s)).distinct()
-    rest = materialize(rest.join(first, ["u", "v"], "left_anti"))
-    release(found)
-    if not rest.isEmpty():
-        more = links(rest, docs, described, bits, s)
-        if not more.isEmpty():
-            release(roots)
-            roots = components(linked_first.unionAll(more))
-    release(first, keys, bits, rest)
+    linked = links(first, docs, described, bits, s)
+    roots, tested, only = components(linked), first, None
+    for _ in range(2):
+        got = materialize(across(found, roots, bits, s, only))
+        pairs = materialize(got.filter("u IS NOT NULL").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
+        if not pairs.isEmpty():
+            more = links(pairs, docs, described, bits, s, bounded=True)
+            if not more.isEmpty():
+                moved = roots
+                roots, linked = components(linked.unionAll(more)), linked.unionAll(more)
+                release(moved)
+        only = got.filter("tile IS NOT NULL").select("tile").distinct()
+        if only.isEmpty():
+            break
+        tested = tested.unionAll(pairs)
+    release(found, keys, bits)
     return described.filter("n >= 0").select("doc_id", "n", "key"), roots
 
 
