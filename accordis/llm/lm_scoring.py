@@ -1,16 +1,25 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-Learning. A context (up to `depth` words) is a candidate if it makes up at least `p_min` of the training tokens, which
-bounds candidates by 1 / p_min a depth whatever the corpus. Its next-word distribution keeps the words with a share of at
-least `gamma`, discounted; the rest of its mass goes to the other words in proportion to the parent (the context without
-its oldest word), so every distribution sums to 1. It is retained if its divergence from the parent passes `epsilon`. The
-root is the add-one distribution over all training words. A token is scored in the longest retained suffix of its history.
-
-Counts cover all training documents. Tasks cut their documents into chunks of about `chunk_tokens` tokens and write each
-chunk as a row: its distinct words (64-bit hashes, sorted), their training counts and its tokens as codes into them. Word
-counts are exchanged by hash range, packed: a chunk sends its words by range, the owner of a range adds them up and
-answers each chunk, so no row is made for a word and memory is bounded by chunk and range. Contexts are counted from the
-codes, as numbered (context, next) pairs, and exchanged the same way.
+The tree's states are contexts, the words before a token, newest first. A context is a candidate if training texts hold it
+`least` times or more, whatever the size of the corpus, and if its parent (the context without its oldest word) is followed by
+more than one word there: a context that a single word follows tells all that longer ones could. Its next-word distribution
+takes `discount` from each count and gives what that frees to the parent's distribution, so every distribution sums to 1:
+
+    P(w | s) = max(c(s, w) - discount, 0) / c(s) + discount * followers(s) / c(s) * P(w | parent)
+
+A candidate is retained if it diverges from its parent: its count times the divergence, the gain in log likelihood over its own
+occurrences, is at least `gain` nats. The root is the add-one distribution over all training words. A token is scored by the
+longest retained suffix of its history. Depth grows level by level, until no context is left or at `depth` words, which lets
+each level cost a pass.
+
+No state is ever gathered in one place, so the tree may grow with the corpus. Tasks cut their documents into chunks of about
+`chunk_tokens` tokens: distinct words (64-bit hashes), their training counts, and the tokens as codes into them. At a level a
+chunk sends each distinct pair of context and next word that is still open, with its training count and the parent's
+probability, packed by range of a hash of the context; the owner of a range adds up, tests its contexts and answers each chunk.
+A chunk's state (what its open tokens score so far, and each text's sum of settled ones) is written after each level; chunks,
+states and answers are bucketed by chunk, so only pairs and answers are shuffled, and no row is made for a word. Word counts
+are exchanged in the same way first. A context has 44 bits of hash and a follower 20, which keeps clashes rare up to some 10
+billion contexts a level.
 
 Defined results: a null text is empty: one end token; a null doc_id counts as a training row; repeated rows count each;
 an empty table gives an empty result; other columns are not read. If there is nothing to learn from, the root still is.
@@ -18,9 +27,11 @@ an empty table gives an empty result; other columns are not read. If there is no
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,19 +41,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, shared_dir, trimmed
 from .textnp import CHAIN, bytes_of, chunks, mix64, word_hashes
 
 #: The end of a text, as a word of its own. No word hashes to it but by a chance of 2**-64.
 END = np.uint64(0x5E1F_E4D0_0F7E_0001)
+#: Bits of a pair's key that stand for the next word; the others stand for the context.
+FOLLOWER_BITS = np.uint64(20)
+#: Log10 probabilities of open tokens are kept in steps of this.
+STEP = 1e-3
+#: What becomes of a token at a level: settled, asked for, or settled because its context is too rare.
+SETTLED, OPEN, RARE = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 2
-    p_min: float = 2e-5
-    gamma: float = 0.02
-    epsilon: float = 0.02
+    depth: int = 8
+    least: int = 2
+    gain: float = 3.0
     discount: float = 0.5
     chunk_tokens: int = 1_500_000
     folds: int = 7
@@ -65,7 +81,7 @@ CHUNK_FIELDS = "chunk long, doc_ids binary, no_id binary, sizes binary, train bi
 
 
 def read_chunks(docs: DataFrame, settings: Settings) -> DataFrame:
-    """The chunk table."""
+    """The chunk rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -95,275 +111,279 @@ def read_chunks(docs: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield close()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNK_FIELDS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), CHUNK_FIELDS)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+class Buckets:
+    """Tables bucketed by chunk in the shared folder, so that they join without a shuffle."""
 
+    def __init__(self, spark, n: int) -> None:
+        self.spark, self.n, self.names = spark, n, {}
 
-def count_words(table: DataFrame, ranges: int, tasks: int) -> DataFrame:
-    """(chunk, range, answer) with the training counts of the chunk's words, and per range n_tokens, n_types and its words' counts."""
-    bits = max(1, (ranges - 1).bit_length())
+    def write(self, df: DataFrame) -> DataFrame:
+        name = f"accordis_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/accordis/{name}"
+        df.write.bucketBy(self.n, "chunk").sortBy("chunk").format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+        table = self.spark.table(name)
+        self.names[name] = table._written_at = path
+        table._name = name
+        return table
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            words, counts = unpack(r["words"], "<u8"), unpack(r["counts"], "<u4")
-            edges = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(words)]
-            parts = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([pack(np.diff(words[a:b], prepend=np.uint64(0))) for _, a, b in parts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in parts], pa.binary())], names=["chunk", "range", "words", "counts"])
+    def drop(self, table: DataFrame) -> None:
+        """Forget a table and its files, and let Spark clear up what shuffles of finished jobs left."""
+        self.spark.sql(f"DROP TABLE {table._name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def clear_up(spark) -> None:
+    """Shuffle files of finished jobs go once the driver has collected its garbage; ask for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def each(f: Callable[[dict], Iterator[dict]], names: list[str], kinds: list[pa.DataType]) -> Callable:
+    """A mapInArrow function that calls f with each row and yields its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+                for out in f(row):
+                    yield pa.RecordBatch.from_arrays([pa.array([out.get(n)], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    return trimmed(run)
+
+
+def grouped(settle: Callable[[list[dict]], Iterator[dict]], names: list[str], kinds: list[pa.DataType]) -> Callable:
+    """The same for groups of rows of one range, which come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
-        for r in _rows(batches):
-            if group and group[0]["range"] != r["range"]:
-                yield settle(group)
-                group = []
-            group.append(r)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for out in settle(group):
+                yield pa.RecordBatch.from_arrays([pa.array([out.get(n)], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+                if group and group[0]["range"] != row["range"]:
+                    yield from close()
+                    group.clear()
+                group.append(row)
         if group:
-            yield settle(group)
-
-    def settle(group: list[dict]) -> pa.RecordBatch:
-        words = [np.cumsum(unpack(r["words"], "<u8")) for r in group]
-        all_words, at = np.unique(np.concatenate(words), return_inverse=True)
-        totals = np.bincount(at, weights=np.concatenate([unpack(r["counts"], "<u4") for r in group])).astype(np.uint64)
-        edges = np.cumsum([0] + [len(w) for w in words])
-        answers = [pack(totals[at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
-        n = len(group)
-        seen = totals > 0
-        return pa.RecordBatch.from_arrays([pa.array([*(r["chunk"] for r in group), None], pa.int64()), pa.array([group[0]["range"]] * (n + 1), pa.int32()), pa.array([*answers, pack(totals[seen])], pa.binary()), pa.array([None] * n + [int(totals.sum())], pa.int64()), pa.array([None] * n + [int(seen.sum())], pa.int64()), pa.array([None] * n + [pack(all_words[seen])], pa.binary())], names=["chunk", "range", "answer", "n_tokens", "n_types", "words"])
-
-    asked = table.select("chunk", "words", "counts").mapInArrow(ask, "chunk long, range int, words binary, counts binary")
-    dealt = asked.repartition(tasks, "range").sortWithinPartitions("range", "chunk")
-    return materialize(dealt.mapInArrow(answer, "chunk long, range int, answer binary, n_tokens long, n_types long, words binary"))
+            yield from close()
 
+    return trimmed(run)
 
-@dataclass
-class Tree:
-    """Retained contexts and their explicit next words, as sorted keys: a context's key mixes its words, newest first."""
 
-    words: np.ndarray  # frequent words' hashes
-    counts: np.ndarray
-    contexts: list[np.ndarray]  # by depth - 1: keys of retained contexts
-    rest: list[np.ndarray]  # log10 of the factor for words that the context doesn't list, and all of its suffixes' factors
-    entries: list[np.ndarray]  # keys of (context, word)
-    gains: list[np.ndarray]  # log10 of P(word | context) / P(word | root)
+ASK = ("chunk long, range int, keys binary, counts binary, parents binary", ["chunk", "range", "keys", "counts", "parents"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
-def context_key(parent: np.ndarray, older: np.ndarray) -> np.ndarray:
-    return mix64(parent * CHAIN + older)
+def cut(chunk: int, bits: int, keys: np.ndarray, counts: np.ndarray, parents: np.ndarray | None = None) -> Iterator[dict]:
+    """Sorted keys with their counts, a row for each range of keys that holds some."""
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if b > a:
+            yield {"chunk": chunk, "range": i, "keys": pack(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": pack(counts[a:b].astype(np.uint32)), "parents": None if parents is None else pack(parents[a:b])}
 
 
-def entry_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64((context ^ np.uint64(0xA5A5_A5A5_5A5A_5A5A)) * CHAIN + word)
+def merged(group: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """All keys of a range, where each sent key is among them, their total counts, and where each chunk's keys end."""
+    keys = [np.cumsum(unpack(r["keys"], "<u8"), dtype=np.uint64) for r in group]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(at, weights=np.concatenate([unpack(r["counts"], "<u4") for r in group])).astype(np.uint64)
+    return every, at, totals, np.cumsum([0] + [len(k) for k in keys]).tolist()
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted value is among sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def count_words(table: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """(chunk, range, answer) with the training counts of the chunk's words, and per range n_tokens and n_types with a null chunk."""
 
+    def ask(r: dict) -> Iterator[dict]:
+        yield from cut(r["chunk"], bits, unpack(r["words"], "<u8"), unpack(r["counts"], "<u4"))
 
-def history(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each depth, keys of the contexts of all tokens and whether the text has so many words before the token."""
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = np.zeros(len(hashes), np.uint64)
-    for d in range(1, depth + 1):
-        older = np.concatenate((np.zeros(min(d, len(hashes)), np.uint64), hashes[: max(0, len(hashes) - d)]))
-        key = context_key(key, older)
-        yield key, place >= d
+    def settle(group: list[dict]) -> Iterator[dict]:
+        _, at, totals, edges = merged(group)
+        for r, a, b in zip(group, edges, edges[1:], strict=False):
+            yield {"chunk": r["chunk"], "range": r["range"], "answer": pack(totals[at[a:b]])}
+        yield {"range": group[0]["range"], "n_tokens": int(totals.sum()), "n_types": int((totals > 0).sum())}
 
+    asked = table.select("chunk", "words", "counts").mapInArrow(each(ask, *ASK[1:]), ASK[0])
+    dealt = asked.repartition(tasks, "range").sortWithinPartitions("range", "chunk")
+    names = ["chunk", "range", "answer", "n_tokens", "n_types"]
+    return materialize(dealt.mapInArrow(grouped(settle, names, [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]), "chunk long, range int, answer binary, n_tokens long, n_types long"))
 
-def count_contexts(table: DataFrame, words: np.ndarray, contexts: np.ndarray, depth: int, least: float, ranges: int, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context number, word number, count) over training rows of pairs seen at least `least` times; numbers are places in the sorted arrays.
 
-    A task's pairs are numbers; they go packed to the owners of hash ranges, which add them up and keep the frequent ones.
-    """
-    shared = table.sparkSession.sparkContext.broadcast((words, contexts))
+def by_chunk(answers: DataFrame, *columns: str) -> DataFrame:
+    """One row a chunk: its answers in the order of their ranges."""
+    return answers.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", *columns))).alias("answers"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts = shared.value
-        rare = np.uint64(len(words))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pairs, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return pairs, np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.uint32)
-
-        def send() -> Iterator[pa.RecordBatch]:
-            pairs, counts = merged()
-            part = (mix64(pairs) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            pairs, counts, part = pairs[order], counts[order], part[order]
-            edges = np.searchsorted(part, np.arange(ranges + 1)).tolist()
-            cut = [(r, a, b) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([pack(np.diff(pairs[a:b], prepend=np.uint64(0))) for _, a, b in cut], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cut], pa.binary())], names=["range", "pairs", "counts"])
-
-        for r in _rows(batches):
-            vocabulary = unpack(r["words"], "<u8")
-            place, there = find(words, vocabulary)
-            codes, sizes = unpack(r["codes"], "<u4"), unpack(r["sizes"], "<i8")
-            number = np.where(there, place.astype(np.uint64), rare)[codes]
-            *_, (key, inside) = history(vocabulary[codes], sizes, depth)
-            at, known = find(contexts, key)
-            usable = known & inside & np.repeat(unpack(r["train"], "u1").astype(bool), sizes)
-            pairs, n = np.unique(at[usable].astype(np.uint64) * (rare + np.uint64(1)) + number[usable], return_counts=True)
-            held.append((pairs, n))
-            if sum(len(h[0]) for h in held) > 3_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 2_000_000:
-                    yield from send()
-                    held = []
-        if held:
-            yield from send()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = len(shared.value[0])
-        group: list[dict] = []
+def of_answers(row: dict, column: str, kind: str) -> np.ndarray:
+    parts = [unpack(a[column], kind) for a in row["answers"] or ()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
-        def settle() -> pa.RecordBatch:
-            pairs, at = np.unique(np.concatenate([np.cumsum(unpack(g["pairs"], "<u8")) for g in group]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([unpack(g["counts"], "<u4") for g in group])).astype(np.int64)
-            context, word = (pairs // np.uint64(rare + 1)).astype(np.int64), (pairs % np.uint64(rare + 1)).astype(np.int64)
-            keep = (n >= least) & (word < rare)
-            return pa.RecordBatch.from_arrays([pa.array(context[keep]), pa.array(word[keep]), pa.array(n[keep])], names=["context", "word", "n"])
-
-        for r in _rows(batches):
-            if group and group[0]["range"] != r["range"]:
-                yield settle()
-                group.clear()
-            group.append(r)
-        if group:
-            yield settle()
 
-    sent = table.select("words", "codes", "sizes", "train").mapInArrow(run, "range int, pairs binary, counts binary")
-    got = sent.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(add, "context long, word long, n long").toArrow()
-    return tuple(got.column(i).to_numpy() for i in range(3))
+STATE = ("chunk long, status binary, values binary, sums binary, base binary, known binary, open long", ["chunk", "status", "values", "sums", "base", "known", "open"], [pa.int64(), *[pa.binary()] * 5, pa.int64()])
 
 
-def learn(table: DataFrame, answers: DataFrame, settings: Settings, tasks: int) -> tuple[Tree, int, int]:
-    """The tree, training tokens and types. What comes to the driver is bounded: 1 / p_min contexts and 1 / (p_min * gamma) entries a depth."""
-    first = answers.filter("chunk is null").agg(F.sum("n_tokens"), F.sum("n_types")).first()
-    n, types = int(first[0] or 0), int(first[1] or 0)
-    least_context, least_entry = max(2.0, settings.p_min * n), max(2.0, settings.gamma * settings.p_min * n)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            counts, words = unpack(r["answer"], "<u8"), unpack(r["words"], "<u8")
-            keep = counts >= least_entry
-            yield pa.RecordBatch.from_arrays([pa.array([words[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["words", "counts"])
-
-    rows = answers.filter("chunk is null").select("answer", "words").mapInArrow(frequent, "words binary, counts binary").collect()
-    words, counts = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in rows] or [np.zeros(0, np.uint64)]) for k in ("words", "counts"))
-    order = np.argsort(words)
-    tree = Tree(words[order], counts[order].astype(np.int64), [], [], [], [])
-    ranges = max(16, int(n / 4e6))
-    # every word but the end is followed by something, so a context's count is that of its words
-    opens = (tree.counts >= least_context) & (tree.words != END)
-    newest, older = tree.words[opens], tree.words[opens]
-    keys, of, parents = context_key(np.zeros(len(newest), np.uint64), newest), tree.counts[opens], np.zeros(len(newest), np.uint64)
-    for depth in range(1, settings.depth + 1):
-        order = np.argsort(keys)
-        keys, of, parents, older = keys[order], of[order], parents[order], older[order]
-        if not len(keys):
-            break
-        context, word, count = count_contexts(table, tree.words, keys, depth, least_entry, ranges, tasks)
-        listed = count >= settings.gamma * of[context]
-        grow(tree, depth, n, types, keys, of, parents, context[listed], word[listed], count[listed], settings)
-        deeper = (count >= least_context) & (tree.words[word] != END)
-        parents = context_key(np.zeros(int(deeper.sum()), np.uint64), tree.words[word[deeper]])
-        older, of = older[context[deeper]], count[deeper]
-        keys = context_key(parents, older)
-    return tree, n, types
-
-
-def grow(tree: Tree, depth: int, n: int, types: int, keys: np.ndarray, of: np.ndarray, parents: np.ndarray, at: np.ndarray, word: np.ndarray, count: np.ndarray, settings: Settings) -> None:
-    """Add the contexts (keys, their counts and parents) that diverge enough from their parents, with their listed words (by number)."""
-    root = (tree.counts[word].astype(float) + 1) / (n + types + 1)
-    word = tree.words[word]
-    if depth == 1:
-        parent_p, parent_rest = root, np.ones(len(keys))
-    else:
-        held, there = find(tree.contexts[depth - 2], parents)
-        parent_rest = np.where(there, 10.0 ** tree.rest[depth - 2][held], 1.0) if len(tree.contexts[depth - 2]) else np.ones(len(keys))
-        e, listed = find(tree.entries[depth - 2], entry_key(parents[at], word))
-        gain = 10.0 ** tree.gains[depth - 2][e] if len(tree.entries[depth - 2]) else np.ones(len(word))
-        parent_p = root * np.where(listed, gain, parent_rest[at])
-    p = (count - settings.discount) / of[at]
-    sum_p, sum_parent = np.bincount(at, p, len(keys)), np.bincount(at, parent_p, len(keys))
-    left, parent_left = np.maximum(1 - sum_p, 1e-12), np.maximum(1 - sum_parent, 1e-12)
-    divergence = np.bincount(at, p * np.log(p / parent_p), len(keys)) + left * np.log(left / parent_left)
-    retained = divergence >= settings.epsilon
-    factor = np.where(retained, left / parent_left, 1.0)
-    tree.contexts.append(keys[retained])
-    tree.rest.append(np.log10((factor * parent_rest)[retained]))
-    kept = retained[at] if len(at) else np.zeros(0, bool)
-    joint = entry_key(keys[at[kept]], word[kept])
-    by = np.argsort(joint)
-    tree.entries.append(joint[by])
-    tree.gains.append(np.log10(p[kept] / root[kept])[by])
-
-
-def gains(tree: Tree, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of P(token | longest retained suffix) / P(token | root) for each token."""
-    out = np.zeros(len(hashes))
-    for d, (key, inside) in enumerate(history(hashes, sizes, len(tree.contexts))):
-        at, there = find(tree.contexts[d], key)
-        there &= inside
-        if there.any():
-            # words that no state lists take the state's factor; those that only a shorter suffix lists take its gain times this state's own factor
-            own = tree.rest[d][at[there]] - parent_rest(tree, d, hashes, sizes)[there]
-            e, listed = find(tree.entries[d], entry_key(key[there], hashes[there]))
-            value = out[there] + own
-            if len(tree.entries[d]):
-                value = np.where(listed, tree.gains[d][e], value)
-            out[there] = value
-    return out
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Each token's place in its text."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def parent_rest(tree: Tree, d: int, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of the factors of the suffix that is one word shorter, 0 if it isn't retained or is the root."""
-    if d == 0:
-        return np.zeros(len(hashes))
-    key, inside = list(history(hashes, sizes, d))[-1]
-    at, there = find(tree.contexts[d - 1], key)
-    return np.where(there & inside, tree.rest[d - 1][at], 0.0) if len(tree.contexts[d - 1]) else np.zeros(len(hashes))
+def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else values[:0]
+
+
+def start(n: int, types: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
+    """The state of a chunk before the first level: values are log10 probabilities of its words at the root."""
+    total = math.log10(n + types + 1)
+
+    def run(r: dict) -> Iterator[dict]:
+        sizes, codes, counts = unpack(r["sizes"], "<i8"), unpack(r["codes"], "<u4"), of_answers(r, "answer", "<u8")
+        root = np.log10(counts.astype(float) + 1) - total
+        place = places(sizes)
+        status = np.where(place >= 1, OPEN, SETTLED).astype(np.uint8)
+        status[1:][counts[codes[:-1]] < settings.least] = RARE
+        status[place == 0] = SETTLED
+        value = root[codes]
+        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(root), "sums": pack(text_sums(np.where(status == OPEN, 0.0, value), sizes)), "base": pack(text_sums(value, sizes)), "known": pack(text_sums((counts > 0).astype(np.int64)[codes], sizes)), "open": int((status == OPEN).sum())}
+
+    return run
+
+
+def open_pairs(r: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of open tokens, their values so far, and their pairs of context and next word: distinct sorted keys, and which is whose."""
+    codes, words, status = unpack(r["codes"], "<u4"), unpack(r["words"], "<u8"), unpack(r["status"], "u1")
+    at = np.flatnonzero(status == OPEN)
+    value = unpack(r["values"], "<f8")[codes[at]] if depth == 1 else unpack(r["values"], "<i2").astype(float) * STEP
+    context = np.zeros(len(at), np.uint64)
+    for back in range(1, depth + 1):
+        context = mix64(context * CHAIN + words[codes[at - back]])
+    key = ((context >> FOLLOWER_BITS) << FOLLOWER_BITS) | (mix64(words ^ np.uint64(0xA5A5_A5A5_5A5A_5A5A)) >> (np.uint64(64) - FOLLOWER_BITS))[codes[at]]
+    keys, pair = np.unique(key, return_inverse=True)
+    return at, value, keys, pair
+
+
+def asking(depth: int, bits: int) -> Callable[[dict], Iterator[dict]]:
+    def run(r: dict) -> Iterator[dict]:
+        if not r["open"]:
+            return
+        at, value, keys, pair = open_pairs(r, depth)
+        train = np.repeat(unpack(r["train"], "u1"), unpack(r["sizes"], "<i8"))[at]
+        parents = np.zeros(len(keys), np.uint8)
+        parents[pair] = np.clip(np.rint(value * (-8 / math.log10(2))), 0, 255)
+        yield from cut(r["chunk"], bits, keys, np.bincount(pair, weights=train, minlength=len(keys)), parents)
+
+    return run
+
+
+def states(keys: np.ndarray, counts: np.ndarray, parents: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted pairs: which context each belongs to, and the contexts' counts, followers and whether they are retained. parents: probabilities."""
+    context = keys >> FOLLOWER_BITS
+    of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = int(of[-1]) + 1 if len(of) else 0
+    seen, followers = np.bincount(of, counts, size), np.bincount(of, counts > 0, size)
+    some = np.maximum(seen, 1)
+    p = np.maximum(counts - settings.discount, 0) / some[of] + (settings.discount * followers / some)[of] * parents
+    gains = np.bincount(of, np.where(counts > 0, counts * np.log(np.maximum(p, 1e-300) / parents), 0.0), size)
+    return of, seen, followers, (seen >= settings.least) & (gains >= settings.gain)
+
+
+def settle_pairs(settings: Settings) -> Callable[[list[dict]], Iterator[dict]]:
+    def run(group: list[dict]) -> Iterator[dict]:
+        keys, at, totals, edges = merged(group)
+        parents = np.zeros(len(keys), np.uint8)
+        parents[at] = np.concatenate([unpack(r["parents"], "u1") for r in group])
+        of, seen, followers, kept = states(keys, totals.astype(float), 2.0 ** (parents / -8.0), settings)
+        for r, a, b in zip(group, edges, edges[1:], strict=False):
+            mine = at[a:b]
+            first = np.concatenate(([True], of[mine][1:] != of[mine][:-1]))
+            contexts = of[mine][first]
+            yield {"chunk": r["chunk"], "range": r["range"], "counts": pack(totals[mine].astype(np.uint32)), "seen": pack(seen[contexts].astype(np.uint32)), "followers": pack((followers[contexts].astype(np.uint32) << np.uint32(1)) | kept[contexts])}
+
+    return run
+
+
+ANSWER = ("chunk long, range int, counts binary, seen binary, followers binary", ["chunk", "range", "counts", "seen", "followers"], [pa.int64(), pa.int32(), *[pa.binary()] * 3])
+
+
+def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
+    """The state after a level."""
+
+    def run(r: dict) -> Iterator[dict]:
+        if not r["open"]:
+            yield {n: r[n] for n in STATE[1]}
+            return
+        sizes, status = unpack(r["sizes"], "<i8"), unpack(r["status"], "u1").copy()
+        at, value, keys, pair = open_pairs(r, depth)
+        context = keys >> FOLLOWER_BITS
+        of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1])))
+        counts, seen, marked = (of_answers(r, c, "<u4") for c in ("counts", "seen", "followers"))
+        kept, followers = (marked & 1).astype(bool)[of], (marked >> 1).astype(float)[of]
+        some = np.maximum(seen, 1).astype(float)[of]
+        plain, rest = np.where(kept, np.maximum(counts - settings.discount, 0) / some, 0.0), np.where(kept, settings.discount * followers / some, 1.0)
+        value = np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-30))
+        value = np.rint(value / STEP) * STEP
+        # an open token's next context is seen as often as the pair one token earlier
+        earlier = np.full(len(status), -1, np.int64)
+        earlier[at] = counts[pair]
+        before = status[at - 1]
+        rare = (before == RARE) | (before == OPEN) & (earlier[at - 1] < settings.least)
+        goes_on = (followers[pair] >= 2) & (places(sizes)[at] > depth) & (depth < settings.depth)
+        status[at] = np.where(goes_on, np.where(rare, RARE, OPEN), SETTLED)
+        goes_on &= ~rare
+        done = np.zeros(len(status))
+        done[at[~goes_on]] = value[~goes_on]
+        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(np.rint(value[goes_on] / STEP).astype(np.int16)), "sums": pack(unpack(r["sums"], "<f8") + text_sums(done, sizes)), "base": r["base"], "known": r["known"], "open": int(goes_on.sum())}
+
+    return run
 
 
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    if settings.depth > 2:
-        raise ValueError("contexts of up to two words are supported")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    table = read_chunks(docs, settings)
-    ranges = max(16, 1 << math.ceil(math.log2(size / 64e6 + 1)) + 4)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 64)
-    answers = count_words(table, ranges, tasks)
-    tree, n, types = learn(table, answers, settings, tasks)
-    shared = spark.sparkContext.broadcast(tree)
-    total = math.log10(n + types + 1)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = Buckets(spark, min(100_000, max(partitions, size // (16 * 8 * settings.chunk_tokens))))  # Spark's own limit on buckets
+    bits = max(4, math.ceil(math.log2(size / 64e6 + 1)) + 4)
+    tasks = max(partitions, (1 << bits) // 64)
+    table = buckets.write(read_chunks(docs, settings))
+    answers = count_words(table, bits, tasks)
+    first = answers.filter("chunk IS NULL").agg(F.sum("n_tokens"), F.sum("n_types")).first()
+    n, types = int(first[0] or 0), int(first[1] or 0)
+    heard = buckets.write(by_chunk(answers, "answer"))
+    release(answers)
+    state = buckets.write(table.select("chunk", "sizes", "codes").join(heard, "chunk").mapInArrow(each(start(n, types, settings), *STATE[1:]), STATE[0]))
+    buckets.drop(heard)
+    for depth in range(1, settings.depth + 1):
+        clear_up(spark)
+        if not state.agg(F.sum("open")).first()[0]:
+            break
+        asked = table.select("chunk", "sizes", "train", "codes", "words").join(state.select("chunk", "status", "values", "open"), "chunk").mapInArrow(each(asking(depth, bits), *ASK[1:]), ASK[0])
+        dealt = asked.repartition(tasks, "range").sortWithinPartitions("range", "chunk")
+        settled = dealt.mapInArrow(grouped(settle_pairs(settings), *ANSWER[1:]), ANSWER[0])
+        heard = buckets.write(by_chunk(settled, "counts", "seen", "followers"))
+        both = table.select("chunk", "sizes", "codes", "words").join(state, "chunk").join(heard, "chunk", "left")
+        after = buckets.write(both.mapInArrow(each(hearing(depth, settings), *STATE[1:]), STATE[0]))
+        buckets.drop(heard)
+        buckets.drop(state)
+        state = after
+        del asked, dealt, settled, both
+    fields = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[np.ndarray] = []
-        for r in _rows(batches):
-            if r["range"] is not None:
-                counts.append(unpack(r["answer"], "<u8"))
-                continue
-            known = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
-            counts = []
-            codes, sizes, words = unpack(r["codes"], "<u4"), unpack(r["sizes"], "<i8"), unpack(r["words"], "<u8")
-            starts = np.cumsum(sizes) - sizes
-            base = (np.log10(known.astype(float) + 1) - total)[codes]
-            sums = [np.add.reduceat(x, starts) if len(starts) else x[:0] for x in (base, base + gains(shared.value, words[codes], sizes), (known > 0).astype(np.int64)[codes])]
-            no_id = unpack(r["no_id"], "u1").astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(unpack(r["doc_ids"], "<i8"), mask=no_id), pa.array(~unpack(r["train"], "u1").astype(bool)), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(sizes), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "no_id", "sizes", "train", "codes", "words")]
-    parts = table.select("chunk", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("answer"), "doc_ids", "no_id", "sizes", "train", "codes", "words").unionByName(answers.filter("chunk is not null").select("chunk", "range", "answer", *blank))
-    dealt = parts.repartition(tasks, "chunk").sortWithinPartitions(F.col("chunk"), F.col("range").asc_nulls_last())
-    return dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+                sizes = unpack(r["sizes"], "<i8")
+                columns = [pa.array(unpack(r["doc_ids"], "<i8"), mask=unpack(r["no_id"], "u1").astype(bool)), pa.array(~unpack(r["train"], "u1").astype(bool)), pa.array(sizes), pa.array(unpack(r["known"], "<i8")), pa.array(np.full(len(sizes), n, np.int64)), pa.array(unpack(r["base"], "<f8")), pa.array(unpack(r["sums"], "<f8"))]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    ended = table.select("chunk", "doc_ids", "no_id", "sizes", "train").join(state.select("chunk", "sums", "base", "known"), "chunk")
+    out = materialize(ended.mapInArrow(trimmed(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    buckets.drop(state)
+    buckets.drop(table)
+    return out

@@ -105,70 +105,96 @@ def test_toxicity_without_labels(docs, spark):
     assert {r["p"] for r in toxicity.score(docs, toxicity.fit(docs, none), "p").collect()} == {0.0}
 
 
-def brute_scores(raw, s):
-    """Base and suffix-tree scores by plain dictionaries."""
-    tokens = [[*words(t), None] for _, t, _ in raw]
-    train = [i is None or zlib.crc32(str(i).encode()) % s.folds != s.held_out for i, _, _ in raw]
-    c, b1, b2 = Counter(), Counter(), Counter()
-    for t, use in zip(tokens, train, strict=True):
-        if use:
-            c.update(t)
-            b1.update(zip(t, t[1:], strict=False))
-            b2.update(zip(zip(t, t[1:], strict=False), t[2:], strict=False))
-    n, v = sum(c.values()), len(c)
-    root = lambda w: (c[w] + 1) / (n + v + 1)
-    least, few = max(2.0, s.p_min * n), max(2.0, s.gamma * s.p_min * n)
-    tree = {}
-
-    def add(context, after, of, parent):
-        listed = {w: (k - s.discount) / of for w, k in after.items() if k >= few and k >= s.gamma * of and c[w] >= few}
-        left = max(1 - sum(listed.values()), 1e-12)
-        other = max(1 - sum(parent(w) for w in listed), 1e-12)
-        if sum(p * math.log(p / parent(w)) for w, p in listed.items()) + left * math.log(left / other) >= s.epsilon:
-            tree[context] = (listed, left / other)
-
-    def of_one(a):
-        listed, rest = tree.get((a,), (None, None))
-        return root if listed is None else lambda w: listed.get(w, rest * root(w))
-
-    one, two = defaultdict(dict), defaultdict(dict)
-    for (a, w), k in b1.items():
-        one[a][w] = k
-    for (ab, w), k in b2.items():
-        two[ab][w] = k
-    for a, after in one.items():
-        if a is not None and c[a] >= least:
-            add((a,), after, c[a], root)
-    for (a, b), after in two.items():
-        if b1[(a, b)] >= least and c[a] >= least:
-            add((a, b), after, b1[(a, b)], of_one(b))
-
-    def p(past, w):
-        if len(past) > 1 and tuple(past[-2:]) in tree:
-            listed, rest = tree[tuple(past[-2:])]
-            return listed[w] if w in listed else rest * of_one(past[-1])(w)
-        return of_one(past[-1])(w) if past else root(w)
-
-    out = [(i, not use, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(root(w)) for w in t), sum(math.log10(p(t[:k], t[k])) for k in range(len(t)))) for (i, _, _), t, use in zip(raw, tokens, train, strict=True)]
-    return out, (c, tree, of_one, root)
-
-
-def test_language_model_equals_brute_force(docs, raw):
-    want, (_, tree, _, _) = brute_scores([r for r in raw if len(r[1] or "") < 9000], lm_scoring.Settings())
-    got = lm_scoring.score(docs.filter("text IS NULL OR length(text) < 9000")).collect()
-    key = lambda r: tuple("~" if x is None else f"{x:012d}" if isinstance(x, int) else f"{x:.6f}" for x in r)
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
-    assert tree
-
-
-def test_language_model_sums_to_one(raw):
-    _, (c, tree, of_one, root) = brute_scores(raw[:160], lm_scoring.Settings())
-    vocabulary_and_unknown = [*c, "never seen"]
-    for context in list(tree)[:20]:
-        parent = of_one(context[-1]) if len(context) == 2 else root
-        listed, rest = tree[context]
-        assert abs(sum(listed.get(w, rest * parent(w)) for w in vocabulary_and_unknown) - 1) < 1e-9
+class Brute:
+    """The suffix tree by plain dictionaries. Probabilities are rounded as the operator keeps them."""
+
+    def __init__(self, raw, s):
+        self.s, self.tokens = s, [[*words(t), None] for _, t, _ in raw]
+        self.train = [i is None or zlib.crc32(str(i).encode()) % s.folds != s.held_out for i, _, _ in raw]
+        self.c, self.after, self.kept = Counter(), defaultdict(Counter), {}
+        for t, use in zip(self.tokens, self.train, strict=True):
+            if use:
+                self.c.update(t)
+                for k, w in enumerate(t):
+                    for d in range(1, min(k, s.depth) + 1):
+                        self.after[tuple(reversed(t[k - d : k]))][w] += 1
+        self.n = sum(self.c.values())
+
+    def root(self, w):
+        return math.log10((self.c[w] + 1) / (self.n + len(self.c) + 1))
+
+    def retained(self, context):
+        if context not in self.kept:
+            after, gain = self.after[context], 0.0
+            for w, k in after.items():
+                parent = 2.0 ** (np.clip(np.rint(self.value(context[:-1], w) * (-8 / math.log10(2))), 0, 255) / -8.0)
+                gain += k * math.log(self.mixed(context, w, parent) / parent)
+            self.kept[context] = gain >= self.s.gain
+        return self.kept[context]
+
+    def mixed(self, context, w, parent):
+        after = self.after[context]
+        of = sum(after.values())
+        return max(after[w] - self.s.discount, 0) / of + self.s.discount * len(+after) / of * parent
+
+    def value(self, past, w):
+        """log10 of the probability after a history, newest word first."""
+        out = self.root(w)
+        for d in range(1, min(len(past), self.s.depth) + 1):
+            context = past[:d]
+            after = self.after.get(context)
+            if after is None or sum(after.values()) < self.s.least:
+                break
+            if self.retained(context):
+                out = math.log10(self.mixed(context, w, 10.0**out))
+            out = float(np.rint(out / lm_scoring.STEP) * lm_scoring.STEP)
+            if len(+after) < 2:
+                break
+        return out
+
+    def rows(self, raw):
+        past = lambda t, k: tuple(reversed(t[max(0, k - self.s.depth) : k]))
+        return [(i, not use, len(t), sum(self.c[w] > 0 for w in t), self.n, sum(map(self.root, t)), sum(self.value(past(t, k), t[k]) for k in range(len(t)))) for (i, _, _), t, use in zip(raw, self.tokens, self.train, strict=True)]
+
+
+def repeated(spark, raw):
+    """Rows with passages that some of them share, and one document twice."""
+    rng = random.Random(11)
+    passage = " ".join(f"w{rng.randint(0, 30)}" for _ in range(80))
+    more = [(1000 + k, " ".join(f"w{rng.randint(0, 30)}" for _ in range(60)) + (" " + passage if k % 3 == 0 else ""), "s") for k in range(40)]
+    rows = [*raw, *more, (2001, "one text that is here two times and says what no other does", "s"), (2000, "one text that is here two times and says what no other does", "s")]
+    return rows, spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+
+
+def test_language_model_equals_brute_force(spark, raw):
+    """All rows, long texts too; one chunk for each batch of texts and small ranges."""
+    rows, df = repeated(spark, raw)
+    s = lm_scoring.Settings(chunk_tokens=2000)
+    brute = Brute(rows, s)
+    want = brute.rows(rows)
+    got = lm_scoring.score(df, s).collect()
+    key = lambda r: tuple("~" if x is None else f"{x:012d}" if isinstance(x, int) else f"{x:.3f}" for x in r[:5])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    by = {(r[0], r[2], r[3]): r for r in want}
+    for r in got:
+        w = by[(r[0], r[2], r[3])]
+        assert abs(r[5] - w[5]) < 1e-6 and abs(r[6] - w[6]) <= lm_scoring.STEP * r[2]  # a rounding step a token
+    assert max(len(c) for c, k in brute.kept.items() if k) >= 3
+
+
+def test_language_model_sums_to_one(spark, raw):
+    rows, _ = repeated(spark, raw[:100])
+    brute = Brute(rows, lm_scoring.Settings())
+    brute.rows(rows)
+    for context in [c for c, k in brute.kept.items() if k][:30]:
+        assert abs(sum(10 ** brute.value(context, w) for w in [*brute.c, "never seen"]) - 1) < 0.01
+
+
+def test_language_model_knows_repeated_texts(spark, raw):
+    """A text that training rows hold twice scores far above its words, another doesn't."""
+    rows, df = repeated(spark, raw)
+    got = {r["doc_id"]: r for r in lm_scoring.score(df).filter("doc_id >= 2000").collect()}
+    assert all(r["score"] - r["base_score"] > 10 for r in got.values())
 
 
 def test_language_model_on_nothing(empty):
