@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import ratio
 
 KEY = ["component_id", "caller", "callee"]
 AGREEMENT, CONFIDENT, MAX_ITERATIONS = 0.95, 0.7, 5
+# Types of discrepancy that static analysis can settle.
+CALL_GRAPH_TYPES = ("call_graph_edge", "call_site_line", "call_type_mismatch")
 
 
 def edge_sides(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -17,11 +20,15 @@ def edge_sides(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg((F.max("a") == 1).alias("in_a"), (F.max("b") == 1).alias("in_b"))
 
 
-def compare_streams(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each component of either stream: whether it has one, counts of common edges and of those of one side only."""
-    return edge_sides(a, b).groupBy("component_id").agg(
-        F.bool_or("in_a").alias("has_a"), F.bool_or("in_b").alias("has_b"), F.count_if(F.col("in_a") & F.col("in_b")).alias("common"),
-        F.count_if(F.col("in_a") & ~F.col("in_b")).alias("only_a"), F.count_if(~F.col("in_a") & F.col("in_b")).alias("only_b"))
+def compare_streams(a: DataFrame, b: DataFrame, documented_a: DataFrame, documented_b: DataFrame) -> DataFrame:
+    """For each component that a stream documents (component_id), with edges or without: which has it, counts of common edges and
+    of those of one side only. A component with edges counts as documented."""
+    edges = edge_sides(a, b).select("component_id", "in_a", "in_b", F.lit(1).alias("_edge"))
+    has = [d.select("component_id", F.lit(x).alias("in_a"), F.lit(not x).alias("in_b"), F.lit(0).alias("_edge")) for d, x in ((documented_a, True), (documented_b, False))]
+    counted = lambda x: F.count_if((F.col("_edge") == 1) & x)
+    return edges.unionAll(has[0]).unionAll(has[1]).groupBy("component_id").agg(
+        F.bool_or("in_a").alias("has_a"), F.bool_or("in_b").alias("has_b"), counted(F.col("in_a") & F.col("in_b")).alias("common"),
+        counted(F.col("in_a") & ~F.col("in_b")).alias("only_a"), counted(~F.col("in_a") & F.col("in_b")).alias("only_b"))
 
 
 def common_components(compared: DataFrame) -> DataFrame:
@@ -41,6 +48,85 @@ def missing_components(compared: DataFrame) -> DataFrame:
     return compared.filter("NOT (has_a AND has_b)").select("component_id", F.when(F.col("has_b"), "missing_in_a").otherwise("missing_in_b").alias("type"), side.alias("resolution"), F.lit(0.9).alias("confidence"))
 
 
+def stream_status(common: DataFrame) -> DataFrame:
+    """agreement() with the number of differing components; the ids are rows of status_ids()."""
+    out = agreement(common)
+    return out.select("components", "identical", (F.col("components") - F.col("identical")).alias("differing"), "agreement_rate", "converged")
+
+
+def status_ids(common: DataFrame) -> DataFrame:
+    """component_id, status (identical or different) and the number of edges that one side lacks."""
+    return common.select("component_id", F.when(F.col("identical"), "identical").otherwise("different").alias("status"), (F.col("only_a") + F.col("only_b")).alias("edges_apart"))
+
+
+# Issues that make a description unacceptable.
+CRITICAL_ISSUES = ("summary_empty", "description_empty", "description_too_brief", "missing_purpose", "missing_functionality")
+
+
+def validation_flags(rows: DataFrame) -> DataFrame:
+    """Flags of validated components: missing_docs, false_callees, false_callers, missing_callees and corrections are counts, issues
+    an array of names and result pass, warning or fail. Missing callers are no errors."""
+    return rows.withColumns({
+        "is_complete": F.col("missing_docs") == 0, "has_errors": F.col("false_callees") + F.col("false_callers") + F.col("missing_callees") > 0,
+        "is_acceptable": ~F.arrays_overlap("issues", F.array(*map(F.lit, CRITICAL_ISSUES))), "is_valid": F.col("result") != "fail",
+        "requires_iteration": (F.col("result") == "fail") | (F.col("corrections") > 0)})
+
+
+def dependency_context(edges: DataFrame, *sources: DataFrame) -> DataFrame:
+    """(caller, callee, context) of callees that a source (component_id, context) knows; the first source that does counts."""
+    ranked = [s.select(F.col("component_id").alias("callee"), F.struct(F.lit(i).alias("source"), "context").alias("found")) for i, s in enumerate(sources)]
+    known = ranked[0]
+    for more in ranked[1:]:
+        known = known.unionAll(more)
+    known = known.filter("found.context IS NOT NULL").groupBy("callee").agg(F.min("found").alias("found"))
+    return edges.select("caller", "callee").distinct().join(known, "callee").select("caller", "callee", F.col("found.context").alias("context"))
+
+
+def corrected(docs: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """docs with the values of corrections (key, path, value as text) set. A path names a field, nested ones by dots; of several
+    corrections of one field the largest value counts, and paths that docs don't have change nothing."""
+
+    def leaves(schema: T.StructType, above: str = "") -> list[tuple[str, T.DataType]]:
+        return [x for f in schema.fields if above or f.name != key for x in (leaves(f.dataType, f"{above}{f.name}.") if isinstance(f.dataType, T.StructType) else [(above + f.name, f.dataType)])]
+
+    known = leaves(docs.schema)
+    values = corrections.groupBy(key).pivot("path", [path for path, _ in known]).agg(F.max("value"))
+    values = values.select(F.col(key).alias("_key"), *(F.col(f"`{path}`").alias(f"_{i}") for i, (path, _) in enumerate(known)))
+    joined = docs.join(values, F.col(key) == F.col("_key"), "left")
+    for i, (path, kind) in enumerate(known):
+        top, _, below = path.partition(".")
+        value = F.coalesce(F.col(f"_{i}").cast(kind), F.col(path))
+        joined = joined.withColumn(top, F.col(top).withField(below, value) if below else value)
+    return joined.select(docs.columns)
+
+
+def parameter_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Parameters (component_id, name, type) that one side lacks (high, 0.5) or that differ in type (medium, 0.6). Both sides meet in one aggregation."""
+    side = lambda p, name: p.select("component_id", "name", F.lit(name).alias("side"), "type")
+    met = side(a, "a").unionAll(side(b, "b")).groupBy("component_id", "name").agg(*(F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ab"), *(F.max(F.when(F.col("side") == s, F.col("type"))).alias(f"type_{s}") for s in "ab"))
+    kind = F.when(F.col("n_a") == 0, "missing_in_a").when(F.col("n_b") == 0, "missing_in_b").when(~F.col("type_a").eqNullSafe(F.col("type_b")), "type_mismatch")
+    found = met.withColumn("kind", kind).filter("kind IS NOT NULL")
+    apart = F.col("kind") == "type_mismatch"
+    return found.select("component_id", "name", "kind", F.when(apart, "medium").otherwise("high").alias("severity"), F.when(apart, 0.6).otherwise(0.5).alias("confidence"))
+
+
+def merge_texts(rows: DataFrame) -> DataFrame:
+    """Resolution by merging: both texts, a blank line between them, with confidence 0.75."""
+    return rows.withColumns({"text": F.concat_ws("\n\n", "text_a", "text_b"), "confidence": F.lit(0.75), "resolution": F.lit("merge")})
+
+
+def by_truth(edges: DataFrame) -> DataFrame:
+    """Resolution by the third source, with confidence 0.99: what it has stays, what it lacks goes. Edges that all three have need none."""
+    open_ones = edges.filter("NOT (a = 1 AND b = 1 AND t = 1)")
+    return open_ones.withColumns({"resolution": F.when(F.col("t") == 1, "keep_edge").otherwise("drop_edge"), "confidence": F.lit(0.99)})
+
+
+def edges_of_three(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
+    """Distinct edges with a, b and t: 1 where the source has the edge. All three meet in one aggregation."""
+    rows = [df.select(*KEY, *(F.lit(int(i == j)).alias(n) for j, n in enumerate("abt"))) for i, df in enumerate((a, b, truth))]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy(*KEY).agg(*(F.max(n).alias(n) for n in "abt"))
+
+
 def hinted(edges: DataFrame, hints: DataFrame) -> DataFrame:
     """edges with hint: true or false by the third source, null if that has nothing on the component."""
     known = hints.select("component_id").distinct().withColumn("_known", F.lit(True))
@@ -66,7 +152,7 @@ def resolve_values(rows: DataFrame) -> DataFrame:
 
 def flags(discrepancies: DataFrame) -> DataFrame:
     """is_call_graph_related, is_resolved, is_blocking, needs_review and priority of discrepancies (type, resolution, confidence)."""
-    related = F.col("type").isin("call_graph_edge", "missing_callee", "missing_caller")
+    related = F.col("type").isin(*CALL_GRAPH_TYPES)
     resolved = ~F.col("resolution").isin("needs_human_review", "deferred")
     return discrepancies.withColumns({
         "is_call_graph_related": related, "is_resolved": resolved, "is_blocking": ~resolved,
@@ -74,9 +160,9 @@ def flags(discrepancies: DataFrame) -> DataFrame:
 
 
 def recommend(counted: DataFrame, iteration: int) -> DataFrame:
-    """converged and recommendation from counts total, blocking and review."""
+    """converged and recommendation from counts total and review: one discrepancy that needs a person is enough for tickets."""
     converged = F.col("total") == 0
-    said = F.when(converged, "finalize").when((F.col("review") > 0) & (F.col("blocking") == F.col("total")), "generate_tickets").when(F.lit(iteration) >= MAX_ITERATIONS, "max_iterations").otherwise("continue")
+    said = F.when(converged, "finalize").when(F.col("review") > 0, "generate_tickets").when(F.lit(iteration) >= MAX_ITERATIONS, "max_iterations_reached").otherwise("continue")
     return counted.withColumns({"converged": converged, "recommendation": said})
 
 
@@ -126,8 +212,7 @@ def iterate(state: DataFrame, step, divergent, max_iterations: int) -> tuple[Dat
 
 def three_way(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     """Each edge by where it is: one side only, false (both but not in the truth), missing (truth only) or agreed, with severity."""
-    rows = [df.select(*KEY, *(F.lit(int(i == j)).alias(n) for j, n in enumerate("abt"))) for i, df in enumerate((a, b, truth))]
-    found = rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy(*KEY).agg(*(F.max(n).alias(n) for n in "abt"))
+    found = edges_of_three(a, b, truth)
     in_a, in_b, in_t = (F.col(n) == 1 for n in "abt")
     kind = F.when(in_a & in_b & in_t, "agreed").when(in_a & in_b, "false_edge").when(~in_a & ~in_b, "missing_edge").when(in_a, "a_only").otherwise("b_only")
     found = found.withColumn("kind", kind)

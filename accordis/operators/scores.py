@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .graph import ratio
 
 #: area: (column, weight, threshold), in the order that breaks ties.
-AREAS = {"qa": (0.15, 0.80), "reconstruction": (0.20, 0.80), "scenario": (0.20, 0.85), "mutation": (0.15, 0.75), "impact": (0.15, 0.85), "test_pass": (0.15, 0.90)}
+AREAS = {"qa": (0.15, 0.80), "reconstruction": (0.20, 0.75), "scenario": (0.20, 0.85), "mutation": (0.15, 0.70), "impact": (0.15, 0.75), "test_pass": (0.15, 0.90)}
 GRADES = ("A", "B", "C", "F")
-MOST_FINDINGS = 3
+MOST_FINDINGS = 5
 
 
 def overall() -> Column:
@@ -37,13 +37,24 @@ def codebase(scores: DataFrame) -> DataFrame:
 def statistics(scores: DataFrame) -> DataFrame:
     """count, mean, lowest, highest, upper median and share that passes of the overall quality.
 
-    The upper median is the value at position n // 2 of the sorted list. It comes from counts by value, so the list is
-    never in one task: running counts over distinct values, which rounding bounds.
+    The upper median is the value at position n // 2 of the sorted list, counted from 0. Counts by thousandths (at most 1,001
+    rows) show which one holds it, counts by value inside that one (at most a million values, by rounding) where: the list
+    itself is never in one task.
     """
     rated = graded(scores)
     base = rated.agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("overall"), 6).alias("mean"), F.min("overall").alias("lowest"), F.max("overall").alias("highest"), ratio(F.count_if("passing"), F.count(F.lit(1)), 0.0).alias("passing_rate"))
-    middle = rated.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY overall DESC)").alias("upper_median"))
-    return base.crossJoin(F.broadcast(middle))
+    rough = F.floor(F.col("overall") * 1000)
+    place = _at_place(rated.groupBy(rough.alias("value")).agg(F.count(F.lit(1)).alias("n")), F.floor(F.sum("n").over(Window.partitionBy()) / 2))
+    inside = rated.join(F.broadcast(place.select(F.col("value").alias("_rough"), "left")), rough == F.col("_rough"))
+    middle = _at_place(inside.groupBy(F.col("overall").alias("value"), "left").agg(F.count(F.lit(1)).alias("n")), F.col("left")).select(F.col("value").alias("upper_median"))
+    return base.join(F.broadcast(middle), F.lit(True), "left")
+
+
+def _at_place(counts: DataFrame, place: Column) -> DataFrame:
+    """The row of (value, n) that holds a place, counted from 0 in order of value, and how much of the place is left inside it."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = counts.withColumns({"_before": before, "_place": place}).filter("_before <= _place AND _place < _before + n")
+    return found.select("value", (F.col("_place") - F.col("_before")).alias("left"))
 
 
 def distribution(scores: DataFrame) -> DataFrame:
@@ -68,10 +79,10 @@ def extreme_areas(scores: DataFrame, k: int, weakest: bool) -> DataFrame:
 
 
 def recommendations(scores: DataFrame) -> DataFrame:
-    """Areas below their threshold with gap, priority and rank: the largest gap first, ties by area order."""
-    gaps = areas(scores).withColumn("gap", F.round(F.col("threshold") - F.col("score"), 9)).filter("gap > 0")
-    ranked = F.row_number().over(Window.partitionBy("component_id").orderBy(F.col("gap").desc(), "area_order"))
-    return gaps.select("component_id", "area", "gap", F.when(F.col("gap") > 0.2, "critical").when(F.col("gap") > 0.1, "high").otherwise("medium").alias("priority"), ranked.alias("rank"))
+    """Areas below their threshold with gap, priority and rank: the largest gap in whole per cent first, ties by area order."""
+    gaps = areas(scores).filter("score < threshold").withColumn("gap", F.col("threshold") - F.col("score"))
+    ranked = F.row_number().over(Window.partitionBy("component_id").orderBy(F.bround(F.col("gap") * 100, 0).desc(), "area_order"))
+    return gaps.select("component_id", "area", F.round("gap", 9).alias("gap"), F.when(F.col("gap") > 0.2, "critical").when(F.col("gap") > 0.1, "high").otherwise("medium").alias("priority"), ranked.alias("rank"))
 
 
 def failing(scores: DataFrame) -> DataFrame:

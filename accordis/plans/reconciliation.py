@@ -7,7 +7,14 @@ from .registry import query
 
 SIDES = """(SELECT coalesce(a.component_id, b.component_id) AS component_id, coalesce(a.caller, b.caller) AS caller, coalesce(a.callee, b.callee) AS callee, a.caller IS NOT NULL AS in_a, b.caller IS NOT NULL AS in_b
     FROM (SELECT DISTINCT * FROM {stream_a} x) a FULL JOIN (SELECT DISTINCT * FROM {stream_b} y) b ON a.component_id = b.component_id AND a.callee = b.callee)"""
-COMPARED = f"""(SELECT component_id, bool_or(in_a) AS has_a, bool_or(in_b) AS has_b, count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (in_a AND NOT in_b) AS only_a, count(*) FILTER (NOT in_a AND in_b) AS only_b FROM {SIDES} s GROUP BY component_id)"""
+# A component counts when a stream documents it, with edges or without.
+COMPARED = f"""(SELECT component_id, coalesce(has_a, false) OR coalesce(edge_a, false) AS has_a, coalesce(has_b, false) OR coalesce(edge_b, false) AS has_b, coalesce(common, 0) AS common, coalesce(only_a, 0) AS only_a, coalesce(only_b, 0) AS only_b
+    FROM (SELECT DISTINCT component_id, true AS has_a FROM {{docs_a}} a) FULL JOIN (SELECT DISTINCT component_id, true AS has_b FROM {{docs_b}} b) USING (component_id) FULL JOIN (SELECT component_id, bool_or(in_a) AS edge_a, bool_or(in_b) AS edge_b,
+    count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (in_a AND NOT in_b) AS only_a, count(*) FILTER (NOT in_a AND in_b) AS only_b FROM {SIDES} s GROUP BY component_id) USING (component_id))"""
+
+
+def compared(t):
+    return r.compare_streams(t.stream_a, t.stream_b, t.docs_a, t.docs_b)
 
 
 @query("so2_edge_sides", f"SELECT * FROM {SIDES} s")
@@ -17,18 +24,18 @@ def _(t):
 
 @query("so2_stream_comparison", f"SELECT component_id, common, only_a, only_b, only_a = 0 AND only_b = 0 AS identical FROM {COMPARED} c WHERE has_a AND has_b")
 def _(t):
-    return r.common_components(r.compare_streams(t.stream_a, t.stream_b))
+    return r.common_components(compared(t))
 
 
 @query("a6_agreement", f"""WITH c AS (SELECT count(*) AS components, count(*) FILTER (only_a = 0 AND only_b = 0) AS identical FROM {COMPARED} c WHERE has_a AND has_b)
     SELECT *, CASE WHEN components = 0 THEN 1.0::DOUBLE ELSE identical::DOUBLE / components END AS agreement_rate, CASE WHEN components = 0 THEN true ELSE identical::DOUBLE / components >= 0.95 END AS converged FROM c""")
 def _(t):
-    return r.agreement(r.common_components(r.compare_streams(t.stream_a, t.stream_b)))
+    return r.agreement(r.common_components(compared(t)))
 
 
 @query("jn2_missing_components", f"""SELECT component_id, CASE WHEN has_b THEN 'missing_in_a' ELSE 'missing_in_b' END AS type, CASE WHEN has_b THEN 'accept_stream_b' ELSE 'accept_stream_a' END AS resolution, 0.9::DOUBLE AS confidence FROM {COMPARED} c WHERE NOT (has_a AND has_b)""")
 def _(t):
-    return r.missing_components(r.compare_streams(t.stream_a, t.stream_b))
+    return r.missing_components(compared(t))
 
 
 HINTED = f"""(SELECT s.*, CASE WHEN k.component_id IS NOT NULL THEN h.caller IS NOT NULL END AS hint FROM {SIDES} s LEFT JOIN (SELECT DISTINCT component_id FROM {{hints}} q) k ON k.component_id = s.component_id
@@ -58,11 +65,31 @@ def _(t):
     return r.resolve_edges(one_sided(t)).drop("in_b")
 
 
-@query("p15_flags", f"""SELECT component_id, callee, resolution, in_a AS is_call_graph_related, resolution <> 'needs_human_review' AS is_resolved, resolution = 'needs_human_review' AS is_blocking, confidence < 0.7 AND resolution = 'needs_human_review' AS needs_review,
-    CASE WHEN in_a OR confidence < 0.5 THEN 'High' ELSE 'Medium' END AS priority FROM {RESOLVED} r""")
+TYPED = f"""(SELECT *, CASE hash % 6 WHEN 0 THEN 'call_graph_edge' WHEN 1 THEN 'call_site_line' WHEN 2 THEN 'call_type_mismatch' WHEN 3 THEN 'summary_mismatch' WHEN 4 THEN 'missing_callee' ELSE 'missing_component' END AS type
+    FROM (SELECT *, component_id + CAST(substring(callee, 2) AS BIGINT) AS hash FROM {RESOLVED} r) h)"""
+TYPES = ("call_graph_edge", "call_site_line", "call_type_mismatch", "summary_mismatch", "missing_callee", "missing_component")
+
+
+def typed(t):
+    """Discrepancies of all types: the type follows from the ids."""
+    number = F.col("component_id") + F.substring("callee", 2, 20).cast("long")
+    return r.resolve_edges(one_sided(t)).withColumn("type", F.element_at(F.array(*map(F.lit, TYPES)), (number % 6 + 1).cast("int")))
+
+
+@query("p15_flags", f"""SELECT component_id, callee, type, resolution, type IN ('call_graph_edge', 'call_site_line', 'call_type_mismatch') AS is_call_graph_related, resolution NOT IN ('needs_human_review', 'deferred') AS is_resolved,
+    resolution IN ('needs_human_review', 'deferred') AS is_blocking, confidence < 0.7 AND resolution = 'needs_human_review' AS needs_review, CASE WHEN type IN ('call_graph_edge', 'call_site_line', 'call_type_mismatch') OR confidence < 0.5 THEN 'High' ELSE 'Medium' END AS priority FROM {TYPED} r""")
 def _(t):
-    found = r.resolve_edges(one_sided(t)).withColumn("type", F.when(F.col("in_a"), "missing_callee").otherwise("summary"))
-    return r.flags(found).select("component_id", "callee", "resolution", "is_call_graph_related", "is_resolved", "is_blocking", "needs_review", "priority")
+    return r.flags(typed(t)).select("component_id", "callee", "type", "resolution", "is_call_graph_related", "is_resolved", "is_blocking", "needs_review", "priority")
+
+
+@query("p24_priority", f"SELECT type, CASE WHEN type IN ('call_graph_edge', 'call_site_line', 'call_type_mismatch') OR confidence < 0.5 THEN 'High' ELSE 'Medium' END AS priority, count(*) AS n FROM {TYPED} r GROUP BY ALL")
+def _(t):
+    return r.flags(typed(t)).groupBy("type", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p16_needs_ticket", f"SELECT component_id, callee, type FROM {TYPED} r WHERE resolution = 'needs_human_review' AND confidence < 0.7")
+def _(t):
+    return r.flags(typed(t)).filter("needs_review").select("component_id", "callee", "type")
 
 
 @query("p16_blocking_by_component", f"SELECT component_id, count(*) AS blocking FROM {RESOLVED} r WHERE resolution = 'needs_human_review' GROUP BY component_id")
@@ -70,7 +97,7 @@ def _(t):
     return r.resolve_edges(one_sided(t)).filter("resolution = 'needs_human_review'").groupBy("component_id").agg(F.count(F.lit(1)).alias("blocking"))
 
 
-@query("c4_recommendation", f"""SELECT total, blocking, review, total = 0 AS converged, CASE WHEN total = 0 THEN 'finalize' WHEN review > 0 AND blocking = total THEN 'generate_tickets' WHEN 2 >= 5 THEN 'max_iterations' ELSE 'continue' END AS recommendation
+@query("c4_recommendation", f"""SELECT total, blocking, review, total = 0 AS converged, CASE WHEN total = 0 THEN 'finalize' WHEN review > 0 THEN 'generate_tickets' WHEN 2 >= 5 THEN 'max_iterations_reached' ELSE 'continue' END AS recommendation
     FROM (SELECT count(*) AS total, count(*) FILTER (resolution = 'needs_human_review') AS blocking, count(*) FILTER (resolution = 'needs_human_review' AND confidence < 0.7) AS review FROM {RESOLVED} r)""")
 def _(t):
     review = F.col("resolution") == "needs_human_review"
@@ -118,9 +145,16 @@ def _(t):
     return t.iterations.select("run_id", "iteration", r.any_of(F.col("discrepancies") == 0, (F.col("identical").cast("double") / F.col("total") >= 0.65) & (F.col("blocking") <= 3)).alias("converged"))
 
 
-@query("c8_status_lists", f"""SELECT only_a = 0 AND only_b = 0 AS identical, count(*) AS components, min(component_id) AS first_id, max(component_id) AS last_id FROM {COMPARED} c WHERE has_a AND has_b GROUP BY 1""")
+@query("c8_stream_status", f"""SELECT components, identical, components - identical AS differing, CASE WHEN components = 0 THEN 1.0::DOUBLE ELSE identical::DOUBLE / components END AS agreement_rate, components = 0 OR identical >= 0.95 * components AS converged
+    FROM (SELECT count(*) AS components, count(*) FILTER (only_a = 0 AND only_b = 0) AS identical FROM {COMPARED} c WHERE has_a AND has_b)""")
+def _(t):
+    return r.stream_status(r.common_components(compared(t)))
+
+
+@query("c8_status_ids", f"""SELECT component_id, CASE WHEN only_a = 0 AND only_b = 0 THEN 'identical' ELSE 'different' END AS status, only_a + only_b AS edges_apart FROM {COMPARED} c WHERE has_a AND has_b""")
 def _(t):
-    return r.common_components(r.compare_streams(t.stream_a, t.stream_b)).groupBy("identical").agg(F.count(F.lit(1)).alias("components"), F.min("component_id").alias("first_id"), F.max("component_id").alias("last_id"))
+    """The lists of ids, as rows: they grow with the input."""
+    return r.status_ids(r.common_components(compared(t)))
 
 
 @query("jn4_merge_streams", """SELECT o_orderkey AS component_id, coalesce(a.s, b.s) AS summary, CAST(trunc(CASE WHEN a.c IS NOT NULL AND b.c IS NOT NULL THEN least(a.c, b.c) * 100 ELSE coalesce(a.c, b.c) * 80 END) AS INTEGER) AS confidence,
@@ -136,7 +170,7 @@ def _(t):
 
 @query("jn5_divergent_only", f"SELECT o_orderkey AS component_id, o_custkey FROM orders WHERE o_orderkey IN (SELECT component_id FROM {COMPARED} c WHERE has_a AND has_b AND only_a + only_b > 0)")
 def _(t):
-    divergent = r.common_components(r.compare_streams(t.stream_a, t.stream_b)).filter("NOT identical")
+    divergent = r.common_components(compared(t)).filter("NOT identical")
     return t.orders.select(F.col("o_orderkey").alias("component_id"), "o_custkey").join(divergent, "component_id", "left_semi")
 
 
@@ -150,8 +184,8 @@ def _(t):
 @query("jn9_dependency_context", """SELECT e.caller, e.callee, coalesce(n.text, p.text) AS context FROM (SELECT DISTINCT caller, callee FROM {edges} e) e
     LEFT JOIN (SELECT concat('p', p_partkey) AS id, p_name AS text FROM part WHERE p_size > 25) n ON n.id = e.callee LEFT JOIN (SELECT concat('p', p_partkey) AS id, p_brand AS text FROM part WHERE p_size > 10) p ON p.id = e.callee WHERE coalesce(n.text, p.text) IS NOT NULL""")
 def _(t):
-    docs = t.part.filter("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("callee"), F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_brand")).alias("context"))
-    return t.edges.select("caller", "callee").distinct().join(docs, "callee").select("caller", "callee", "context")
+    key = F.concat(F.lit("p"), "p_partkey").alias("component_id")
+    return r.dependency_context(t.edges, t.part.filter("p_size > 25").select(key, F.col("p_name").alias("context")), t.part.filter("p_size > 10").select(key, F.col("p_brand").alias("context")))
 
 
 @query("a27_feedback", f"""SELECT component_id, coalesce(string_agg(caller || '->' || callee, ',' ORDER BY caller || '->' || callee) FILTER (NOT in_a), '') AS to_add, coalesce(string_agg(caller || '->' || callee, ',' ORDER BY caller || '->' || callee) FILTER (NOT in_b), '') AS to_verify,
@@ -169,10 +203,17 @@ def checks(t):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count_if(flag == "A").alias("found"), F.count_if(flag == "N").alias("missing_callees"), F.count_if((flag == "R") & (n > 3)).alias("false_callees"), F.count_if((flag == "R") & (n == 1)).alias("false_callers"), F.count_if(F.col("l_tax") == 0).alias("missing_docs"))
 
 
-@query("p17_validation_flags", f"""SELECT id, missing_docs = 0 AS is_complete, false_callees + false_callers + missing_callees > 0 AS has_errors, missing_docs = 0 AND false_callees + false_callers + missing_callees = 0 AS is_valid FROM {CHECKS} c""")
+ISSUES = ["summary_empty", "summary_too_brief", "description_empty", "description_too_brief", "missing_purpose", "missing_functionality", "style"]
+
+
+@query("p17_validation_flags", f"""SELECT c.id, missing_docs = 0 AS is_complete, false_callees + false_callers + missing_callees > 0 AS has_errors, len(list_intersect(issues, ['summary_empty', 'description_empty', 'description_too_brief', 'missing_purpose', 'missing_functionality'])) = 0 AS is_acceptable,
+    result <> 'fail' AS is_valid, result = 'fail' OR false_callees > 0 AS requires_iteration FROM {CHECKS} c JOIN (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'warning' ELSE 'pass' END AS result,
+    [x for x in [CASE WHEN o_custkey % 3 = 0 THEN {ISSUES}[1 + o_custkey % 7] END, CASE WHEN o_orderpriority = '5-LOW' THEN 'style' END] if x IS NOT NULL] AS issues FROM orders) o ON o.id = c.id""")
 def _(t):
-    wrong = F.col("false_callees") + F.col("false_callers") + F.col("missing_callees") > 0
-    return checks(t).select("id", (F.col("missing_docs") == 0).alias("is_complete"), wrong.alias("has_errors"), ((F.col("missing_docs") == 0) & ~wrong).alias("is_valid"))
+    said = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "warning").otherwise("pass")
+    issues = F.array_compact(F.array(F.when(F.col("o_custkey") % 3 == 0, F.element_at(F.array(*map(F.lit, ISSUES)), (F.col("o_custkey") % 7 + 1).cast("int"))), F.when(F.col("o_orderpriority") == "5-LOW", "style")))
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), said.alias("result"), issues.alias("issues"))
+    return r.validation_flags(checks(t).join(orders, "id").withColumn("corrections", F.col("false_callees"))).select("id", "is_complete", "has_errors", "is_acceptable", "is_valid", "requires_iteration")
 
 
 @query("a5_callee_accuracy", f"""SELECT id, CASE WHEN found + false_callees = 0 THEN 1.0::DOUBLE ELSE found::DOUBLE / (found + false_callees) END AS callee_precision, CASE WHEN found + missing_callees = 0 THEN 1.0::DOUBLE ELSE found::DOUBLE / (found + missing_callees) END AS callee_recall FROM {CHECKS} c""")
@@ -200,12 +241,16 @@ def _(t):
     return r.edge_sides(t.stream_a, t.stream_b).filter("in_a <> in_b").select("component_id").distinct()
 
 
-@query("c17_apply_correction", """SELECT o_orderkey AS id, CASE WHEN c.v IS NOT NULL THEN c.v ELSE o_orderstatus END AS status, o_orderpriority AS priority FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) c ON c.l_orderkey = o_orderkey""")
+@query("c17_apply_correction", """SELECT o_orderkey AS id, coalesce(max(l_linestatus) FILTER (l_linenumber = 1), o_orderstatus) AS status, coalesce(max(l_shipdate) FILTER (l_linenumber = 2), o_orderdate) AS due, coalesce(max(l_returnflag) FILTER (l_linenumber = 3), o_orderpriority) AS priority
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderdate, o_orderpriority""")
 def _(t):
-    corrections = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linestatus").alias("v"))
-    docs = t.orders.select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("doc"))
-    fixed = docs.join(corrections, "id", "left").withColumn("doc", F.col("doc").withField("status", F.coalesce("v", "doc.status")))
-    return fixed.select("id", "doc.status", "doc.priority")
+    """Corrections come as (id, path, value) rows: top-level fields and fields two and three levels down."""
+    n = F.col("l_linenumber")
+    path = F.when(n == 1, "status").when(n == 2, "plan.due").when(n == 3, "plan.rank.priority").when(n == 4, "plan.no.such")
+    value = F.when(n == 1, F.col("l_linestatus")).when(n == 2, F.col("l_shipdate").cast("string")).otherwise(F.col("l_returnflag"))
+    corrections = t.lineitem.select(F.col("l_orderkey").alias("id"), path.alias("path"), value.alias("value")).filter("path IS NOT NULL")
+    docs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderdate").alias("due"), F.struct(F.col("o_orderpriority").alias("priority")).alias("rank")).alias("plan"))
+    return r.corrected(docs, corrections, "id").select("id", "status", F.col("plan.due").alias("due"), F.col("plan.rank.priority").alias("priority"))
 
 
 THREE = """(SELECT component_id, caller, callee, max(a) = 1 AS a, max(b) = 1 AS b, max(t) = 1 AS t FROM (SELECT *, 1 AS a, 0 AS b, 0 AS t FROM {stream_a} x UNION ALL SELECT *, 0, 1, 0 FROM {stream_b} y UNION ALL SELECT *, 0, 0, 1 FROM {hints} z) GROUP BY ALL)"""
@@ -227,7 +272,7 @@ def _(t):
 
 @query("dd7_rates", f"""SELECT greatest(0, 1 - edges::DOUBLE / (3 * components)) AS match_rate, greatest(0, 1 - missing::DOUBLE / components) AS similarity FROM (SELECT count(*) AS components, sum(only_a + only_b) AS edges, count(*) FILTER (NOT (has_a AND has_b)) AS missing FROM {COMPARED} c)""")
 def _(t):
-    c = r.compare_streams(t.stream_a, t.stream_b).agg(F.count(F.lit(1)).alias("components"), F.sum(F.col("only_a") + F.col("only_b")).alias("edges"), F.count_if(~(F.col("has_a") & F.col("has_b"))).alias("missing"))
+    c = compared(t).agg(F.count(F.lit(1)).alias("components"), F.sum(F.col("only_a") + F.col("only_b")).alias("edges"), F.count_if(~(F.col("has_a") & F.col("has_b"))).alias("missing"))
     return c.select(F.greatest(F.lit(0.0), 1 - F.col("edges").cast("double") / (3 * F.col("components"))).alias("match_rate"), F.greatest(F.lit(0.0), 1 - F.col("missing").cast("double") / F.col("components")).alias("similarity"))
 
 
@@ -238,3 +283,31 @@ def _(t):
     components = t.supplier.select(F.concat(F.lit("m"), "s_nationkey", F.lit("."), F.col("s_suppkey") % 50).alias("component_id"))
     calls = t.customer.select(F.concat(F.lit("m"), "c_nationkey", F.lit(".f"), "c_custkey").alias("caller"), (F.col("c_custkey") % 60).cast("string").alias("short")).distinct()
     return r.by_short_name(calls, components)
+
+
+PARAMETERS = """(SELECT l_orderkey AS component_id, concat('p', l_partkey) AS name, {0} AS type, {1} AS description FROM lineitem WHERE {2})"""
+PARAMETERS_A = PARAMETERS.format("max(l_returnflag)", "max(l_linestatus)", "l_linenumber <= 5 GROUP BY l_orderkey, l_partkey")
+PARAMETERS_B = PARAMETERS.format("max(CASE WHEN l_quantity > 40 THEN 'X' ELSE l_returnflag END)", "min(l_linestatus)", "l_linenumber >= 3 GROUP BY l_orderkey, l_partkey")
+
+
+def parameters(t, side):
+    n = F.col("l_linenumber")
+    rows = t.lineitem.filter(n <= 5 if side == "a" else n >= 3).groupBy(F.col("l_orderkey").alias("component_id"), F.concat(F.lit("p"), "l_partkey").alias("name"))
+    return rows.agg((F.max("l_returnflag") if side == "a" else F.max(F.when(F.col("l_quantity") > 40, "X").otherwise(F.col("l_returnflag")))).alias("type"), (F.max("l_linestatus") if side == "a" else F.min("l_linestatus")).alias("description"))
+
+
+@query("dd3_parameters", f"""SELECT coalesce(a.component_id, b.component_id) AS component_id, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'missing_in_a' WHEN b.name IS NULL THEN 'missing_in_b' ELSE 'type_mismatch' END AS kind,
+    CASE WHEN a.name IS NULL OR b.name IS NULL THEN 'high' ELSE 'medium' END AS severity, CASE WHEN a.name IS NULL OR b.name IS NULL THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS confidence
+    FROM {PARAMETERS_A} a FULL JOIN {PARAMETERS_B} b ON a.component_id = b.component_id AND a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.type IS DISTINCT FROM b.type""")
+def _(t):
+    return r.parameter_differences(parameters(t, "a"), parameters(t, "b"))
+
+
+@query("dd6_merged_texts", "SELECT doc_id, concat(text_a, chr(10) || chr(10), text_b) AS text, 0.75::DOUBLE AS confidence, 'merge' AS resolution FROM {pairs} p")
+def _(t):
+    return r.merge_texts(t.pairs).select("doc_id", "text", "confidence", "resolution")
+
+
+@query("dd4_truth_resolution", f"SELECT component_id, caller, callee, CASE WHEN t THEN 'keep_edge' ELSE 'drop_edge' END AS resolution, 0.99::DOUBLE AS confidence FROM {THREE} x WHERE NOT (a AND b AND t)")
+def _(t):
+    return r.by_truth(r.edges_of_three(t.stream_a, t.stream_b, t.hints)).select("component_id", "caller", "callee", "resolution", "confidence")

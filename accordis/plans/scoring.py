@@ -59,14 +59,19 @@ def _(t):
     return s.extreme_areas(t.scores, 2, weakest=False)
 
 
-@query("t3_recommendations", f"""SELECT component_id, area, gap, CASE WHEN gap > 0.2 THEN 'critical' WHEN gap > 0.1 THEN 'high' ELSE 'medium' END AS priority, (row_number() OVER (PARTITION BY component_id ORDER BY gap DESC, area_order))::INTEGER AS rank
-    FROM (SELECT *, round(threshold - score, 9) AS gap FROM {LONG} l) WHERE gap > 0""")
+# What each area must reach.
+LIMITS = "[{'area': 'qa', 'least': 0.8}, {'area': 'reconstruction', 'least': 0.75}, {'area': 'scenario', 'least': 0.85}, {'area': 'mutation', 'least': 0.7}, {'area': 'impact', 'least': 0.75}, {'area': 'test_pass', 'least': 0.9}]"
+
+
+@query("t3_recommendations", f"""SELECT component_id, area, round(gap, 9) AS gap, CASE WHEN gap > 0.2 THEN 'critical' WHEN gap > 0.1 THEN 'high' ELSE 'medium' END AS priority,
+    (row_number() OVER (PARTITION BY component_id ORDER BY round_even(gap * 100, 0) DESC, area_order))::INTEGER AS rank
+    FROM (SELECT component_id, l.area, area_order, u.least::DOUBLE - score AS gap FROM {LONG} l JOIN (SELECT unnest({LIMITS}) AS u) m ON u.area = l.area WHERE score < u.least::DOUBLE)""")
 def _(t):
     return s.recommendations(t.scores)
 
 
-@query("t4_failing_thresholds", f"""SELECT d.component_id, concat_ws(',', CASE WHEN qa < 0.8 THEN 'qa' END, CASE WHEN reconstruction < 0.8 THEN 'reconstruction' END, CASE WHEN scenario < 0.85 THEN 'scenario' END, CASE WHEN mutation < 0.75 THEN 'mutation' END,
-    CASE WHEN impact < 0.85 THEN 'impact' END, CASE WHEN test_pass < 0.9 THEN 'test_pass' END, CASE WHEN overall < 0.85 THEN 'overall' END, CASE WHEN findings > 3 THEN 'findings' END) AS failing FROM {DOUBLES} d JOIN {RATED} r ON r.component_id = d.component_id""")
+@query("t4_failing_thresholds", f"""SELECT d.component_id, concat_ws(',', CASE WHEN qa < 0.8 THEN 'qa' END, CASE WHEN reconstruction < 0.75 THEN 'reconstruction' END, CASE WHEN scenario < 0.85 THEN 'scenario' END, CASE WHEN mutation < 0.7 THEN 'mutation' END,
+    CASE WHEN impact < 0.75 THEN 'impact' END, CASE WHEN test_pass < 0.9 THEN 'test_pass' END, CASE WHEN overall < 0.85 THEN 'overall' END, CASE WHEN findings > 5 THEN 'findings' END) AS failing FROM {DOUBLES} d JOIN {RATED} r ON r.component_id = d.component_id""")
 def _(t):
     return s.failing(t.scores).select("component_id", F.array_join("failing", ",").alias("failing"))
 

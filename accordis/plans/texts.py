@@ -12,8 +12,13 @@ RELATIONS["raw_ids"] = """SELECT p_partkey AS seq, CASE p_size % 4 WHEN 0 THEN '
     CASE p_size % 4 WHEN 0 THEN CASE WHEN p_size % 5 = 0 THEN concat('<', p_name, '>') ELSE concat('app', CASE WHEN p_size % 3 = 0 THEN '.' ELSE '' END, replace(p_name, ' ', '.')) END
     WHEN 1 THEN CASE WHEN p_size % 5 = 0 THEN concat(' a->', p_brand) ELSE concat(' mod.', p_brand, ' ') END WHEN 2 THEN concat('com.x.', p_brand, '(int)') ELSE concat('src/', p_brand, '/', p_type, '.ts') END AS raw FROM part"""
 RELATIONS["callees"] = """SELECT p_partkey AS seq, CASE p_size % 5 WHEN 0 THEN concat('app.', CASE WHEN p_size % 2 = 0 THEN 'filter' ELSE 'run' END) WHEN 1 THEN concat('os.path.', p_type) WHEN 2 THEN 'print' WHEN 3 THEN concat('json.', p_name) ELSE concat('pkg.', p_type) END AS callee FROM part"""
-RELATIONS["damaged"] = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN replace(props, '}', '') WHEN 1 THEN replace(props, '"', '''') WHEN 2 THEN replace(props, '}', ',}') WHEN 3 THEN concat('```json', chr(10), props, chr(10), '```')
-    WHEN 4 THEN replace(props, '}', ', "ok": True}') WHEN 5 THEN replace(props, '}', ', "v": NaN}') ELSE concat('Here it is: ', props, ' done') END AS text FROM events"""
+# What a row's text was meant to say, and the text as it came: whole, cut, or with one of the faults that repair knows.
+MEANT = """concat('{"summary":"', event_type, ' http://x.io/', CAST(user_id AS STRING), '","n":', CAST(event_id AS STRING), ',"tags":["a","', event_type, '"],"in":{"ok":true,"none":null}}')"""
+RELATIONS["damaged"] = f"""SELECT event_id AS id, event_type, CASE event_id % 16 WHEN 0 THEN substring({MEANT}, 1, length({MEANT}) - 2) WHEN 1 THEN replace({MEANT}, '"', chr(39)) WHEN 2 THEN replace(replace({MEANT}, '}}', ', }}'), ']', ',]')
+    WHEN 3 THEN concat('```json', chr(10), {MEANT}, chr(10), '```') WHEN 4 THEN replace(replace({MEANT}, 'true', 'True'), 'null', 'None') WHEN 5 THEN replace({MEANT}, 'null', 'NaN') WHEN 6 THEN concat('Here it is: ', {MEANT}, ' done')
+    WHEN 7 THEN replace(replace({MEANT}, '"n":', 'n:'), '"in":', 'in : ') WHEN 8 THEN replace({MEANT}, ',"n"', concat(', // it''s "the" number', chr(10), '"n"')) WHEN 9 THEN replace({MEANT}, '"n":', '/* a , b */"n":')
+    WHEN 10 THEN replace(replace({MEANT}, ',"n"', ' "n"'), '"a","', '"a" "') WHEN 11 THEN concat('```', chr(10), replace({MEANT}, ',"tags"', ' "tags"'), chr(10), '```') WHEN 12 THEN replace(replace({MEANT}, ':{{', ':['), '}}}}', ']}}')
+    WHEN 13 THEN substring({MEANT}, 1, length({MEANT}) - 20) WHEN 14 THEN ' ' ELSE {MEANT} END AS text FROM events"""
 RELATIONS["comments"] = """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN concat('RESOLUTION: accept_a', chr(10), role) WHEN 1 THEN concat('resolution: Merge ', role) WHEN 2 THEN concat('note ', role) WHEN 3 THEN 'RESOLUTION: manual' ELSE concat('see bd-', CAST(conv_id AS STRING)) END AS comment FROM conversations"""
 
 
@@ -241,23 +246,21 @@ def _(t):
     return t.damaged.select("id", j.strip_fence(F.col("text")).alias("text"))
 
 
-@query("j2_repair", """SELECT id, CASE id % 7 WHEN 0 THEN text WHEN 1 THEN replace(text, '''', '"') WHEN 2 THEN replace(text, ',}', '}') WHEN 4 THEN replace(text, 'True', 'true') WHEN 5 THEN replace(text, 'NaN', 'null') ELSE text END AS text FROM {damaged} d WHERE id % 7 NOT IN (3, 6)""")
+@query("j2_repair", f"""SELECT event_id AS id, CASE event_id % 16 WHEN 0 THEN substring({MEANT}, 1, length({MEANT}) - 2) WHEN 3 THEN concat('```json', chr(10), {MEANT}, chr(10), '```') WHEN 6 THEN concat('Here it is: ', {MEANT}, ' done')
+    WHEN 7 THEN replace({MEANT}, '"in":', '"in" : ') WHEN 8 THEN replace({MEANT}, ',"n"', concat(', ', chr(10), '"n"')) WHEN 10 THEN replace(replace({MEANT}, ',"n"', ', "n"'), '"a","', '"a", "')
+    WHEN 11 THEN concat('```', chr(10), replace({MEANT}, ',"tags"', ', "tags"'), chr(10), '```') WHEN 12 THEN replace(replace({MEANT}, ':{{', ':[{{'), '}}}}', '}}]}}') WHEN 13 THEN substring({MEANT}, 1, length({MEANT}) - 20) WHEN 14 THEN '{{}}'
+    ELSE {MEANT} END AS text FROM events""")
 def _(t):
-    return t.damaged.filter("id % 7 NOT IN (3, 6)").select("id", j.repair(F.col("text")).alias("text"))
-
-
-@query("j2_repair_all", """SELECT id, CASE id % 7 WHEN 0 THEN text WHEN 1 THEN replace(text, '''', '"') WHEN 2 THEN replace(text, ',}', '}') WHEN 4 THEN replace(text, 'True', 'true') WHEN 5 THEN replace(text, 'NaN', 'null') ELSE text END AS text FROM {damaged} d""")
-def _(t):
-    """Every row of the relation; fences and prose stay, as j1 and j4 take them off."""
     return t.damaged.select("id", j.repair(F.col("text")).alias("text"))
 
 
-@query("j3_balance", "SELECT id, CASE WHEN id % 7 = 0 THEN concat(text, '}') ELSE text END AS text FROM {damaged} d")
+@query("j3_balance", "SELECT event_id AS id, CASE event_id % 2 WHEN 0 THEN concat('{{', rtrim(replace(props, '}', '')), '}}}') ELSE concat('[[', rtrim(props), ']]') END AS text FROM events")
 def _(t):
-    return t.damaged.select("id", j.balance(F.col("text")).alias("text"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{{"), F.regexp_replace("props", r"\}", ""))).otherwise(F.concat(F.lit("[["), "props"))
+    return t.events.select(F.col("event_id").alias("id"), j.balance(text).alias("text"))
 
 
-@query("j4_cascade", """SELECT event_id AS id, CASE event_id % 7 WHEN 4 THEN replace(replace(props, ' ', ''), '}', ',"ok":true}') WHEN 5 THEN replace(replace(props, ' ', ''), '}', ',"v":null}') ELSE replace(props, ' ', '') END AS json FROM events""")
+@query("j4_cascade", f"""SELECT event_id AS id, CASE event_id % 16 WHEN 14 THEN '{{}}' WHEN 13 THEN concat('{{"summary":"', event_type, ' http://x.io/', CAST(user_id AS STRING), '"}}') WHEN 12 THEN replace(replace({MEANT}, ':{{', ':[{{'), '}}}}', '}}]}}') ELSE {MEANT} END AS json FROM events""")
 def _(t):
     return t.damaged.select("id", j.parse(F.col("text")).alias("json"))
 
@@ -268,12 +271,26 @@ def _(t):
     return t.events.select(F.col("event_id").alias("id"), j.partial_text(text, "summary").alias("summary"), j.partial_number(text, "confidence|score").alias("confidence"))
 
 
-@query("j6_any_to_text", """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN concat(event_type, ', b') ELSE user_id::VARCHAR END AS text FROM events""")
+def loose_json():
+    """JSON values of eight shapes: a text, objects with one or no usual field, nested ones, a list, a number, a boolean, null."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    shapes = (F.format_string('"%s"', kind), F.format_string('{"x": 1, "text": "%s", "message": ""}', kind), F.format_string('{"summary": "s", "message": {"value": ["%s", "", "b"]}}', kind), F.format_string('{"x": "%s", "y": [], "z": %s}', kind, user), F.format_string('["%s", null, {"reason": "r"}, %s]', kind, user), user, F.lit("true"), F.lit("null"))
+    out = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        out = F.when(F.col("event_id") % 9 == i, shape).otherwise(out)
+    return out
+
+
+@query("j6_any_to_text", """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN concat(event_type, ' b') WHEN 3 THEN concat(event_type, CASE WHEN user_id <> 0 THEN concat(' ', user_id) ELSE '' END) WHEN 4 THEN concat(event_type, ' r', CASE WHEN user_id <> 0 THEN concat(' ', user_id) ELSE '' END)
+    WHEN 5 THEN user_id::VARCHAR WHEN 6 THEN 'True' WHEN 7 THEN '' END AS text FROM events""")
 def _(t):
-    n = F.col("event_id") % 4
-    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
-    json = F.when(n == 0, quoted).when(n == 1, F.concat(F.lit('{"x": 1, "text": '), quoted, F.lit("}"))).when(n == 2, F.concat(F.lit("["), quoted, F.lit(', "b"]'))).otherwise(F.col("user_id").cast("string"))
-    return t.events.select(F.col("event_id").alias("id"), j.as_text(json).alias("text"))
+    return t.events.select(F.col("event_id").alias("id"), j.as_text(loose_json()).alias("text"))
+
+
+@query("j6_any_to_texts", """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN event_type WHEN 1 THEN concat('1|', event_type) WHEN 2 THEN concat('s|', event_type, ' b') WHEN 3 THEN concat(event_type, CASE WHEN user_id <> 0 THEN concat('|', user_id) ELSE '' END) WHEN 4 THEN concat(event_type, '|r', CASE WHEN user_id <> 0 THEN concat('|', user_id) ELSE '' END)
+    WHEN 5 THEN user_id::VARCHAR WHEN 6 THEN 'True' WHEN 7 THEN '' END AS texts FROM events""")
+def _(t):
+    return t.events.select(F.col("event_id").alias("id"), F.array_join(j.as_texts(loose_json()), "|").alias("texts"))
 
 
 RELATIONS["loose"] = """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'Very High' WHEN 1 THEN ' low ' WHEN 2 THEN 'none' WHEN 3 THEN '7' WHEN 4 THEN '0.4' WHEN 5 THEN 'junk' WHEN 6 THEN 'Yes' WHEN 7 THEN '12.9' ELSE 'passed' END AS v FROM events"""
@@ -284,9 +301,19 @@ def _(t):
     return t.loose.select("id", j.score(F.col("v")).alias("score"))
 
 
-@query("j8_whole_and_truth", "SELECT id, trunc(try_cast(trim(v) AS DOUBLE))::BIGINT AS whole, lower(trim(v)) IN ('true', 'yes', '1', 'on', 'required', 'y') AS truth FROM {loose} l")
+@query("j8_whole_and_truth", "SELECT id, trunc(try_cast(trim(v) AS DOUBLE))::BIGINT AS whole, v IS NULL OR lower(trim(v)) IN ('true', 'yes', '1', 'on', 'required', 'y') AS truth FROM (SELECT id, CASE WHEN v <> 'junk' THEN v END AS v FROM {loose} l) n")
+def _(t):
+    v = F.when(F.col("v") != "junk", F.col("v"))
+    return t.loose.select("id", j.whole(v).alias("whole"), j.truth(v).alias("truth"))
+
+
+@query("j8_json_values", """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN user_id WHEN 1 THEN event_id % 8 WHEN 2 THEN user_id WHEN 3 THEN 1 END AS whole, CASE event_id % 5 WHEN 1 THEN false WHEN 2 THEN event_id % 2 = 0 ELSE true END AS truth,
+    CASE event_id % 5 WHEN 0 THEN least(1.0, CASE WHEN user_id > 1 THEN user_id / 10.0 ELSE user_id END) WHEN 1 THEN 0.85 WHEN 2 THEN least(1.0, CASE WHEN user_id > 1 THEN user_id / 10.0 ELSE user_id END) WHEN 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM events""")
 def _(t):
-    return t.loose.select("id", j.whole(F.col("v")).alias("whole"), j.truth(F.col("v")).alias("truth"))
+    user, n = F.col("user_id").cast("string"), F.col("event_id") % 5
+    json = F.when(n == 0, F.concat(F.lit("["), user, F.lit(".0, 7]"))).when(n == 1, F.concat(F.lit('{"score": "High", "line": "'), (F.col("event_id") % 8).cast("string"), F.lit('.5", "required": "no"}')))
+    json = json.when(n == 2, F.concat(F.lit('{"rating": '), user, F.lit(', "number": '), user, F.lit(', "enabled": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit("}"))).when(n == 3, "true").otherwise("null")
+    return t.events.select(F.col("event_id").alias("id"), j.json_whole(json).alias("whole"), j.json_truth(json).alias("truth"), j.json_score(json).alias("score"))
 
 
 @query("j9_status", "SELECT id, CASE WHEN v = 'passed' THEN 'pass' ELSE 'warning' END AS status FROM {loose} l")
@@ -294,14 +321,27 @@ def _(t):
     return t.loose.select("id", j.status(F.col("v")).alias("status"))
 
 
-@query("j10_swapped_names", "SELECT p_partkey AS seq, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS name, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name END AS description FROM part")
+@query("j10_swapped_names", """SELECT p_partkey AS seq, CASE p_size % 5 WHEN 0 THEN '*args' WHEN 1 THEN replace(p_brand, '#', '_') WHEN 2 THEN split_part(p_name, ' ', 1) WHEN 3 THEN 'param3' ELSE concat('_', p_size) END AS name,
+    CASE p_size % 5 WHEN 0 THEN p_type WHEN 1 THEN p_name || ' !' WHEN 2 THEN p_name || ' !' WHEN 3 THEN '#1' ELSE '' END AS description FROM part""")
 def _(t):
-    name, description = F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.col("p_name"))
-    a, b = j.swapped(name, description)
+    n, size = F.col("p_size") % 5, F.col("p_size").cast("string")
+    said = F.concat("p_name", F.lit(" !"))
+    name = F.when(n == 0, "*args").when(n == 1, said).when(n == 2, said).when(n == 3, "#1").otherwise(F.concat(F.lit("_"), size))
+    description = F.when(n == 0, F.col("p_type")).when(n == 1, F.concat(F.translate("p_brand", "#", "_"), F.lit(" is it"))).when(n == 2, F.lit("(the part)")).when(n == 3, F.lit("!"))
+    a, b = j.swapped(name, description, F.lit(2))
     return t.part.select(F.col("p_partkey").alias("seq"), a.alias("name"), b.alias("description"))
 
 
-@query("j11_clean_refs", "SELECT l_orderkey AS id, concat('p', l_partkey) AS component_id, CASE WHEN l_linenumber - 3 >= 1 THEN l_linenumber - 3 END AS line, CASE l_returnflag WHEN 'A' THEN 'loop' ELSE 'direct' END AS call_type FROM lineitem WHERE l_linestatus = 'F'")
+@query("j11_clean_refs", "SELECT l_orderkey AS id, concat('p', l_partkey) AS component_id, CASE WHEN l_linenumber - 3 >= 1 THEN l_linenumber - 3 END AS line, CASE l_returnflag WHEN 'A' THEN 'exception' ELSE 'direct' END AS call_type FROM lineitem WHERE l_linestatus = 'F'")
 def _(t):
-    ref = F.struct(F.when(F.col("l_linestatus") == "F", F.concat(F.lit(" p"), "l_partkey")).otherwise(" ").alias("component_id"), (F.col("l_linenumber") - 3).alias("line"), F.when(F.col("l_returnflag") == "A", "loop").otherwise("odd").alias("call_type"))
+    ref = F.struct(F.when(F.col("l_linestatus") == "F", F.concat(F.lit(" p"), "l_partkey")).otherwise(" ").alias("component_id"), (F.col("l_linenumber") - 3).alias("line"), F.when(F.col("l_returnflag") == "A", "Exception").otherwise("recursive").alias("call_type"))
     return t.lineitem.select(F.col("l_orderkey").alias("id"), F.explode(j.clean_refs(F.array(ref))).alias("r")).select("id", "r.*")
+
+
+@query("j11_json_refs", """SELECT l_orderkey AS id, concat('p', l_partkey) AS component_id, CASE WHEN l_linenumber > 3 THEN l_linenumber::BIGINT - 3 END AS line, CASE l_returnflag WHEN 'A' THEN 'exception' ELSE 'direct' END AS call_type FROM lineitem
+    UNION ALL SELECT l_orderkey, concat('s', l_suppkey), NULL, 'direct' FROM lineitem UNION ALL SELECT l_orderkey, concat('n', l_partkey), l_linenumber::BIGINT, 'direct' FROM lineitem WHERE l_linestatus = 'F'""")
+def _(t):
+    kind = F.when(F.col("l_returnflag") == "A", "Exception").otherwise("recursive")
+    plain = F.format_string('{"component_id": " p%d", "call_site_line": "%d.0", "call_type": "%s"}, " s%d ", " ", {"component_id": null}', "l_partkey", F.col("l_linenumber") - 3, kind, "l_suppkey")
+    nested = F.when(F.col("l_linestatus") == "F", F.format_string(', {"component_id": {"id": 0, "name": "n%d"}, "call_site_line": {"line": %d}}', "l_partkey", "l_linenumber")).otherwise("")
+    return t.lineitem.select(F.col("l_orderkey").alias("id"), F.explode(j.json_refs(F.concat(F.lit("["), plain, nested, F.lit("]")))).alias("r")).select("id", "r.*")

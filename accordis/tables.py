@@ -18,6 +18,8 @@ RELATIONS = {
     "documented": "SELECT concat('s', l_suppkey) AS caller, concat('p', l_partkey) AS callee FROM lineitem WHERE l_linenumber <= 6",
     "stream_a": "SELECT l_orderkey AS component_id, concat('o', l_orderkey) AS caller, concat('p', l_partkey) AS callee FROM lineitem WHERE l_linenumber <= 6",
     "stream_b": "SELECT l_orderkey AS component_id, concat('o', l_orderkey) AS caller, concat('p', l_partkey) AS callee FROM lineitem WHERE l_linenumber >= 2",
+    "docs_a": "SELECT o_orderkey AS component_id FROM orders",
+    "docs_b": "SELECT o_orderkey AS component_id FROM orders WHERE o_orderpriority <> '1-URGENT'",
     "hints": "SELECT l_orderkey AS component_id, concat('o', l_orderkey) AS caller, concat('p', l_partkey) AS callee FROM lineitem WHERE l_returnflag <> 'N'",
     "digraph": "SELECT concat('c', c_custkey) AS caller, concat('c', CASE WHEN c_nationkey = 0 THEN c_custkey * 2 ELSE CAST(floor(c_custkey / 2) AS BIGINT) END) AS callee FROM customer",
     "dag": """SELECT concat('o', o_orderkey) AS a, concat('c', o_custkey) AS b FROM orders UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer

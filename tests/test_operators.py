@@ -63,7 +63,7 @@ def test_hints_have_three_states(spark):
 
 def test_agreement_of_nothing_is_full(spark):
     none = spark.createDataFrame([], "component_id long, caller string, callee string")
-    r = reconcile.agreement(reconcile.common_components(reconcile.compare_streams(none, none))).first()
+    r = reconcile.agreement(reconcile.common_components(reconcile.compare_streams(none, none, none, none))).first()
     assert (r["components"], r["agreement_rate"], r["converged"]) == (0, 1.0, True)
 
 
