@@ -5,10 +5,13 @@ A window of `window_words` words is compressed once with the dictionary of ordin
 window's distance. A text is judged by its windows: the largest saving, the runners-up, how many savings pass a calibrated
 threshold, and the mean. A logistic fit on labelled rows that made no dictionary turns these into a score from 0 to 1.
 
-Training reads a bounded sample of labelled rows: at most `per_class` rows of each class, lowest hash of doc_id first, and
-of these the texts of up to `max_bytes` bytes. Windows for the toxic dictionary are those words of toxic rows that hold a
-character 5-gram that stands out in toxic rows: the log-likelihood of its count against what ordinary rows suggest is at
-least `contrast`. Scoring reads whole texts.
+Training reads a bounded sample of labelled rows: at most `per_class` rows of each class and `sample_bytes` bytes in all,
+lowest hash of doc_id first, texts of any length. Half of them make the dictionaries, a quarter the threshold and the fit, and
+the last quarter chooses the size of the toxic dictionary. That of ordinary text is made by zstandard's trainer. Its trainer
+fills a dictionary of toxic text with ordinary syllables, which are as frequent there, so toxic rows are told from others by
+far less (figures in the README); the toxic dictionary therefore holds the words of toxic rows with a character 5-gram, or a
+neighbour, that stands out: the log-likelihood of its count against what ordinary rows suggest is at least `contrast`.
+Scoring reads whole texts.
 
 Defined results: null and empty texts have no windows and get the fit's score for none; a null doc_id is never held out
 and never labelled; repeated rows are scored each; other columns pass through `score`; labels that are null are left out, and where rows
@@ -19,16 +22,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize, release, trimmed
 from .textnp import IS_SPACE, LOWERED, bytes_of, chunks, word_spans
 
 FOLDED = LOWERED.copy()
@@ -40,11 +44,11 @@ GRAM = 5
 class Settings:
     window_words: int = 16
     per_class: int = 3000
-    max_bytes: int = 32_768
+    sample_bytes: int = 64_000_000
     contrast: float = 14.0
     ordinary_bytes: int = 4096
     #: Sizes of the toxic part that are tried; the one that calibrates best stays.
-    toxic_bytes: tuple[int, ...] = (128, 256, 512, 768, 1024, 1536)
+    toxic_bytes: tuple[int, ...] = (128, 256, 512, 768, 1024, 1536, 3072, 6144)
     level: int = 3
 
 
@@ -119,44 +123,68 @@ def _joined(words: list[bytes], size: int) -> list[bytes]:
 
 
 def _grams(word: bytes) -> set[bytes]:
-    padded = b" " + word
-    return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
+    """Character 5-grams of a word between spaces; a shorter one is its own."""
+    padded = b" " + word + b" "
+    return {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))}
+
+
+def _neighbours(words: list[bytes]) -> set[tuple[bytes, bytes]]:
+    return set(zip(words, words[1:], strict=False))
+
+
+def telling(bad: list[list[bytes]], good: list[list[bytes]], parts: Callable[[list[bytes]], set], contrast: float) -> set:
+    """Parts of texts that stand out in bad ones."""
+    in_bad = Counter(x for words in bad for x in parts(words))
+    in_good = Counter(x for words in good for x in parts(words) if x in in_bad)
+    ratio = len(bad) / len(good)
+    return {x for x, n in in_bad.items() if n > (e := ratio * (in_good[x] + 0.5)) and n * math.log(n / e) - (n - e) >= contrast}
 
 
 def train(toxic: list[str], ordinary: list[str], priors: tuple[float, float], settings: Settings) -> Model:
-    """The model of two bounded lists of texts. Even ones make the dictionaries, odd ones calibrate. priors: rows that each class stands for."""
+    """The model of two bounded lists of texts. priors: rows that each class stands for."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(settings=settings)
     bad, good = [_fold(t) for t in toxic[::2]], [_fold(t) for t in ordinary[::2]]
-    in_bad, in_good = (Counter(g for words in texts for g in set().union(*map(_grams, set(words)))) for texts in (bad, good))
-    ratio = len(bad) / len(good)
-    telling = {g for g, n in in_bad.items() if n > (e := ratio * (in_good[g] + 0.5)) and n * math.log(n / e) - (n - e) >= settings.contrast}
-    marked = Counter(w for words in bad for w in words if not telling.isdisjoint(_grams(w)))
-    kept = [w for w, _ in sorted(marked.items(), key=lambda x: (x[1], x[0]))]
+    grams = telling(bad, good, lambda words: set().union(*map(_grams, set(words))), settings.contrast)
+    pairs = telling(bad, good, _neighbours, settings.contrast)
+    marked = Counter(w for words in bad for w in words if not grams.isdisjoint(_grams(w)))
+    kept = [b" " + w + b" " for w, _ in sorted(marked.items(), key=lambda x: (x[1], x[0]))]
+    phrases = Counter(p for words in bad for p in _neighbours(words) if p in pairs and marked.keys().isdisjoint(p))
+    kept = [b" " + b" ".join(p) + b" " for p, _ in sorted(phrases.items(), key=lambda x: (x[1], x[0]))] + kept
     samples = [w for words in good for w in _joined(words, 8) if len(w) >= 8]
     try:
         common = zstandard.train_dictionary(settings.ordinary_bytes + 400, samples[:100_000], k=16, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the text itself serves
         common = b"".join(samples)
-    marks, ordinary_text = b" " + b"  ".join(kept) + b" ", common[-settings.ordinary_bytes :]
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    stands_for = np.where(y == 1, priors[0] / max(1, y.sum()), priors[1] / max(1, (1 - y).sum()))
-    stands_for /= stands_for.mean()
-    texts = [_joined(_fold(t), settings.window_words) for t in (*toxic[1::2], *ordinary[1::2])]
-    tried = [calibrated(Model(ordinary_text, marks[-size:], settings=settings), texts, y, stands_for) for size in settings.toxic_bytes]
-    return min(tried, key=lambda m: m[0])[1]
+    marks, ordinary_text = b"".join(kept), common[-settings.ordinary_bytes :]
 
+    def rows(part: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        t, o = toxic[part::4] or toxic[1::2], ordinary[part::4] or ordinary[1::2]
+        y = np.array([1.0] * len(t) + [0.0] * len(o))
+        stands_for = np.where(y == 1, priors[0] / len(t), priors[1] / len(o))
+        return [_joined(_fold(x), settings.window_words) for x in (*t, *o)], y, stands_for / stands_for.mean()
 
-def calibrated(model: Model, texts: list[list[bytes]], y: np.ndarray, stands_for: np.ndarray) -> tuple[float, Model]:
-    """The weighted log loss of a model with its threshold and weights fitted to texts, and the model."""
+    fitted, chosen = rows(1), rows(3)
+    sizes = sorted({min(size, max(1, len(marks))) for size in settings.toxic_bytes})
+    tried = [calibrated(Model(ordinary_text, marks[-size:], settings=settings), *fitted) for size in sizes]
+    return min(tried, key=lambda m: loss(m, *chosen))
+
+
+def calibrated(model: Model, texts: list[list[bytes]], y: np.ndarray, stands_for: np.ndarray) -> Model:
+    """A model with its threshold and weights fitted to texts."""
     scorer = Scorer(model)
     saved = [scorer.savings(t) for t in texts]
     plain = np.concatenate([np.zeros(1), *(s for s, bad in zip(saved, y, strict=True) if not bad)])
     model.threshold = float(max(2.0, np.quantile(plain, 0.999)))
-    x = np.array([scorer.features(s) + [1.0] for s in saved])
-    model.weights = fit_logistic(x, y, stands_for)
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))), 1e-9, 1 - 1e-9)
-    return float(-(stands_for * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()), model
+    model.weights = fit_logistic(np.array([scorer.features(s) + [1.0] for s in saved]), y, stands_for)
+    return model
+
+
+def loss(model: Model, texts: list[list[bytes]], y: np.ndarray, stands_for: np.ndarray) -> float:
+    """The weighted log loss of a model on texts."""
+    scorer = Scorer(model)
+    p = np.clip([scorer.probability(scorer.features(scorer.savings(t))) for t in texts], 1e-9, 1 - 1e-9)
+    return float(-(stands_for * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
@@ -180,8 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     counts = {int(r["toxic"]): r["count"] for r in known.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = known.filter("toxic = 1").orderBy(*order).limit(settings.per_class).unionAll(known.filter("toxic = 0").orderBy(*order).limit(settings.per_class))
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= settings.max_bytes).join(F.broadcast(picked), "doc_id")
-    rows = sorted(texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect(), key=lambda r: r["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).filter("text IS NOT NULL")
+    texts = materialize(texts)  # two times per_class rows at most
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = texts.select("doc_id", F.sum(F.octet_length("text")).over(upto).alias("_upto")).filter(F.col("_upto") <= settings.sample_bytes)
+    rows = sorted(texts.join(F.broadcast(sizes), "doc_id").collect(), key=lambda r: r["doc_id"])
+    release(texts)
     return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], (counts.get(1, 0), counts.get(0, 0)), settings)
 
 
@@ -195,4 +227,4 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity_score") -> Data
             scores = scorer.score_batch(batch.column(at)) if scorer else [0.0] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
