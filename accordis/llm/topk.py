@@ -1,9 +1,12 @@
 """Exact top-k by inner product, pruned by segment statistics at several resolutions.
 
-A vector is cut into segments; for each one its mean and deviation are kept. With segments of length L,
+Vectors are first turned by an orthonormal matrix (the principal axes of a block's queries), which leaves inner products as
+they are and puts most of them into the first components. At a level, the first components are segments of one, the others
+one long segment of which the mean and the deviation are kept: with segments of length L,
 <q, x> <= sum of L * (mean_q * mean_x + deviation_q * deviation_x), which is a lower bound on the distance
-|q|^2 + |x|^2 - 2 <q, x>. Bounds are taken coarse to fine (1, 4, 16 segments), a pair that can't reach its query's k-th best
-score is dropped at the first level that shows it, and what is left is computed exactly.
+|q|^2 + |x|^2 - 2 <q, x>. Levels go coarse to fine (LEVELS: shares of the components that stand alone). A pair that can't reach
+its query's k-th best score is dropped at the first level that shows it, and the inner products of what is left are computed
+exactly from the integers. A query's bar starts at its k-th best score among the queries of its block, which are rows too.
 
 Queries are broadcast in blocks of at most `block` vectors (a bounded number of bytes for a given dimension), and each
 block reads all vectors once: no vector is shuffled, a task keeps k rows for each query of the block, and only those meet
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
-LEVELS = (1, 4, 16)
+LEVELS = (0.0, 0.25, 0.5, 0.75, 0.875)
 BLOCK = 8192
 #: Vectors and queries that meet at once: memory for that many pairs, a few times over.
-VECTORS, QUERIES = 1024, 256
+VECTORS, QUERIES = 1024, 128
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -41,17 +44,22 @@ def scaled(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("x", lambda v: F.floor(v * 256).cast("long")).alias("x"))
 
 
-def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """[mean, deviation] of each segment, and the same times the segment's length."""
-    parts = [p for p in np.array_split(x, segments, axis=1) if p.shape[1]]
-    lengths = np.array([p.shape[1] for p in parts], dtype=np.float64)
-    stats = np.concatenate([np.stack([p.mean(axis=1) for p in parts], 1), np.stack([p.std(axis=1) for p in parts], 1)], 1) if parts else np.zeros((len(x), 0))
-    return stats, stats * np.concatenate((lengths, lengths))
+def tail(x: np.ndarray, first: int) -> tuple[np.ndarray, int]:
+    """[mean, deviation] of the components from `first` on, and how many these are."""
+    rest = x[:, first:]
+    n = rest.shape[1]
+    return (np.stack((rest.mean(axis=1), rest.std(axis=1)), 1) if n else np.zeros((len(x), 2))), n
 
 
-def reaches(bound: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether a bound, with room for rounding, isn't below the bar."""
-    return bound + np.abs(bound) * 1e-9 + 1e-3 >= least
+def axes(queries: np.ndarray) -> np.ndarray:
+    """The principal axes of some vectors, strongest first, as columns of an orthonormal matrix."""
+    _, vectors = np.linalg.eigh(queries.T @ queries)
+    return np.ascontiguousarray(vectors[:, ::-1])
+
+
+def reaches(bound: np.ndarray, least: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a bound, with room for rounding at that product of lengths, isn't below the bar."""
+    return bound + size * 1e-11 + 1e-3 >= least
 
 
 class Searcher:
@@ -60,46 +68,66 @@ class Searcher:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.ids, self.q, self.k = ids, queries, k
         self.wide = queries.astype(np.float64)
+        dim = queries.shape[1]
         self.largest = float(np.abs(self.wide).max()) if queries.size else 0.0
-        self.levels = [(s, statistics(self.wide, s)[1]) for s in LEVELS if s <= max(1, queries.shape[1])]
+        self.axes = axes(self.wide) if dim else np.zeros((0, 0))
+        self.turned = self.wide @ self.axes
+        self.firsts = sorted({round(dim * share) for share in LEVELS})
+        self.tails = [tail(self.turned, first) for first in self.firsts]
+        self.length = np.sqrt((self.wide**2).sum(axis=1))
         self.rows = np.zeros((0, 3), np.int64)  # query number, vec_id, score
-        self.least = np.full(len(ids), -np.inf)  # scores below these can't count
+        self.least = self.bar()  # scores below these can't count
+        #: Pairs met, pairs left after each level.
+        self.left = np.zeros(len(self.firsts) + 1, np.int64)
+
+    def exact(self, x: np.ndarray) -> bool:
+        """Whether products with x are exact as sums of doubles."""
+        return x.size == 0 or self.largest * float(np.abs(x).max()) * x.shape[1] < 2**53
+
+    def bar(self) -> np.ndarray:
+        """The k-th best score of each query among the others, where that is exact as a double."""
+        least = np.full(len(self.ids), -np.inf)
+        if len(self.ids) > self.k and self.exact(self.wide):
+            for a in range(0, len(self.ids), QUERIES):
+                scores = self.wide[a : a + QUERIES] @ self.wide.T
+                scores[self.ids[a : a + QUERIES][:, None] == self.ids[None, :]] = -np.inf
+                least[a : a + QUERIES] = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        return least
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        order = np.arange(len(ids))
-        if not len(self.rows):  # the longest vectors first: they raise the bar
-            order = np.argsort(-(x.astype(np.float64) ** 2).sum(axis=1), kind="stable")
-            self.look(ids[order[: 8 * self.k]], x[order[: 8 * self.k]])
-            order = order[8 * self.k :]
-        for a in range(0, len(order), VECTORS):
-            self.look(ids[order[a : a + VECTORS]], x[order[a : a + VECTORS]])
+        for a in range(0, len(ids), VECTORS):
+            self.look(ids[a : a + VECTORS], x[a : a + VECTORS])
 
     def look(self, ids: np.ndarray, x: np.ndarray) -> None:
         """One block of vectors against all queries, some queries at a time."""
         wide = x.astype(np.float64)
-        exact = x.size == 0 or self.largest * float(np.abs(wide).max()) * x.shape[1] < 2**53
-        stats = [statistics(wide, s)[0] for s, _ in self.levels]
+        exact, turned = self.exact(wide), wide @ self.axes
+        tails, length = [tail(turned, first)[0] for first in self.firsts], np.sqrt((wide**2).sum(axis=1))
         found = [self.rows]
         for a in range(0, len(self.ids) if len(ids) else 0, QUERIES):
             part = slice(a, a + QUERIES)
-            least = self.least[part][:, None]
-            alive = self.ids[part][:, None] != ids[None, :]
-            for (_, of_query), of_vector in zip(self.levels, stats, strict=True):
-                i, j = np.nonzero(alive)
-                if len(i) * 8 > alive.size:  # most are left: all bounds at once
-                    alive &= reaches(of_query[part] @ of_vector.T, least)
-                elif len(i):
-                    alive[i, j] = reaches(np.einsum("ij,ij->i", of_query[part][i], of_vector[j]), least[i, 0])
-            i, j = np.nonzero(alive)
+            least, q = self.least[part], self.turned[part]
+            i, j = np.nonzero(self.ids[part][:, None] != ids[None, :])
+            self.left[0] += len(i)
+            dot, done = np.zeros(len(i)), 0
+            for level, first in enumerate(self.firsts):
+                of_query, n = self.tails[level]
+                if len(i) * 8 > len(q) * len(x):  # most are left: all pairs at once
+                    dot += (q[:, done:first] @ turned[:, done:first].T)[i, j]
+                    rest = ((of_query[part] * n) @ tails[level].T)[i, j]
+                else:
+                    dot += np.einsum("ij,ij->i", q[i, done:first], turned[j, done:first])
+                    rest = np.einsum("ij,ij->i", of_query[part][i] * n, tails[level][j])
+                ok = reaches(dot + rest, least[i], self.length[part][i] * length[j])
+                i, j, dot, done = i[ok], j[ok], dot[ok], first
+                self.left[level + 1] += len(i)
             if not len(i):
                 continue
-            if exact and len(i) * 8 > alive.size:
-                scores = (self.wide[part] @ wide.T)[i, j].astype(np.int64)
-            elif exact:
-                scores = np.einsum("ij,ij->i", self.wide[part][i], wide[j]).astype(np.int64)
+            if exact:
+                scores = np.concatenate([np.einsum("ij,ij->i", self.wide[part][i[c : c + 50_000]], wide[j[c : c + 50_000]]) for c in range(0, len(i), 50_000)]).astype(np.int64)
             else:
                 scores = np.concatenate([(self.q[part][i[c : c + 10_000]] * x[j[c : c + 10_000]]).sum(axis=1) for c in range(0, len(i), 10_000)])
-            good = scores >= least[i, 0]
+            good = scores >= least[i]
             found.append(np.stack((i[good] + a, ids[j[good]], scores[good]), 1))
         self.rows = np.concatenate(found)
         self.trim()
@@ -110,7 +138,7 @@ class Searcher:
         place = np.arange(len(r)) - first
         self.rows = r[place < self.k]
         full = r[place == self.k - 1]
-        self.least[full[:, 0]] = full[:, 2]
+        self.least[full[:, 0]] = np.maximum(self.least[full[:, 0]], full[:, 2])
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK) -> DataFrame:
@@ -149,5 +177,5 @@ def _block(rows: DataFrame, shared, dim: int, k: int, write: bool) -> DataFrame:
         r = searcher.rows
         yield pa.RecordBatch.from_arrays([pa.array(searcher.ids[r[:, 0]]), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2])], names=["query_id", "_of", "vec_id", "score"])
 
-    best = rows.mapInArrow(run, "query_id long, _of long, vec_id long, score long")
+    best = rows.mapInArrow(trimmed(run), "query_id long, _of long, vec_id long, score long")
     return materialize(best) if write else best

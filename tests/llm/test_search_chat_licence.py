@@ -3,6 +3,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from accordis.llm import chat, license, topk
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -120,6 +122,20 @@ def test_repair_is_the_same_on_any_partitions(spark):
         assert [r[3] for r in outs[0] if r[0] == conv and r[2] == 1] == [chat.NAMES[s[1]] for s in path]
 
 
+def test_bounds_drop_most_pairs():
+    """Survivors fall level by level, and what is left holds the best of all."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(3000, 48)) * np.linspace(2, 0.1, 48) * 256).astype(np.int64)
+    ids = np.arange(3000)
+    s = topk.Searcher(ids[::50], x[::50], 5)
+    s.add(ids, x)
+    assert (np.diff(s.left) <= 0).all() and s.left[-1] < 0.05 * s.left[0]
+    full = x[::50] @ x.T
+    for number, i in enumerate(ids[::50]):
+        full[number, i] = -(1 << 60)
+        assert s.rows[s.rows[:, 0] == number, 1].tolist() == np.lexsort((ids, -full[number]))[:5].tolist()
+
+
 def test_chat_of_nothing(spark):
     assert chat.repaired(spark.createDataFrame([], TURNS)).count() == 0
 
