@@ -2,13 +2,13 @@
 
 Routing: a document's ids are cut into whole windows of the largest size; the rest goes to the tier of the next size that
 holds it (512, 1024, 2048, 4096 by default). Packing: each task keeps a pool of rests by tier and, when the pool is full,
-packs it: the longest rest opens a window and its gap is filled from shorter tiers, longest first that still fits; a last
-gap is closed exactly by cutting one rest. What a task can't close into a full window (less than one window) goes on with
-its ids to a few tasks that pack these tails the same way, and so on until one pool is left. That last tail is cut into
-windows of the smaller sizes, which are powers of two, and at most one padded sequence.
+packs it tier by tier into windows of the tier's own size, all of them full: the longest rest opens a window and its gap is
+filled from shorter tiers, longest first that still fits; a last gap is closed exactly by cutting one rest. What a task can't
+close into a window of the shortest tier goes on with its ids to a few tasks that pack these tails the same way, and so on
+until one pool is left. Its last tail, shorter than the shortest window, is the only padded sequence.
 
-Step groups: sequences of a task are dealt to groups of `step_size` in turn, in order of their piece count, so that steps
-are alike; `step_id` is a column beside the contract.
+Step groups: sequences of a task are dealt to groups of `step_size` in turn, in order of their length and piece count, so that
+steps hold about as many tokens; `step_id` is a column beside the contract.
 
 Memory: a task holds one pool (pool_tokens ids). Nothing is sorted or grouped across tasks, only tails are shuffled:
 less than one window a task. Sequence ids are (round, task, number in the task), so a task that runs again gives the same.
@@ -23,6 +23,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 SIZES = (4096, 2048, 1024, 512)
 END = 2
@@ -93,7 +94,14 @@ class WordIds:
         odd: list[str] = []
         at = first = len(known)
         for w in new:
-            if self.plain and "<|" not in w and find(w):
+            if self.plain and w.isalpha() and w.isascii():  # one piece
+                x = w.lower()
+                ids = piece(x) or self.piece(x)
+                flat += ids
+                sizes.append(len(ids))
+                known[w] = at
+                at += 1
+            elif self.plain and "<|" not in w and find(w):
                 n = 0
                 for x in split(w.lower()):
                     ids = piece(x) or self.piece(x)
@@ -125,13 +133,15 @@ class WordIds:
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Ids of at most CACHE words. If the table would outgrow CACHE it is emptied first, and all of these words are learned."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.clear()
-            new = set(words).difference(self.known)
-        if new:
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = {words[i] for i in missing.tolist()}
+            if len(self.known) + len(new) > CACHE:
+                self.clear()
+                new, missing = set(words).difference(self.known), np.arange(len(words))
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            at[missing] = np.fromiter((self.known[words[i]] for i in missing.tolist()), np.int64, len(missing))
         size = self.size[at]
         where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[where]
@@ -169,32 +179,39 @@ class Packer:
         self.next_id += 1
 
     def pack(self) -> None:
-        """Pack the pool by tiers; what can't fill a window stays."""
+        """Pack the pool tier by tier, the longest first, into windows of the tier's size; what can't fill a window stays.
+
+        A tier's windows take its pieces, and those that a longer tier left over, as long as the pool fills them; gaps are
+        filled from shorter tiers. The shortest tier's windows take whatever is left.
+        """
         tiers: dict[int, list[tuple]] = {size: [] for size in self.sizes}
         for piece in sorted(self.pool, key=_length):  # stable: the order of arrival breaks ties
             tiers[min(s for s in self.sizes if s >= len(piece[2]))].append(piece)
         left = self.held
-        while left >= self.most:
-            window, gap = [], self.most
-            while gap:
-                size = next((s for s in self.sizes if tiers[s] and len(tiers[s][0][2]) <= gap), None)
-                if size is None:  # nothing fits whole: cut the shortest piece that is longer than the gap
-                    size = next(s for s in reversed(self.sizes) if tiers[s])
-                    doc_id, start, ids, n = tiers[size].pop(0)
-                    window.append((doc_id, start, ids[:gap], n))
-                    rest = (doc_id, start + gap, ids[gap:], n)
-                    home = tiers[min(s for s in self.sizes if s >= len(rest[2]))]
-                    bisect.insort_left(home, rest, key=_length)
-                    gap = 0
-                else:
-                    piece = tiers[size].pop(bisect.bisect_right(tiers[size], gap, key=_length) - 1)
-                    window.append(piece)
-                    gap -= len(piece[2])
-            self.emit(window)
-            left -= self.most
+        for size in self.sizes:
+            while left >= size and (size == self.sizes[-1] or any(tiers[s] for s in self.sizes if s >= size)):
+                self.emit(self.window(tiers, size))
+                left -= size
         self.pool = [p for s in self.sizes for p in tiers[s]]
         self.held = left
 
+    def window(self, tiers: dict[int, list[tuple]], gap: int) -> list[tuple]:
+        """Pieces that fill a window: the longest that fits, again and again; when none fits whole, the shortest longer one is cut."""
+        out: list[tuple] = []
+        while gap:
+            size = next((s for s in self.sizes if tiers[s] and len(tiers[s][0][2]) <= gap), None)
+            if size is None:
+                size = next(s for s in reversed(self.sizes) if tiers[s])
+                doc_id, start, ids, n = tiers[size].pop(0)
+                out.append((doc_id, start, ids[:gap], n))
+                rest = (doc_id, start + gap, ids[gap:], n)
+                home = tiers[min(s for s in self.sizes if s >= len(rest[2]))]
+                bisect.insort_left(home, rest, key=_length)
+                return out
+            out.append(tiers[size].pop(bisect.bisect_right(tiers[size], gap, key=_length) - 1))
+            gap -= len(out[-1][2])
+        return out
+
     def close(self) -> None:
         """The last tail: smaller windows as far as they fill, then at most one padded sequence."""
         self.pack()
@@ -217,15 +234,17 @@ class Packer:
         self.pool, self.held = [], 0
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """Rows so far, their sequences dealt to step groups in order of their piece count."""
+        """Rows so far, their sequences dealt to step groups, there and back, in order of their length and piece count."""
         if not self.rows:
             return
-        count: dict[int, int] = {}
+        count: dict[int, tuple[int, int]] = {}
         for r in self.rows:
-            count[r[5]] = count.get(r[5], 0) + 1
+            length, pieces = count.get(r[5], (0, 0))
+            count[r[5]] = (length + r[2], pieces + 1)
         count.pop(-1, None)
         groups = max(1, -(-len(count) // self.step_size))
-        step = {s: i % groups for i, s in enumerate(sorted(count, key=lambda s: (count[s], s)))}
+        deal = [*range(groups), *reversed(range(groups))]
+        step = {s: deal[i % len(deal)] for i, s in enumerate(sorted(count, key=lambda s: (count[s], s)))}
         base = min(count, default=0)
         columns = list(zip(*self.rows, strict=True))
         columns[7] = [None if s < 0 else base + step[s] for s in columns[5]]
@@ -264,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZ
 
         return run
 
-    done = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenize, SPARK_SCHEMA))
+    done = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(tokenize), SPARK_SCHEMA))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_id"]
     packed = done.filter("sequence_id >= 0").select(columns)
     tails, level = done.filter("sequence_id < 0"), 1
@@ -272,7 +291,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZ
         tokens = tails.agg(F.sum("length")).first()[0] or 0
         tasks = max(1, tokens // (tails_together * sizes[0]))
         last = tasks == 1
-        more = materialize(tails.repartition(tasks, F.xxhash64("doc_id", "start")).mapInArrow(repack(level, last), SPARK_SCHEMA))
+        more = materialize(tails.repartition(tasks, F.xxhash64("doc_id", "start")).mapInArrow(trimmed(repack(level, last)), SPARK_SCHEMA))
         packed = packed.unionByName(more.filter("sequence_id >= 0").select(columns))
         if last:
             return packed

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from accordis.llm import chat, license, topk
 
@@ -145,7 +146,7 @@ def test_licence_lines(spark):
     rows = [(i, f"some words before\n{t}\nsome words after") for i, t in lines.items()] + [(10, None), (11, ""), (None, lines[0]), (12, lines[0] + "\n" + lines[1]), (12, lines[0] + "\n" + lines[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = license.scan(docs, license.fit(docs))
-    found = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in got.collect()}
+    found = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in got.filter("unit = 'line'").collect()}
     assert found == {(0, 1): ("mit", True), (1, 1): ("apache", True), (2, 1): ("gpl", True), (3, 1): ("cc-by-nc", True), (4, 1): ("unknown", False), (None, 0): ("mit", True), (12, 0): ("mit", True), (12, 1): ("apache", True)}
     assert "Python" not in got._jdf.queryExecution().toString()
 
@@ -157,9 +158,49 @@ def test_licence_lines_without_cue_words(spark, monkeypatch):
     rows = [(i, f"some words before\n{t}\nsome words after") for i, (_, t) in lines.items()] + [(100 + i, t) for i, t in enumerate(plain * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = license.fit(docs.filter("doc_id >= 100"))
-    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).collect()}
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).filter("unit = 'line'").collect()}
     assert {r for r in got if r[0] < 100} == {(i, 1, f) for i, (f, _) in lines.items()}
     assert not [r for r in got if r[0] >= 100]
     monkeypatch.setattr(license.Model, "least", lambda self: -1e9)
     model.strong = None
-    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).collect()} == got
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan(docs, model).filter("unit = 'line'").collect()} == got
+
+
+def test_licence_wrapped_notices_and_odd_tables(spark):
+    """A notice that is wrapped over lines; very long lines, empty tables and columns with clashing names."""
+    wrapped = "An ordinary sentence ends here.\nPermission is hereby granted, free of charge,\nto any person obtaining a copy of\nthis software and associated documentation files\n\nAnother one."
+    rows = [(0, wrapped, "x", "y", 1), (1, "word " * 200_000 + "\nMIT License\n", None, None, 2), (2, None, None, None, None), (3, "  \n\n \n", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family string, unit string, paragraph int")
+    model = license.fit(docs)
+    got = [r for r in license.scan(docs, model).collect() if r["family"] != "unknown"]
+    assert [(r["paragraph"], r["family"], r["confirmed"]) for r in got if r["doc_id"] == 0 and r["unit"] == "run"] == [(1, "mit", True)]
+    assert (1, 1, "mit") in [(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["unit"] == "line"]
+    assert {r["doc_id"] for r in got} == {0, 1}
+    none = docs.limit(0)
+    assert license.scan(none, license.fit(none)).count() == 0
+
+
+def test_licence_scan_equals_brute_force(spark, docs):
+    """Probabilities of every line, by plain Python from the model's weights."""
+    import re
+
+    lines = ["Licensed under the Apache License, Version 2.0.", "GPL-3.0", "no licence at all", "Licencia MIT"]
+    more = spark.createDataFrame([(900 + i, f"first words\n{t}") for i, t in enumerate(lines)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more)
+    s = license.Settings()
+    model = license.fit(df, s)
+    rows = {(r["doc_id"], r["text"]) for r in df.collect()}
+    word = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
+    grams = {key: set(w) | {" ".join(p) for p in zip(w, w[1:], strict=False)} for i, t in rows for n, line in enumerate((t or "").split("\n")) for key, w in [((i, n, line), word.findall(line.lower()))]}
+    names = sorted(set().union(*grams.values()))
+    hashes = dict(map(tuple, spark.createDataFrame([(g,) for g in names], "g string").select("g", license.hashed(F.col("g"), s.hash_bits)).collect()))
+    want = {}
+    for (i, n, line), gs in grams.items():
+        held = {hashes[g] for g in gs}
+        z = np.array([model.weights.get(h, [0.0] * (len(license.FAMILIES) + 1)) for h in held]).reshape(-1, len(license.FAMILIES) + 1).sum(axis=0) / math.sqrt(max(1, len(held))) + np.array(model.bias)
+        p = license.softmax(z[None, :])[0]
+        family = [*license.FAMILIES, "unknown"][int(p.argmax())] if p.max() >= model.threshold else "unknown"
+        if family != "unknown" or re.search(license.CUES, line, re.I):
+            want[(i, n)] = (family, round(float(p.max()), 6))
+    got = {(r["doc_id"], r["paragraph"]): (r["family"], round(r["probability"], 6)) for r in license.scan(df, model, s).filter("unit = 'line'").collect()}
+    assert got == want and len(want) >= 3

@@ -199,3 +199,20 @@ def test_language_model_knows_repeated_texts(spark, raw):
 
 def test_language_model_on_nothing(empty):
     assert lm_scoring.score(empty).count() == 0
+
+
+def test_tiers_pack_windows_of_their_own_size():
+    """Every size has windows, all full; a longer tier's windows begin with a piece that no shorter one holds."""
+    rng = random.Random(3)
+    packer = packing.Packer(packing.SIZES, 10**9, 0, 8)
+    for i in range(400):
+        packer.add(i, 0, np.arange(rng.choice([rng.randint(1, 500), rng.randint(500, 9000)]), dtype=np.uint32), 1)
+    packer.pack()
+    length, first = Counter(), {}
+    for r in packer.rows:
+        length[r[5]] += r[2]
+        first.setdefault(r[5], r[2])
+    assert set(length.values()) == set(packing.SIZES) and packer.held < packing.SIZES[-1]
+    for size in packing.SIZES[:-1]:
+        windows = [s for s, n in length.items() if n == size]
+        assert sum(first[s] > size // 2 for s in windows) >= 0.8 * len(windows)
