@@ -44,11 +44,6 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("id"), k.mapped(raw, PRIORITIES, "1").alias("priority"))
 
 
-@query("p24_priority", "SELECT component_id, CASE WHEN findings > 0 OR qa < 0.5 THEN 'High' ELSE 'Medium' END AS priority FROM {scores} s")
-def _(t):
-    return t.scores.select("component_id", F.when((F.col("findings") > 0) | (F.col("qa") < 0.5), "High").otherwise("Medium").alias("priority"))
-
-
 @query("a17_usage_rollup", """SELECT 'total' AS level, NULL AS name, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, count(*) AS calls FROM {usage} u
     UNION ALL SELECT 'model', model, sum(prompt_tokens)::BIGINT, sum(completion_tokens)::BIGINT, count(*) FROM {usage} u GROUP BY model UNION ALL SELECT 'role', role, sum(prompt_tokens)::BIGINT, sum(completion_tokens)::BIGINT, count(*) FROM {usage} u GROUP BY role""")
 def _(t):
