@@ -178,7 +178,7 @@ def tiles(rows: DataFrame, tasks: int, s: Settings) -> DataFrame:
 
     kind 0: a set v, the smallest key u that it meets in a tile of at most `tile` sets, if that is below v, and in how many of a task's tiles it does.
     kind 1: neighbours in size in a larger tile. kind 2: a member v of a larger tile, u being the shingle. kind 3: the same
-    of a tile of at most `tile` sets; of those that hold the same sets, a task gives one.
+    of a tile of at most `tile` sets, u being a hash of the sets that it holds: tiles that hold the same ones are one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +199,8 @@ def tiles(rows: DataFrame, tasks: int, s: Settings) -> DataFrame:
             held = np.add.reduceat(mix64(key[at].view(np.uint64)), begins) + mix64(sizes.astype(np.uint64))
             one = np.zeros(len(begins), bool)
             one[np.unique(held, return_index=True)[1]] = True
-            at = at[np.repeat(one, sizes)]
-            yield _rows_of(3, shingle[at], key[at], n[at])
+            same, at = np.repeat(held.view(np.int64), sizes)[np.repeat(one, sizes)], at[np.repeat(one, sizes)]
+            yield _rows_of(3, same, key[at], n[at])
         a = np.flatnonzero((inside > s.tile) & (place + 1 < inside))
         if len(a):
             a = a[can_link(n[a], n[a + 1], s)]
@@ -369,19 +369,23 @@ class Likeliest:
         return pairs[:, 0], pairs[:, 1]
 
 
-def across(found: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings, only: DataFrame | None = None) -> DataFrame:
+def members_of(found: DataFrame) -> DataFrame:
+    """(shingle, key, large): the sets of each tile, of equal tiles once."""
+    return materialize(found.filter("kind >= 2").select(F.col("u").alias("shingle"), F.col("v").alias("key"), (F.col("kind") == 2).alias("large")).distinct())
+
+
+def across(members: DataFrame, roots: DataFrame, bits: DataFrame, s: Settings, only: DataFrame | None = None) -> DataFrame:
     """(u, v, tile): pairs of a tile's sets that lie in different components and pass the bitmaps' bound.
 
     Without `only`, each set gives its likeliest partner in the tile, and tiles that hold other pairs as well are listed
     (u and v null). With `only` (tile), these tiles give all their pairs. Components are told apart a row a set and tile.
     """
-    members = found.filter("kind >= 2").select((F.col("kind") == 2).alias("large"), F.col("u").alias("shingle"), F.col("v").alias("key"))
+    every = only is not None
     if only is not None:
         members = members.join(small(only.select(F.col("tile").alias("shingle")), s.broadcast_ids), "shingle", "left_semi")
     members = members.join(small(roots, s.broadcast_ids), F.col("key") == F.col("node"), "left").select("shingle", "key", "large", F.coalesce("root", "key").alias("root"))
     mixed = members.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle")
     members = materialize(members.join(mixed, "shingle", "left_semi"))
-    every = only is not None
     return _small_tiles(members.filter("NOT large"), bits, s, every).unionAll(_large_tiles(members.filter("large"), bits, s, every))
 
 
@@ -496,12 +500,13 @@ def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Dat
     # of a set's partners the one that it meets in most tiles: it is the likeliest to link
     met = found.filter("kind < 2").groupBy("u", "v").agg(F.sum("n").alias("n")).groupBy("v").agg(F.max_by("u", F.struct("n", F.bitwise_not("u"))).alias("u"))
     first = materialize(met.select("u", "v").unionAll(found.filter("kind = 1").select("u", "v")).distinct())
-    keys = materialize(found.filter("kind >= 2").select(F.col("v").alias("key")).distinct())
+    members = members_of(found)
+    keys = materialize(members.select("key").distinct())
     bits = bitmaps(described, keys, s)
     linked = links(first, docs, described, bits, s)
     roots, tested, only = components(linked), first, None
     for _ in range(2):
-        got = materialize(across(found, roots, bits, s, only))
+        got = materialize(across(members, roots, bits, s, only))
         pairs = materialize(got.filter("u IS NOT NULL").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
             more = links(pairs, docs, described, bits, s, bounded=True)
@@ -513,7 +518,7 @@ def link_sets(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Dat
         if only.isEmpty():
             break
         tested = tested.unionAll(pairs)
-    release(found, keys, bits)
+    release(found, members, keys, bits)
     return described.filter("n >= 0").select("doc_id", "n", "key"), roots
 
 
