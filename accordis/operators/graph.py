@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,28 +112,56 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("  "), quoted("caller"), F.lit(" -> "), quoted("callee"), F.lit(";")).alias("line"))
 
 
-def reach(edges: DataFrame, depth: int) -> DataFrame:
-    """(source, target, distance) of all nodes within `depth` steps over edges (a, b): a frontier grows by one join a round."""
-    step = edges.select("a", "b").distinct()
+def reach(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, target, distance) of all nodes within `depth` steps (any number for None) over edges (a, b): a frontier grows by one join a round, and each round ends in a checkpoint."""
+    step = cut(edges.select("a", "b").distinct())
     frontier = step.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("distance"))
     found = frontier
-    for d in range(2, depth + 1):
+    for d in itertools.count(2) if depth is None else range(2, depth + 1):
         ahead = frontier.join(step, F.col("target") == F.col("a")).select("source", F.col("b").alias("target")).distinct()
-        frontier = ahead.join(found, ["source", "target"], "left_anti").withColumn("distance", F.lit(d))
+        frontier = cut(ahead.join(found, ["source", "target"], "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 
 
-def layers(edges: DataFrame, longest: int) -> DataFrame:
-    """(node, layer): the longest path to a node without dependencies, over edges (a depends on b) without cycles."""
-    step = edges.select("a", "b").distinct()
-    every = step.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    level = every.withColumn("layer", F.lit(0))
-    at = every
-    for d in range(1, longest + 1):
-        at = step.join(at, F.col("b") == F.col("node"), "left_semi").select(F.col("a").alias("node")).distinct()
-        level = level.unionAll(at.withColumn("layer", F.lit(d)))
-    return level.groupBy("node").agg(F.max("layer").alias("layer"))
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer): the longest path to a node without dependencies, over edges (a depends on b). A round peels the nodes whose
+    dependencies have all gone, as deep as the graph is, and ends in a checkpoint. Nodes on cycles, and those that depend on them, have no layer.
+    """
+    left = cut(edges.select("a", "b").distinct())
+    at = left.select(F.col("b").alias("node")).distinct().join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    found, d = [], 0
+    while True:
+        at = cut(at)
+        if at.isEmpty():
+            break
+        found.append(at.withColumn("layer", F.lit(d)))
+        freed = left.join(at, F.col("b") == F.col("node"), "left_semi").select(F.col("a").alias("node")).distinct()
+        left = cut(left.join(at, F.col("b") == F.col("node"), "left_anti"))
+        at, d = freed.join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), d + 1
+    out = left.select(F.col("a").alias("node"), F.lit(0).alias("layer")).limit(0)
+    for level in found:
+        out = out.unionAll(level)
+    return out
+
+
+def file_order(components: DataFrame) -> DataFrame:
+    """components (component_id, file_path, line_start) with their place in the file: the order is (file_path, position)."""
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "component_id"))
+    return components.select("component_id", "file_path", place.cast("long").alias("position"))
+
+
+def fallback_order(components: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """(component_id, file_path, position) for processing without dependencies: by file and line if there is no graph, by name if the graph is empty.
+
+    By name, file_path is empty and position the rank among components of the same first letter, so that no task orders all."""
+    if edges is not None and edges.isEmpty():
+        first = F.substring("component_id", 1, 1)
+        place = F.row_number().over(Window.partitionBy(first).orderBy("component_id"))
+        return components.select("component_id", F.lit("").alias("file_path"), place.cast("long").alias("position"))
+    return file_order(components)
 
 
 def unresolved(edges: DataFrame) -> DataFrame:

@@ -88,11 +88,24 @@ def resumable(log: DataFrame) -> DataFrame:
     return runs.filter("starts > 0 AND (status IS NULL OR status = 'failed')").select("run_id", "status", "components", "last_seq")
 
 
-def phases(log: DataFrame) -> DataFrame:
-    """run_start events with the seconds to the next event of the run that completes an iteration or the run."""
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    end = F.min(F.when(F.col("type").isin("iteration_complete", "run_complete"), F.struct("seq", "ts", "type"))).over(w)
-    return log.withColumn("_end", end).filter("type = 'run_start' AND _end IS NOT NULL").select("run_id", "seq", F.col("_end.seq").alias("end_seq"), F.col("_end.type").alias("ended_by"), (F.unix_micros(F.col("_end.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("duration_us"))
+def phases(log: DataFrame, starts: list[str], stops: list[str]) -> DataFrame:
+    """Each stop of a run's phase with the last start before it: a restart overwrites the start. A stop that follows another one counts
+    from the same start; one without any start has no duration. success says whether the stop's status is completed."""
+    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.last(F.when(F.col("type").isin(starts), F.struct("seq", "ts")), ignorenulls=True).over(w)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ended = log.withColumn("_begun", begun).filter(F.col("type").isin(stops))
+    return ended.select("run_id", F.col("_begun.seq").alias("start_seq"), F.col("seq").alias("end_seq"), F.col("type").alias("ended_by"), (F.col("status") == "completed").alias("success"), (micros("ts") - micros("_begun.ts")).alias("duration_us"))
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    """A row for each run: timing, events, components, iterations, errors, how it ended, and rates."""
+    n = lambda kind: F.count_if(F.col("type") == kind)
+    out = log.groupBy("run_id").agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("events"), F.countDistinct("component_id").alias("components"), n("iteration_complete").alias("iterations"),
+        F.max("iteration").alias("last_iteration"), n("error").alias("errors"), F.count_if((F.col("type") == "run_complete") & (F.col("status") == "completed")).alias("completed"), F.sum("blocking").alias("tokens"), F.max("seq").alias("last_seq"))
+    seconds = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1_000_000
+    return out.withColumns({"seconds": seconds, "error_rate": F.col("errors").cast("double") / F.col("events"), "tokens_per_component": F.col("tokens").cast("double") / F.col("components")})
 
 
 def retained(snapshots: DataFrame, key: str, order: str, n: int) -> DataFrame:

@@ -63,6 +63,45 @@ def status_ids(common: DataFrame) -> DataFrame:
 CRITICAL_ISSUES = ("summary_empty", "description_empty", "description_too_brief", "missing_purpose", "missing_functionality")
 
 
+def per_cent(rate: Column) -> Column:
+    """A rate as text with one decimal, halves to even."""
+    return F.format_string("%.1f%%", F.bround(rate * 100, 1))
+
+
+def required_actions(rows: DataFrame, least_match: float, least_similarity: float, most_open: int) -> DataFrame:
+    """rows (match_rate, similarity, blocking, open_others) with `actions`: what keeps each from converging, as texts."""
+
+    def below(name: str, rate: Column, least: float) -> Column:
+        text = F.concat(F.lit(f"Improve {name} by "), per_cent(F.lit(least) - rate), F.lit(" (current: "), per_cent(rate), F.lit(", required: "), per_cent(F.lit(least)), F.lit(")"))
+        return F.when(rate < least, text)
+
+    others = F.col("open_others")
+    many = F.concat(F.lit("Resolve "), others - most_open, F.lit(" non-blocking discrepancies (current: "), others, F.lit(f", max: {most_open})"))
+    found = [below("call graph match rate", F.col("match_rate"), least_match), below("documentation similarity", F.col("similarity"), least_similarity),
+             F.when(F.col("blocking") > 0, F.concat(F.lit("Resolve "), F.col("blocking"), F.lit(" blocking discrepancies"))), F.when(others > most_open, many)]
+    return rows.withColumn("actions", F.array_compact(F.array(*found)))
+
+
+def recommendations(rows: DataFrame) -> DataFrame:
+    """rows of required_actions() with is_stalled and is_improving: the actions and what the trend adds, as `recommendations`."""
+    stalled = F.when(F.col("is_stalled"), "Convergence appears stalled - consider manual intervention or adjusting criteria")
+    declining = F.when(~F.col("is_improving"), "Metrics are declining - review recent changes and corrections")
+    return rows.withColumn("recommendations", F.concat("actions", F.array_compact(F.array(stalled, declining))))
+
+
+def blocks(type_: Column, flag: Column, blocking_types: list[str]) -> Column:
+    """Whether a discrepancy blocks: by its type, or by its own flag."""
+    return F.coalesce(type_.isin(blocking_types), F.lit(False)) | F.coalesce(flag, F.lit(False))
+
+
+def divergent_payload(sides: DataFrame, history: DataFrame) -> DataFrame:
+    """For each component whose streams differ: the edges of each, how many differ, and its history (component_id, iteration, differences) in order, as texts."""
+    listed = lambda side: F.array_join(F.sort_array(F.collect_list(F.when(F.col(side), F.col("callee")))), ",")
+    grouped = sides.groupBy("component_id").agg(listed("in_a").alias("edges_a"), listed("in_b").alias("edges_b"), F.count_if(F.col("in_a") != F.col("in_b")).alias("differences")).filter("differences > 0")
+    past = history.groupBy("component_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("iteration", "differences"))), lambda h: F.concat_ws(":", h["iteration"].cast("string"), h["differences"].cast("string"))), " ").alias("history"))
+    return grouped.join(past, "component_id", "left").withColumn("history", F.coalesce("history", F.lit("")))
+
+
 def validation_flags(rows: DataFrame) -> DataFrame:
     """Flags of validated components: missing_docs, false_callees, false_callers, missing_callees and corrections are counts, issues
     an array of names and result pass, warning or fail. Missing callers are no errors."""

@@ -129,8 +129,7 @@ def shared_outcomes(answers: DataFrame) -> DataFrame:
     return both.select("item_id", "a", "b", F.coalesce(F.col("a") & F.col("b"), F.lit(False)).alias("both_right"), F.coalesce(~F.col("a") & ~F.col("b"), F.lit(False)).alias("both_wrong"))
 
 
-def latest_by_strategy(executions: DataFrame) -> DataFrame:
-    """A row for each component with the last score of each strategy, 0 where it has none."""
+def latest_by_strategy(executions: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each component with the last score of each named strategy, 0 where it has none."""
     last = executions.groupBy("component_id", "strategy").agg(F.max_by("score", F.struct("seq", "score")).alias("score"))
-    names = ["qa", "masked", "scenario"]
     return last.groupBy("component_id").agg(*(F.coalesce(F.max(F.when(F.col("strategy") == n, F.col("score"))), F.lit(0)).alias(n) for n in names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,64 @@ def mapped(value: Column, table: dict[str, str], default: str) -> Column:
 
 
 def statistics(tickets: DataFrame, statuses: list[str], types: list[str]) -> DataFrame:
-    """Counts by status and by type, 0 for none, as (dimension, value, n)."""
+    """Counts by status and by type, 0 for none, and of distinct components and discrepancies, as (dimension, value, n)."""
     counted = tickets.groupBy("status", "type").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.select(F.explode(F.array(F.struct(F.lit("status").alias("dimension"), F.col("status").alias("value")), F.struct(F.lit("type").alias("dimension"), F.col("type").alias("value")))).alias("k"), "n").select("k.*", "n")
     sums = rows.groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     domain = tickets.sparkSession.createDataFrame([("status", s) for s in statuses] + [("type", t) for t in types], "dimension string, value string")
-    return domain.join(sums, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    out = domain.join(sums, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    unique = tickets.agg(F.countDistinct("component_id").alias("components"), F.countDistinct("discrepancy_id").alias("discrepancies"))
+    return out.unionAll(unique.unpivot([], ["components", "discrepancies"], "value", "n").select(F.lit("unique").alias("dimension"), "value", "n"))
 
 
-def ticket_metrics(tickets: DataFrame) -> DataFrame:
-    """total, discrepancy and rebuild tickets, urgent ones, distinct components and tickets a component."""
-    out = tickets.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("type") == "discrepancy").alias("discrepancies"), F.count_if(F.col("type") == "rebuild").alias("rebuilds"), F.count_if(F.col("priority").startswith("1")).alias("urgent"), F.countDistinct("component_id").alias("components"))
+def ticket_metrics(tickets: DataFrame, components: DataFrame) -> DataFrame:
+    """total, components that have tickets, all components, and tickets for one of these (0 without any)."""
+    out = tickets.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("component_id").alias("components_with_tickets"))
+    out = out.join(F.broadcast(components.agg(F.countDistinct("component_id").alias("components"))), F.lit(True))
     return out.withColumn("rate", ratio(F.col("total"), F.col("components"), 0.0))
 
 
+def breakdown(tickets: DataFrame, *columns: str) -> DataFrame:
+    """(dimension, value, n): tickets by each of some columns, in one pass (grouping sets)."""
+    sets = tickets.groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(c).alias(f"_{c}") for c in columns))
+    one = lambda pick: F.coalesce(*(F.when(F.col(f"_{c}") == 0, pick(c)) for c in columns))
+    return sets.select(one(F.lit).alias("dimension"), one(lambda c: F.col(c).cast("string")).alias("value"), "n")
+
+
+def severity_of(priority: Column) -> Column:
+    """Severity from a priority that begins with its rank."""
+    rank = F.substring(priority, 1, 1)
+    return F.when(rank == "1", "critical").when(rank == "2", "high").when(rank == "3", "medium").otherwise("low")
+
+
+def rendered(template: Column, values: dict[str, Column]) -> Column:
+    """A template with ${name} replaced by values; names without a value stay as they are, and null values count as none."""
+    for name, value in values.items():
+        value = value.cast("string")
+        template = F.when(value.isNull(), template).otherwise(F.replace(template, F.lit("${" + name + "}"), value))
+    return template
+
+
+def render_tickets(tickets: DataFrame, templates: DataFrame, values: dict[str, Column], default: str) -> DataFrame:
+    """tickets with a body, from templates (type, template) by their type; types without a template take the default."""
+    known = templates.select(F.col("type").alias("_type"), "template")
+    joined = tickets.join(known, F.col("type") == F.col("_type"), "left").drop("_type")
+    return joined.withColumn("body", rendered(F.coalesce("template", F.lit(default)), values)).drop("template")
+
+
+def apply_resolutions(tickets: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """tickets after a caller's function has seen all resolved ones at once: those whose ticket_key it returns are applied."""
+    done = apply(tickets.filter("status = 'resolved'")).select("ticket_key").distinct().withColumn("_done", F.lit(True))
+    joined = tickets.join(done, "ticket_key", "left")
+    return joined.withColumn("status", F.when(F.col("_done") & (F.col("status") == "resolved"), "applied").otherwise(F.col("status"))).drop("_done")
+
+
+def of_discrepancies(ids: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(id, tickets): how many tickets each discrepancy has, 0 for none. Tickets are counted before the join."""
+    counted = tickets.groupBy(F.col("discrepancy_id").alias("id")).agg(F.count(F.lit(1)).alias("tickets"))
+    return ids.select("id").distinct().join(counted, "id", "left").select("id", F.coalesce("tickets", F.lit(0)).alias("tickets"))
+
+
 def usage_rollup(usage: DataFrame) -> DataFrame:
     """Grand total, totals by model and by role in one pass (grouping sets); "level" tells them apart."""
     sets = usage.groupingSets([[], ["model"], ["role"]], "model", "role").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count(F.lit(1)).alias("calls"), F.grouping("model").alias("_m"), F.grouping("role").alias("_r"))

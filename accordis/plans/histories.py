@@ -106,9 +106,10 @@ def _(t):
     return h.upsert(t.log, ["component_id", "stream"], "seq", "blocking")
 
 
-@query("l9_phases", """SELECT run_id, seq, e.seq AS end_seq, e.type AS ended_by, epoch_us(e.ts) - epoch_us(ts) AS duration_us FROM (SELECT *, min(CASE WHEN type IN ('iteration_complete', 'run_complete') THEN {'seq': seq, 'ts': ts, 'type': type} END) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM {log} l) WHERE type = 'run_start' AND e IS NOT NULL""")
+@query("l9_phases", """SELECT run_id, s.seq AS start_seq, seq AS end_seq, type AS ended_by, status = 'completed' AS success, epoch_us(ts) - epoch_us(s.ts) AS duration_us
+    FROM (SELECT *, max(CASE WHEN type = 'run_start' THEN {'seq': seq, 'ts': ts} END) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM {log} l) WHERE type IN ('iteration_complete', 'run_complete')""")
 def _(t):
-    return h.phases(t.log)
+    return h.phases(t.log, ["run_start"], ["iteration_complete", "run_complete"])
 
 
 @query("l10_latest_status", "SELECT component_id, arg_max(status, seq) AS status, count(*) AS transitions FROM {log} l GROUP BY component_id")

@@ -2,30 +2,42 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, reconcile
+from ..functions import text
+from ..operators import graph, history, reconcile
 from ..sources import files
 from .reconciliation import SIDES
 from .registry import query
 
 
-@query("a24_summary", """SELECT run_id, count(*) AS events, count(DISTINCT component_id) AS components, count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'iteration_complete') AS iterations, max(seq) AS last_seq FROM {log} l GROUP BY run_id""")
+@query("a24_summary", """SELECT run_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, count(*) AS events, count(DISTINCT component_id) AS components, count(*) FILTER (type = 'iteration_complete') AS iterations, max(iteration) AS last_iteration, count(*) FILTER (type = 'error') AS errors,
+    count(*) FILTER (type = 'run_complete' AND status = 'completed') AS completed, sum(blocking)::BIGINT AS tokens, max(seq) AS last_seq, (count(*) FILTER (type = 'error'))::DOUBLE / count(*) AS error_rate, sum(blocking)::DOUBLE / count(DISTINCT component_id) AS tokens_per_component FROM {log} l GROUP BY run_id""")
 def _(t):
-    n = lambda kind: F.count_if(F.col("type") == kind)
-    parts = F.struct(F.count(F.lit(1)).alias("events"), F.countDistinct("component_id").alias("components"), n("error").alias("errors"), n("iteration_complete").alias("iterations"), F.max("seq").alias("last_seq"))
-    return t.log.groupBy("run_id").agg(parts.alias("summary")).select("run_id", "summary.*")
+    return history.run_summary(t.log).withColumn("micros", F.round(F.col("seconds") * 1_000_000).cast("long")).drop("started", "ended", "seconds")
 
 
-@query("c7_required_actions", """SELECT run_id, iteration, concat_ws('; ', CASE WHEN identical::DOUBLE / total < 0.7 THEN 'raise agreement' END, CASE WHEN blocking > 4 THEN 'resolve blocking' END, CASE WHEN iteration >= 5 THEN 'stop iterating' END) AS actions FROM {iterations} i""")
+RATED = "(SELECT run_id, iteration, identical::DOUBLE / total AS match_rate, identical::DOUBLE / (total + 4) AS similarity, blocking, discrepancies - resolved AS open_others FROM {iterations} i)"
+
+
+def per_cent(rate):
+    return f"printf('%.1f%%', round_even(({rate}) * 100, 1))"
+
+
+@query("c7_required_actions", f"""SELECT run_id, iteration, concat_ws('; ', CASE WHEN match_rate < 0.98::DOUBLE THEN concat('Improve call graph match rate by ', {per_cent("0.98::DOUBLE - match_rate")}, ' (current: ', {per_cent("match_rate")}, ', required: ', {per_cent("0.98::DOUBLE")}, ')') END,
+    CASE WHEN similarity < 0.95::DOUBLE THEN concat('Improve documentation similarity by ', {per_cent("0.95::DOUBLE - similarity")}, ' (current: ', {per_cent("similarity")}, ', required: ', {per_cent("0.95::DOUBLE")}, ')') END,
+    CASE WHEN blocking > 0 THEN concat('Resolve ', blocking, ' blocking discrepancies') END, CASE WHEN open_others > 2 THEN concat('Resolve ', open_others - 2, ' non-blocking discrepancies (current: ', open_others, ', max: 2)') END,
+    CASE WHEN blocking = 1 THEN 'Convergence appears stalled - consider manual intervention or adjusting criteria' END, CASE WHEN iteration > 3 THEN 'Metrics are declining - review recent changes and corrections' END) AS actions FROM {RATED} r""")
 def _(t):
-    actions = F.array_compact(F.array(F.when(F.col("identical").cast("double") / F.col("total") < 0.7, "raise agreement"), F.when(F.col("blocking") > 4, "resolve blocking"), F.when(F.col("iteration") >= 5, "stop iterating")))
-    return t.iterations.select("run_id", "iteration", F.array_join(actions, "; ").alias("actions"))
+    rate = lambda n: F.col("identical").cast("double") / n
+    rows = t.iterations.withColumns({"match_rate": rate(F.col("total")), "similarity": rate(F.col("total") + 4), "open_others": F.col("discrepancies") - F.col("resolved"), "is_stalled": F.col("blocking") == 1, "is_improving": F.col("iteration") <= 3})
+    return reconcile.recommendations(reconcile.required_actions(rows, 0.98, 0.95, 2)).select("run_id", "iteration", F.array_join("recommendations", "; ").alias("actions"))
 
 
-@query("c16_divergent_payload", f"""SELECT component_id, coalesce(string_agg(callee, ',' ORDER BY callee) FILTER (in_a), '') AS edges_a, coalesce(string_agg(callee, ',' ORDER BY callee) FILTER (in_b), '') AS edges_b, count(*) FILTER (in_a <> in_b) AS differences FROM {SIDES} s GROUP BY component_id HAVING count(*) FILTER (in_a <> in_b) > 0""")
+@query("c16_divergent_payload", f"""SELECT s.component_id, coalesce(string_agg(callee, ',' ORDER BY callee) FILTER (in_a), '') AS edges_a, coalesce(string_agg(callee, ',' ORDER BY callee) FILTER (in_b), '') AS edges_b, count(*) FILTER (in_a <> in_b) AS differences, coalesce(any_value(past), '') AS history
+    FROM {SIDES} s LEFT JOIN (SELECT l_orderkey AS component_id, string_agg(concat(l_linenumber, ':', n), ' ' ORDER BY l_linenumber) AS past FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) GROUP BY l_orderkey) h ON h.component_id = s.component_id
+    GROUP BY s.component_id HAVING count(*) FILTER (in_a <> in_b) > 0""")
 def _(t):
-    listed = lambda side: F.array_join(F.sort_array(F.collect_list(F.when(F.col(side), F.col("callee")))), ",")
-    grouped = reconcile.edge_sides(t.stream_a, t.stream_b).groupBy("component_id").agg(listed("in_a").alias("edges_a"), listed("in_b").alias("edges_b"), F.count_if(F.col("in_a") != F.col("in_b")).alias("differences"))
-    return grouped.filter("differences > 0")
+    past = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("component_id"), F.col("l_linenumber").alias("iteration")).agg(F.count(F.lit(1)).alias("differences"))
+    return reconcile.divergent_payload(reconcile.edge_sides(t.stream_a, t.stream_b), past)
 
 
 @query("k4_export_counts", f"SELECT count(*) FILTER (in_a AND in_b) AS consensus, count(*) FILTER (in_a AND NOT in_b) AS only_a, count(*) FILTER (NOT in_a AND in_b) AS only_b FROM {SIDES} s")
@@ -41,14 +53,18 @@ def _(t):
 
 @query("p22_type_set_blocking", "SELECT event_id, event_type IN ('error', 'purchase') OR value > 45 AS blocks FROM events")
 def _(t):
-    return t.events.select("event_id", (F.col("event_type").isin("error", "purchase") | (F.col("value") > 45)).alias("blocks"))
+    return t.events.select("event_id", reconcile.blocks(F.col("event_type"), F.col("value") > 45, ["error", "purchase"]).alias("blocks"))
 
 
-@query("t6_fallback_order", "SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS position FROM part")
+@query("t6_fallback_order", "SELECT concat('c', p_partkey) AS component_id, p_brand AS file_path, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, concat('c', p_partkey)) AS position FROM part")
 def _(t):
-    from pyspark.sql import Window
+    return graph.fallback_order(t.part.select(F.concat(F.lit("c"), "p_partkey").alias("component_id"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_start")), None)
+
 
-    return t.part.select(F.col("p_partkey").alias("id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).cast("long").alias("position"))
+@query("t6_alphabetical_order", "SELECT p_name AS component_id, '' AS file_path, row_number() OVER (PARTITION BY substring(p_name, 1, 1) ORDER BY p_name) AS position FROM (SELECT DISTINCT p_name FROM part)")
+def _(t):
+    names = t.part.select(F.col("p_name").alias("component_id")).distinct()
+    return graph.fallback_order(names, t.edges.select("caller", "callee").limit(0))
 
 
 @query("t8_first_callees", "SELECT caller, array_to_string(list_sort(list(DISTINCT callee))[1:20], ',') AS callees FROM {edges} e GROUP BY caller")
@@ -56,10 +72,10 @@ def _(t):
     return graph.adjacency(t.edges).select("caller", F.array_join(F.slice("callees", 1, 20), ",").alias("callees"))
 
 
-@query("f19_impact_texts", "SELECT event_id, CASE event_type WHEN 'view' THEN 'signature of ' WHEN 'click' THEN 'removal of ' ELSE 'change to ' END || user_id AS text FROM events")
+@query("f19_impact_texts", """SELECT event_id, CASE event_type WHEN 'view' THEN concat('Change u', user_id, ' signature: add required parameter ', chr(39), 'options: dict', chr(39)) WHEN 'click' THEN concat('Delete u', user_id, ' entirely') WHEN 'purchase' THEN concat('Rename u', user_id, ' to u', user_id, '_v2') END AS text FROM events""")
 def _(t):
-    kind = F.when(F.col("event_type") == "view", "signature of ").when(F.col("event_type") == "click", "removal of ").otherwise("change to ")
-    return t.events.select("event_id", F.concat(kind, "user_id").alias("text"))
+    kind = F.when(F.col("event_type") == "view", "signature").when(F.col("event_type") == "click", "removal").when(F.col("event_type") == "purchase", "rename").otherwise("other")
+    return t.events.select("event_id", text.impact_text(kind, F.concat(F.lit("pkg.mod.u"), "user_id")).alias("text"))
 
 
 @query("c11_iteration_rounds", "SELECT o_custkey AS id, greatest(0, count(*) - 5) AS left_over FROM orders GROUP BY o_custkey")

@@ -171,7 +171,7 @@ def _(t):
     SELECT component_id, coalesce(max(score) FILTER (strategy = 'qa'), 0) AS qa, coalesce(max(score) FILTER (strategy = 'masked'), 0) AS masked, coalesce(max(score) FILTER (strategy = 'scenario'), 0) AS scenario FROM m GROUP BY component_id""")
 def _(t):
     strategy = F.when(F.col("l_returnflag") == "A", "qa").when(F.col("l_returnflag") == "R", "masked").otherwise("scenario")
-    return s.latest_by_strategy(t.lineitem.select(F.col("l_orderkey").alias("component_id"), strategy.alias("strategy"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("int").alias("score")))
+    return s.latest_by_strategy(t.lineitem.select(F.col("l_orderkey").alias("component_id"), strategy.alias("strategy"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("int").alias("score")), ["qa", "masked", "scenario"])
 
 
 MISSES = "(SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 50) FILTER (l_linestatus = 'F')) AS a, list_sort(list(DISTINCT l_partkey % 50) FILTER (l_linestatus = 'O')) AS b FROM lineitem GROUP BY l_orderkey)"

@@ -125,10 +125,21 @@ def _(t):
     return traces(t).select("conv_id", x.lcs_similarity(F.col("roles"), F.col("other")).alias("similarity"))
 
 
-@query("f4_scenario_parts", """WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT a.conv_id, a.roles[1] IS NOT DISTINCT FROM b.roles[1] AS output_match,
-    CASE WHEN len(list_distinct(a.roles)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_distinct(a.roles), b.roles))::DOUBLE / len(list_distinct(a.roles)) END AS effects_recall FROM r a JOIN r b ON b.conv_id = a.conv_id + 1""")
+@query("f4_scenario_parts", """WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT a.conv_id, a.roles[1] IS NOT DISTINCT FROM b.roles[1] AS output_correct,
+    CASE WHEN len(list_distinct(a.roles)) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(list_distinct(a.roles), b.roles))::DOUBLE / len(list_distinct(a.roles)), 6) END AS effects, len(list_filter(a.roles, lambda x: NOT list_contains(b.roles, x))) AS missed_calls FROM r a JOIN r b ON b.conv_id = a.conv_id + 1""")
 def _(t):
-    return traces(t).select("conv_id", x.outputs_match(F.get("roles", F.lit(0)), F.get("other", F.lit(0))).alias("output_match"), x.effects_recall(F.col("roles"), F.col("other")).alias("effects_recall"))
+    return evaluated(t).select("conv_id", "e.output_correct", "e.effects", F.size("e.missed_calls").cast("long").alias("missed_calls"))
+
+
+def evaluated(t):
+    first = lambda c: F.get(c, F.lit(0))
+    return traces(t).withColumn("e", x.scenario_evaluation(F.col("roles"), F.col("other"), first("roles"), first("other"), F.col("roles"), F.col("other"), F.lit(True)))
+
+
+@query("f4_scenario_score")
+def _(t):
+    """The whole score needs a longest common subsequence; unit tests hold it against a table."""
+    return evaluated(t).select("conv_id", "e.overall", "e.sequence")
 
 
 @query("f5_outputs_match", "SELECT doc_id, lower(trim(text_a)) IS NOT DISTINCT FROM lower(trim(text_b)) AS matches FROM {pairs} p")
@@ -152,7 +163,8 @@ def _(t):
 
 @query("f7_masked_text")
 def _(t):
-    return t.documents.select("doc_id", x.masked(F.col("text"), "constants", 30).alias("masked"))
+    """Which matches are masked follows from a hash; unit tests hold spans and overlaps against a table."""
+    return t.documents.select("doc_id", x.masked_by_all(F.col("text"), ("constants", "strings", "function_calls"), 30).alias("m")).select("doc_id", "m.*")
 
 
 @query("f8_signature", "SELECT p_partkey AS seq, CASE WHEN regexp_extract(s, '(?m)^(def\\s+\\w+\\s*\\([^)]*\\).*?:)', 1) = '' THEN 'def unknown():' ELSE regexp_extract(s, '(?m)^(def\\s+\\w+\\s*\\([^)]*\\).*?:)', 1) END AS signature FROM (SELECT p_partkey, concat('x = 1', chr(10), CASE WHEN p_size % 4 = 0 THEN 'pass' ELSE concat('def f', p_size, '(a, b) -> int:', chr(10), '  pass') END) AS s FROM part)")
@@ -205,10 +217,15 @@ def _(t):
     return t.tickets.select("ticket_key", x.still_valid(F.col("created_at").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"), F.col("complexity") % 3 * 8760).alias("valid"))
 
 
-@query("dd2_content_mismatch", """WITH w AS (SELECT doc_id, text_a, text_b, list_distinct(list_filter(string_split_regex(lower(text_a), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text_b), '\\s+'), lambda w: w <> '')) AS b FROM {pairs} p),
-    s AS (SELECT doc_id, CASE WHEN text_a = text_b THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS c FROM w) SELECT doc_id, round(c, 9) AS confidence FROM s WHERE c < 0.9""")
+@query("dd2_content_mismatch", """WITH p AS (SELECT doc_id, x.kind, x.least, CASE x.kind WHEN 'summary' THEN substring(text_a, 1, 40) ELSE text_a END AS text_a, CASE x.kind WHEN 'summary' THEN substring(text_b, 1, 40) ELSE text_b END AS text_b
+    FROM {pairs} p, (VALUES ('summary', 0.9), ('description', 0.85)) x(kind, least)),
+    w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(text_a), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text_b), '\\s+'), lambda w: w <> '')) AS b FROM p),
+    s AS (SELECT doc_id, kind, least, CASE WHEN text_a = text_b THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS c FROM w)
+    SELECT doc_id, kind, round(c, 9) AS confidence FROM s WHERE c < least""")
 def _(t):
-    return t.pairs.select("doc_id", x.jaccard(F.col("text_a"), F.col("text_b")).alias("c")).filter("c < 0.9").select("doc_id", F.round("c", 9).alias("confidence"))
+    head = lambda c: F.substring(c, 1, 40)
+    found = x.content_mismatch(head("text_a"), head("text_b"), F.col("text_a"), F.col("text_b"))
+    return t.pairs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
 
 
 @query("so8_gap_dedupe", "SELECT source AS area, lang AS description, min(doc_id) AS first_id FROM documents GROUP BY source, lang")

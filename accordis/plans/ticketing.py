@@ -60,16 +60,30 @@ def _(t):
     return t.usage.rollup("role", "model").agg(F.sum("prompt_tokens").alias("tokens")).select(F.coalesce("role", F.lit("all")).alias("role"), F.coalesce("model", F.lit("all")).alias("model"), "tokens")
 
 
-@query("a21_ticket_metrics", "SELECT count(*) AS total, count(*) FILTER (type = 'discrepancy') AS discrepancies, count(*) FILTER (type = 'rebuild') AS rebuilds, count(*) FILTER (priority LIKE '1%') AS urgent, count(DISTINCT component_id) AS components, count(*)::DOUBLE / count(DISTINCT component_id) AS rate FROM {tickets} t")
+@query("a21_ticket_metrics", "SELECT count(*) AS total, count(DISTINCT component_id) AS components_with_tickets, (SELECT count(DISTINCT c_custkey) FROM customer) AS components, count(*)::DOUBLE / (SELECT count(DISTINCT c_custkey) FROM customer) AS rate FROM {tickets} t")
 def _(t):
-    return k.ticket_metrics(t.tickets)
+    return k.ticket_metrics(t.tickets, t.customer.select(F.col("c_custkey").alias("component_id")))
+
+
+SEVERITIES = "(SELECT *, CASE substr(priority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity FROM {tickets} t)"
+
+
+@query("a21_breakdown", f"SELECT 'type' AS dimension, type AS value, count(*) AS n FROM {SEVERITIES} s GROUP BY type UNION ALL SELECT 'severity', severity, count(*) FROM {SEVERITIES} s GROUP BY severity")
+def _(t):
+    return k.breakdown(t.tickets.withColumn("severity", k.severity_of(F.col("priority"))), "type", "severity")
+
+
+@query("x8_apply_resolutions", "SELECT ticket_key, CASE WHEN status = 'resolved' AND complexity > 200 THEN 'applied' ELSE status END AS status FROM {tickets} t")
+def _(t):
+    return k.apply_resolutions(t.tickets, lambda resolved: resolved.filter("complexity > 200")).select("ticket_key", "status")
 
 
 STATUSES, TYPES = ["pending", "in_progress", "resolved", "applied", "expired", "cancelled"], ["discrepancy", "rebuild"]
 
 
 @query("a22_ticket_statistics", f"""SELECT d.dimension, d.value, count(t.ticket_key) AS n FROM (SELECT 'status' AS dimension, unnest({STATUSES}) AS value UNION ALL SELECT 'type', unnest({TYPES})) d
-    LEFT JOIN {{tickets}} t ON (d.dimension = 'status' AND t.status = d.value) OR (d.dimension = 'type' AND t.type = d.value) GROUP BY d.dimension, d.value""")
+    LEFT JOIN {{tickets}} t ON (d.dimension = 'status' AND t.status = d.value) OR (d.dimension = 'type' AND t.type = d.value) GROUP BY d.dimension, d.value
+    UNION ALL SELECT 'unique', 'components', count(DISTINCT component_id) FROM {{tickets}} t UNION ALL SELECT 'unique', 'discrepancies', count(DISTINCT discrepancy_id) FROM {{tickets}} t""")
 def _(t):
     return k.statistics(t.tickets, STATUSES, TYPES)
 
@@ -98,8 +112,7 @@ def _(t):
 
 @query("jn11_tickets_by_discrepancy", "SELECT d.id, count(t.ticket_key) AS tickets FROM (SELECT DISTINCT concat('d', p_partkey) AS id FROM part) d LEFT JOIN {tickets} t ON t.discrepancy_id = d.id GROUP BY d.id")
 def _(t):
-    wanted = t.part.select(F.concat(F.lit("d"), "p_partkey").alias("id")).distinct()
-    return wanted.join(t.tickets, F.col("discrepancy_id") == F.col("id"), "left").groupBy("id").agg(F.count("ticket_key").alias("tickets"))
+    return k.of_discrepancies(t.part.select(F.concat(F.lit("d"), "p_partkey").alias("id")), t.tickets)
 
 
 @query("jn12_gap_strategy", "SELECT o_orderkey AS gap, coalesce(arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)), 'qa') AS strategy FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linestatus = 'F' GROUP BY o_orderkey")
@@ -119,10 +132,9 @@ def _(t):
     return t.tickets.select("ticket_key", F.array_join(k.labels([F.col("status"), F.col("type"), F.col("status"), F.lit("auto"), F.lit(None)]), ",").alias("labels"))
 
 
-@query("f11_rendered_tickets", "SELECT ticket_key, concat('[', status, '] ', ticket_key, ' for ', component_id, ': ${missing}') AS body FROM {tickets} t")
+@query("f11_rendered_tickets", """SELECT ticket_key, CASE WHEN type = 'rebuild' THEN concat('Rebuild ', component_id, ' (', CASE WHEN complexity > 100 THEN complexity::VARCHAR ELSE '${size}' END, ') ${missing}') ELSE concat('[', status, '] ', ticket_key, ' for ', component_id) END AS body FROM {tickets} t""")
 def _(t):
-    """A template with variables; those that have no value stay as they are."""
-    body = F.lit("[${status}] ${key} for ${component}: ${missing}")
-    for name, value in (("status", F.col("status")), ("key", F.col("ticket_key")), ("component", F.col("component_id").cast("string"))):
-        body = F.replace(body, F.lit("${" + name + "}"), value)
-    return t.tickets.select("ticket_key", body.alias("body"))
+    """Templates by type, with variables; those that have no value stay as they are."""
+    templates = t.spark.createDataFrame([("rebuild", "Rebuild ${component} (${size}) ${missing}")], "type string, template string")
+    values = {"status": F.col("status"), "key": F.col("ticket_key"), "component": F.col("component_id"), "size": F.when(F.col("complexity") > 100, F.col("complexity"))}
+    return k.render_tickets(t.tickets, templates, values, "[${status}] ${key} for ${component}").select("ticket_key", "body")

@@ -47,7 +47,7 @@ def test_order_takes_smallest_ready_name_and_leaves_cycles_last(spark):
 
 def test_layers_and_reach(spark):
     e = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a")], "a string, b string")
-    assert {r["node"]: r["layer"] for r in graph.layers(e, 3).collect()} == {"a": 0, "b": 1, "c": 2}
+    assert {r["node"]: r["layer"] for r in graph.layers(e).collect()} == {"a": 0, "b": 1, "c": 2}
     assert {(r["source"], r["target"]): r["distance"] for r in graph.reach(e, 3).collect()} == {("c", "b"): 1, ("b", "a"): 1, ("c", "a"): 1}
 
 
