@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
+EVENTS = ("phase", "progress", "components", "gaps", "result")
 
 
 @dataclass(frozen=True)
@@ -71,20 +73,31 @@ def first_available(sources: list[Callable[[], DataFrame | None]], empty: DataFr
 class Pipeline:
     strategies: tuple[Strategy, ...]
     threshold: float = 0.85
-    on_gaps: tuple[Callable[[str, DataFrame], None], ...] = ()
+    #: (event, function): phase gets (strategy, begins or ends), progress (done, all), components and gaps (strategy, DataFrame), result the DataFrame of all.
+    listeners: tuple[tuple[str, Callable[..., None]], ...] = ()
+
+    def tell(self, event: str, *what: Any) -> None:
+        for wanted, listener in self.listeners:
+            if wanted == event:
+                listener(*what)
 
     def run(self, components: DataFrame, answer: Callable[[Strategy, DataFrame], DataFrame]) -> DataFrame:
         """component_id, the mean score of each strategy (0 without items), overall and passed."""
         out = components.select("component_id").distinct()
-        for s in self.strategies:
+        for i, s in enumerate(self.strategies, 1):
+            self.tell("phase", s.name, "begins")
             rated = s.evaluate(answer(s, s.challenge(components)))
-            for tell in self.on_gaps:
-                tell(s.name, s.gaps(rated))
             means = rated.groupBy("component_id").agg(F.round(F.avg("score"), 9).alias(s.name))
+            self.tell("gaps", s.name, s.gaps(rated))
+            self.tell("components", s.name, means)
+            self.tell("phase", s.name, "ends")
+            self.tell("progress", i, len(self.strategies))
             out = out.join(means, "component_id", "left").withColumn(s.name, F.coalesce(s.name, F.lit(0.0)))
         names = [s.name for s in self.strategies]
         overall = F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names), 9) if names else F.lit(0.0)
-        return out.withColumn("overall", overall).withColumn("passed", F.col("overall") >= self.threshold)
+        out = out.withColumn("overall", overall).withColumn("passed", F.col("overall") >= self.threshold)
+        self.tell("result", out)
+        return out
 
 
 @dataclass
@@ -94,7 +107,7 @@ class Builder:
     registry: Registry
     names: list[str] = field(default_factory=list)
     threshold: float = 0.85
-    callbacks: list = field(default_factory=list)
+    listeners: list[tuple[str, Callable[..., None]]] = field(default_factory=list)
 
     def with_strategies(self, *names: str) -> Builder:
         self.names += names
@@ -108,11 +121,16 @@ class Builder:
         self.threshold = threshold
         return self
 
-    def on_gaps(self, tell: Callable[[str, DataFrame], None]) -> Builder:
-        self.callbacks.append(tell)
+    def on(self, event: str, listener: Callable[..., None]) -> Builder:
+        if event not in EVENTS:
+            raise ValueError(f"no event {event}; there are {EVENTS}")
+        self.listeners.append((event, listener))
         return self
 
+    def on_gaps(self, listener: Callable[[str, DataFrame], None]) -> Builder:
+        return self.on("gaps", listener)
+
     def build(self) -> Pipeline:
         if not self.names:
             raise ValueError("a pipeline needs a strategy")
-        return Pipeline(tuple(map(self.registry.get, self.names)), self.threshold, tuple(self.callbacks))
+        return Pipeline(tuple(map(self.registry.get, self.names)), self.threshold, tuple(self.listeners))

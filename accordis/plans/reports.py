@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, history, reconcile
+from ..operators import graph, history, reconcile, verification
 from ..sources import files
 from .reconciliation import SIDES
 from .registry import query
@@ -83,3 +83,15 @@ def _(t):
     """Each round settles one discrepancy of every component; five rounds at most."""
     start = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("left_over"))
     return reconcile.iterate(start, lambda s, _: s.select("id", F.greatest(F.col("left_over") - 1, F.lit(0)).alias("left_over")), lambda s: s.filter("left_over > 0"), 5)[0]
+
+
+@query("x6_pipeline", """SELECT o_orderkey AS component_id, coalesce(qa, 0.0) AS qa, coalesce(masked, 0.0) AS masked, round((coalesce(qa, 0.0) + coalesce(masked, 0.0)) / 2, 6) AS overall, round((coalesce(qa, 0.0) + coalesce(masked, 0.0)) / 2, 9) >= 0.6 AS passed
+    FROM orders LEFT JOIN (SELECT l_orderkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS qa, round(avg(CASE WHEN l_linenumber > 2 THEN l_quantity::DOUBLE / 50 END), 9) AS masked FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""")
+def _(t):
+    """Two strategies from a registry, put together by the builder: items of each component, answered and rated."""
+    items = lambda components, rows: components.join(rows.withColumnRenamed("l_orderkey", "component_id"), "component_id")
+    strategies = verification.Registry()
+    for name, rows, score in (("qa", t.lineitem, F.when(F.col("answer") == "A", 1.0).otherwise(0.0)), ("masked", t.lineitem.filter("l_linenumber > 2"), F.col("l_quantity").cast("double") / 50)):
+        strategies.register(name, verification.Strategy(name, "active", lambda c, rows=rows: items(c, rows), lambda a, score=score: a.withColumn("score", score), lambda rated: rated.filter("score < 0.5")))
+    pipeline = verification.Builder(strategies).with_all().with_threshold(0.6).build()
+    return pipeline.run(t.orders.select(F.col("o_orderkey").alias("component_id")), lambda strategy, challenge: challenge.withColumn("answer", F.col("l_returnflag"))).withColumn("overall", F.round("overall", 6))

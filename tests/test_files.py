@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from accordis.plans.verification import Builder, Registry, Strategy, first_available
+from accordis.operators.verification import Builder, Registry, Strategy, first_available
 from accordis.sources import files
 
 
