@@ -1,16 +1,17 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
 The tree's states are contexts, the words before a token, newest first. A context is a candidate if training texts hold it
-`least` times or more, whatever the size of the corpus, and if its parent (the context without its oldest word) is followed by
-more than one word there: a context that a single word follows tells all that longer ones could. Its next-word distribution
-takes `discount` from each count and gives what that frees to the parent's distribution, so every distribution sums to 1:
+`least` times or more, whatever the size of the corpus, and if longer contexts could tell more than its parent (the context
+without its oldest word): training texts go on from the parent with more than one word, and with one of them twice. Its
+next-word distribution takes `discount` from each count and gives what that frees to the parent's distribution, so every
+distribution sums to 1:
 
     P(w | s) = max(c(s, w) - discount, 0) / c(s) + discount * followers(s) / c(s) * P(w | parent)
 
-A candidate is retained if it diverges from its parent: its count times the divergence, the gain in log likelihood over its own
-occurrences, is at least `gain` nats. The root is the add-one distribution over all training words. A token is scored by the
-longest retained suffix of its history. Depth grows level by level, until no context is left or at `depth` words, which lets
-each level cost a pass.
+A candidate is retained if it diverges from its parent on tokens that it hasn't seen: the gain in log likelihood over its own
+occurrences, each left out of the counts that predict it, is at least `gain` nats. The root is the add-one distribution over
+all training words. A token is scored by the longest retained suffix of its history. Depth grows level by level, until no
+context is left or at `depth` words, which lets each level cost a pass.
 
 No state is ever gathered in one place, so the tree may grow with the corpus. Tasks cut their documents into chunks of about
 `chunk_tokens` tokens: distinct words (64-bit hashes), their training counts, and the tokens as codes into them. At a level a
@@ -280,16 +281,17 @@ def asking(depth: int, bits: int) -> Callable[[dict], Iterator[dict]]:
     return run
 
 
-def states(keys: np.ndarray, counts: np.ndarray, parents: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted pairs: which context each belongs to, and the contexts' counts, followers and whether they are retained. parents: probabilities."""
+def states(keys: np.ndarray, counts: np.ndarray, parents: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted pairs: which context each belongs to, and the contexts' counts, followers, whether they are retained and whether longer ones may be. parents: probabilities."""
     context = keys >> FOLLOWER_BITS
     of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = int(of[-1]) + 1 if len(of) else 0
-    seen, followers = np.bincount(of, counts, size), np.bincount(of, counts > 0, size)
-    some = np.maximum(seen, 1)
-    p = np.maximum(counts - settings.discount, 0) / some[of] + (settings.discount * followers / some)[of] * parents
+    seen, followers, twice = np.bincount(of, counts, size), np.bincount(of, counts > 0, size), np.bincount(of, counts > 1, size)
+    others = np.maximum(seen - 1, 1)
+    left = np.maximum(followers[of] - (counts == 1), 0)  # followers without the one that is left out
+    p = np.maximum(counts - 1 - settings.discount, 0) / others[of] + settings.discount * left / others[of] * parents
     gains = np.bincount(of, np.where(counts > 0, counts * np.log(np.maximum(p, 1e-300) / parents), 0.0), size)
-    return of, seen, followers, (seen >= settings.least) & (gains >= settings.gain)
+    return of, seen, followers, (seen >= settings.least) & (gains >= settings.gain), (followers > 1) & (twice > 0)
 
 
 def settle_pairs(settings: Settings) -> Callable[[list[dict]], Iterator[dict]]:
@@ -297,12 +299,12 @@ def settle_pairs(settings: Settings) -> Callable[[list[dict]], Iterator[dict]]:
         keys, at, totals, edges = merged(group)
         parents = np.zeros(len(keys), np.uint8)
         parents[at] = np.concatenate([unpack(r["parents"], "u1") for r in group])
-        of, seen, followers, kept = states(keys, totals.astype(float), 2.0 ** (parents / -8.0), settings)
+        of, seen, followers, kept, longer = states(keys, totals.astype(float), 2.0 ** (parents / -8.0), settings)
         for r, a, b in zip(group, edges, edges[1:], strict=False):
             mine = at[a:b]
             first = np.concatenate(([True], of[mine][1:] != of[mine][:-1]))
             contexts = of[mine][first]
-            yield {"chunk": r["chunk"], "range": r["range"], "counts": pack(totals[mine].astype(np.uint32)), "seen": pack(seen[contexts].astype(np.uint32)), "followers": pack((followers[contexts].astype(np.uint32) << np.uint32(1)) | kept[contexts])}
+            yield {"chunk": r["chunk"], "range": r["range"], "counts": pack(totals[mine].astype(np.uint32)), "seen": pack(seen[contexts].astype(np.uint32)), "followers": pack((followers[contexts].astype(np.uint32) << np.uint32(2)) | (longer[contexts].astype(np.uint32) << np.uint32(1)) | kept[contexts])}
 
     return run
 
@@ -322,7 +324,7 @@ def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
         context = keys >> FOLLOWER_BITS
         of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1])))
         counts, seen, marked = (of_answers(r, c, "<u4") for c in ("counts", "seen", "followers"))
-        kept, followers = (marked & 1).astype(bool)[of], (marked >> 1).astype(float)[of]
+        kept, longer, followers = (marked & 1).astype(bool)[of], (marked & 2).astype(bool)[of], (marked >> 2).astype(float)[of]
         some = np.maximum(seen, 1).astype(float)[of]
         plain, rest = np.where(kept, np.maximum(counts - settings.discount, 0) / some, 0.0), np.where(kept, settings.discount * followers / some, 1.0)
         value = np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-30))
@@ -332,7 +334,7 @@ def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
         earlier[at] = counts[pair]
         before = status[at - 1]
         rare = (before == RARE) | (before == OPEN) & (earlier[at - 1] < settings.least)
-        goes_on = (followers[pair] >= 2) & (places(sizes)[at] > depth) & (depth < settings.depth)
+        goes_on = longer[pair] & (places(sizes)[at] > depth) & (depth < settings.depth)
         status[at] = np.where(goes_on, np.where(rare, RARE, OPEN), SETTLED)
         goes_on &= ~rare
         done = np.zeros(len(status))

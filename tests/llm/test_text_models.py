@@ -128,7 +128,8 @@ class Brute:
             after, gain = self.after[context], 0.0
             for w, k in after.items():
                 parent = 2.0 ** (np.clip(np.rint(self.value(context[:-1], w) * (-8 / math.log10(2))), 0, 255) / -8.0)
-                gain += k * math.log(self.mixed(context, w, parent) / parent)
+                of, left = sum(after.values()) - 1, len(+after) - (k == 1)
+                gain += k * math.log(max((max(k - 1 - self.s.discount, 0) + self.s.discount * left * parent) / max(of, 1), 1e-300) / parent)
             self.kept[context] = gain >= self.s.gain
         return self.kept[context]
 
@@ -148,7 +149,7 @@ class Brute:
             if self.retained(context):
                 out = math.log10(self.mixed(context, w, 10.0**out))
             out = float(np.rint(out / lm_scoring.STEP) * lm_scoring.STEP)
-            if len(+after) < 2:
+            if len(+after) < 2 or max(after.values()) < 2:
                 break
         return out
 
