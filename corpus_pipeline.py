@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordis.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from accordis.llm.common import materialize, table
+from accordis.llm.common import materialize, release, table
 from accordis.llm.queries import tokenizer_path
 
 #: A document with this score or a higher one goes.
@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in their order, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs)
+            if i:
+                release(last)
     return docs
