@@ -16,6 +16,34 @@ def read_log(spark: SparkSession, path: str, pattern: str = "checkpoint_*.jsonl"
     return lines.filter(F.col("_corrupt_record").isNull() & F.col("type").isNotNull()).drop("_corrupt_record")
 
 
+# What an event of each kind holds beside type, timestamp and run_id, with the values of fields that aren't given.
+EVENTS = {
+    "run_start": {"config": "{}"},
+    "discovery_complete": {"component_count": None, "component_ids": None, "processing_order": None},
+    "component_documented": {"component_id": None, "stream": None, "iteration": None, "output_path": None, "duration_ms": 0.0, "token_count": None},
+    "error": {"phase": None, "component_id": None, "stream": None, "error": "", "error_type": "Error", "traceback": None},
+    "iteration_complete": {"iteration": None, "components_processed": 0, "discrepancies_found": 0, "discrepancies_resolved": 0, "converged": False, "duration_seconds": 0.0},
+    "run_complete": {"status": None, "total_iterations": 0, "total_components": 0, "total_discrepancies": 0, "total_duration_seconds": 0.0, "metrics": "{}"},
+}
+#: Fields that an event of a kind can't do without.
+NEEDED = {"discovery_complete": ("component_ids",), "component_documented": ("component_id", "stream", "iteration"), "error": ("phase",), "iteration_complete": ("iteration",), "run_complete": ("status",)}
+
+
+def events(kind: str, rows: DataFrame, run_id: str) -> DataFrame:
+    """A row for each event of a kind, ready for append_log(): rows hold its fields, others of the kind take their defaults, and any
+    other column is an error. The timestamp is the rows' own, or now."""
+    fields = EVENTS[kind]
+    if missing := set(NEEDED.get(kind, ())) - set(rows.columns):
+        raise ValueError(f"{kind} needs {sorted(missing)}")
+    if unknown := set(rows.columns) - {*fields, "timestamp"}:
+        raise ValueError(f"{kind} has no {sorted(unknown)}")
+    if kind == "discovery_complete":
+        rows = rows.withColumn("component_count", F.size("component_ids"))
+    held = [F.col(name) if name in rows.columns else F.lit(value).cast("string" if value is None else {str: "string", float: "double", bool: "boolean", int: "long"}[type(value)]).alias(name) for name, value in fields.items()]
+    at = F.col("timestamp") if "timestamp" in rows.columns else F.current_timestamp().alias("timestamp")
+    return rows.select(F.lit(kind).alias("type"), at, F.lit(run_id).alias("run_id"), *held)
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """Add events to a log folder: new files only, those that are there stay."""
     events.write.mode("append").json(path)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from accordis.operators.verification import Builder, Registry, Strategy, first_available
@@ -63,3 +64,21 @@ def test_fallback_chain(spark):
 
     assert first_available([broken, lambda: None, lambda: full], empty).count() == 3
     assert first_available([broken], empty).count() == 0
+
+
+def test_events_of_each_kind(spark, tmp_path):
+    """What is written comes back; fields that a kind lacks or needs are errors."""
+    path = f"file://{tmp_path}/events"
+    documented = spark.createDataFrame([("c1", "A", 2)], "component_id string, stream string, iteration int")
+    found = spark.createDataFrame([(["c1", "c2"], ["c2", "c1"])], "component_ids array<string>, processing_order array<string>")
+    made = [files.events("run_start", spark.range(1).select(F.lit("{}").alias("config")), "r"), files.events("discovery_complete", found, "r"), files.events("component_documented", documented, "r"),
+            files.events("error", spark.createDataFrame([("documenting", "bad")], "phase string, error string"), "r"), files.events("iteration_complete", spark.createDataFrame([(1, True)], "iteration int, converged boolean"), "r"),
+            files.events("run_complete", spark.createDataFrame([("completed",)], "status string"), "r")]
+    for one in made:
+        files.append_log(one, path)
+    got = {r["type"]: r for r in files.read_log(spark, path, "*.json").collect()}
+    assert set(got) == set(files.EVENTS)
+    assert got["discovery_complete"]["component_count"] == 2 and got["component_documented"]["duration_ms"] == 0.0 and got["error"]["error_type"] == "Error" and got["iteration_complete"]["converged"] is True
+    for kind, rows in (("error", documented), ("component_documented", spark.range(1))):
+        with pytest.raises(ValueError):
+            files.events(kind, rows, "r")
