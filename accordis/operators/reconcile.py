@@ -14,6 +14,26 @@ AGREEMENT, CONFIDENT, MAX_ITERATIONS = 0.95, 0.7, 5
 CALL_GRAPH_TYPES = ("call_graph_edge", "call_site_line", "call_type_mismatch")
 
 
+# Names that types, resolutions, their sources and a ticket's status may have.
+NAMES = {
+    "type": ("call_graph_edge", "call_site_line", "call_type_mismatch", "documentation_content", "parameter_description", "return_description", "exception_documentation", "missing_parameter", "missing_exception", "type_annotation"),
+    "resolution": ("accept_stream_a", "accept_stream_b", "accept_ground_truth", "accept_consensus", "merge_both", "needs_human_review", "deferred"),
+    "source": ("consensus", "ground_truth_hint", "human_review", "auto_resolved", "unresolved"),
+}
+OTHERWISE = {"type": "documentation_content", "resolution": "needs_human_review", "source": "unresolved"}
+STATUSES = {"open": "open", "in_progress": "in_progress", "documenting": "in_progress", "validating": "in_progress", "comparing": "in_progress", "awaiting_review": "open", "resolved": "resolved", "closed": "closed"}
+
+
+def named(value: Column, what: str) -> Column:
+    """value as one of the NAMES of a type, resolution or source, without regard to case; the default for any other and for null."""
+    return F.when(F.lower(value).isin(*NAMES[what]), F.lower(value)).otherwise(OTHERWISE[what])
+
+
+def ticket_status(status: Column) -> Column:
+    """A component's status as that of its ticket: open for others and for null."""
+    return F.coalesce(*(F.when(status == k, v) for k, v in STATUSES.items()), F.lit("open"))
+
+
 def edge_sides(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct edges of each component with in_a and in_b. Both sides meet in one aggregation, so keys shuffle once."""
     both = a.select(*KEY, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(*KEY, F.lit(0).alias("a"), F.lit(1).alias("b")))
@@ -151,13 +171,13 @@ def parameter_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge_texts(rows: DataFrame) -> DataFrame:
     """Resolution by merging: both texts, a blank line between them, with confidence 0.75."""
-    return rows.withColumns({"text": F.concat_ws("\n\n", "text_a", "text_b"), "confidence": F.lit(0.75), "resolution": F.lit("merge")})
+    return rows.withColumns({"text": F.concat_ws("\n\n", "text_a", "text_b"), "confidence": F.lit(0.75), "resolution": F.lit("merge_both")})
 
 
 def by_truth(edges: DataFrame) -> DataFrame:
     """Resolution by the third source, with confidence 0.99: what it has stays, what it lacks goes. Edges that all three have need none."""
     open_ones = edges.filter("NOT (a = 1 AND b = 1 AND t = 1)")
-    return open_ones.withColumns({"resolution": F.when(F.col("t") == 1, "keep_edge").otherwise("drop_edge"), "confidence": F.lit(0.99)})
+    return open_ones.withColumns({"resolution": F.lit("accept_ground_truth"), "stays": F.col("t") == 1, "confidence": F.lit(0.99)})
 
 
 def edges_of_three(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
@@ -178,13 +198,13 @@ def resolve_edges(one_sided: DataFrame) -> DataFrame:
     """Resolution of edges that one stream has (in_a or not), by hint: the side that has a confirmed edge, else a person."""
     confirmed = F.coalesce("hint", F.lit(False))
     resolution = F.when(confirmed & F.col("in_a"), "accept_stream_a").when(confirmed, "accept_stream_b").otherwise("needs_human_review")
-    return one_sided.withColumns({"resolution": resolution, "source": F.when(confirmed, "static_hint").otherwise("unresolved"), "confidence": F.when(confirmed, F.lit(0.7)).otherwise(F.lit(0.5))})
+    return one_sided.withColumns({"resolution": resolution, "source": F.when(confirmed, "ground_truth_hint").otherwise("unresolved"), "confidence": F.when(confirmed, F.lit(0.7)).otherwise(F.lit(0.5))})
 
 
 def resolve_values(rows: DataFrame) -> DataFrame:
     """The rule for values a, b and truth: equal ones are consensus, else the one that the truth supports, else a person."""
     a, b, truth = F.col("a"), F.col("b"), F.col("truth")
-    resolution = F.when(a.eqNullSafe(b), "consensus").when(a.eqNullSafe(truth), "accept_stream_a").when(b.eqNullSafe(truth), "accept_stream_b").otherwise("needs_human_review")
+    resolution = F.when(a.eqNullSafe(b), "accept_consensus").when(a.eqNullSafe(truth), "accept_stream_a").when(b.eqNullSafe(truth), "accept_stream_b").otherwise("needs_human_review")
     confidence = F.when(a.eqNullSafe(b), F.lit(0.99)).when(a.eqNullSafe(truth) | b.eqNullSafe(truth), F.lit(0.7)).otherwise(F.lit(0.5))
     return rows.withColumns({"resolution": resolution, "confidence": confidence})
 
@@ -257,7 +277,7 @@ def three_way(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     found = found.withColumn("kind", kind)
     severity = F.when(F.col("kind") == "agreed", "none").when(F.col("kind") == "missing_edge", "critical").when((F.col("kind") == "false_edge") | in_t, "high").otherwise("medium")
     accepted = F.when(in_t & in_a, "accept_stream_a").when(in_t & in_b, "accept_stream_b").when(in_t | (in_a & in_b), "accept_ground_truth").when(in_a, "accept_stream_b").otherwise("accept_stream_a")
-    return found.select(*KEY, "kind", severity.alias("severity"), F.when(F.col("kind") == "agreed", "consensus").otherwise(accepted).alias("resolution"))
+    return found.select(*KEY, "kind", severity.alias("severity"), F.when(F.col("kind") == "agreed", "accept_consensus").otherwise(accepted).alias("resolution"))
 
 
 def prefer(rows: DataFrame) -> DataFrame:

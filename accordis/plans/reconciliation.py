@@ -57,7 +57,7 @@ def _(t):
 
 
 RESOLVED = f"""(SELECT component_id, caller, callee, in_a, hint, CASE WHEN hint AND in_a THEN 'accept_stream_a' WHEN hint THEN 'accept_stream_b' ELSE 'needs_human_review' END AS resolution,
-    CASE WHEN hint THEN 'static_hint' ELSE 'unresolved' END AS source, CASE WHEN hint THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM {HINTED} h)"""
+    CASE WHEN hint THEN 'ground_truth_hint' ELSE 'unresolved' END AS source, CASE WHEN hint THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM {HINTED} h)"""
 
 
 @query("c2_edge_resolution", f"SELECT * FROM {RESOLVED} r")
@@ -108,7 +108,7 @@ def _(t):
 VALUES = """(SELECT o_orderkey AS id, o_orderstatus AS a, CASE WHEN o_totalprice > 100000 THEN o_orderstatus ELSE substr(o_orderpriority, 1, 1) END AS b, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS truth FROM orders)"""
 
 
-@query("c3_value_resolution", f"""SELECT *, CASE WHEN a IS NOT DISTINCT FROM b THEN 'consensus' WHEN a IS NOT DISTINCT FROM truth THEN 'accept_stream_a' WHEN b IS NOT DISTINCT FROM truth THEN 'accept_stream_b' ELSE 'needs_human_review' END AS resolution,
+@query("c3_value_resolution", f"""SELECT *, CASE WHEN a IS NOT DISTINCT FROM b THEN 'accept_consensus' WHEN a IS NOT DISTINCT FROM truth THEN 'accept_stream_a' WHEN b IS NOT DISTINCT FROM truth THEN 'accept_stream_b' ELSE 'needs_human_review' END AS resolution,
     CASE WHEN a IS NOT DISTINCT FROM b THEN 0.99::DOUBLE WHEN a IS NOT DISTINCT FROM truth OR b IS NOT DISTINCT FROM truth THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM {VALUES} v""")
 def _(t):
     o = t.orders
@@ -258,7 +258,7 @@ THREE = """(SELECT component_id, caller, callee, max(a) = 1 AS a, max(b) = 1 AS
 
 @query("dd1_three_way", f"""WITH k AS (SELECT *, CASE WHEN a AND b AND t THEN 'agreed' WHEN a AND b THEN 'false_edge' WHEN NOT a AND NOT b THEN 'missing_edge' WHEN a THEN 'a_only' ELSE 'b_only' END AS kind FROM {THREE} x)
     SELECT component_id, caller, callee, kind, CASE WHEN kind = 'agreed' THEN 'none' WHEN kind = 'missing_edge' THEN 'critical' WHEN kind = 'false_edge' OR t THEN 'high' ELSE 'medium' END AS severity,
-    CASE WHEN kind = 'agreed' THEN 'consensus' WHEN t AND a THEN 'accept_stream_a' WHEN t AND b THEN 'accept_stream_b' WHEN t OR (a AND b) THEN 'accept_ground_truth' WHEN a THEN 'accept_stream_b' ELSE 'accept_stream_a' END AS resolution FROM k""")
+    CASE WHEN kind = 'agreed' THEN 'accept_consensus' WHEN t AND a THEN 'accept_stream_a' WHEN t AND b THEN 'accept_stream_b' WHEN t OR (a AND b) THEN 'accept_ground_truth' WHEN a THEN 'accept_stream_b' ELSE 'accept_stream_a' END AS resolution FROM k""")
 def _(t):
     return r.three_way(t.stream_a, t.stream_b, t.hints)
 
@@ -303,11 +303,20 @@ def _(t):
     return r.parameter_differences(parameters(t, "a"), parameters(t, "b"))
 
 
-@query("dd6_merged_texts", "SELECT doc_id, concat(text_a, chr(10) || chr(10), text_b) AS text, 0.75::DOUBLE AS confidence, 'merge' AS resolution FROM {pairs} p")
+@query("dd6_merged_texts", "SELECT doc_id, concat(text_a, chr(10) || chr(10), text_b) AS text, 0.75::DOUBLE AS confidence, 'merge_both' AS resolution FROM {pairs} p")
 def _(t):
     return r.merge_texts(t.pairs).select("doc_id", "text", "confidence", "resolution")
 
 
-@query("dd4_truth_resolution", f"SELECT component_id, caller, callee, CASE WHEN t THEN 'keep_edge' ELSE 'drop_edge' END AS resolution, 0.99::DOUBLE AS confidence FROM {THREE} x WHERE NOT (a AND b AND t)")
+@query("dd4_truth_resolution", f"SELECT component_id, caller, callee, 'accept_ground_truth' AS resolution, t AS stays, 0.99::DOUBLE AS confidence FROM {THREE} x WHERE NOT (a AND b AND t)")
 def _(t):
-    return r.by_truth(r.edges_of_three(t.stream_a, t.stream_b, t.hints)).select("component_id", "caller", "callee", "resolution", "confidence")
+    return r.by_truth(r.edges_of_three(t.stream_a, t.stream_b, t.hints)).select("component_id", "caller", "callee", "resolution", "stays", "confidence")
+
+
+@query("p26_names", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'call_site_line' WHEN 1 THEN 'type_annotation' ELSE 'documentation_content' END AS type, CASE event_id % 4 WHEN 0 THEN 'merge_both' WHEN 1 THEN 'deferred' ELSE 'needs_human_review' END AS resolution,
+    CASE event_id % 4 WHEN 0 THEN 'consensus' WHEN 1 THEN 'auto_resolved' ELSE 'unresolved' END AS source, CASE event_id % 4 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'open' WHEN 2 THEN 'open' ELSE 'open' END AS status FROM events""")
+def _(t):
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 4 + 1).cast("int"))
+    return t.events.select(
+        "event_id", r.named(pick("CALL_SITE_LINE", "type_annotation", "other", None), "type").alias("type"), r.named(pick("Merge_Both", "deferred", "merge", None), "resolution").alias("resolution"),
+        r.named(pick("Consensus", "auto_resolved", "me", None), "source").alias("source"), r.ticket_status(pick("validating", "awaiting_review", "junk", None)).alias("status"))
