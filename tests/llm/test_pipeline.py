@@ -75,3 +75,21 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_names_all_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "mixing", "packing"]
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    """A model that has learned rejects: what goes is what scores at least the limit, and only that."""
+    import random
+
+    from accordis.llm import toxicity
+
+    rng = random.Random(14)
+    plain = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(3, 6))) for _ in range(300)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(50)] + ["zorgblat vexxikon"] * 2 * (i % 6 == 0))) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}").collect()}
+    model = toxicity.fit(docs, spark.read.parquet(f"file://{tmp_path}/labels.parquet"))
+    assert kept == {r["doc_id"] for r in toxicity.score(docs, model, "p").filter(f"p < {corpus_pipeline.TOXIC}").collect()}
+    assert len(kept & {i for i in range(900) if i % 6 == 0}) <= 3 and len(kept) >= 740

@@ -204,3 +204,10 @@ def test_licence_scan_equals_brute_force(spark, docs):
             want[(i, n)] = (family, round(float(p.max()), 6))
     got = {(r["doc_id"], r["paragraph"]): (r["family"], round(r["probability"], 6)) for r in license.scan(df, model, s).filter("unit = 'line'").collect()}
     assert got == want and len(want) >= 3
+
+
+def test_chat_keeps_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(1, 0, "assistant", long, 1), (1, 1, "assistant", None, 1), (1, 2, "user", "", 1)]
+    got = [r for r in chat.repaired(spark.createDataFrame(rows, TURNS)).collect() if r["part"] == 1]
+    assert sorted(len(r["text"]) for r in got) == [0, 0, len(long)] and max(len(r["rendered"]) for r in got) > len(long)

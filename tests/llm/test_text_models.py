@@ -202,18 +202,57 @@ def test_language_model_on_nothing(empty):
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_tiers_pack_windows_of_their_own_size():
-    """Every size has windows, all full; a longer tier's windows begin with a piece that no shorter one holds."""
+def windows(packer):
+    """Length and first piece's length of each sequence."""
+    length, first = Counter(), {}
+    for r in packer.rows:
+        length[r[5]] += r[2]
+        first.setdefault(r[5], r[2])
+    return [(n, first[s]) for s, n in length.items()]
+
+
+@pytest.mark.parametrize("size", packing.SIZES)
+def test_a_tier_packs_windows_of_its_own_size(size):
+    rng = random.Random(3)
+    packer = packing.Packer(packing.SIZES, 10**9, 0, 8)
+    for i in range(200):
+        packer.add(i, 0, np.arange(rng.randint(size // 2 + 1, size - 1), dtype=np.uint32), 1)
+    packer.pack()
+    assert Counter(n for n, _ in windows(packer))[size] >= 0.95 * len(windows(packer)) and packer.held < packing.SIZES[-1]
+
+
+def test_long_windows_take_gaps_from_shorter_tiers():
+    """All windows are full; those of a longer tier begin with a piece that no shorter tier holds."""
     rng = random.Random(3)
     packer = packing.Packer(packing.SIZES, 10**9, 0, 8)
     for i in range(400):
         packer.add(i, 0, np.arange(rng.choice([rng.randint(1, 500), rng.randint(500, 9000)]), dtype=np.uint32), 1)
     packer.pack()
-    length, first = Counter(), {}
-    for r in packer.rows:
-        length[r[5]] += r[2]
-        first.setdefault(r[5], r[2])
-    assert set(length.values()) == set(packing.SIZES) and packer.held < packing.SIZES[-1]
-    for size in packing.SIZES[:-1]:
-        windows = [s for s, n in length.items() if n == size]
-        assert sum(first[s] > size // 2 for s in windows) >= 0.8 * len(windows)
+    found = windows(packer)
+    assert {n for n, _ in found} <= set(packing.SIZES) and {512, 2048, 4096} <= {n for n, _ in found}
+    assert all(first > size // 2 for size, first in found if size > packing.SIZES[-1])
+
+
+def test_toxicity_of_long_texts_and_empty_tables(spark):
+    """A toxic word deep in a very long text counts in training and scoring; columns with clashing names pass through; no rows give none."""
+    docs, labels = labelled(spark)
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("aeiounrst") for _ in range(5)) for _ in range(300)]
+    long = [(7000 + i, " ".join(rng.choice(plain) for _ in range(40_000)) + (" zorgblat vexxikon zorgblat" if i else "")) for i in range(2)]
+    every = docs.unionByName(spark.createDataFrame(long, "doc_id long, text string")).withColumns({"score": F.lit("s"), "toxic": F.lit(9)})
+    known = labels.unionByName(spark.createDataFrame([(7000, 0), (7001, 1)], "doc_id long, toxic int"))
+    model = toxicity.fit(every, known)
+    got = {r["doc_id"]: r for r in toxicity.score(every, model, "p").filter("doc_id >= 7000").collect()}
+    assert got[7001]["p"] > got[7000]["p"] and got[7000]["score"] == "s" and got[7000]["toxic"] == 9
+    none = every.limit(0)
+    assert toxicity.score(none, toxicity.fit(none, labels.limit(0)), "p").count() == 0
+    assert toxicity.score(none, model, "p").count() == 0
+
+
+def test_toxicity_learns_short_words_and_phrases():
+    rng = random.Random(13)
+    plain = ["".join(rng.choice("aeiounrst") for _ in range(5)) for _ in range(200)] + ["get", "lost"]
+    text = lambda *extra: " ".join([rng.choice(plain) for _ in range(30)] + list(extra))
+    toxic = [text("zq", "get lost") for _ in range(120)]
+    model = toxicity.train(toxic, [text("get", "some", "lost") for _ in range(400)], (120, 400), toxicity.Settings())
+    assert b" zq " in model.toxic and b" get lost " in model.toxic
