@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ratio
@@ -122,3 +122,24 @@ def progress(runs: DataFrame) -> DataFrame:
     """Mean component and iteration seconds, throughput and remaining seconds, from counts and sums per run."""
     return runs.select("run_id", F.try_divide("component_seconds", F.col("components")).alias("mean_component"), F.try_divide("iteration_seconds", F.col("iterations")).alias("mean_iteration"), F.try_divide(F.col("components").cast("double"), "component_seconds").alias("throughput"),
         (F.col("left_components") * F.try_divide("component_seconds", F.col("components")) + F.col("left_iterations") * F.try_divide("iteration_seconds", F.col("iterations"))).alias("eta"))
+
+
+def goes_on(iterations: DataFrame, most: int) -> DataFrame:
+    """(run_id, go_on): whether a run has iterations left and its last one left discrepancies."""
+    return iterations.groupBy("run_id").agg(((F.max("iteration") < most) & (F.max_by("discrepancies", "iteration") > 0)).alias("go_on"))
+
+
+def final_status(discrepancies: Column, match_rate: Column) -> Column:
+    """How a run ended: converged, partially (half of it or more agrees) or not."""
+    return F.when(discrepancies == 0, "converged").when(match_rate >= 0.5, "partially_converged").otherwise("divergent")
+
+
+def escalates(iteration: Column, discrepancies: Column, most: int) -> Column:
+    """Whether a run has used up its iterations with discrepancies left."""
+    return (iteration >= most) & (discrepancies > 0)
+
+
+def success_rates(log: DataFrame) -> DataFrame:
+    """(run_id, success_rate, documentation_rate): events that are no errors, and components that were documented, of all."""
+    documented = F.countDistinct(F.when(F.col("type") == "component_documented", F.col("component_id")))
+    return log.groupBy("run_id").agg(ratio(F.count_if(F.col("type") != "error"), F.count(F.lit(1)), 0.0).alias("success_rate"), ratio(documented, F.countDistinct("component_id"), 0.0).alias("documentation_rate"))

@@ -303,3 +303,13 @@ def any_of(*tests: Column) -> Column:
     for t in tests[1:]:
         out = out | t
     return out
+
+
+def satisfied(least_match: float, least_similarity: float, most_blocking: int, most_iterations: int) -> Column:
+    """Whether match_rate, similarity, blocking and iteration all meet their limits."""
+    return (F.col("match_rate") >= least_match) & (F.col("similarity") >= least_similarity) & (F.col("blocking") <= most_blocking) & (F.col("iteration") <= most_iterations)
+
+
+def settled(least_match: float, most_blocking: int) -> Column:
+    """The second rule of convergence: no discrepancies at all, or a high match rate with few that block."""
+    return any_of(F.col("discrepancies") == 0, (F.col("match_rate") >= least_match) & (F.col("blocking") <= most_blocking))

@@ -133,3 +133,25 @@ def latest_by_strategy(executions: DataFrame, names: list[str]) -> DataFrame:
     """A row for each component with the last score of each named strategy, 0 where it has none."""
     last = executions.groupBy("component_id", "strategy").agg(F.max_by("score", F.struct("seq", "score")).alias("score"))
     return last.groupBy("component_id").agg(*(F.coalesce(F.max(F.when(F.col("strategy") == n, F.col("score"))), F.lit(0)).alias(n) for n in names))
+
+
+def confidence_bucket(confidence: Column) -> Column:
+    """high from 95 per cent on, medium from 80, else low."""
+    whole = F.floor(confidence * 100)
+    return F.when(whole >= 95, "high").when(whole >= 80, "medium").otherwise("low")
+
+
+def finding_precision(findings: DataFrame) -> DataFrame:
+    """(team, valid, total, precision) of findings (team, is_correct)."""
+    counted = findings.groupBy("team").agg(F.count_if("is_correct").alias("valid"), F.count(F.lit(1)).alias("total"))
+    return counted.withColumn("precision", ratio(F.col("valid"), F.col("total"), 0.0))
+
+
+def pass_rates(results: DataFrame, *keys: str) -> DataFrame:
+    """The share of results (is_correct) that pass, by keys."""
+    return results.groupBy(*keys).agg(ratio(F.count_if("is_correct"), F.count(F.lit(1)), 0.0).alias("pass_rate"))
+
+
+def both_teams(a: Column, b: Column) -> list[Column]:
+    """The average score of two teams, and whether both stayed below one half."""
+    return [((a + b) / 2).alias("average_score"), ((a < 0.5) & (b < 0.5)).alias("both_failed")]

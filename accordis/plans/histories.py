@@ -124,11 +124,10 @@ def _(t):
 
 @query("c9_continue", "SELECT run_id, max(iteration) < 5 AND arg_max(discrepancies, iteration) > 0 AS go_on FROM {iterations} i GROUP BY run_id")
 def _(t):
-    return t.iterations.groupBy("run_id").agg(((F.max("iteration") < 5) & (F.max_by("discrepancies", "iteration") > 0)).alias("go_on"))
+    return h.goes_on(t.iterations, 5)
 
 
 @query("f18_final_status", """SELECT run_id, iteration, CASE WHEN discrepancies = 0 THEN 'converged' WHEN identical::DOUBLE / total >= 0.5 THEN 'partially_converged' ELSE 'divergent' END AS status, iteration >= 5 AND discrepancies > 0 AS escalate FROM {iterations} i""")
 def _(t):
-    rate = F.col("identical").cast("double") / F.col("total")
-    status = F.when(F.col("discrepancies") == 0, "converged").when(rate >= 0.5, "partially_converged").otherwise("divergent")
-    return t.iterations.select("run_id", "iteration", status.alias("status"), ((F.col("iteration") >= 5) & (F.col("discrepancies") > 0)).alias("escalate"))
+    rated = t.iterations.withColumn("match_rate", F.col("identical").cast("double") / F.col("total"))
+    return rated.select("run_id", "iteration", h.final_status(F.col("discrepancies"), F.col("match_rate")).alias("status"), h.escalates(F.col("iteration"), F.col("discrepancies"), 5).alias("escalate"))

@@ -136,13 +136,15 @@ def _(t):
 
 @query("c5_criteria", f"SELECT run_id, iteration, match_rate >= 0.66 AND similarity >= 0.6 AND blocking <= 6 AND iteration <= 5 AS satisfied FROM {RATES} x")
 def _(t):
-    met = (F.col("identical").cast("double") / F.col("total") >= 0.66) & (F.col("identical").cast("double") / (F.col("total") + 10) >= 0.6) & (F.col("blocking") <= 6) & (F.col("iteration") <= 5)
-    return t.iterations.select("run_id", "iteration", met.alias("satisfied"))
+    rate = lambda n: F.col("identical").cast("double") / n
+    rows = t.iterations.withColumns({"match_rate": rate(F.col("total")), "similarity": rate(F.col("total") + 10)})
+    return rows.select("run_id", "iteration", r.satisfied(0.66, 0.6, 6, 5).alias("satisfied"))
 
 
 @query("c10_secondary_rule", f"""SELECT run_id, iteration, discrepancies = 0 OR (identical::DOUBLE / total >= 0.65 AND blocking <= 3) AS converged FROM {{iterations}} i""")
 def _(t):
-    return t.iterations.select("run_id", "iteration", r.any_of(F.col("discrepancies") == 0, (F.col("identical").cast("double") / F.col("total") >= 0.65) & (F.col("blocking") <= 3)).alias("converged"))
+    rows = t.iterations.withColumn("match_rate", F.col("identical").cast("double") / F.col("total"))
+    return rows.select("run_id", "iteration", r.settled(0.65, 3).alias("converged"))
 
 
 @query("c8_stream_status", f"""SELECT components, identical, components - identical AS differing, CASE WHEN components = 0 THEN 1.0::DOUBLE ELSE identical::DOUBLE / components END AS agreement_rate, components = 0 OR identical >= 0.95 * components AS converged

@@ -150,20 +150,17 @@ def _(t):
 
 @query("a14_finding_precision", "SELECT team, count(*) FILTER (is_correct) AS valid, count(*) AS total, (count(*) FILTER (is_correct))::DOUBLE / count(*) AS precision FROM {answers} a GROUP BY team")
 def _(t):
-    from ..operators.graph import ratio
-
-    counted = t.answers.groupBy("team").agg(F.count_if("is_correct").alias("valid"), F.count(F.lit(1)).alias("total"))
-    return counted.withColumn("precision", ratio(F.col("valid"), F.col("total"), 0.0))
+    return s.finding_precision(t.answers)
 
 
 @query("a15_test_pass_rate", "SELECT team, category, (count(*) FILTER (is_correct))::DOUBLE / count(*) AS pass_rate FROM {answers} a GROUP BY team, category")
 def _(t):
-    return t.answers.groupBy("team", "category").agg((F.count_if("is_correct").cast("double") / F.count(F.lit(1))).alias("pass_rate"))
+    return s.pass_rates(t.answers, "team", "category")
 
 
 @query("a16_average_and_failed", "SELECT component_id, (qa + scenario) / 2 AS average_score, qa < 0.5 AND scenario < 0.5 AS both_failed FROM " + DOUBLES + " d")
 def _(t):
-    return t.scores.select("component_id", ((F.col("qa") + F.col("scenario")) / 2).alias("average_score"), ((F.col("qa") < 0.5) & (F.col("scenario") < 0.5)).alias("both_failed"))
+    return t.scores.select("component_id", *s.both_teams(F.col("qa"), F.col("scenario")))
 
 
 @query("c14_component_scores", """WITH x AS (SELECT l_orderkey AS component_id, CASE l_returnflag WHEN 'A' THEN 'qa' WHEN 'R' THEN 'masked' ELSE 'scenario' END AS strategy, l_linenumber AS seq, l_quantity::INTEGER AS score FROM lineitem),

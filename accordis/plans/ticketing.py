@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import history as h
+from ..operators import scores as s
 from ..operators import tickets as k
 from .registry import query
 
@@ -12,8 +14,7 @@ PRICES = {"A": (3, 15), "R": (15, 75), "N": (1, 4)}
 
 @query("p18_confidence_bucket", "SELECT component_id, CASE WHEN c >= 95 THEN 'high' WHEN c >= 80 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT component_id, floor(mutation * 100) AS c FROM {scores} s)")
 def _(t):
-    c = F.floor(F.col("mutation") * 100)
-    return t.scores.select("component_id", F.when(c >= 95, "high").when(c >= 80, "medium").otherwise("low").alias("bucket"))
+    return t.scores.select("component_id", s.confidence_bucket(F.col("mutation")).alias("bucket"))
 
 
 @query("p19_ticket_query", "SELECT ticket_key, status FROM {tickets} t WHERE type = 'rebuild' AND status IN ('pending', 'resolved') AND status NOT IN ('applied', 'expired')")
@@ -95,8 +96,7 @@ def _(t):
 
 @query("a28_success_rates", "SELECT run_id, (count(*) FILTER (type <> 'error'))::DOUBLE / count(*) AS success_rate, (count(DISTINCT component_id) FILTER (type = 'component_documented'))::DOUBLE / count(DISTINCT component_id) AS documentation_rate FROM {log} l GROUP BY run_id")
 def _(t):
-    documented = F.countDistinct(F.when(F.col("type") == "component_documented", F.col("component_id")))
-    return t.log.groupBy("run_id").agg((F.count_if(F.col("type") != "error").cast("double") / F.count(F.lit(1))).alias("success_rate"), (documented.cast("double") / F.countDistinct("component_id")).alias("documentation_rate"))
+    return h.success_rates(t.log)
 
 
 @query("a30_fingerprint", "SELECT lang, md5(string_agg(line, '|' ORDER BY line)) AS fingerprint FROM (SELECT lang, concat(doc_id, ':', n_chars, ':', doc_id % 9) AS line FROM documents) GROUP BY lang")
