@@ -51,13 +51,15 @@ END = np.uint64(0x5E1F_E4D0_0F7E_0001)
 FOLLOWER_BITS = np.uint64(20)
 #: Log10 probabilities of open tokens are kept in steps of this.
 STEP = 1e-3
+#: Steps a bit in which the divergence test knows the parent's probabilities.
+PARENT_STEPS = 4
 #: What becomes of a token at a level: settled, asked for, or settled because its context is too rare.
 SETTLED, OPEN, RARE = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 8
+    depth: int = 6
     least: int = 2
     gain: float = 3.0
     discount: float = 0.5
@@ -275,7 +277,7 @@ def asking(depth: int, bits: int) -> Callable[[dict], Iterator[dict]]:
         at, value, keys, pair = open_pairs(r, depth)
         train = np.repeat(unpack(r["train"], "u1"), unpack(r["sizes"], "<i8"))[at]
         parents = np.zeros(len(keys), np.uint8)
-        parents[pair] = np.clip(np.rint(value * (-8 / math.log10(2))), 0, 255)
+        parents[pair] = np.clip(np.rint(value * (-PARENT_STEPS / math.log10(2))), 0, 255)
         yield from cut(r["chunk"], bits, keys, np.bincount(pair, weights=train, minlength=len(keys)), parents)
 
     return run
@@ -299,12 +301,15 @@ def settle_pairs(settings: Settings) -> Callable[[list[dict]], Iterator[dict]]:
         keys, at, totals, edges = merged(group)
         parents = np.zeros(len(keys), np.uint8)
         parents[at] = np.concatenate([unpack(r["parents"], "u1") for r in group])
-        of, seen, followers, kept, longer = states(keys, totals.astype(float), 2.0 ** (parents / -8.0), settings)
+        of, seen, followers, kept, longer = states(keys, totals.astype(float), 2.0 ** (parents / -float(PARENT_STEPS)), settings)
         for r, a, b in zip(group, edges, edges[1:], strict=False):
             mine = at[a:b]
             first = np.concatenate(([True], of[mine][1:] != of[mine][:-1]))
             contexts = of[mine][first]
-            yield {"chunk": r["chunk"], "range": r["range"], "counts": pack(totals[mine].astype(np.uint32)), "seen": pack(seen[contexts].astype(np.uint32)), "followers": pack((followers[contexts].astype(np.uint32) << np.uint32(2)) | (longer[contexts].astype(np.uint32) << np.uint32(1)) | kept[contexts])}
+            # of contexts that aren't retained a chunk needs to know only whether they go on, and which of its pairs are rare
+            known = np.where(kept[of[mine]], totals[mine], np.minimum(totals[mine], settings.least))
+            mark = (np.where(kept, followers, 0)[contexts].astype(np.uint32) << np.uint32(2)) | (longer[contexts].astype(np.uint32) << np.uint32(1)) | kept[contexts]
+            yield {"chunk": r["chunk"], "range": r["range"], "counts": pack(known.astype(np.uint32)), "seen": pack(np.where(kept, seen, 0)[contexts].astype(np.uint32)), "followers": pack(mark)}
 
     return run
 

@@ -127,7 +127,8 @@ class Brute:
         if context not in self.kept:
             after, gain = self.after[context], 0.0
             for w, k in after.items():
-                parent = 2.0 ** (np.clip(np.rint(self.value(context[:-1], w) * (-8 / math.log10(2))), 0, 255) / -8.0)
+                steps = lm_scoring.PARENT_STEPS
+                parent = 2.0 ** (np.clip(np.rint(self.value(context[:-1], w) * (-steps / math.log10(2))), 0, 255) / -steps)
                 of, left = sum(after.values()) - 1, len(+after) - (k == 1)
                 gain += k * math.log(max((max(k - 1 - self.s.discount, 0) + self.s.discount * left * parent) / max(of, 1), 1e-300) / parent)
             self.kept[context] = gain >= self.s.gain
