@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license, lm_scoring, mixing, ngram_join, packing, sharding, topk, toxicity
+from . import chat, exact_dedup, license, lm_scoring, mixing, ngram_join, packing, prefix_trie, sharding, topk, toxicity
 from .common import table
 
 
@@ -61,6 +61,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(docs, license.fit(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = prefix_trie.rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, conversations).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -96,4 +102,21 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    # h is a CRC-32 taken bit by bit: a list holds each byte and eight marks for the shifts after it
+    "op11_prefix_trie": """
+        WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, 4294967295::BIGINT), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+        built AS (SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY t.conv_id <> c.base OR t.pos > h, t.pos) AS depth, role, text
+            FROM convs c JOIN turns t ON (t.conv_id = c.base AND t.pos <= h) OR (t.conv_id = c.conv_id AND t.pos > h)),
+        occ AS (SELECT conv_id, depth, string_agg(sha256(concat(length(role), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY depth) AS k, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM built
+            UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+        lengths AS (SELECT conv_id, max(depth) AS length FROM occ GROUP BY conv_id),
+        nodes AS (SELECT k, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, max(length) AS far,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256 FROM occ JOIN lengths USING (conv_id) GROUP BY k),
+        above AS (SELECT o.k, n.conv_id, n.depth, n.n_convs, n.words, n.far FROM nodes n JOIN occ o ON o.conv_id = n.conv_id AND o.depth <= n.depth),
+        sums AS (SELECT a.k, count(*) FILTER (a.depth = n.depth + 1) AS n_children, count(*) FILTER (a.far = a.depth) AS n_leaves, sum((a.n_convs - 1) * a.words)::BIGINT AS saved_tokens FROM above a JOIN nodes n USING (k) GROUP BY a.k)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums USING (k) LEFT JOIN occ o ON o.conv_id = n.conv_id AND o.depth = n.depth - 1 LEFT JOIN nodes p ON p.k = o.k""",
 }

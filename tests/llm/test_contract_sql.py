@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_agrees_with_its_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     found = duck.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
