@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license, lm_scoring, mixing, ngram_join, packing, prefix_trie, sharding, topk, toxicity
+from . import chat, exact_dedup, license, lm_scoring, mixing, ngram_join, packing, prefix_trie, quality, sharding, topk, toxicity, whitening
 from .common import table
 
 
@@ -66,6 +66,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(turns, conversations).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""

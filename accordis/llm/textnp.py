@@ -76,13 +76,18 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
+def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each (begins, ends) the hashes of these spans of data."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return [mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64)) for begins, ends in spans]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of the texts, and the first word of each text."""
     begins, ends, first = word_spans(data, offsets)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((LOWERED[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64)), first
+    return span_hashes(LOWERED[data], (begins, ends))[0], first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
