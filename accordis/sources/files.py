@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .versions import Versions
 
 LOG_SCHEMA = """type string, timestamp timestamp, run_id string, seq long, component_count int, component_id string, stream string, iteration int, status string,
     output_path string, duration_ms double, token_count long, phase string, error string, error_type string, components_processed int, converged boolean"""
@@ -49,18 +52,27 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def overwrite_json(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Replace a JSON table, partitioned by keys if some are given: entity documents by (stream, component) for one."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+def overwrite_json(df: DataFrame, path: str, *partition_by: str) -> int:
+    """Replace a JSON table, partitioned by keys if some are given: entity documents by (stream, component) for one. Readers see the old
+    rows until the new ones are whole. Gives the version."""
+    return Versions(df.sparkSession, path, "json").overwrite(df, *partition_by)
+
+
+def read_json(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of a table that overwrite_json() wrote."""
+    return Versions(spark, path, "json").read(version)
 
 
 def entity(spark: SparkSession, path: str, schema: str, **keys: str) -> DataFrame:
-    """Documents of one entity; no rows if there are none or they can't be read. Partition pruning reads one folder."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Documents of one entity; no rows if there are none. Only the folders of these keys are read."""
+    table = Versions(spark, path, "json")
+    held = table.manifest()
+    if held is None:
+        return spark.createDataFrame([], schema)
+    rows = table.read(held.version, {k: [v] for k, v in keys.items() if k in held.by})
     for k, v in keys.items():
         rows = rows.filter(F.col(k) == v)
-    return rows
+    return rows.select(*StructType.fromDDL(schema).names)
 
 
 def snapshots(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -85,6 +97,11 @@ def export_package(tables: dict[str, DataFrame], path: str, run_id: str) -> list
     return out
 
 
+def export_metrics(metrics: DataFrame, path: str) -> int:
+    """Write each run's metrics (run_id, ...) in place of what is there of these runs; other runs stay. Gives the version."""
+    return Versions(metrics.sparkSession, path, "json").replace(metrics, "run_id")
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """A Markdown table line for each row; null is a dash."""
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in df.columns]

@@ -33,7 +33,7 @@ def test_exports(spark, tmp_path):
     assert tuple(files.export_graphs(sides, f"file://{tmp_path}/out", 2).first()) == (2, 1, 1, 0)
     assert spark.read.json(f"file://{tmp_path}/out/discrepancies").filter("iteration = 2").count() == 1
     (path,) = files.export_package({"graph": sides}, f"file://{tmp_path}/package", "run1")
-    assert spark.read.json(path).count() == 2
+    assert files.read_json(spark, path).count() == 2
     assert files.markdown_rows(spark.createDataFrame([("a|b", None)], "x string, y string")).first()["line"] == "| a\\|b | - |"
 
 
