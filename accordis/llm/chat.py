@@ -95,6 +95,8 @@ def best(costs: list[int]) -> int:
     return min(range(4), key=lambda s: (costs[s], s))
 
 
+#: Characters of a text by which turns are dealt to ranges.
+HEAD = 64
 AT_START = [0, INFINITE, INFINITE, INFINITE]
 
 
@@ -119,9 +121,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None,
 
 
 def ordered(turns: DataFrame) -> DataFrame:
-    """Turns with the number of the range partition that holds them, written once so that both passes see the same."""
+    """Turns with the number of the range partition that holds them, written once so that both passes see the same.
+
+    Ranges go by the beginning of a text, so that the keys that are sampled for their bounds are small; inside a range the whole
+    text decides, which is the same order.
+    """
     keys = ["conv_id", "turn", "role", "text"]
-    ranged = turns.select(*keys).repartitionByRange(*keys)
+    ranged = turns.select(*keys, F.substring("text", 1, HEAD).alias("_head")).repartitionByRange("conv_id", "turn", "role", "_head")
     return materialize(ranged.select(F.spark_partition_id().alias("part"), *keys))
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.scratch import new_folder, remove
 
 #: A word, as a Java pattern: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -27,54 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="accordis-"))
-    return str(found).rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
-_WRITTEN: dict[str, SparkSession] = {}
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/accordis/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _WRITTEN[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote for tables that nothing lazy reads any more."""
+    """Delete what materialize() wrote for tables that nothing lazy reads any more. What isn't released goes when Python ends."""
     for table in tables:
-        _delete(table._written_at)
-
-
-def _delete(path: str) -> None:
-    spark = _WRITTEN.pop(path)
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session is already gone
-        return
-
-
-def drop_written() -> None:
-    """Delete all that materialize() wrote. Runs at exit; call it earlier once no DataFrame made from those tables is used."""
-    for path in list(_WRITTEN):
-        _delete(path)
-
-
-atexit.register(drop_written)
+        remove(table._written_at)
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

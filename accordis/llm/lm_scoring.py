@@ -42,7 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shared_dir, trimmed
+from ..sources.scratch import new_folder, remove
+from .common import materialize, release, trimmed
 from .textnp import CHAIN, bytes_of, chunks, mix64, word_hashes
 
 #: The end of a text, as a word of its own. No word hashes to it but by a chance of 2**-64.
@@ -125,7 +126,7 @@ class Buckets:
 
     def write(self, df: DataFrame) -> DataFrame:
         name = f"accordis_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/accordis/{name}"
+        path = new_folder(self.spark, name)
         df.write.bucketBy(self.n, "chunk").sortBy("chunk").format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
         table = self.spark.table(name)
         self.names[name] = table._written_at = path
@@ -135,8 +136,7 @@ class Buckets:
     def drop(self, table: DataFrame) -> None:
         """Forget a table and its files, and let Spark clear up what shuffles of finished jobs left."""
         self.spark.sql(f"DROP TABLE {table._name}")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table._written_at)
 
 
 def clear_up(spark) -> None:

@@ -6,7 +6,7 @@ most one apart. Anyone who knows N and the seed can compute a row's place from i
 
 Numbering needs no global sort: rows fall into hash buckets, the bucket totals (at most `buckets` rows) are summed up,
 and a window numbers rows inside a bucket. Rows that are equal in every key column are counted together first, so a row
-that is repeated very often costs one row in the shuffle.
+that is repeated very often costs one row in the shuffle; runs of its numbers are then dealt to all tasks.
 
 Defined results: a null text has size 1 and CRC 0, as an empty one; a null doc_id is an ordinary value; repeated rows get
 a place each; an empty table gives an empty result; other columns are not read.
@@ -22,6 +22,8 @@ from .common import materialize, small
 ROUNDS = 6
 #: Steps of cycle walking. A step leaves a row outside with a chance of about 1/sqrt(N), so this bound is never met.
 WALK = 64
+#: Numbers of a repeated row that one task gives at once.
+RUN = 100_000
 
 
 def feistel(x: Column, a: Column, b: Column, seed: int) -> Column:
@@ -57,7 +59,15 @@ def number_rows(rows: DataFrame, keys: list[str], seed: int, buckets: int = 4096
     starts = totals.select("_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_start"), F.sum("_in_bucket").over(Window.partitionBy()).alias("n_rows"))
     inside = Window.partitionBy("_bucket").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.join(small(starts, buckets), "_bucket").withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return placed.select(*keys, "n_rows", F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("row_number"))
+    each = lambda df: df.select(*keys, "n_rows", F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("row_number"))
+    often = F.col("_n") > RUN
+    if copies.filter(often).isEmpty():
+        return each(placed)
+    # a row that is repeated very often is cut into runs first, which are dealt to all tasks
+    runs = placed.filter(often).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+    cut = runs.select(*keys, "n_rows", "_run", (F.col("_first") + F.col("_run") * RUN).alias("_first"), F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN).alias("_n"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few small rows would be put together again
+    return each(placed.filter(~often)).unionAll(each(cut.repartition(tasks, *keys, "_run")))
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 20_240_229, buckets: int = 4096) -> DataFrame:

@@ -6,7 +6,8 @@ window's distance. A text is judged by its windows: the largest saving, the runn
 threshold, and the mean. A logistic fit on labelled rows that made no dictionary turns these into a score from 0 to 1.
 
 Training reads a bounded sample of labelled rows: at most `per_class` rows of each class and `sample_bytes` bytes in all,
-lowest hash of doc_id first, texts of any length. Half of them make the dictionaries, a quarter the threshold and the fit, and
+lowest hash of doc_id first; of a text longer than `sample_chars` a stretch of that length, at a place that follows from doc_id.
+Half of them make the dictionaries, a quarter the threshold and the fit, and
 the last quarter chooses the size of the toxic dictionary. That of ordinary text is made by zstandard's trainer. Its trainer
 fills a dictionary of toxic text with ordinary syllables, which are as frequent there, so toxic rows are told from others by
 far less (figures in the README); the toxic dictionary therefore holds the words of toxic rows with a character 5-gram, or a
@@ -45,6 +46,7 @@ class Settings:
     window_words: int = 16
     per_class: int = 3000
     sample_bytes: int = 64_000_000
+    sample_chars: int = 250_000
     contrast: float = 14.0
     ordinary_bytes: int = 4096
     #: Sizes of the toxic part that are tried; the one that calibrates best stays.
@@ -209,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = known.filter("toxic = 1").orderBy(*order).limit(settings.per_class).unionAll(known.filter("toxic = 0").orderBy(*order).limit(settings.per_class))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).filter("text IS NOT NULL")
-    texts = materialize(texts)  # two times per_class rows at most
+    spare = F.greatest(F.length("text") - settings.sample_chars, F.lit(0))
+    stretch = F.when(spare > 0, F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id", F.lit(1)), (spare + 1).cast("long")).cast("int") + 1, F.lit(settings.sample_chars))).otherwise(F.col("text"))
+    texts = materialize(texts.withColumn("text", stretch))  # two times per_class rows at most
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sizes = texts.select("doc_id", F.sum(F.octet_length("text")).over(upto).alias("_upto")).filter(F.col("_upto") <= settings.sample_bytes)
     rows = sorted(texts.join(F.broadcast(sizes), "doc_id").collect(), key=lambda r: r["doc_id"])

@@ -152,3 +152,12 @@ def test_index_chains_colliding_keys(spark):
     index = spark.createDataFrame([(1, 5, 3, "a"), (2, 5, 3, "b"), (3, 5, 3, "a"), (4, 9, 3, "c")], "doc_id long, key long, n_bytes int, text_sha256 string")
     got = {(r["text_sha256"], r["keep_id"], r["group_size"], r["chained"]) for r in exact_dedup.chains(index, *exact_dedup.directory(index)).collect()}
     assert got == {("a", 3, 2, 2), ("b", 2, 1, 2), ("c", 4, 1, 1)}
+
+
+def test_a_row_repeated_very_often_comes_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 1000)
+    same = spark.range(50_500).selectExpr("CAST(NULL AS LONG) AS doc_id", "'again' AS text").unionAll(spark.range(30).selectExpr("id", "concat('t', id)"))
+    got = sharding.shard(same)
+    assert got.selectExpr("count(*)", "count(DISTINCT row_number)", "min(row_number)", "max(row_number)").first()[:] == (50_530, 50_530, 0, 50_529)
+    assert {(r["shard"], r["n"], r["top"]) for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()} == {(s, 3158 + (s < 2), 3157 + (s < 2)) for s in range(16)}
+    assert got.filter("doc_id IS NULL").select(F.spark_partition_id().alias("p")).groupBy("p").count().filter("count > 5000").count() >= 3

@@ -1,10 +1,12 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from accordis.llm import lm_scoring, packing, toxicity
@@ -100,6 +102,47 @@ def test_toxicity_reads_no_held_out_label(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_toxicity_keeps_its_sample_beside_a_giant_text(spark):
+    """A labelled text that is larger than the whole sample leaves room for the others."""
+    docs, labels = labelled(spark)
+    settings = toxicity.Settings(sample_bytes=300_000, sample_chars=2_000)
+    giants = [(i, "plain words only " * 40_000) for i in range(8000, 8012)]  # some come first in any order
+    more, known = docs.unionByName(spark.createDataFrame(giants, docs.schema)), labels.unionByName(spark.createDataFrame([(i, 0) for i, _ in giants], labels.schema))
+    model = toxicity.fit(more, known, settings)
+    assert model.weights
+    got = toxicity.score(docs, model, "p").join(labels, "doc_id").filter("toxic IS NOT NULL").collect()
+    assert sum((r["p"] >= 0.3) == (r["toxic"] == 1) for r in got) / len(got) > 0.95
+
+
+def test_toxicity_scores_by_a_plain_twin(spark, docs):
+    """Windows, savings, features and score of every text, one at a time."""
+    train, labels = labelled(spark)
+    model = toxicity.fit(train, labels)
+    fold = str.maketrans({**{chr(i): chr(i + 32) for i in range(65, 91)}, **{c: " " for c in "\t\n\v\f\r"}})
+    params = zstandard.ZstdCompressionParameters(compression_level=model.settings.level, min_match=3, strategy=zstandard.STRATEGY_GREEDY, window_log=14, hash_log=12, chain_log=12, search_log=3, write_content_size=0, write_dict_id=0, write_checksum=0)
+    length = lambda window, known: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(window))
+
+    def twin(text):
+        folded, words = (text or "").translate(fold), list(re.finditer(r"[^ ]+", (text or "").translate(fold)))
+        windows = [f" {folded[words[i].start() : words[min(i + 15, len(words) - 1)].end()]} ".encode() for i in range(0, len(words), 16)]
+        saved = sorted((length(w, model.ordinary) - length(w, model.toxic + model.ordinary) for w in windows), reverse=True)
+        over = sum(s >= model.threshold for s in saved)
+        at = lambda i: saved[i] / 8 if len(saved) > i else 0.0
+        features = [at(0), at(1), at(2), math.log1p(over), over / len(saved), sum(saved) / len(saved)] if saved else [0.0] * 6
+        z = model.weights[6] + sum(a * b for a, b in zip(features, model.weights, strict=False))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    rows = [(r["text"], r["toxicity_score"]) for r in toxicity.score(docs.drop("toxicity_score").filter("doc_id <> 214 OR doc_id IS NULL").unionByName(train.limit(40), allowMissingColumns=True), model).collect()]
+    assert len(rows) > 150 and max(abs(twin(t) - p) for t, p in rows) < 1e-12
+
+
+def test_toxicity_where_the_column_is_taken(spark):
+    docs, labels = labelled(spark)
+    held = docs.withColumn("toxicity_score", F.lit("mine"))
+    got = toxicity.score(held, toxicity.fit(docs, labels), "another").first()
+    assert got["toxicity_score"] == "mine" and 0 <= got["another"] <= 1
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["p"] for r in toxicity.score(docs, toxicity.fit(docs, none), "p").collect()} == {0.0}
