@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
+from . import cycles
 
 PAIR = ["caller", "callee"]
 
@@ -127,24 +128,9 @@ def reach(edges: DataFrame, depth: int | None = None) -> DataFrame:
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer): the longest path to a node without dependencies, over edges (a depends on b). A round peels the nodes whose
-    dependencies have all gone, as deep as the graph is, and ends in a checkpoint. Nodes on cycles, and those that depend on them, have no layer.
-    """
-    left = cut(edges.select("a", "b").distinct())
-    at = left.select(F.col("b").alias("node")).distinct().join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    found, d = [], 0
-    while True:
-        at = cut(at)
-        if at.isEmpty():
-            break
-        found.append(at.withColumn("layer", F.lit(d)))
-        freed = left.join(at, F.col("b") == F.col("node"), "left_semi").select(F.col("a").alias("node")).distinct()
-        left = cut(left.join(at, F.col("b") == F.col("node"), "left_anti"))
-        at, d = freed.join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), d + 1
-    out = left.select(F.col("a").alias("node"), F.lit(0).alias("layer")).limit(0)
-    for level in found:
-        out = out.unionAll(level)
-    return out
+    """(node, layer): the longest path to a node without dependencies, over edges (a depends on b). Nodes on cycles, and those that depend on
+    them, have no layer. Paths are followed by doubling, so rounds grow with how the graph branches, not with its depth."""
+    return cycles.layers(edges)
 
 
 def file_order(components: DataFrame) -> DataFrame:
@@ -165,14 +151,13 @@ def fallback_order(components: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def unresolved(edges: DataFrame) -> DataFrame:
-    """Nodes that never lose all dependencies: members of cycles and what depends on them. Each round peels a layer."""
-    left = cut(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct())
-    n = left.count()
-    while True:
-        left = cut(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        if (m := left.count()) == n:
-            return left.select(F.col("a").alias("node")).distinct()
-        n = m
+    """Nodes that never lose all dependencies: members of cycles and what depends on them."""
+    return cycles.unresolved(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")))
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(node, component, size, on_cycle): members of one cycle share a component, named for the smallest of them."""
+    return cycles.strongly_connected(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")))
 
 
 def dependency_order(edges: DataFrame, graph: str = "graph") -> DataFrame:

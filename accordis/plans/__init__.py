@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import discovery, graphs, histories, reconciliation, reports, scoring, stores, texts, ticketing, windows
+from . import analysis, discovery, graphs, histories, reconciliation, reports, scoring, stores, texts, ticketing, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "discovery", "graphs", "histories", "reconciliation", "reports", "scoring", "stores", "texts", "ticketing", "windows"]
+__all__ = ["QUERIES", "SQL", "analysis", "discovery", "graphs", "histories", "reconciliation", "reports", "scoring", "stores", "texts", "ticketing", "windows"]

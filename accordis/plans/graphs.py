@@ -97,6 +97,15 @@ def _(t):
     return g.unresolved(t.digraph)
 
 
+@query("gr2_cycles", """WITH RECURSIVE r AS (SELECT caller AS a, callee AS b FROM {digraph} d UNION SELECT r.a, d.callee FROM r JOIN {digraph} d ON r.b = d.caller),
+    n AS (SELECT caller AS node FROM {digraph} d UNION SELECT callee FROM {digraph} d), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON y.a = x.b AND y.b = x.a),
+    c AS (SELECT node, min(other) AS component, count(*) AS size FROM m GROUP BY node)
+    SELECT n.node, coalesce(c.component, n.node) AS component, coalesce(c.size, 1) AS size, c.node IS NOT NULL AS on_cycle FROM n LEFT JOIN c ON c.node = n.node""")
+def _(t):
+    """Members of cycles apart from what merely depends on them."""
+    return g.strongly_connected(t.digraph)
+
+
 @query("gr3_ancestors", """WITH RECURSIVE r AS (SELECT a AS source, b AS target, 1 AS distance FROM {dag} d UNION ALL SELECT r.source, d.b, r.distance + 1 FROM r JOIN {dag} d ON r.target = d.a) SELECT source, target, min(distance) AS distance FROM r GROUP BY source, target""")
 def _(t):
     return g.reach(t.dag, None)

@@ -1,4 +1,4 @@
-"""Report queries."""
+"""Report queries."""
 
 from pyspark.sql import functions as F
 
@@ -78,13 +78,6 @@ def _(t):
     return t.events.select("event_id", text.impact_text(kind, F.concat(F.lit("pkg.mod.u"), "user_id")).alias("text"))
 
 
-@query("c11_iteration_rounds", "SELECT o_custkey AS id, greatest(0, count(*) - 5) AS left_over FROM orders GROUP BY o_custkey")
-def _(t):
-    """Each round settles one discrepancy of every component; five rounds at most."""
-    start = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("left_over"))
-    return reconcile.iterate(start, lambda s, _: s.select("id", F.greatest(F.col("left_over") - 1, F.lit(0)).alias("left_over")), lambda s: s.filter("left_over > 0"), 5)[0]
-
-
 @query("x6_pipeline", """SELECT o_orderkey AS component_id, coalesce(qa, 0.0) AS qa, coalesce(masked, 0.0) AS masked, round((coalesce(qa, 0.0) + coalesce(masked, 0.0)) / 2, 6) AS overall, round((coalesce(qa, 0.0) + coalesce(masked, 0.0)) / 2, 9) >= 0.6 AS passed
     FROM orders LEFT JOIN (SELECT l_orderkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS qa, round(avg(CASE WHEN l_linenumber > 2 THEN l_quantity::DOUBLE / 50 END), 9) AS masked FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""")
 def _(t):

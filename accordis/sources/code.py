@@ -1,6 +1,6 @@
 """Python source files as tables: a scan with include and exclude globs, and per-file table functions for components and calls.
 
-A file that can't be parsed gives one row with kind 'error' and the scan goes on. Each file is one row's work in an Arrow
+A file that can't be parsed, or isn't UTF-8, gives one row with kind 'error' and the scan goes on. Each file is one row's work in an Arrow
 batch; files never meet, so there is no shuffle.
 """
 
@@ -26,11 +26,13 @@ def glob_pattern(glob: str) -> str:
 
 
 def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
-    """(path, text) of files below root by relative path: any include, no exclude, no skipped or hidden folder; each file once."""
+    """(path, text, error) of files below root by relative path: any include, no exclude, no skipped or hidden folder; each file once.
+    A file whose bytes aren't UTF-8 has no text but an error."""
     base = root.rstrip("/") + "/"
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(base)
-    rows = files.select(F.regexp_replace(F.substring_index("path", urlparse(base).path, -1), "^/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return selected(rows, include, exclude)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = files.select(F.regexp_replace(F.substring_index("path", urlparse(base).path, -1), "^/", "").alias("path"), text.alias("text"))
+    return selected(rows.withColumn("error", F.when(F.col("text").isNull(), "UnicodeDecodeError: the file isn't UTF-8")), include, exclude)
 
 
 def selected(files: DataFrame, include: list[str], exclude: list[str] = ()) -> DataFrame:
@@ -107,14 +109,18 @@ def _per_file(files: DataFrame, rows: Callable[[str, str], Iterator[dict]], fiel
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for path, text, error in zip(batch["path"], batch["text"], batch["error"], strict=True):
+                if error is not None:
+                    out.append({"path": path, "kind": "error", "error": error})
+                    continue
                 try:
                     out += rows(path, text or "")
                 except (SyntaxError, ValueError, RecursionError) as e:
                     out.append({"path": path, "kind": "error", "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    return files.select("path", "text").mapInPandas(run, fields)
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
+    return files.select("path", "text", error).mapInPandas(run, fields)
 
 
 def components(files: DataFrame) -> DataFrame:

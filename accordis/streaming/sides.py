@@ -30,27 +30,34 @@ def documented_sides(a: DataFrame, b: DataFrame, within: str = "1 day") -> DataF
     return both.select(*(F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in KEY), F.col("a_ts").isNotNull().alias("in_a"), F.col("b_ts").isNotNull().alias("in_b"), "a_ts", "b_ts")
 
 
-def write_once(stream: DataFrame, table: Versions, writer: str, checkpoint: str, keep: int = 100, partitions: int | None = None, **trigger) -> StreamingQuery:
+def write_once(stream: DataFrame, table: Versions, writer: str, checkpoint: str, keep: int = 100, number: str | None = None, mode: str = "append", settings: dict[str, str] | None = None, **trigger) -> StreamingQuery:
     """Start a query that appends every micro-batch to a table, each as one version and each once, whatever fails in between.
 
-    writer names the query: several may fill one table. trigger is that of DataStreamWriter, all that there is by default. Of the
-    versions, `keep` stay. partitions: into how many state is dealt, for as long as the checkpoint lives; the session's number
-    of shuffle partitions if None. How much a batch reads is the source's setting (maxFilesPerTrigger, maxBytesPerTrigger).
+    writer names the query: several may fill one table. number: a column that gets the batch's number. trigger is that of
+    DataStreamWriter, all that there is by default. Of the versions, `keep` stay. settings hold for this query only; the number of
+    shuffle partitions, into which state is dealt, stays with its checkpoint. How much a batch reads is the source's
+    setting (maxFilesPerTrigger, maxBytesPerTrigger).
     """
 
-    def take(batch: DataFrame, number: int) -> None:
+    def take(batch: DataFrame, n: int) -> None:
         target = Versions(batch.sparkSession, table.path, table.kind)
-        if target.has(writer, number):  # run again after a failure: the state must still come about, its rows are there
+        if target.has(writer, n):  # run again after a failure: the state must still come about, its rows are there
             batch.write.format("noop").mode("overwrite").save()
             return
-        target.append(batch, writer=(writer, number))
-        if number % keep == keep - 1:
+        target.append(batch.withColumn(number, F.lit(n).cast("long")) if number else batch, writer=(writer, n))
+        if n % keep == keep - 1:
             target.retain(keep)
 
-    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(name)
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
     try:
-        conf.set(name, str(partitions or before))  # a query takes its own copy of the settings when it starts
-        return stream.writeStream.queryName(writer).outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(take).trigger(**trigger or {"availableNow": True}).start()
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
+        out = stream.writeStream.queryName(writer).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(take)
+        return out.trigger(**trigger or {"availableNow": True}).start()  # a query takes its own copy of the settings when it starts
     finally:
-        conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
