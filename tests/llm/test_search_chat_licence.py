@@ -1,3 +1,4 @@
+import re
 import itertools
 import math
 import random
@@ -211,3 +212,12 @@ def test_chat_keeps_very_long_texts(spark):
     rows = [(1, 0, "assistant", long, 1), (1, 1, "assistant", None, 1), (1, 2, "user", "", 1)]
     got = [r for r in chat.repaired(spark.createDataFrame(rows, TURNS)).collect() if r["part"] == 1]
     assert sorted(len(r["text"]) for r in got) == [0, 0, len(long)] and max(len(r["rendered"]) for r in got) > len(long)
+
+
+def test_pattern_of_words_finds_what_an_alternation_finds(spark):
+    words = ["a", "ab", "abc", "b-c", "2.0", "gpl-3.0", "gpl", "über", "(c)"]
+    texts = ["ab", "abd", "xabc", "abc.", "the gpl-3.0-or", "gpl3", "2.01", "2x0", "b-c", "ab-c", "über!", "naüber", "(c)", "", "a", "nothing", "GPL", "1abc", "abc1 abc"]
+    plain = r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_like("t", F.lit(plain)).alias("a"), F.regexp_like("t", F.lit(license.whole_words(words))).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and 5 < sum(r["a"] for r in rows) < len(rows)
+    assert spark.range(1).select(F.regexp_like(F.lit("a"), F.lit(license.whole_words([])))).first()[0] is False
