@@ -10,8 +10,8 @@ distribution sums to 1:
 
 A candidate is retained if it diverges from its parent on tokens that it hasn't seen: the gain in log likelihood over its own
 occurrences, each left out of the counts that predict it, is at least `gain` nats. The root is the add-one distribution over
-all training words. A token is scored by the longest retained suffix of its history. Depth grows level by level, until no
-context is left or at `depth` words, which lets each level cost a pass.
+all training words. A token is scored by the longest retained suffix of its history. Depth grows level by level until no context
+can be made longer; a level costs a pass over what is still open.
 
 No state is ever gathered in one place, so the tree may grow with the corpus. Tasks cut their documents into chunks of about
 `chunk_tokens` tokens: distinct words (64-bit hashes), their training counts, and the tokens as codes into them. At a level a
@@ -29,6 +29,7 @@ an empty table gives an empty result; other columns are not read. If there is no
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 import uuid
 import zlib
@@ -50,8 +51,6 @@ from .textnp import CHAIN, bytes_of, chunks, mix64, word_hashes
 END = np.uint64(0x5E1F_E4D0_0F7E_0001)
 #: Bits of a pair's key that stand for the next word; the others stand for the context.
 FOLLOWER_BITS = np.uint64(20)
-#: Log10 probabilities of open tokens are kept in steps of this.
-STEP = 1e-3
 #: Steps a bit in which the divergence test knows the parent's probabilities.
 PARENT_STEPS = 4
 #: What becomes of a token at a level: settled, asked for, or settled because its context is too rare.
@@ -60,7 +59,6 @@ SETTLED, OPEN, RARE = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 6
     least: int = 2
     gain: float = 3.0
     discount: float = 0.5
@@ -261,7 +259,7 @@ def open_pairs(r: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Places of open tokens, their values so far, and their pairs of context and next word: distinct sorted keys, and which is whose."""
     codes, words, status = unpack(r["codes"], "<u4"), unpack(r["words"], "<u8"), unpack(r["status"], "u1")
     at = np.flatnonzero(status == OPEN)
-    value = unpack(r["values"], "<f8")[codes[at]] if depth == 1 else unpack(r["values"], "<i2").astype(float) * STEP
+    value = unpack(r["values"], "<f8")[codes[at]] if depth == 1 else unpack(r["values"], "<f8")
     context = np.zeros(len(at), np.uint64)
     for back in range(1, depth + 1):
         context = mix64(context * CHAIN + words[codes[at - back]])
@@ -332,19 +330,18 @@ def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
         kept, longer, followers = (marked & 1).astype(bool)[of], (marked & 2).astype(bool)[of], (marked >> 2).astype(float)[of]
         some = np.maximum(seen, 1).astype(float)[of]
         plain, rest = np.where(kept, np.maximum(counts - settings.discount, 0) / some, 0.0), np.where(kept, settings.discount * followers / some, 1.0)
-        value = np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-30))
-        value = np.rint(value / STEP) * STEP
+        value = np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-300))
         # an open token's next context is seen as often as the pair one token earlier
         earlier = np.full(len(status), -1, np.int64)
         earlier[at] = counts[pair]
         before = status[at - 1]
         rare = (before == RARE) | (before == OPEN) & (earlier[at - 1] < settings.least)
-        goes_on = longer[pair] & (places(sizes)[at] > depth) & (depth < settings.depth)
+        goes_on = longer[pair] & (places(sizes)[at] > depth)
         status[at] = np.where(goes_on, np.where(rare, RARE, OPEN), SETTLED)
         goes_on &= ~rare
         done = np.zeros(len(status))
         done[at[~goes_on]] = value[~goes_on]
-        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(np.rint(value[goes_on] / STEP).astype(np.int16)), "sums": pack(unpack(r["sums"], "<f8") + text_sums(done, sizes)), "base": r["base"], "known": r["known"], "open": int(goes_on.sum())}
+        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(value[goes_on]), "sums": pack(unpack(r["sums"], "<f8") + text_sums(done, sizes)), "base": r["base"], "known": r["known"], "open": int(goes_on.sum())}
 
     return run
 
@@ -365,7 +362,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     release(answers)
     state = buckets.write(table.select("chunk", "sizes", "codes").join(heard, "chunk").mapInArrow(each(start(n, types, settings), *STATE[1:]), STATE[0]))
     buckets.drop(heard)
-    for depth in range(1, settings.depth + 1):
+    for depth in itertools.count(1):
         clear_up(spark)
         if not state.agg(F.sum("open")).first()[0]:
             break
