@@ -271,7 +271,11 @@ def iterate(state: DataFrame, step, divergent, max_iterations: int) -> tuple[Dat
 
 def three_way(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     """Each edge by where it is: one side only, false (both but not in the truth), missing (truth only) or agreed, with severity."""
-    found = edges_of_three(a, b, truth)
+    return classified(edges_of_three(a, b, truth))
+
+
+def classified(found: DataFrame) -> DataFrame:
+    """The same from edges with a, b and t."""
     in_a, in_b, in_t = (F.col(n) == 1 for n in "abt")
     kind = F.when(in_a & in_b & in_t, "agreed").when(in_a & in_b, "false_edge").when(~in_a & ~in_b, "missing_edge").when(in_a, "a_only").otherwise("b_only")
     found = found.withColumn("kind", kind)

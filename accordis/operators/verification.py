@@ -2,15 +2,17 @@
 
 A strategy is three functions from DataFrames to a DataFrame. The pipeline runs those of a level, joins the last score of each
 onto the components, and hands gaps and results to callbacks as DataFrames: nothing is computed until somebody reads them.
+What a run did is counted in the pass that does it: give `run` a Progress, read the result, and ask the Progress.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
@@ -69,6 +71,25 @@ def first_available(sources: list[Callable[[], DataFrame | None]], empty: DataFr
     return empty
 
 
+class Progress:
+    """Figures that Spark takes while rows go by: no job of its own, no second pass. They are there once the rows have been read."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, rows: DataFrame, **figures: Column) -> DataFrame:
+        """rows, of which aggregates are taken as they pass."""
+        seen = self._seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return rows.observe(seen, *(c.alias(k) for k, c in figures.items()))
+
+    def names(self) -> list[str]:
+        return list(self._seen)
+
+    def figures(self, name: str) -> dict[str, Any]:
+        """Waits for the rows to be read."""
+        return self._seen[name].get
+
+
 @dataclass(frozen=True)
 class Pipeline:
     strategies: tuple[Strategy, ...]
@@ -81,13 +102,15 @@ class Pipeline:
             if wanted == event:
                 listener(*what)
 
-    def run(self, components: DataFrame, answer: Callable[[Strategy, DataFrame], DataFrame]) -> DataFrame:
-        """component_id, the mean score of each strategy (0 without items), overall and passed."""
+    def run(self, components: DataFrame, answer: Callable[[Strategy, DataFrame], DataFrame], progress: Progress | None = None) -> DataFrame:
+        """component_id, the mean score of each strategy (0 without items), overall and passed. progress gets each strategy's items, failed
+        items and sum of scores, and of `result` the components and how many passed."""
         out = components.select("component_id").distinct()
         for i, s in enumerate(self.strategies, 1):
             self.tell("phase", s.name, "begins")
             rated = s.evaluate(answer(s, s.challenge(components)))
-            means = rated.groupBy("component_id").agg(F.round(F.avg("score"), 9).alias(s.name))
+            counted = progress.watch(s.name, rated, items=F.count(F.lit(1)), failed=F.count_if(F.col("score") < self.threshold), score=F.sum("score")) if progress else rated
+            means = counted.groupBy("component_id").agg(F.round(F.avg("score"), 9).alias(s.name))
             self.tell("gaps", s.name, s.gaps(rated))
             self.tell("components", s.name, means)
             self.tell("phase", s.name, "ends")
@@ -96,6 +119,8 @@ class Pipeline:
         names = [s.name for s in self.strategies]
         overall = F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names), 9) if names else F.lit(0.0)
         out = out.withColumn("overall", overall).withColumn("passed", F.col("overall") >= self.threshold)
+        if progress:
+            out = progress.watch("result", out, components=F.count(F.lit(1)), passed=F.count_if("passed"))
         self.tell("result", out)
         return out
 

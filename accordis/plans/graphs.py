@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..sources.layout import Lookup
+from ..sources.scratch import new_folder
 from .registry import query
 
 
@@ -16,6 +18,15 @@ def _(t):
     return g.callers(t.edges, "p7")
 
 
+@query("p1_lookups", "SELECT 'callee' AS found, callee AS name FROM {edges} e WHERE caller = 's7' UNION ALL SELECT 'caller', caller FROM {edges} e WHERE callee = 'p7'")
+def _(t):
+    """Both look-ups on the sorted copies, which open only the row groups that may hold the name."""
+    known = Lookup(t.spark, new_folder(t.spark))
+    known.write(t.edges.select("caller", "callee"))
+    named = lambda df, what: df.select(F.lit(what).alias("found"), F.col(what).alias("name"))
+    return named(known.callees("s7"), "callee").unionAll(named(known.callers("p7"), "caller"))
+
+
 @query("p2_edge_exists", """WITH w AS (SELECT DISTINCT concat('s', s_suppkey) AS caller, concat('p', p_partkey) AS callee FROM supplier JOIN part ON p_size = s_nationkey)
     SELECT caller, callee, EXISTS (SELECT 1 FROM {edges} e WHERE e.caller = w.caller AND e.callee = w.callee) AS "exists" FROM w""")
 def _(t):

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as r
-from .registry import query
+from ..sources.layout import Streams
+from .registry import SQL, query
 
 SIDES = """(SELECT coalesce(a.component_id, b.component_id) AS component_id, coalesce(a.caller, b.caller) AS caller, coalesce(a.callee, b.callee) AS callee, a.caller IS NOT NULL AS in_a, b.caller IS NOT NULL AS in_b
     FROM (SELECT DISTINCT * FROM {stream_a} x) a FULL JOIN (SELECT DISTINCT * FROM {stream_b} y) b ON a.component_id = b.component_id AND a.callee = b.callee)"""
@@ -265,6 +266,12 @@ def _(t):
     return r.three_way(t.stream_a, t.stream_b, t.hints)
 
 
+@query("dd1_bucketed", SQL["dd1_three_way"])
+def _(t):
+    """The same on tables in buckets of components, which are compared where they lie."""
+    return r.classified(Streams(t.spark, t.stream_a, t.stream_b, t.hints, buckets=16).sources())
+
+
 @query("dd5_preference", """SELECT doc_id, CASE WHEN ca - cb > 0.1 THEN 'accept_stream_a' WHEN ca - cb < -0.1 THEN 'accept_stream_b' WHEN length(text_a) > length(text_b) * 1.5 THEN 'accept_stream_a' WHEN length(text_b) > length(text_a) * 1.5 THEN 'accept_stream_b' ELSE 'unchanged' END AS resolution
     FROM (SELECT *, (doc_id % 7)::DOUBLE / 8 AS ca, (doc_id % 5)::DOUBLE / 8 AS cb FROM {pairs} p)""")
 def _(t):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import graph, history, reconcile, verification
 from ..sources import files
+from ..sources.scratch import new_folder
 from .reconciliation import SIDES
 from .registry import query
 
@@ -82,9 +83,24 @@ def _(t):
     FROM orders LEFT JOIN (SELECT l_orderkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS qa, round(avg(CASE WHEN l_linenumber > 2 THEN l_quantity::DOUBLE / 50 END), 9) AS masked FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""")
 def _(t):
     """Two strategies from a registry, put together by the builder: items of each component, answered and rated."""
+    return rated(t)
+
+
+def rated(t, progress=None):
     items = lambda components, rows: components.join(rows.withColumnRenamed("l_orderkey", "component_id"), "component_id")
     strategies = verification.Registry()
     for name, rows, score in (("qa", t.lineitem, F.when(F.col("answer") == "A", 1.0).otherwise(0.0)), ("masked", t.lineitem.filter("l_linenumber > 2"), F.col("l_quantity").cast("double") / 50)):
         strategies.register(name, verification.Strategy(name, "active", lambda c, rows=rows: items(c, rows), lambda a, score=score: a.withColumn("score", score), lambda rated: rated.filter("score < 0.5")))
     pipeline = verification.Builder(strategies).with_all().with_threshold(0.6).build()
-    return pipeline.run(t.orders.select(F.col("o_orderkey").alias("component_id")), lambda strategy, challenge: challenge.withColumn("answer", F.col("l_returnflag"))).withColumn("overall", F.round("overall", 6))
+    return pipeline.run(t.orders.select(F.col("o_orderkey").alias("component_id")), lambda strategy, challenge: challenge.withColumn("answer", F.col("l_returnflag")), progress).withColumn("overall", F.round("overall", 6))
+
+
+@query("x7_observed_figures", """SELECT 'qa' AS name, count(*) AS n, count(*) FILTER (l_returnflag <> 'A') AS few, round(count(*) FILTER (l_returnflag = 'A'), 3)::DOUBLE AS score FROM lineitem
+    UNION ALL SELECT 'masked', count(*), count(*) FILTER (l_quantity::DOUBLE / 50 < 0.6::DOUBLE), round(sum(l_quantity::DOUBLE / 50), 3) FROM lineitem WHERE l_linenumber > 2 UNION ALL SELECT 'result', count(*), NULL, NULL FROM orders""")
+def _(t):
+    """What the run itself counted while its result was written."""
+    progress = verification.Progress()
+    rated(t, progress).write.parquet(new_folder(t.spark))
+    seen = {name: progress.figures(name) for name in progress.names()}
+    rows = [(name, f.get("items", f.get("components")), f.get("failed"), None if "score" not in f else round(f["score"], 3)) for name, f in seen.items()]
+    return t.spark.createDataFrame(rows, "name string, n long, few long, score double")

@@ -119,9 +119,15 @@ def traces(t):
     return roles.join(roles.select((F.col("conv_id") - 1).alias("conv_id"), F.col("roles").alias("other")), "conv_id")
 
 
-@query("f3_lcs_similarity")
+ROLES = "(SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)"
+# The table of lengths, a row for each entry of b; lists of one number stand for places, as a fold's steps must be of its result's kind.
+LCS = """list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda past, y: list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]),
+    lambda now, x: list_append(now, CASE WHEN a[x[1]] = b[y[1]] THEN past[x[1]] + 1 ELSE greatest(now[-1], past[x[1] + 1]) END), [0::BIGINT]), list_transform(range(0, len(a) + 1), lambda z: 0::BIGINT))[-1]::DOUBLE / greatest(len(a), len(b))"""
+
+
+@query("f3_lcs_similarity", f"SELECT conv_id, {LCS} AS similarity FROM (SELECT x.conv_id, x.roles AS a, y.roles AS b FROM {ROLES} x JOIN {ROLES} y ON y.conv_id = x.conv_id + 1)")
 def _(t):
-    """Longest common subsequence of role sequences; SQL has no such fold, unit tests hold it against a table."""
+    """Longest common subsequence of role sequences."""
     return traces(t).select("conv_id", x.lcs_similarity(F.col("roles"), F.col("other")).alias("similarity"))
 
 
@@ -136,9 +142,9 @@ def evaluated(t):
     return traces(t).withColumn("e", x.scenario_evaluation(F.col("roles"), F.col("other"), first("roles"), first("other"), F.col("roles"), F.col("other"), F.lit(True)))
 
 
-@query("f4_scenario_score")
+@query("f4_scenario_score", f"""SELECT conv_id, round(s * 0.4::DOUBLE + (a[1] IS NOT DISTINCT FROM b[1])::INT * 0.3::DOUBLE + len(list_intersect(list_distinct(a), b))::DOUBLE / len(list_distinct(a)) * 0.3::DOUBLE, 6) AS overall, round(s, 6) AS sequence
+    FROM (SELECT *, {LCS} AS s FROM (SELECT x.conv_id, x.roles AS a, y.roles AS b FROM {ROLES} x JOIN {ROLES} y ON y.conv_id = x.conv_id + 1))""")
 def _(t):
-    """The whole score needs a longest common subsequence; unit tests hold it against a table."""
     return evaluated(t).select("conv_id", "e.overall", "e.sequence")
 
 
