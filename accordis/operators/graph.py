@@ -101,6 +101,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("caller").agg(F.sort_array(F.collect_set("callee")).alias("callees"))
 
 
+def first_callees(edges: DataFrame, k: int) -> DataFrame:
+    """caller and its k smallest distinct callees, sorted. Tasks keep k of a caller each before any meet."""
+    place = F.row_number().over(Window.partitionBy("caller").orderBy("callee"))
+    few = edges.select("caller", "callee").distinct().withColumn("_place", place).filter(F.col("_place") <= k)
+    return few.groupBy("caller").agg(F.sort_array(F.collect_list("callee")).alias("callees"))
+
+
 def known_endpoints(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Edges whose two ends are components."""
     ids = components.select("component_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -294,11 +294,20 @@ def prefer(rows: DataFrame) -> DataFrame:
 def by_short_name(calls: DataFrame, components: DataFrame) -> DataFrame:
     """calls (caller, short) resolved to a component id by its last segment: a unique match, else the first of the caller's module."""
     last = lambda c: F.element_at(F.split(c, "\\."), -1)
+    calls = calls.select("caller", "short").distinct()
     named = components.select("component_id", last(F.col("component_id")).alias("short"))
-    sizes = named.groupBy("short").agg(F.count(F.lit(1)).alias("_n"))
+    unique = named.groupBy("short").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    direct = calls.join(unique, "short").select("caller", "short", "component_id")
     module = F.regexp_replace("caller", r"\.[^.]*$", "")
-    joined = calls.join(named.join(sizes, "short"), "short").filter((F.col("_n") == 1) | F.startswith("component_id", module))
-    return joined.groupBy("caller", "short").agg(F.min("component_id").alias("component_id"))
+    others = calls.join(unique, "short", "left_anti").select("short", module.alias("key"), F.lit(1).alias("_call"), "caller", F.lit(None).cast("string").alias("component_id"))
+    # of the components of a name those of a module are neighbours in order, so the first of them is the next one at or after the
+    # module's name; a call and what it may mean begin alike, which deals a frequent name to several tasks
+    width = others.agg(F.min(F.length("key"))).first()[0] or 0
+    known = named.join(unique, "short", "left_anti").select("short", F.col("component_id").alias("key"), F.lit(0).alias("_call"), F.lit(None).cast("string").alias("caller"), "component_id")
+    downward = Window.partitionBy("short", F.substring("key", 1, width)).orderBy(F.col("key").desc(), "_call").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = known.unionAll(others).withColumn("_next", F.last("component_id", ignorenulls=True).over(downward))
+    found = met.filter((F.col("_call") == 1) & F.startswith("_next", F.col("key"))).select("caller", "short", F.col("_next").alias("component_id"))
+    return direct.unionAll(found)
 
 
 def any_of(*tests: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ratio
+from .ordered import digests
 
 TERMINAL = ("applied", "expired")
 SEVERITY = ("critical", "high", "medium", "low")
@@ -145,4 +146,4 @@ def labels(columns: list[Column]) -> Column:
 def fingerprint(files: DataFrame, group: str) -> DataFrame:
     """md5 over a group's sorted (path, size, time) lines."""
     line = F.concat_ws(":", "path", F.col("size").cast("string"), F.col("mtime").cast("string"))
-    return files.groupBy(group).agg(F.md5(F.array_join(F.sort_array(F.collect_list(line)), "|")).alias("fingerprint"))
+    return digests(files.select(group, line.alias("line")), group, "line", "|").withColumnRenamed("digest", "fingerprint")

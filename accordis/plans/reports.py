@@ -70,7 +70,7 @@ def _(t):
 
 @query("t8_first_callees", "SELECT caller, array_to_string(list_sort(list(DISTINCT callee))[1:20], ',') AS callees FROM {edges} e GROUP BY caller")
 def _(t):
-    return graph.adjacency(t.edges).select("caller", F.array_join(F.slice("callees", 1, 20), ",").alias("callees"))
+    return graph.first_callees(t.edges, 20).select("caller", F.array_join("callees", ",").alias("callees"))
 
 
 @query("f19_impact_texts", """SELECT event_id, CASE event_type WHEN 'view' THEN concat('Change u', user_id, ' signature: add required parameter ', chr(39), 'options: dict', chr(39)) WHEN 'click' THEN concat('Delete u', user_id, ' entirely') WHEN 'purchase' THEN concat('Rename u', user_id, ' to u', user_id, '_v2') END AS text FROM events""")

@@ -183,3 +183,30 @@ def test_file_scan(spark, tmp_path):
         (tmp_path / name).write_text("x = 1\n")
     got = {r["path"] for r in code.scan(spark, f"file://{tmp_path}", ["*.py", "a*"], ["*/test_*"]).collect()}
     assert got == {"a.py", "test_c.py"}
+
+
+def test_digests_of_groups_in_stretches(spark, monkeypatch):
+    import hashlib
+
+    from accordis.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    rows = [(g, f"{g}-{i * 7919 % 1000}") for g in ("a", "b", None) for i in range(100)] + [("a", "same")] * 30 + [("c", "x"), ("c", "x"), ("d", None), ("e", "é" * 200), ("e", "é" * 200 + "z")]
+    df = spark.createDataFrame(rows, "grp string, text string").repartition(5)
+    got = {r["grp"]: r["digest"] for r in ordered.digests(df, "grp", "text", "|", "sha256").collect()}
+    want = {g: hashlib.sha256("|".join(sorted(t for h, t in rows if h == g and t is not None)).encode()).hexdigest() for g in ("a", "b", None, "c", "e")}
+    assert got == want
+    assert ordered.digests(df.limit(0), "grp", "text", "|").collect() == []
+
+
+def test_short_names_by_module(spark):
+    names = ["m.run", "m.sub.run", "m.sub2.run", "z.run", "a.only", "b.go", "c.go"]
+    calls = [("m.sub.f", "run"), ("m.f", "run"), ("m.subway.f", "run"), ("q.f", "only"), ("q.f", "go"), ("zz.f", "run"), ("z.f", "run"), ("m.run.f", "run"), ("x", "none"), ("b.f", "go"), ("b.f", "go")]
+    got = {tuple(r) for r in reconcile.by_short_name(spark.createDataFrame(calls, "caller string, short string"), spark.createDataFrame([(n,) for n in names], "component_id string")).collect()}
+    want = set()
+    for caller, short in calls:
+        same = [n for n in names if n.rsplit(".", 1)[-1] == short]
+        found = same if len(same) == 1 else [n for n in same if n.startswith(caller.rsplit(".", 1)[0])]
+        if found:
+            want.add((caller, short, min(found)))
+    assert got == want
