@@ -149,6 +149,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK)
     n = queries.count()
     blocks = max(1, -(-n // block) * 2 if n > block else 1)
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)))
+    if blocks > 1:  # a folder for each block, so that each is read once
+        numbered = materialize(numbered, "dim", "block")
     parts = []
     for dim in sorted(r["dim"] for r in queries.select("dim").distinct().collect()):
         for b in range(blocks):
