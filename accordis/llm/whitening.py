@@ -103,6 +103,25 @@ def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     return lengths[order], v[:, order]
 
 
+def totals(fitted: DataFrame) -> tuple[int, np.ndarray]:
+    """How many x-vectors there are, and their exact sums. A task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, []
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if x.size:
+                exact = x if abs(float(x.min())) + abs(float(x.max())) < 2**62 / len(x) else x.astype(object)
+                part = exact.sum(axis=0).tolist()
+                total = [a + b for a, b in zip(total, part, strict=True)] if total else part
+                n += len(x)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(total)), pa.int64()), pa.array([n, *total], pa.int64())], names=["i", "s"])
+
+    found = fitted.mapInArrow(trimmed(run), "i long, s long").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
+    return (found[0]["s"] if found else 0), np.array([r["s"] for r in found[1:]], dtype=np.int64)
+
+
 def triangle(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
     """R of the centred x-vectors of rows."""
     dim = len(mean)
@@ -166,11 +185,9 @@ def _identity_error(fitted: DataFrame, model: Whitening) -> float:
 def fit(rows: DataFrame, most: int = 4) -> Whitening | None:
     """The whitening of scaled rows, all of one length, with up to `most` components; None without a component."""
     fitted = materialize(rows.select("x").distinct())
-    sums = fitted.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()
-    n = fitted.count()
-    if not sums:
+    n, total = totals(fitted)
+    if not len(total):
         return None
-    total = np.array([r["s"] for r in sums], dtype=np.int64)
     lengths, rotations = jacobi(triangle(fitted, total / n))
     real = lengths > (lengths[:1].max(initial=0.0) * np.finfo(np.float64).eps * max(n, len(total)) ** 0.5 * 4)
     kept = int(min(most, real.sum()))
