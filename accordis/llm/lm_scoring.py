@@ -10,8 +10,9 @@ distribution sums to 1:
 
 A candidate is retained if it diverges from its parent on tokens that it hasn't seen: the gain in log likelihood over its own
 occurrences, each left out of the counts that predict it, is at least `gain` nats. The root is the add-one distribution over
-all training words. A token is scored by the longest retained suffix of its history. Depth grows level by level until no context
-can be made longer; a level costs a pass over what is still open.
+all training words. A token is scored by the longest retained suffix of its history. Depth grows level by level; a level costs a
+pass over what is still open. `depth` is the order of the tree, a parameter of the model: with None it grows until no context can be
+made longer, which takes as many passes as the longest run of one repeated word has words.
 
 No state is ever gathered in one place, so the tree may grow with the corpus. Tasks cut their documents into chunks of about
 `chunk_tokens` tokens: distinct words (64-bit hashes), their training counts, and the tokens as codes into them. At a level a
@@ -59,6 +60,7 @@ SETTLED, OPEN, RARE = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
+    depth: int | None = 8
     least: int = 2
     gain: float = 3.0
     discount: float = 0.5
@@ -336,7 +338,7 @@ def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
         earlier[at] = counts[pair]
         before = status[at - 1]
         rare = (before == RARE) | (before == OPEN) & (earlier[at - 1] < settings.least)
-        goes_on = longer[pair] & (places(sizes)[at] > depth)
+        goes_on = longer[pair] & (places(sizes)[at] > depth) & (settings.depth is None or depth < settings.depth)
         status[at] = np.where(goes_on, np.where(rare, RARE, OPEN), SETTLED)
         goes_on &= ~rare
         done = np.zeros(len(status))
@@ -362,7 +364,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     release(answers)
     state = buckets.write(table.select("chunk", "sizes", "codes").join(heard, "chunk").mapInArrow(each(start(n, types, settings), *STATE[1:]), STATE[0]))
     buckets.drop(heard)
-    for depth in itertools.count(1):
+    for depth in itertools.count(1) if settings.depth is None else range(1, settings.depth + 1):
         clear_up(spark)
         if not state.agg(F.sum("open")).first()[0]:
             break

@@ -158,7 +158,7 @@ class Brute:
         held = [t for t, use in zip(self.tokens, self.train, strict=True) if use]
         self.c.update(w for t in held for w in t)
         at, self.depth = [(t, k) for t in held for k in range(1, len(t))], 0
-        while at:  # contexts of one more word, where the shorter one could tell more
+        while at and self.depth != s.depth:  # contexts of one more word, where the shorter one could tell more
             self.depth += 1
             contexts = [tuple(reversed(t[k - self.depth : k])) for t, k in at]
             for (t, k), context in zip(at, contexts, strict=True):
@@ -218,7 +218,7 @@ def repeated(spark, raw, tails=False):
 def test_language_model_equals_brute_force(spark, raw):
     """All rows, long texts too; one chunk for each batch of texts and small ranges."""
     rows, df = repeated(spark, raw, tails=True)
-    s = lm_scoring.Settings(chunk_tokens=2000)
+    s = lm_scoring.Settings(depth=None, chunk_tokens=2000)
     brute = Brute(rows, s)
     want = brute.rows(rows)
     got = lm_scoring.score(df, s).collect()
