@@ -155,6 +155,7 @@ def _peeled(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     floors = nodes.withColumn("floor", zero)  # what finished dependencies ask for
     known = nodes.join(whole.select(F.col("a").alias("node")).distinct(), "node", "left_anti").withColumn("layer", zero)
     known, done, followed = cut(known), [], []
+    endless = nodes.limit(0)  # whose only way leads into a ring: looked at once
     while True:
         done.append(known)
         hit = left.join(known, F.col("b") == F.col("node"))
@@ -164,11 +165,11 @@ def _peeled(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
         if left.isEmpty():
             known = floors.select("node", F.col("floor").alias("layer"))
             done.append(known)
-            stuck = known.select("node").limit(0)
             break
         out = left.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_o"), F.first("b").alias("to"), F.first("w").alias("w"))
-        single = jump(out.filter("_o = 1").join(floors, "node").select("node", "to", "w", F.col("floor").alias("c")), rounds)
+        single = jump(out.filter("_o = 1").join(floors, "node").join(endless, "node", "left_anti").select("node", "to", "w", F.col("floor").alias("c")), rounds)
         through = cut(single.filter("NOT open"))
+        endless = cut(endless.unionByName(single.filter("open").select("node")))
         followed.append(through)
         free = floors.join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.col("floor").alias("layer"))
         # edges into what was followed lead on to where that ends, and keep what it asks for as their own floor
@@ -179,7 +180,6 @@ def _peeled(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
         left = rounds.cut(onward.groupBy("a", "b").agg(F.max("w").alias("w")))
         known = cut(free)
         if known.isEmpty() and through.isEmpty():
-            stuck = floors.select("node")
             break
     found = done[0]
     for more in done[1:]:
