@@ -64,7 +64,7 @@ class Settings:
     least: int = 2
     gain: float = 3.0
     discount: float = 0.5
-    chunk_tokens: int = 1_500_000
+    chunk_tokens: int = 1_000_000
     folds: int = 7
     held_out: int = 2
 
