@@ -11,8 +11,10 @@ State is kept by RocksDB and can be read between batches: see `outputs` and `err
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,8 @@ STATE = "run_id long, current_iteration int, errors long, documented long, last_
 #: What a query over `replayed` needs beside its own settings.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 NOTHING = (None, None, 0, 0, 0, None, None, 0)
+# Spark asks a processor for its state variables in a worker that knows none of the files given to the others
+register_pickle_by_value(sys.modules[__name__])
 
 
 def left_over(pairs: list[tuple[int, int]], after: int | None) -> list[tuple[int, int]]:
