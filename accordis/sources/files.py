@@ -89,11 +89,11 @@ def export_graphs(sides: DataFrame, path: str, iteration: int) -> DataFrame:
 
 
 def export_package(tables: dict[str, DataFrame], path: str, run_id: str) -> list[str]:
-    """Write a run's tables (documentation, graph, report, metrics) as JSON; gives their paths."""
+    """Write a run's tables (documentation, graph, report, metrics) as plain JSON folders, for readers of any kind; gives their paths."""
     out = []
     for name, df in tables.items():
         out.append(f"{path.rstrip('/')}/{run_id}_{name}")
-        overwrite_json(df, out[-1])
+        df.write.mode("overwrite").json(out[-1])
     return out
 
 
