@@ -52,8 +52,16 @@ atexit.register(remove_all)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df written into the shared folder and read back, so lineage ends there. What is read is as large as its files: a checkpoint would
+    keep the estimate of its plan, a product over joins whose digits double with each self-join of a loop."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for tables that nothing lazy reads any more. What isn't released goes when Python ends."""
+    for table in tables:
+        remove(table._written_at)

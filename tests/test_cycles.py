@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from accordis.operators import cycles
+from accordis.sources.scratch import cut
 
 
 def reach(nodes, edges):
@@ -84,3 +86,12 @@ def test_a_long_ring(spark):
 
 def test_nothing(spark):
     assert found(spark, []) == (set(), set(), set())
+
+
+def test_a_loop_of_self_joins_keeps_its_size_estimate(spark, capsys):
+    rows = spark.range(8).selectExpr("id", "id + 1 AS b")
+    for _ in range(8):
+        rows = cut(rows.join(rows.select("id", F.col("b").alias("c")), "id").select("id", F.greatest("b", "c").alias("b")))
+    rows.explain("cost")
+    said = capsys.readouterr().out
+    assert rows.count() == 8 and "sizeInBytes=" in said and "EiB" not in said and "E+" not in said
