@@ -3,7 +3,7 @@
 Two things keep rounds few. Nodes that only pass on (one way in and one out, or, for layers, one way out) are taken out by pointer
 jumping: each step doubles how far a node sees, so a path of a million nodes is one edge after 20 steps. And nodes that can't be
 on a cycle go in bulk. What is left is coloured forward by the largest node that reaches each, and members of a cycle are those
-that reach, inside their colour, the node it is named for. Rounds end in checkpoints; a round's joins are on distinct nodes on
+that reach, inside their colour, the node it is named for. Rounds end in files of the shared folder; a round's joins are on distinct nodes on
 one side at least.
 
 Edges are (a, b), a depends on b; repeats and rows with a null end don't count.
@@ -14,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import cut, release
+
+
+#: A round that leaves more than this share of the edges is a slow one.
+SLOW = 0.75
 
 
 class Rounds:
@@ -41,7 +45,8 @@ def jump(steps: DataFrame, rounds: Rounds) -> DataFrame:
         before = n
         ahead = at.select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("c").alias("_c"), F.col("low").alias("_low"), F.col("open").alias("_open"))
         moved = at.filter("open").join(ahead, F.col("to") == F.col("_n")).select("node", F.col("_to").alias("to"), (F.col("w") + F.col("_w")).alias("w"), F.greatest(F.col("c"), F.col("_c") + F.col("w")).alias("c"), F.least("low", "_low").alias("low"), F.col("_open").alias("open"))
-        at = rounds.cut(at.filter("NOT open").unionByName(moved))
+        seen, at = at, rounds.cut(at.filter("NOT open").unionByName(moved))
+        release(seen)
         reach *= 2
 
 
@@ -55,19 +60,21 @@ def strongly_connected(edges: DataFrame, rounds: Rounds | None = None) -> DataFr
     rounds = rounds or Rounds()
     whole = cut(plain(edges))
     left = whole.filter("a <> b").withColumns({"w": F.lit(1).cast("long"), "c": F.lit(0).cast("long")})
-    chains, members = [], []
-    while True:
+    chains, members = [], [whole.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)]
+    n = left.count()
+    while n:
+        left = rounds.cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
+        n, m = left.count(), n
+        if n < SLOW * m:  # trees go this way, at one join a layer
+            continue
         left, passed, rings = _without_chains(left, rounds)
         chains.append(passed)
         members.append(rings)
-        n = left.count()
-        left = rounds.cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
-        m = left.count()
-        if m == 0:
-            break
-        if m == n:  # nothing more goes in bulk
+        n, m = left.count(), n
+        if n > SLOW * m:  # neither way takes much
             found, left = _coloured(left, rounds)
             members.append(found)
+            n = left.count()
     named = members[0]
     for more in members[1:]:
         named = named.unionByName(more)
@@ -110,11 +117,13 @@ def _without_chains(left: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFra
 def _coloured(left: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     """(members of components that are found, edges that may belong to others)."""
     way = left.select("a", "b")
-    colour = cut(way.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    after = cut(way.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    colour = after
     while True:
         heard = way.join(colour.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("_heard"))
-        after = rounds.cut(colour.join(heard, "node", "left").select("node", F.greatest("colour", F.coalesce("_heard", "colour")).alias("colour"), (F.col("_heard") > F.col("colour")).alias("_moved")))
+        known, after = after, rounds.cut(colour.join(heard, "node", "left").select("node", F.greatest("colour", F.coalesce("_heard", "colour")).alias("colour"), (F.col("_heard") > F.col("colour")).alias("_moved")))
         colour = after.select("node", "colour")
+        release(known)
         if after.filter("_moved").isEmpty():
             break
     inside = way.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("_of_a")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("_of_b")), "b")

@@ -95,3 +95,10 @@ def test_a_loop_of_self_joins_keeps_its_size_estimate(spark, capsys):
     rows.explain("cost")
     said = capsys.readouterr().out
     assert rows.count() == 8 and "sizeInBytes=" in said and "EiB" not in said and "E+" not in said
+
+
+def test_a_tree_takes_a_round_a_layer(spark):
+    tree = spark.range(1, 4096).selectExpr("id AS a", "id div 2 AS b")
+    rounds = cycles.Rounds()
+    assert cycles.strongly_connected(tree, rounds).selectExpr("count(*)", "max(size)", "count_if(on_cycle)").first()[:] == (4096, 1, 0)
+    assert rounds.n <= 20
