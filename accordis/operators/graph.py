@@ -31,6 +31,34 @@ def has_edge(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(known, PAIR, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
+def has_edge_between(edges: DataFrame, callers: DataFrame, callees: DataFrame, few: int = 64, spread: int = 64) -> DataFrame:
+    """(caller, callee, exists) of each distinct pair from callers (caller, key) and callees (callee, key) with a key in common.
+
+    Pairs are made once, from names that are distinct before, and don't move: a callee brings along those callers it has an edge
+    from. Of callees with more than `few` of them the pairs are joined to the edges. A key's callees are dealt to `spread` parts.
+    """
+    sets = lambda rows, name: rows.groupBy(name).agg(F.collect_set("key").alias(f"_{name}_keys"))
+    left, right = sets(callers, "caller"), sets(callees, "callee")
+    met = edges.select(*PAIR).join(left, "caller").join(right, "callee").filter(F.arrays_overlap("_caller_keys", "_callee_keys"))
+    known = cut(right.join(met.groupBy("callee").agg(F.collect_set("caller").alias("_from")), "callee", "left"))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    ours = left.withColumn("key", F.explode("_caller_keys")).withColumn("_part", parts).repartition(n, "key", "_part")
+
+    def paired(some: DataFrame) -> DataFrame:
+        theirs = some.withColumn("key", F.explode("_callee_keys")).withColumn("_part", F.pmod(F.xxhash64("callee"), F.lit(spread)).cast("int")).repartition(n, "key", "_part")
+        # ends with several keys in common meet at each of them, and count at the first
+        first = (F.size("_caller_keys") == 1) | (F.size("_callee_keys") == 1) | (F.col("key") == F.array_min(F.array_intersect("_caller_keys", "_callee_keys")))
+        return theirs.join(ours.hint("shuffle_hash"), ["key", "_part"]).filter(first)
+
+    many = F.coalesce(F.size("_from"), F.lit(0)) > few
+    light = paired(known.filter(~many)).select(*PAIR, F.coalesce(F.array_contains("_from", F.col("caller")), F.lit(False)).alias("exists"))
+    crowded = known.filter(many)
+    marks = crowded.select("callee", F.explode("_from").alias("caller"), F.lit(True).alias("exists"))
+    heavy = paired(crowded).select(*PAIR).join(marks, PAIR, "left").select(*PAIR, F.coalesce("exists", F.lit(False)).alias("exists"))
+    return light.unionAll(heavy)
+
+
 def insert_absent(edges: DataFrame, new: DataFrame) -> DataFrame:
     """edges and those of new whose pair is absent (each pair once)."""
     return edges.unionByName(new.dropDuplicates(PAIR).join(edges.select(*PAIR).distinct(), PAIR, "left_anti"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,15 @@ def test_short_names_by_module(spark):
         if found:
             want.add((caller, short, min(found)))
     assert got == want
+
+
+def test_has_edge_between_equals_has_edge(spark, capsys):
+    callers = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", None), (None, 1), ("c", 3)], "caller string, key int")
+    callees = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 2), (None, 2), ("z", 4), ("z", None)], "callee string, key long")
+    edges = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "x"), (None, "x"), ("q", "y")], "caller string, callee string")
+    wanted = callers.join(callees, "key").select("caller", "callee").distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = rows(graph.has_edge(edges, wanted))
+    assert want == rows(graph.has_edge_between(edges, callers, callees)) == rows(graph.has_edge_between(edges, callers, callees, few=1, spread=2))
+    graph.has_edge_between(edges, callers, callees).explain()
+    assert "keys=[caller#" not in re.sub(r"keys=\[caller#\d+\]", "", capsys.readouterr().out)  # pairs are never grouped
