@@ -102,6 +102,28 @@ def test_threshold():
     assert mixed <= 5  # no more than a twentieth of the good is lost
 
 
+def test_all_labelled_rows_count(spark):
+    """More rows of a class than the sample of 8,192 that the fit once took."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat_ws(' ', concat('w', id % 97), concat('v', id % 89), 'x') AS text")
+    known = rows.selectExpr("doc_id", "1 AS quality")
+    settings = quality.Settings()
+    trains = rows.filter("pmod(xxhash64(doc_id, 1), 2) = 0")
+    want = quality.weights(quality.counted(trains, settings), quality.counted(rows, settings), settings.smoothing)
+    assert np.array_equal(quality.fit(rows, known, settings).weights, want)
+
+
+def test_threshold_of_counts():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        good, poor = rng.integers(-20, 40, 80), rng.integers(-50, 10, 60)
+        tried = np.arange(-60, 60)
+        g, p = (np.unique(x, return_counts=True) for x in (good, poor))
+        got, most = quality.cut(*g, *p, 0.05), np.sort(good)[4]
+        wrong = lambda t: (good < t).mean() + (poor >= t).mean()
+        assert got <= most and wrong(got) <= min(map(wrong, tried[tried <= most])) + 0.05
+        assert got == quality.threshold(list(good), list(poor), 0.05)
+
+
 def test_unlabelled_and_empty(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(docs, none)
