@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small, trimmed
+from .common import materialize, release, trimmed
 from .textnp import CHAIN, IS_SPACE, bytes_of, chunks, mix64, span_hashes, word_spans
 
 # Characters that count as symbols.
@@ -176,7 +176,7 @@ def _sums(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Weights from all of docs and of trusted text; a threshold from labelled rows that made no weights."""
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(known), "doc_id").withColumn("trains", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0))
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.hint("merge"), "doc_id").withColumn("trains", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0))
     corpus = counted(docs, settings)
     model = Model(weights(counted(rows.filter("quality = 1 AND trains"), settings), corpus, settings.smoothing))
 
