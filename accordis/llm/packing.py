@@ -22,8 +22,10 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ from .common import materialize, trimmed
 
 SIZES = (4096, 2048, 1024, 512)
 END = 2
-#: Words remembered by a task at most, and words of a text looked up at once.
+#: Words remembered by a task at most, pieces of words too, and words of a text looked up at once.
 CACHE = 500_000
+#: Words of short texts looked up together.
+TOGETHER = 20_000
+ID = attrgetter("id")
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("step_id", pa.int64()), ("tail", pa.binary())])
 SPARK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_id long, tail binary"
 
@@ -69,27 +74,29 @@ class WordIds:
         letters = byte_letters()
         self.table = [letters[b] for b in range(256)]
         self.plain = True
+        self.pieces: dict[str, bytes] = {}
         self.clear()
         if self.encode(self.SAMPLE).tolist() != self.tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids:
             self.plain = False
             self.clear()
 
     def clear(self) -> None:
+        """Forget words; pieces stay, as they cost most."""
         self.known: dict[str, int] = {"": 0}
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            coded = text if text.isascii() else "".join(map(self.table.__getitem__, text.encode()))
-            ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(coded)]
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece as unsigned 32-bit numbers: a third of what a list of them takes."""
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        coded = text if text.isascii() else "".join(map(self.table.__getitem__, text.encode()))
+        ids = self.pieces[text] = array("I", map(ID, self.tokenizer.model.tokenize(coded))).tobytes()
         return ids
 
     def learn(self, new: set[str]) -> None:
         find, split, piece, known = PLAIN.fullmatch, PIECE.findall, self.pieces.get, self.known
-        flat: list[int] = []
+        parts: list[bytes] = []
         sizes: list[int] = []
         odd: list[str] = []
         at = first = len(known)
@@ -97,7 +104,7 @@ class WordIds:
             if self.plain and w.isalpha() and w.isascii():  # one piece
                 x = w.lower()
                 ids = piece(x) or self.piece(x)
-                flat += ids
+                parts.append(ids)
                 sizes.append(len(ids))
                 known[w] = at
                 at += 1
@@ -105,7 +112,7 @@ class WordIds:
                 n = 0
                 for x in split(w.lower()):
                     ids = piece(x) or self.piece(x)
-                    flat += ids
+                    parts.append(ids)
                     n += len(ids)
                 sizes.append(n)
                 known[w] = at
@@ -113,38 +120,72 @@ class WordIds:
             else:
                 odd.append(w)
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
-            flat += e.ids
-            sizes.append(len(e.ids))
+            parts.append(array("I", e.ids).tobytes())
+            sizes.append(len(parts[-1]))
             known[w] = at
             at += 1
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         while at > len(self.size):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.size[first:at] = sizes
+        self.size[first:at] = np.array(sizes, np.int64) // flat.itemsize
         self.begin[first:at] = self.n_flat + np.cumsum(self.size[first:at]) - self.size[first:at]
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
         self.n_flat += len(flat)
 
+    def words(self, text: str) -> list[str]:
+        if self.plain and "<|" not in text:  # words that differ in A-Z alone are learned once; special tokens are told by case
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        parts = [self.look_up(words[i : i + CACHE]) for i in range(0, len(words), CACHE)]
+        words = self.words(text)
+        parts = [self.look_up(words[i : i + CACHE])[0] for i in range(0, len(words), CACHE)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Ids of at most CACHE words. If the table would outgrow CACHE it is emptied first, and all of these words are learned."""
+    def encode_each(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, looked up for about TOGETHER words at once."""
+        held: list[list[str]] = []
+
+        def close() -> Iterator[np.ndarray]:
+            ids, size = self.look_up(list(chain.from_iterable(held)))
+            counts = np.fromiter(map(len, held), np.int64, len(held))  # one at least: an empty text is an empty word
+            ends = np.cumsum(np.add.reduceat(size, np.cumsum(counts) - counts)).tolist()
+            held.clear()
+            for a, b in zip([0, *ends], ends, strict=False):
+                yield ids[a:b]
+
+        n = 0
+        for text in texts:
+            words = self.words(text or "")
+            if held and n + len(words) > TOGETHER:
+                yield from close()
+                n = 0
+            if len(words) > TOGETHER:
+                yield self.encode(text)
+            else:
+                held.append(words)
+                n += len(words)
+        if held:
+            yield from close()
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of at most CACHE words, and how many each has. If the table would outgrow CACHE it is emptied first, and all of these words are learned."""
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = {words[i] for i in missing.tolist()}
+            asked = [words[i] for i in missing.tolist()]
+            new = set(asked)
             if len(self.known) + len(new) > CACHE:
                 self.clear()
-                new, missing = set(words).difference(self.known), np.arange(len(words))
+                asked, missing = words, np.arange(len(words))
+                new = set(words).difference(self.known)
             self.learn(new)
-            at[missing] = np.fromiter((self.known[words[i]] for i in missing.tolist()), np.int64, len(missing))
+            at[missing] = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
         size = self.size[at]
         where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.flat[where]
+        return self.flat[where], size
 
 
 def _length(piece: tuple) -> int:
@@ -262,8 +303,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZ
         words = WordIds(tokenizer)
         packer = Packer(sizes, pool_tokens, first_id(0), step_size)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
+            for doc_id, found in zip(batch.column(0).to_pylist(), words.encode_each(t.as_py() for t in batch.column(1)), strict=True):
+                ids = np.append(found, np.uint32(END)).astype("<u4")
                 packer.add(doc_id, 0, ids, len(ids))
                 if len(packer.rows) >= 20_000:
                     yield from packer.flush()

@@ -304,3 +304,19 @@ def test_toxicity_learns_short_words_and_phrases():
     toxic = [text("zq", "get lost") for _ in range(120)]
     model = toxicity.train(toxic, [text("get", "some", "lost") for _ in range(400)], (120, 400), toxicity.Settings())
     assert b" zq " in model.toxic and b" get lost " in model.toxic
+
+
+def test_word_table_takes_texts_together_and_learns_pieces_once(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "TOGETHER", 12)
+    t, table = tokenizers.Tokenizer.from_file(vocabulary), packing.WordIds(vocabulary)
+    texts = ["One two", None, "", "ONE Two\tthree", "Été été İx KK", "<|endoftext|> <|ENDOFTEXT|> a<|endoftext|>B", *(" ".join(f"w{chr(97 + i % 26)}{j}x," for j in range(i)) for i in range(20)), "one"]
+    got = [ids.tolist() for ids in table.encode_each(iter(texts))]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    table = packing.WordIds(vocabulary)
+    table.clear()
+    list(table.encode_each(iter(["Word word WORD"])))
+    assert len(table.known) == 2
+    pieces = dict(table.pieces)
+    table.clear()
+    assert table.pieces == pieces and all(isinstance(p, bytes) for p in pieces.values())
