@@ -18,7 +18,8 @@ No state is ever gathered in one place, so the tree may grow with the corpus. Ta
 `chunk_tokens` tokens: distinct words (64-bit hashes), their training counts, and the tokens as codes into them. At a level a
 chunk sends each distinct pair of context and next word that is still open, with its training count and the parent's
 probability, packed by range of a hash of the context; the owner of a range adds up, tests its contexts and answers each chunk.
-A chunk's state (what its open tokens score so far, and each text's sum of settled ones) is written after each level; chunks,
+A chunk's state (what its open tokens score so far, and each text's sum of settled ones) is written after each level; after the
+second one, if there is a limit, with the words that its open tokens still need, so that later levels read no texts; chunks,
 states and answers are bucketed by chunk, so only pairs and answers are shuffled, and no row is made for a word. Word counts
 are exchanged in the same way first. A context has 44 bits of hash and a follower 20, which keeps clashes rare up to some 10
 billion contexts a level.
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_folder, remove
-from .common import materialize, release, trimmed
+from .common import materialize, release, rows_at_once, trimmed
 from .textnp import CHAIN, bytes_of, chunks, mix64, word_hashes
 
 #: The end of a text, as a word of its own. No word hashes to it but by a chance of 2**-64.
@@ -233,7 +234,9 @@ STATE = ("chunk long, status binary, values binary, sums binary, base binary, kn
 
 def places(sizes: np.ndarray) -> np.ndarray:
     """Each token's place in its text."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.arange(int(sizes.sum()))
+    out -= np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return out
 
 
 def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -257,28 +260,40 @@ def start(n: int, types: int, settings: Settings) -> Callable[[dict], Iterator[d
     return run
 
 
-def open_pairs(r: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of open tokens, their values so far, and their pairs of context and next word: distinct sorted keys, and which is whose."""
+def followers_of(words: np.ndarray) -> np.ndarray:
+    return mix64(words ^ np.uint64(0xA5A5_A5A5_5A5A_5A5A)) >> (np.uint64(64) - FOLLOWER_BITS)
+
+
+def open_tokens(r: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of open tokens, their values so far, their contexts and next words."""
     codes, words, status = unpack(r["codes"], "<u4"), unpack(r["words"], "<u8"), unpack(r["status"], "u1")
     at = np.flatnonzero(status == OPEN)
     value = unpack(r["values"], "<f8")[codes[at]] if depth == 1 else unpack(r["values"], "<f8")
     context = np.zeros(len(at), np.uint64)
     for back in range(1, depth + 1):
         context = mix64(context * CHAIN + words[codes[at - back]])
-    key = ((context >> FOLLOWER_BITS) << FOLLOWER_BITS) | (mix64(words ^ np.uint64(0xA5A5_A5A5_5A5A_5A5A)) >> (np.uint64(64) - FOLLOWER_BITS))[codes[at]]
-    keys, pair = np.unique(key, return_inverse=True)
-    return at, value, keys, pair
+    return at, value, context, followers_of(words).astype(np.uint32)[codes[at]]
+
+
+def pairs(context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys of pairs of context and next word, and which is whose."""
+    return np.unique(((context >> FOLLOWER_BITS) << FOLLOWER_BITS) | follower, return_inverse=True)
+
+
+def ask(chunk: int, bits: int, keys: np.ndarray, pair: np.ndarray, value: np.ndarray, train: np.ndarray) -> Iterator[dict]:
+    parents = np.zeros(len(keys), np.uint8)
+    parents[pair] = np.clip(np.rint(value * (-PARENT_STEPS / math.log10(2))), 0, 255)
+    yield from cut(chunk, bits, keys, np.bincount(pair, weights=train, minlength=len(keys)), parents)
 
 
 def asking(depth: int, bits: int) -> Callable[[dict], Iterator[dict]]:
     def run(r: dict) -> Iterator[dict]:
         if not r["open"]:
             return
-        at, value, keys, pair = open_pairs(r, depth)
+        at, value, context, follower = open_tokens(r, depth)
+        keys, pair = pairs(context, follower)
         train = np.repeat(unpack(r["train"], "u1"), unpack(r["sizes"], "<i8"))[at]
-        parents = np.zeros(len(keys), np.uint8)
-        parents[pair] = np.clip(np.rint(value * (-PARENT_STEPS / math.log10(2))), 0, 255)
-        yield from cut(r["chunk"], bits, keys, np.bincount(pair, weights=train, minlength=len(keys)), parents)
+        yield from ask(r["chunk"], bits, keys, pair, value, train)
 
     return run
 
@@ -317,33 +332,119 @@ def settle_pairs(settings: Settings) -> Callable[[list[dict]], Iterator[dict]]:
 ANSWER = ("chunk long, range int, counts binary, seen binary, followers binary", ["chunk", "range", "counts", "seen", "followers"], [pa.int64(), pa.int32(), *[pa.binary()] * 3])
 
 
+def told(r: dict, settings: Settings, keys: np.ndarray, pair: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of open tokens by a chunk's answers: their values at this level, their pairs' counts, and whether longer contexts may tell more."""
+    context = keys >> FOLLOWER_BITS
+    of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1])))
+    counts, seen, marked = (of_answers(r, c, "<u4") for c in ("counts", "seen", "followers"))
+    kept, longer, followers = (marked & 1).astype(bool)[of], (marked & 2).astype(bool)[of], (marked >> 2).astype(float)[of]
+    some = np.maximum(seen, 1).astype(float)[of]
+    plain, rest = np.where(kept, np.maximum(counts - settings.discount, 0) / some, 0.0), np.where(kept, settings.discount * followers / some, 1.0)
+    return np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-300)), counts[pair], longer[pair]
+
+
 def hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
-    """The state after a level."""
+    """The state after a level; after the last one that needs whole texts, what is left of it."""
+    last = becomes_lean(depth, settings)
 
     def run(r: dict) -> Iterator[dict]:
         if not r["open"]:
-            yield {n: r[n] for n in STATE[1]}
+            yield lean_row(r, r["sums"]) if last else {n: r[n] for n in STATE[1]}
             return
         sizes, status = unpack(r["sizes"], "<i8"), unpack(r["status"], "u1").copy()
-        at, value, keys, pair = open_pairs(r, depth)
-        context = keys >> FOLLOWER_BITS
-        of = np.cumsum(np.concatenate(([0], context[1:] != context[:-1])))
-        counts, seen, marked = (of_answers(r, c, "<u4") for c in ("counts", "seen", "followers"))
-        kept, longer, followers = (marked & 1).astype(bool)[of], (marked & 2).astype(bool)[of], (marked >> 2).astype(float)[of]
-        some = np.maximum(seen, 1).astype(float)[of]
-        plain, rest = np.where(kept, np.maximum(counts - settings.discount, 0) / some, 0.0), np.where(kept, settings.discount * followers / some, 1.0)
-        value = np.log10(np.maximum(plain[pair] + rest[pair] * 10.0**value, 1e-300))
+        at, value, context, follower = open_tokens(r, depth)
+        keys, pair = pairs(context, follower)
+        if not last:
+            context = follower = None
+        value, counts, longer = told(r, settings, keys, pair, value)
+        del keys, pair
         # an open token's next context is seen as often as the pair one token earlier
-        earlier = np.full(len(status), -1, np.int64)
-        earlier[at] = counts[pair]
-        before = status[at - 1]
-        rare = (before == RARE) | (before == OPEN) & (earlier[at - 1] < settings.least)
-        goes_on = longer[pair] & (places(sizes)[at] > depth) & (settings.depth is None or depth < settings.depth)
+        beside = np.concatenate(([False], at[1:] - at[:-1] == 1))  # the token before is open too, and the entry before
+        rare = (status[at - 1] == RARE) | beside & (np.concatenate(([0], counts[:-1])) < settings.least)
+        del beside, counts
+        place = places(sizes)[at]
+        goes_on = longer & (place > depth) & (settings.depth is None or depth < settings.depth)
         status[at] = np.where(goes_on, np.where(rare, RARE, OPEN), SETTLED)
         goes_on &= ~rare
         done = np.zeros(len(status))
         done[at[~goes_on]] = value[~goes_on]
-        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(value[goes_on]), "sums": pack(unpack(r["sums"], "<f8") + text_sums(done, sizes)), "base": r["base"], "known": r["known"], "open": int(goes_on.sum())}
+        sums = pack(unpack(r["sums"], "<f8") + text_sums(done, sizes))
+        del done, rare, longer
+        if last:
+            codes, text = unpack(r["codes"], "<u4"), np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            at, place = at[goes_on], place[goes_on]
+            older = [codes[np.where(place >= back, at - back, 0)] for back in range(depth + 1, settings.depth + 1)]
+            open_now = {"at": at, "context": context[goes_on], "follower": follower[goes_on], "place": np.minimum(place, settings.depth), "rare": status[at - 1] == RARE, "train": np.repeat(unpack(r["train"], "u1"), sizes)[at], "text": text[at], "values": value[goes_on]}
+            yield lean_row(r, sums, open_now, older, unpack(r["words"], "<u8"))
+            return
+        yield {"chunk": r["chunk"], "status": pack(status), "values": pack(value[goes_on]), "sums": sums, "base": r["base"], "known": r["known"], "open": int(goes_on.sum())}
+
+    return run
+
+
+#: The last level at which chunks read their whole texts. From the next one on few tokens are open, and a state holds all they need.
+WHOLE_LEVELS = 2
+#: Arrays of a lean state, an entry for each open token, ascending by its place in the chunk. rare: whether the token before is.
+LEAN_ARRAYS = {"at": "<u4", "context": "<u8", "follower": "<u4", "place": "u1", "rare": "u1", "train": "u1", "text": "<u4", "values": "<f8"}
+LEAN_NAMES = ["chunk", *LEAN_ARRAYS, "older", "words", "sums", "base", "known", "open"]
+LEAN = (", ".join(f"{n} {'long' if n in ('chunk', 'open') else 'binary'}" for n in LEAN_NAMES), LEAN_NAMES, [pa.int64() if n in ("chunk", "open") else pa.binary() for n in LEAN_NAMES])
+
+
+def becomes_lean(depth: int, settings: Settings) -> bool:
+    """Whether states are lean after a level: they hold the words of all later levels, so there must be a limit."""
+    return depth == WHOLE_LEVELS and settings.depth is not None and settings.depth > WHOLE_LEVELS
+
+
+def lean_row(r: dict, sums: bytes, tokens: dict[str, np.ndarray] | None = None, older: list[np.ndarray] = [], words: np.ndarray | None = None) -> dict:  # noqa: B006
+    """A lean state: older are the words of the next levels, a list of codes for each."""
+    row = {"chunk": r["chunk"], "sums": sums, "base": r["base"], "known": r["known"], "open": 0}
+    if tokens is None or not len(tokens["at"]):
+        return row
+    row |= {n: pack((np.diff(tokens[n], prepend=0) if n == "at" else tokens[n]).astype(kind)) for n, kind in LEAN_ARRAYS.items()}
+    codes = np.concatenate(older)
+    used = np.zeros(len(words), bool)
+    used[codes] = True
+    return row | {"older": pack((np.cumsum(used, dtype=np.uint32) - np.uint32(1))[codes]), "words": pack(words[used]), "open": len(tokens["at"])}
+
+
+def lean_tokens(r: dict) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray]:
+    """Open tokens with contexts of one more word, the words of the levels after that, and the words that codes stand for."""
+    tokens = {n: unpack(r[n], kind) for n, kind in LEAN_ARRAYS.items()}
+    tokens["at"] = np.cumsum(tokens["at"], dtype=np.int64)
+    words = unpack(r["words"], "<u8")
+    older = np.split(unpack(r["older"], "<u4"), len(unpack(r["older"], "<u4")) // len(tokens["at"]))
+    tokens["context"] = mix64(tokens["context"] * CHAIN + words[older[0]])
+    return tokens, older[1:], words
+
+
+def lean_asking(bits: int) -> Callable[[dict], Iterator[dict]]:
+    def run(r: dict) -> Iterator[dict]:
+        if r["open"]:
+            tokens = lean_tokens(r)[0]
+            keys, pair = pairs(tokens["context"], tokens["follower"])
+            yield from ask(r["chunk"], bits, keys, pair, tokens["values"], tokens["train"])
+
+    return run
+
+
+def lean_hearing(depth: int, settings: Settings) -> Callable[[dict], Iterator[dict]]:
+    """hearing() of lean states."""
+
+    def run(r: dict) -> Iterator[dict]:
+        if not r["open"]:
+            yield lean_row(r, r["sums"])
+            return
+        tokens, older, words = lean_tokens(r)
+        value, counts, longer = told(r, settings, *pairs(tokens["context"], tokens["follower"]), tokens["values"])
+        beside = np.concatenate(([False], np.diff(tokens["at"]) == 1))  # the token before is open too, and the entry before
+        rare = tokens["rare"].astype(bool) | beside & (np.concatenate(([0], counts[:-1])) < settings.least)
+        goes_on = longer & (tokens["place"] > depth) & (depth < settings.depth)
+        tokens["rare"] = tokens["rare"].astype(bool) | beside & np.concatenate(([False], (goes_on & rare)[:-1]))
+        tokens["values"] = value
+        goes_on &= ~rare
+        sums = unpack(r["sums"], "<f8")
+        sums = sums + np.bincount(tokens["text"][~goes_on], value[~goes_on], len(sums))
+        yield lean_row(r, pack(sums), {n: v[goes_on] for n, v in tokens.items()}, [o[goes_on] for o in older], words)
 
     return run
 
@@ -356,28 +457,44 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     buckets = Buckets(spark, min(100_000, max(partitions, size // (16 * 8 * settings.chunk_tokens))))  # Spark's own limit on buckets
     bits = max(4, math.ceil(math.log2(size / 64e6 + 1)) + 4)
     tasks = max(partitions, (1 << bits) // 64)
-    table = buckets.write(read_chunks(docs, settings))
+    with rows_at_once(spark, 1000):
+        table = buckets.write(read_chunks(docs, settings))
     answers = count_words(table, bits, tasks)
     first = answers.filter("chunk IS NULL").agg(F.sum("n_tokens"), F.sum("n_types")).first()
     n, types = int(first[0] or 0), int(first[1] or 0)
     heard = buckets.write(by_chunk(answers, "answer"))
     release(answers)
-    state = buckets.write(table.select("chunk", "sizes", "codes").join(heard, "chunk").mapInArrow(each(start(n, types, settings), *STATE[1:]), STATE[0]))
+    with rows_at_once(spark, 1):
+        state = buckets.write(table.select("chunk", "sizes", "codes").join(heard, "chunk").mapInArrow(each(start(n, types, settings), *STATE[1:]), STATE[0]))
     buckets.drop(heard)
+    lean = False
     for depth in itertools.count(1) if settings.depth is None else range(1, settings.depth + 1):
         clear_up(spark)
         if not state.agg(F.sum("open")).first()[0]:
             break
-        asked = table.select("chunk", "sizes", "train", "codes", "words").join(state.select("chunk", "status", "values", "open"), "chunk").mapInArrow(each(asking(depth, bits), *ASK[1:]), ASK[0])
+        if lean:
+            asked = state.select("chunk", *LEAN_ARRAYS, "older", "words", "open").mapInArrow(each(lean_asking(bits), *ASK[1:]), ASK[0])
+        else:
+            asked = table.select("chunk", "sizes", "train", "codes", "words").join(state.select("chunk", "status", "values", "open"), "chunk").mapInArrow(each(asking(depth, bits), *ASK[1:]), ASK[0])
         dealt = asked.repartition(tasks, "range").sortWithinPartitions("range", "chunk")
         settled = dealt.mapInArrow(grouped(settle_pairs(settings), *ANSWER[1:]), ANSWER[0])
-        heard = buckets.write(by_chunk(settled, "counts", "seen", "followers"))
-        both = table.select("chunk", "sizes", "codes", "words").join(state, "chunk").join(heard, "chunk", "left")
-        after = buckets.write(both.mapInArrow(each(hearing(depth, settings), *STATE[1:]), STATE[0]))
+        with rows_at_once(spark, 4):
+            heard = buckets.write(by_chunk(settled, "counts", "seen", "followers"))
+        del asked, dealt, settled
+        clear_up(spark)  # pairs and answers go before the next state comes
+        if lean:
+            after = state.join(heard, "chunk", "left").mapInArrow(each(lean_hearing(depth, settings), *LEAN[1:]), LEAN[0])
+        else:
+            both = table.select("chunk", "sizes", "train", "codes", "words").join(state, "chunk").join(heard, "chunk", "left")
+            lean = becomes_lean(depth, settings)
+            form = LEAN if lean else STATE
+            after = both.mapInArrow(each(hearing(depth, settings), *form[1:]), form[0])
+            del both
+        with rows_at_once(spark, 1):  # a row is a whole chunk
+            after = buckets.write(after)
         buckets.drop(heard)
         buckets.drop(state)
         state = after
-        del asked, dealt, settled, both
     fields = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

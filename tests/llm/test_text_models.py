@@ -320,3 +320,18 @@ def test_word_table_takes_texts_together_and_learns_pieces_once(monkeypatch):
     pieces = dict(table.pieces)
     table.clear()
     assert table.pieces == pieces and all(isinstance(p, bytes) for p in pieces.values())
+
+
+@pytest.mark.parametrize("depth", [8, 3, 2])
+def test_language_model_with_a_limit_equals_brute_force(spark, raw, depth):
+    """Later levels read no texts; their states give what whole texts give."""
+    rows, df = repeated(spark, raw, tails=True)
+    s = lm_scoring.Settings(depth=depth, chunk_tokens=2000)
+    assert [d for d in range(1, 10) if lm_scoring.becomes_lean(d, s)] == ([2] if depth > 2 else [])
+    assert not {"codes", "sizes", "status"} & set(lm_scoring.LEAN_NAMES)
+    want = {(r[0], r[2], r[3]): r for r in Brute(rows, s).rows(rows)}
+    got = lm_scoring.score(df, s).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[(r[0], r[2], r[3])]
+        assert abs(r[5] - w[5]) < 1e-6 and abs(r[6] - w[6]) < 1e-9 * r[2]
