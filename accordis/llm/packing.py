@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import materialize, rows_at_once, trimmed
 
 SIZES = (4096, 2048, 1024, 512)
 END = 2
@@ -41,6 +41,8 @@ END = 2
 CACHE = 500_000
 #: Words of short texts looked up together.
 TOGETHER = 20_000
+#: Texts handed to a task at once.
+BATCH = 1000
 ID = attrgetter("id")
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("step_id", pa.int64()), ("tail", pa.binary())])
 SPARK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_id long, tail binary"
@@ -324,7 +326,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZ
 
         return run
 
-    done = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(tokenize), SPARK_SCHEMA))
+    with rows_at_once(docs.sparkSession, BATCH):
+        done = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(tokenize), SPARK_SCHEMA))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_id"]
     packed = done.filter("sequence_id >= 0").select(columns)
     tails, level = done.filter("sequence_id < 0"), 1

@@ -335,3 +335,11 @@ def test_language_model_with_a_limit_equals_brute_force(spark, raw, depth):
     for r in got:
         w = want[(r[0], r[2], r[3])]
         assert abs(r[5] - w[5]) < 1e-6 and abs(r[6] - w[6]) < 1e-9 * r[2]
+
+
+def test_packing_takes_batches_of_few_texts_and_puts_the_setting_back(docs, spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.materialize
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "materialize", lambda df: (seen.append(spark.conf.get(name)), write(df))[1])
+    assert packing.pack_documents(docs, vocabulary).count() > 0
+    assert seen[0] == str(packing.BATCH) and spark.conf.get(name) == before
