@@ -63,16 +63,16 @@ _STREAMED = """(SELECT DISTINCT l_orderkey AS component_id, concat('o', l_orderk
 @query("st4_stream_sides", f"""SELECT coalesce(a.component_id, b.component_id) AS component_id, coalesce(a.caller, b.caller) AS caller, coalesce(a.callee, b.callee) AS callee, a.ts IS NOT NULL AS in_a, b.ts IS NOT NULL AS in_b, epoch_us(a.ts) AS a_us, epoch_us(b.ts) AS b_us
     FROM {_STREAMED} WHERE coalesce(a.ts, b.ts) < (SELECT least(max(l_shipdate::TIMESTAMP) FILTER (l_linenumber <= 6), max(l_shipdate::TIMESTAMP + to_hours(l_quantity::INT)) FILTER (l_linenumber >= 2)) FROM lineitem) - INTERVAL 60 HOUR""")
 def _(t):
-    """Both streams read as streams, joined within 30 hours of event time and written once a batch; of the result the time that is closed."""
+    """Both streams read as streams, joined within 30 hours of event time and written once a batch, edges that wait in a table; of the
+    result the time that is closed."""
     lines = lambda rows: rows.select(F.col("l_orderkey").alias("component_id"), F.concat(F.lit("o"), "l_orderkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"), F.col("l_shipdate").alias("ts"), "l_linenumber", "l_quantity")
     a_of = lambda rows: lines(rows).filter("l_linenumber <= 6")
     b_of = lambda rows: lines(rows).filter("l_linenumber >= 2").withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.col("l_quantity").cast("int")))
-    ended = [f(t.lineitem).agg(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.count(F.lit(1)).alias("n")).first() for f in (a_of, b_of)]
+    ended = [f(t.lineitem).agg(F.max(F.col("ts").cast("timestamp"))).first()[0] for f in (a_of, b_of)]
     read = lambda: eventlog.read(t.spark, t.dir, "lineitem.parquet")
-    joined = sides.documented_sides(*(eventlog.timed(f(read()), "2 hours") for f in (a_of, b_of)), "30 hours")
-    table = Versions(t.spark, new_folder(t.spark))
-    sides.write_once(joined, table, "st4", new_folder(t.spark), settings=state_settings(sum(e["n"] for e in ended))).awaitTermination()
-    closed = F.coalesce("a_ts", "b_ts") < F.least(*(F.lit(e["ts"]) for e in ended)) - F.expr("INTERVAL 60 HOURS")
+    table, waiting = (Versions(t.spark, new_folder(t.spark)) for _ in range(2))
+    sides.join_once(a_of(read()), b_of(read()), table, waiting, "st4", new_folder(t.spark), "30 hours", "2 hours").awaitTermination()
+    closed = F.coalesce("a_ts", "b_ts") < F.least(*(F.lit(e) for e in ended)) - F.expr("INTERVAL 60 HOURS")
     return table.read().filter(closed).select("component_id", "caller", "callee", "in_a", "in_b", F.unix_micros("a_ts").alias("a_us"), F.unix_micros("b_ts").alias("b_us"))
 
 

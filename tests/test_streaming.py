@@ -103,3 +103,48 @@ def test_stream_join_over_restarts_equals_the_batch(spark, tmp_path, monkeypatch
     whole = {tuple(r) for r in edge_sides(*on_time).filter("component_id < 9 AND NOT (component_id = 2 AND callee = 'x')").collect()}
     assert {tuple(r) for r in got.drop("a_ts", "b_ts").filter("NOT (component_id = 2 AND callee = 'x')").collect()} == whole
     assert table.manifest().writers["sides"] >= 3
+
+
+def test_join_by_tables_over_restarts_equals_the_batch(spark, tmp_path, monkeypatch):
+    """Batches without state stores give what the whole tables give: pairs over several batches, repeats, late rows, a batch that is run again."""
+    table, waiting = (Versions(spark, f"file://{tmp_path}/{name}") for name in ("out", "waiting"))
+
+    def run():
+        a, b = (e.read(spark, f"file://{tmp_path}/{side}", files_per_trigger=1) for side in "ab")
+        query = sides.join_once(a, b, table, waiting, "sides", f"file://{tmp_path}/checkpoint", "6 hours", "2 hours")
+        query.awaitTermination()
+        return query
+
+    early = [(1, "x", 0), (1, "y", 1), (2, "x", 2), (3, "x", 3), (3, "x", 3), (7, "m", 8)], [(1, "x", 2), (2, "x", 9), (2, "z", 3), (7, "m", 8)]
+    # B's row for (1, y) is old, but not too old: A's still waits; (7, m) has met one of B, and meets another; its A comes again
+    later = [(4, "x", 30), (5, "x", 31), (7, "m", 8)], [(4, "x", 33), (1, "y", 7), (6, "q", 31), (7, "m", 9)]
+    last = [(9, "end", 90), (2, "late", 4)], [(9, "end", 90), (4, "x", 34)]  # late, but for (4, x)
+    for n, (a, b) in enumerate((early, later, last)):
+        write(spark, f"file://{tmp_path}/a", edges(*a), EDGE)
+        write(spark, f"file://{tmp_path}/b", edges(*b), EDGE)
+        if n == 1:  # what waits is written, then the query dies before the rows are, and once more after that
+            for dies_in in ("before", "after"):
+                append, fail = Versions.append, [True]
+
+                def dies(self, *args, append=append, fail=fail, dies_in=dies_in, **more):
+                    if dies_in == "after":
+                        append(self, *args, **more)
+                    if fail.pop() if fail else False:
+                        raise RuntimeError(f"{dies_in} the commit")
+                    if dies_in == "before":
+                        append(self, *args, **more)
+
+                monkeypatch.setattr(Versions, "append", dies)
+                try:
+                    run()
+                except Exception as failed:  # noqa: BLE001
+                    assert f"{dies_in} the commit" in str(failed)
+                monkeypatch.undo()
+                assert not fail
+        assert not run().lastProgress.stateOperators  # nothing is held in memory between batches
+    on_time = [spark.createDataFrame(edges(*[r for part in (early, later, last) for r in part[side] if r != (2, "late", 4)]), EDGE) for side in (0, 1)]
+    closed = F.coalesce("a_ts", "b_ts") < F.lit(START + dt.timedelta(hours=82))
+    want = sides.documented_sides(*on_time, "6 hours").filter(closed)
+    got = table.read().filter(closed)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.filter("component_id = 7").count() == 2
+    assert {r["callee"] for r in waiting.read().collect()} == {"end"}
