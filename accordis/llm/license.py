@@ -3,7 +3,8 @@
 Training: TEMPLATES (short public licence notices), windows of their words and NAMES of licences in some languages are the
 positive rows, ordinary notices and a bounded sample of the corpus's own lines without a cue (from any place of a text) the
 negative ones. A softmax regression over hashed words and word pairs is fitted on the driver; its weights are a table of at
-most 2 ** hash_bits rows. Its threshold is set on other corpus lines, which trained nothing.
+most 2 ** hash_bits rows. Its threshold is set on all lines of the corpus, repeats counted: of them at most `ordinary_share`
+are given a family without a cue. `fit_and_scan` sets it and scans in one pass, as only lines that reach least_probability count.
 
 Scanning is plain DataFrame code. A paragraph is a line, and also a run of lines that are wrapped: each but the last ends
 without a stop, and none is blank. Every line and every run is judged. Bounds drop those without a cue that no family can win
@@ -33,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Public licence notices.
 TEMPLATES = {
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
@@ -64,9 +67,12 @@ WRAP = "\x0b"
 @dataclass(frozen=True)
 class Settings:
     hash_bits: int = 16
-    #: Corpus lines that train, and as many others that calibrate; of up to background_chars characters.
-    background: int = 500
+    #: Corpus lines that train, of up to background_chars characters.
+    background: int = 1000
     background_chars: int = 4000
+    #: Of all lines, the share that may be given a family without a cue, unless they reach most_probability.
+    ordinary_share: float = 0.002
+    most_probability: float = 0.9
     rounds: int = 300
     rate: float = 2.0
     decay: float = 1e-3
@@ -191,17 +197,39 @@ def strong_words(named: list[tuple[str, dict[str, int]]], model: Model) -> list[
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """The model. Corpus lines are a bounded sample of a line of each text, at a place that its hash gives: those of the lowest
+    """The model, with its threshold from all lines of docs."""
+    model, named = train(docs, s)
+    model.threshold = threshold(judged(docs, model, s), docs, model, s)
+    model.strong = strong_words(named, model)
+    return model
+
+
+def fit_and_scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """scan(docs, fit(docs)), for which the texts are judged once."""
+    model, _ = train(docs, s)
+    found = materialize(judged(docs, model, s))
+    return given(found, threshold(found, docs, model, s), s)
+
+
+def threshold(found: DataFrame, docs: DataFrame, model: Model, s: Settings) -> float:
+    """The lowest threshold, in steps of 0.01 from the model's own, that at most ordinary_share of all lines reach without a cue."""
+    n = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long")).alias("n")).first()["n"] or 0
+    reach = found.filter((F.col("unit") == "line") & ~F.col("cue") & (F.col("top") != "unknown")).groupBy(F.floor(F.col("p") * 100).alias("step")).count().collect()
+    at = math.ceil(100 * model.threshold - 1e-9)
+    while at < 100 * s.most_probability - 1e-9 and sum(r["count"] for r in reach if r["step"] >= at) > n * s.ordinary_share:
+        at += 1
+    return max(model.threshold, min(s.most_probability, at / 100))
+
+
+def train(docs: DataFrame, s: Settings) -> tuple[Model, list[tuple[str, dict[str, int]]]]:
+    """The model with the lowest threshold that it may have, and its training rows. Corpus lines are a bounded sample of a line of each text, at a place that its hash gives: those of the lowest
     hashes among lines without a cue."""
     spark = docs.sparkSession
     parts = F.transform(F.array(F.split("text", "\n")), lambda p: F.get(p, F.pmod(F.xxhash64(F.get(p, F.lit(0))), F.size(p)).cast("int")))
     sample = docs.select(F.get(parts, F.lit(0)).alias("line")).filter(F.length("line").between(1, s.background_chars) & ~has_cue(F.lower("line")))
-    sample = sample.distinct().orderBy(F.xxhash64("line"), "line").limit(2 * s.background)
-    part = F.when(F.pmod(F.xxhash64(F.lit("part"), "line"), F.lit(2)) == 0, "unknown").otherwise("held out")
-    rows = spark.createDataFrame(examples(), "family string, line string").unionAll(sample.select(part.alias("family"), "line")).select("family", F.transform(named_grams(F.col("line")), lambda g: F.struct(g.alias("gram"), hashed(g, s.hash_bits).alias("hash"))).alias("g")).collect()
+    sample = sample.distinct().orderBy(F.xxhash64("line"), "line").limit(s.background)
+    rows = spark.createDataFrame(examples(), "family string, line string").unionAll(sample.select(F.lit("unknown").alias("family"), "line")).select("family", F.transform(named_grams(F.col("line")), lambda g: F.struct(g.alias("gram"), hashed(g, s.hash_bits).alias("hash"))).alias("g")).collect()
     named = [(r["family"], {g["gram"]: g["hash"] for g in r["g"]}) for r in rows]
-    others = list({*gs.values()} for family, gs in named if family == "held out")
-    named = [(family, gs) for family, gs in named if family != "held out"]
     rows = sorted((family, sorted(set(gs.values()))) for family, gs in named)
     classes = [*FAMILIES, "unknown"]
     terms = sorted({g for _, gs in rows for g in gs})
@@ -217,12 +245,11 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
         error = (p - wanted) * weight[:, None]
         w -= s.rate * len(classes) * x.transposed_times(error) + s.decay * w
         b -= s.rate * error.sum(axis=0)
-    unseen = np.array([w[[place[g] for g in gs if g in place]].sum(axis=0) / math.sqrt(max(1, len(gs))) for gs in others]).reshape(-1, len(classes))
-    ordinary = np.concatenate((softmax(unseen + b), softmax(x.times(w) + b)[y == len(classes) - 1]))
-    threshold = max([s.least_probability, *(ordinary[:, :-1].max(axis=1) + 0.01)])
-    model = Model({g: w[i].tolist() for g, i in place.items()}, b.tolist(), float(min(0.9, threshold)))
+    ordinary = softmax(x.times(w) + b)[y == len(classes) - 1]
+    least = max([s.least_probability, *(ordinary[:, :-1].max(axis=1) + 0.01)])
+    model = Model({g: w[i].tolist() for g, i in place.items()}, b.tolist(), float(min(s.most_probability, least)))
     model.strong = strong_words(named, model)
-    return model
+    return model, named
 
 
 class Rows:
@@ -259,6 +286,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def scan(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """The licence paragraphs of docs."""
+    return given(judged(docs, model, s), model.threshold, s)
+
+
+def given(found: DataFrame, threshold: float, s: Settings) -> DataFrame:
+    """What judged() found, at a threshold that isn't lower than its model's."""
+    reaches = (F.col("p") >= threshold) & (F.col("top") != "unknown")
+    out = found.filter(F.col("cue") | reaches).withColumn("template_share", F.when(reaches, F.col("template_share")).otherwise(0.0))
+    return out.select("doc_id", "unit", "paragraph", F.when(reaches, F.col("top")).otherwise("unknown").alias("family"), F.col("p").alias("probability"), "template_share", (F.col("template_share") >= s.least_share).alias("confirmed"))
+
+
+def judged(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
+    """Paragraphs of docs that have a cue or reach the model's threshold: their likeliest class (top), its probability p and, of a family, template_share."""
     spark = docs.sparkSession
     classes = [*FAMILIES, "unknown"]
     weights = F.broadcast(spark.createDataFrame([(g, *w) for g, w in sorted(model.weights.items())], "gram long, " + ", ".join(f"w{i} double" for i in range(len(classes)))))
@@ -269,15 +308,13 @@ def scan(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     z = [F.exp(F.col(f"z{i}") / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double")) + F.lit(b)) for i, b in enumerate(model.bias)]
     total = sum(z[1:], z[0])
     best = F.array_max(F.array(*(F.struct((e / total).alias("p"), F.lit(-i).alias("i")) for i, e in enumerate(z))))
-    family = lambda best: F.when(best["p"] >= model.threshold, F.element_at(F.array(*map(F.lit, classes)), 1 - best["i"])).otherwise(F.lit("unknown"))
-    judged = F.transform(F.array(best), lambda best: F.struct(best["p"].alias("p"), family(best).alias("family"), F.col("cue").alias("cue")))
+    top = F.transform(F.array(best), lambda best: F.struct(best["p"].alias("p"), F.element_at(F.array(*map(F.lit, classes)), 1 - best["i"]).alias("top"), F.col("cue").alias("cue")))
     # exploded, as the optimizer would copy the sums into a plain filter
-    named = sums.select(*keys, F.explode(F.filter(judged, lambda r: r["cue"] | (r["family"] != "unknown"))).alias("best")).withColumn("family", F.col("best.family"))
+    named = sums.select(*keys, F.explode(F.filter(top, lambda r: r["cue"] | ((r["p"] >= model.threshold) & (r["top"] != "unknown")))).alias("best")).select(*keys, "best.*")
     listed = [(f, number) for f, texts in TEMPLATES.items() for number, _ in enumerate(texts)]
     template_rows = spark.createDataFrame([(f, i, TEMPLATES[f][i]) for f, i in listed], "family string, template int, line string")
     template_grams = template_rows.select("family", "template", grams(F.col("line"), s.hash_bits).alias("g")).select("family", "template", F.size("g").alias("size"), F.explode("g").alias("gram"))
     shares = terms.join(F.broadcast(template_grams), "gram").groupBy(*keys, "family", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("share")).groupBy(*keys, "family").agg(F.max("share").alias("template_share"))
     shares = shares.withColumnsRenamed({"doc_id": "_d", "unit": "_u", "paragraph": "_p", "line_hash": "_l", "family": "_f"})
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("unit") == F.col("_u")) & (F.col("paragraph") == F.col("_p")) & (F.col("line_hash") == F.col("_l")) & (F.col("family") == F.col("_f"))
-    out = named.join(shares, same, "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
-    return out.select("doc_id", "unit", "paragraph", "family", F.col("best.p").alias("probability"), "template_share", (F.col("template_share") >= s.least_share).alias("confirmed"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("unit") == F.col("_u")) & (F.col("paragraph") == F.col("_p")) & (F.col("line_hash") == F.col("_l")) & (F.col("top") == F.col("_f"))
+    return named.join(shares, same, "left").select(*keys, "cue", "p", "top", F.coalesce("template_share", F.lit(0.0)).alias("template_share"))

@@ -221,3 +221,15 @@ def test_pattern_of_words_finds_what_an_alternation_finds(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_like("t", F.lit(plain)).alias("a"), F.regexp_like("t", F.lit(license.whole_words(words))).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and 5 < sum(r["a"] for r in rows) < len(rows)
     assert spark.range(1).select(F.regexp_like(F.lit("a"), F.lit(license.whole_words([])))).first()[0] is False
+
+
+def test_licence_threshold_comes_from_all_lines(spark):
+    """Lines that look like a licence, all in a text of which the training sample takes another line, raise the threshold."""
+    words = "amber basil cedar delta ember fjord grove heath inlet jetty knoll ledge marsh north ocean plain quarry river stone trail".split()
+    rows = [(i, "\n".join(" ".join(words[(i * 7 + j * 3 + k) % 20] for k in range(8)) + f" {i}x{j}." for j in range(5))) for i in range(100)]
+    first = spark.range(2000).select(F.concat(F.lit("start "), "id", F.lit(".")).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(41)) == 0).first()[0]
+    docs = spark.createDataFrame([*rows, (900, "\n".join([first] + ["The GPL grew."] * 40)), (901, "Licensed under the MIT License.")], "doc_id long, text string")
+    model = license.fit(docs)
+    got = license.scan(docs, model).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {(901, "mit")} and 0.5 < model.threshold <= 0.9
+    assert sorted(map(str, license.fit_and_scan(docs).collect())) == sorted(map(str, got))
