@@ -60,15 +60,17 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 @contextmanager
-def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most for what runs inside: a batch of texts is held by the JVM and by the worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def rows_at_once(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of so many rows, and bytes, at most for what runs inside: a batch of texts is held by the JVM and by the worker."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
